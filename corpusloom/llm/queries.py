@@ -1,0 +1,11 @@
+"""The queries of this package, and their SQL where SQL can express them."""
+
+from .exact_dedup import OP6_SQL, op6_exact_dedup
+
+QUERIES = {
+    "op6_exact_dedup": op6_exact_dedup,
+}
+
+ORACLES = {
+    "op6_exact_dedup": OP6_SQL,
+}
