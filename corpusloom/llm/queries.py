@@ -1,11 +1,14 @@
 """The queries of this package, and their SQL where SQL can express them."""
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .secrets import OP2_SQL, op2_secret_scan
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
 ORACLES = {
+    "op2_secret_scan": OP2_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
