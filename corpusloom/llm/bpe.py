@@ -14,8 +14,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +27,24 @@ from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 from .common import read
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
+
 #: Code points that are worked on at once.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 21
 #: Words that a worker remembers: at most twice as many, and only those of at most LONG code points.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 LONG = 64
 
+#: No letter, number or white space has a code point from here on; what is there is private, a tag or unassigned.
+ASSIGNED = 0x34000
+
 _SAFE_CUT = re.compile(r"[A-Za-z] [A-Za-z]")
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
 
 def char_classes() -> np.ndarray:
     """Class of each code point as the tokenizers library's own regex engine has it."""
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    points = [c for c in range(ASSIGNED) if not 0xD800 <= c < 0xE000]
     text, at = "".join(map(chr, points)), np.array(points)
     table = np.zeros(0x110000, np.uint8)
     for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
@@ -140,14 +147,23 @@ class Encoder:
 
     def _ids_of_words(self, words: list[str]) -> list[bytes]:
         young, old = self.young, self.old
-        found = [young.get(w) or old.get(w) for w in words]
-        new = [i for i, x in enumerate(found) if x is None]
+        found = list(map(young.get, words))
+        new = []
+        for i, x in enumerate(found):
+            if x is None:
+                found[i] = x = old.get(words[i])
+                if x is None:
+                    new.append(i)
+                else:
+                    young[words[i]] = x
         if new:
-            for i, e in zip(new, self.tokenizer.encode_batch_fast([words[i] for i in new], add_special_tokens=False), strict=True):
-                found[i] = np.array(e.ids, "<u4").tobytes()
-        for w, x in zip(words, found, strict=True):
-            if w not in young and len(w) <= LONG:
-                young[w] = x
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in new], add_special_tokens=False)]
+            flat = np.fromiter(chain.from_iterable(lists), "<u4").tobytes()
+            at = 0
+            for i, ids in zip(new, lists, strict=True):
+                found[i] = flat[at : (at := at + 4 * len(ids))]
+                if len(words[i]) <= LONG:
+                    young[words[i]] = found[i]
         if len(young) >= REMEMBERED:
             self.young, self.old = {}, young
         return found

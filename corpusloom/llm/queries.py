@@ -1,10 +1,14 @@
 """The queries of this package, and their SQL where SQL can express them."""
 
+from .bpe import op3_byte_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .packing import op4_packing
 from .secrets import OP2_SQL, op2_secret_scan
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_packing": op4_packing,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
