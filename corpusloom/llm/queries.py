@@ -2,6 +2,7 @@
 
 from .bpe import op3_byte_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .langid import op5_language_id
 from .packing import op4_packing
 from .secrets import OP2_SQL, op2_secret_scan
 
@@ -9,6 +10,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_packing": op4_packing,
+    "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
