@@ -3,6 +3,7 @@
 from .bpe import op3_byte_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .langid import op5_language_id
+from .minhash import op7_minhash_dedup
 from .packing import op4_packing
 from .secrets import OP2_SQL, op2_secret_scan
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_minhash_dedup": op7_minhash_dedup,
 }
 
 ORACLES = {
