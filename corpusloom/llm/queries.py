@@ -6,6 +6,7 @@ from .langid import op5_language_id
 from .minhash import op7_minhash_dedup
 from .packing import op4_packing
 from .secrets import OP2_SQL, op2_secret_scan
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
