@@ -1,6 +1,7 @@
 """The queries of this package, and their SQL where SQL can express them."""
 
 from .bpe import op3_byte_bpe
+from .covertree import op8_cover_tree
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .langid import op5_language_id
 from .minhash import op7_minhash_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_cover_tree": op8_cover_tree,
     "op10_toxicity": op10_toxicity,
 }
 
