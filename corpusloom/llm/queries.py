@@ -4,12 +4,14 @@ from .bpe import op3_byte_bpe
 from .covertree import op8_cover_tree
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .langid import op5_language_id
+from .licenses import OP1_SQL, op1_license_scan
 from .minhash import op7_minhash_dedup
 from .packing import op4_packing
 from .secrets import OP2_SQL, op2_secret_scan
 from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_secret_scan": op2_secret_scan,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_packing": op4_packing,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_license_scan": OP1_SQL,
     "op2_secret_scan": OP2_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
