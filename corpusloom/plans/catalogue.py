@@ -1,9 +1,19 @@
 """All queries of the engine by name, and their SQL for DuckDB."""
 
+from __future__ import annotations
+
+from .dialect import Sql
+from .facts import FACTS, JOURNAL, QUALITY
+from .texts import NUMBERS, TEXTS
+
+
+def _all() -> dict[str, Sql]:
+    return FACTS | QUALITY | JOURNAL | TEXTS | NUMBERS
+
 
 def queries() -> dict:
-    return {}
+    return dict(_all())
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: q.duck() for name, q in _all().items()}
