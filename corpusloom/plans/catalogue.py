@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .dialect import Sql
 from .facts import FACTS, JOURNAL, QUALITY
+from .operators import QUERIES
 from .texts import NUMBERS, TEXTS
 
 
@@ -12,8 +13,8 @@ def _all() -> dict[str, Sql]:
 
 
 def queries() -> dict:
-    return dict(_all())
+    return _all() | {name: run for name, (run, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {name: q.duck() for name, q in _all().items()}
+    return {name: q.duck() for name, q in _all().items()} | {name: sql for name, (_, sql) in QUERIES.items() if sql}
