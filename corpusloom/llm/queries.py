@@ -5,6 +5,7 @@ from .covertree import op8_cover_tree
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .langid import op5_language_id
 from .licenses import OP1_SQL, op1_license_scan
+from .linededup import op9_line_dedup
 from .minhash import op7_minhash_dedup
 from .packing import op4_packing
 from .secrets import OP2_SQL, op2_secret_scan
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_cover_tree": op8_cover_tree,
+    "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
