@@ -53,13 +53,15 @@ class CoverTree:
                 if b - a <= 1:
                     continue
                 rows[node][2] = len(rows)
-                left, at, done = self.order[a:b], a, []
+                points, at, done = self.order[a:b].copy(), a, []
+                left = np.arange(b - a)
+                close = unit[points] @ unit[points].T >= 1 - radius * radius / 2 if b - a <= 2 * BLOCK else None
                 while len(left):
-                    inside = self._far(left[0], left) <= radius
+                    inside = (close[left[0], left] if close is not None else self._far(points[left[0]], points[left]) <= radius).copy()
                     inside[0] = True
-                    done.append(left[inside])
+                    done.append(points[left[inside]])
                     below.append(len(rows))
-                    rows.append([left[0], 0.0, 0, 0, at, at := at + len(done[-1])])
+                    rows.append([done[-1][0], 0.0, 0, 0, at, at := at + len(done[-1])])
                     left = left[~inside]
                 self.order[a:b] = np.concatenate(done)
                 rows[node][3] = len(rows)
@@ -97,6 +99,20 @@ def links(x: CoverTree, y: CoverTree, raw_x: np.ndarray, raw_y: np.ndarray, weig
     edge_x, edge_y = [], []
     same = x is y
     stack = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
+
+    def children(a: int, a_end: int, b: int, b_end: int, once: bool) -> None:
+        """Pairs of two ranges of nodes that lie near enough, by one product of matrices for some rows at a time."""
+        right, reach = y.unit[y.centre[b:b_end]].T, y.reach[b:b_end]
+        for k in range(a, a_end, 1024):
+            close = x.unit[x.centre[k : min(k + 1024, a_end)]] @ right
+            most = limit + SLACK + x.reach[k : k + len(close), None] + reach[None, :]
+            i, j = np.nonzero(close >= 1 - np.minimum(most, 2.0) ** 2 / 2 - SLACK)
+            i, j = i + k, j + b
+            if once:
+                i, j = i[i <= j], j[i <= j]
+            if len(i):
+                stack.append((i, j))
+
     while stack:
         a, b = stack.pop()
         if len(a) > 1 << 16:
@@ -143,6 +159,12 @@ def links(x: CoverTree, y: CoverTree, raw_x: np.ndarray, raw_y: np.ndarray, weig
         ):
             if pick.any():
                 la, le, ra, re = la[pick], le[pick], ra[pick], re[pick]
+                large = (le - la) * (re - ra) > 1024
+                for k in np.flatnonzero(large).tolist():
+                    children(int(la[k]), int(le[k]), int(ra[k]), int(re[k]), once)
+                if large.all():
+                    continue
+                la, le, ra, re = la[~large], le[~large], ra[~large], re[~large]
                 size = np.cumsum((le - la) * (re - ra))
                 cut = np.searchsorted(size, np.arange(1 << 20, size[-1] + (1 << 20), 1 << 20))
                 for s, e in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True):
