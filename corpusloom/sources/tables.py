@@ -112,15 +112,15 @@ class Store:
 
 def read_jsonl(spark: SparkSession, path: str, columns: str) -> DataFrame:
     """Objects of a JSON-lines file. The last line may be cut short and is then left out; damage before it is an error."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
     last = lines.agg(F.max("n").alias("last"))  # a complete file ends with a line break, so its last piece is empty
     rows = lines.join(F.broadcast(last)).filter("n < last and trim(line) != ''")
-    parsed = rows.select("n", F.max("n").over(_whole()).alias("final"), F.from_json("line", columns + ", __damaged string", {"columnNameOfCorruptRecord": "__damaged"}).alias("r"), "line")
-    good = parsed.withColumn("good", F.col("line").rlike(r"^\s*\{") & F.col("r.__damaged").isNull())
+    parsed = rows.select("n", F.max("n").over(_whole()).alias("final"), F.from_json("line", columns).alias("r"), "line")
+    good = parsed.withColumn("good", F.col("line").rlike(r"^\s*\{") & F.expr("try_parse_json(line) IS NOT NULL"))
     checked = good.filter((F.col("n") < F.col("final")) | F.col("good"))
     message = F.concat(F.lit(f"{path}:"), (F.col("n") + 1).cast("string"), F.lit(": corrupt line"))
     safe = checked.withColumn("r", F.when(F.col("good"), F.col("r")).otherwise(F.raise_error(message)))
-    return safe.select("r.*").drop("__damaged")
+    return safe.select("r.*")
 
 
 def _whole():
