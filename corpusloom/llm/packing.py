@@ -35,9 +35,12 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
         left = histogram[length]
         while left:
             shortest = min((t for t in open_packs if t + length <= capacity), default=0)
-            if not shortest:
-                packs = open_packs.setdefault(length, {})
-                packs[(length,)] = packs.get((length,), 0) + left
+            if not shortest:  # as few new packs as hold what is left
+                each = capacity // length
+                for many, n in ((each, left // each), (left % each, 1)):
+                    if many and n:
+                        packs = open_packs.setdefault(many * length, {})
+                        packs[(length,) * many] = packs.get((length,) * many, 0) + n
                 break
             packs = open_packs[shortest]
             pattern, there = packs.popitem()
