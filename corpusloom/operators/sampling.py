@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.tables import settled
+
 
 def bisect(count: Callable[[int, int], int], cap: int, low: int, high: int) -> Iterator[tuple[int, int, int, str]]:
     """(low, high, total, kind) of ranges that hold something: leaf where a total is at most cap, overflow where one value
@@ -55,6 +57,7 @@ def numbered(rows: DataFrame, key: str, size: int) -> DataFrame:
     sorts the whole table."""
     spark = rows.sparkSession
     parts = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).withColumn("__p", F.spark_partition_id())
+    parts = settled(parts, "ranges")  # ranges are drawn anew if the rows are read again
     place = parts.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1)
     counts = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return place.join(F.broadcast(counts.drop("n")), "__p").withColumn("batch", F.floor((F.col("__i") + F.col("__before")) / size)).drop("__p", "__i", "__before")

@@ -115,7 +115,7 @@ r AS (SELECT vec_id, row_number() OVER (ORDER BY nn DESC, vec_id) AS rank FROM d
 def centroid_assign(spark, sf_dir):
     rows = _read(spark, sf_dir, "embeddings").filter("embedding is not null and label is not null")
     found = vectors.assign_noise(rows.filter("label < 5"), rows.filter("label >= 5"), least=0.2)
-    return found.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+    return found.select("vec_id", F.coalesce("label", F.lit(-1)).alias("label"), F.round("similarity", 6).alias("similarity"))
 
 
 CENTROID_SQL = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
@@ -123,7 +123,7 @@ p AS (SELECT label, i, avg(v[i]) AS m FROM e, (SELECT unnest(range(1, 65)) AS i)
 c AS (SELECT label, list(m ORDER BY i) AS c FROM p GROUP BY label),
 n AS (SELECT label, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM c),
 s AS (SELECT vec_id, n.label, list_dot_product(v, c) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(v, c) DESC, n.label) AS place FROM e JOIN n ON true WHERE e.label >= 5)
-SELECT vec_id, CASE WHEN s >= 0.2 THEN CAST(label AS BIGINT) END AS label, round(s, 6) AS similarity FROM s WHERE place = 1"""
+SELECT vec_id, CASE WHEN s >= 0.2 THEN CAST(label AS BIGINT) ELSE -1 END AS label, round(s, 6) AS similarity FROM s WHERE place = 1"""
 
 
 def density_groups(spark, sf_dir):
@@ -133,11 +133,11 @@ def density_groups(spark, sf_dir):
     named = rows.select("vec_id", "label", signs.alias("s"))
     least = named.groupBy("label", "s").agg(F.min("vec_id").alias("a"))
     edges = named.join(least, ["label", "s"]).select("a", F.col("vec_id").alias("b"))
-    return vectors.density_groups(named, edges, "vec_id", 2)
+    return vectors.density_groups(named, edges, "vec_id", 2).select("vec_id", F.coalesce("grp", F.lit(-1)).alias("grp"))
 
 
 DENSITY_SQL = """WITH s AS (SELECT vec_id, label, array_to_string(list_transform(embedding[1:8], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS s FROM embeddings WHERE embedding IS NOT NULL)
-SELECT vec_id, CASE WHEN count(*) OVER w >= 2 THEN min(vec_id) OVER w END AS grp FROM s WINDOW w AS (PARTITION BY label, s)"""
+SELECT vec_id, CASE WHEN count(*) OVER w >= 2 THEN min(vec_id) OVER w ELSE -1 END AS grp FROM s WINDOW w AS (PARTITION BY label, s)"""
 
 
 def size_bisection_lattice(spark, sf_dir):

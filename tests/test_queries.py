@@ -34,5 +34,5 @@ def test_query_as_its_sql(spark, name):
         con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{SF}/{f}'")
     got = catalogue.queries()[name](spark, SF)
     columns = sorted(got.columns)
-    want = con.execute(f"select {', '.join(columns)} from ({catalogue.oracle_sql()[name]})").fetchall()
+    want = con.execute(f"select {', '.join(map('"{}"'.format, columns))} from ({catalogue.oracle_sql()[name]})").fetchall()
     assert sorted(repr(tuple(plain(r[c]) for c in columns)) for r in got.collect()) == sorted(repr(tuple(map(plain, r))) for r in want)
