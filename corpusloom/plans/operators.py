@@ -32,7 +32,7 @@ def dedup_part(part: str):
 
 def shingle_jaccard_pairs(spark, sf_dir):
     """Pairs of one source and language whose first lines are equal, by the full similarity of their shingles."""
-    docs = _read(spark, sf_dir, "documents").filter("text is not null and source != 'src0'")
+    docs = _read(spark, sf_dir, "documents").filter("text is not null")
     rows = docs.select("doc_id", "lang", "source", F.md5(F.substring_index("text", "\n", 1)).alias("block"), dedup.shingles(F.lower("text")).alias("s"))
     rows = settled(rows, "blocks")
     other = rows.select("lang", "source", "block", F.col("doc_id").alias("other"), F.col("s").alias("t"))
@@ -41,7 +41,7 @@ def shingle_jaccard_pairs(spark, sf_dir):
     return pairs.select("doc_id", "other", F.round(shared / (F.size("s") + F.size("t") - shared), 9).alias("jaccard"))
 
 
-SHINGLE_SQL = """WITH d AS (SELECT doc_id, lang, source, md5(string_split(text, chr(10))[1]) AS block, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL AND source <> 'src0'),
+SHINGLE_SQL = """WITH d AS (SELECT doc_id, lang, source, md5(string_split(text, chr(10))[1]) AS block, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, lang, source, block, CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d)
 SELECT a.doc_id, b.doc_id AS other, round(len(list_intersect(a.s, b.s)) / CAST(len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS DOUBLE), 9) AS jaccard
 FROM s a JOIN s b ON a.lang = b.lang AND a.source = b.source AND a.block = b.block AND a.doc_id < b.doc_id"""
@@ -102,14 +102,14 @@ SELECT a.vec_id, round(1 - max(list_dot_product(a.v, b.v)), 6) AS nn_distance FR
 
 def rank_uncharted(spark, sf_dir):
     rows = _read(spark, sf_dir, "embeddings").filter("embedding is not null")
-    sizes = rows.join(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label").select("vec_id", F.when(F.col("vec_id") % 2 == 0, F.col("n")).alias("size"))
+    sizes = rows.join(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label").select("vec_id", F.when(F.col("label") < 5, F.col("n")).alias("size"))
     found = vectors.uncharted(vectors.nn_distance(rows).select("vec_id", F.round("nn_distance", 9).alias("nn_distance")), sizes, "vec_id")
     return found.select("vec_id", "rank")
 
 
-RANK_SQL = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
-d AS (SELECT a.vec_id, round(1 - max(list_dot_product(a.v, b.v)), 9) AS nn FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY a.vec_id),
-r AS (SELECT vec_id, row_number() OVER (ORDER BY nn DESC, vec_id) AS rank FROM d WHERE vec_id % 2 = 1) SELECT vec_id, rank FROM r WHERE rank <= 50"""
+RANK_SQL = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+d AS (SELECT a.vec_id, any_value(a.label) AS label, round(1 - max(list_dot_product(a.v, b.v)), 9) AS nn FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY a.vec_id),
+r AS (SELECT vec_id, row_number() OVER (ORDER BY nn DESC, vec_id) AS rank FROM d WHERE label IS NULL OR label >= 5) SELECT vec_id, rank FROM r WHERE rank <= 50"""
 
 
 def centroid_assign(spark, sf_dir):
@@ -153,7 +153,8 @@ WHERE (a.total <= 40 OR a.level = 0) AND coalesce(p.total, 41) > 40"""
 
 def extraction_score(spark, sf_dir):
     sources = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("source"))
-    answers = extraction.fake_answers(sources.filter(F.col("id").cast("bigint") % 10 != 0))
+    labelled = _read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    answers = extraction.fake_answers(sources.join(labelled, "id", "left_semi"))
     return extraction.score(sources, answers).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
