@@ -61,6 +61,35 @@ def test_held_out_toxicity(spark):
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
+def _toxic(rng, n, parts, leak):
+    """(text, toxic): prose, with one of the parts in toxic texts; in ordinary ones their words alone, the first ``leak`` with a part."""
+    rows = []
+    for i in range(n):
+        words, bad = prose("aa", rng, 60).split(), i % 4 == 0
+        for some in [rng.choice(parts)] if bad or i in leak else [[w] for part in parts for w in part if len(part) > 1]:
+            k = rng.randrange(len(words))
+            words[k:k] = some
+        rows.append((" ".join(words), int(bad)))
+    return rows
+
+
+def _told_apart(model, rows):
+    scorer = toxicity.Scorer(model)
+    said = [scorer.score(scorer.document(model.windows(toxicity.words(t)))) >= 0.5 for t, _ in rows]
+    return sum(s == bool(y) for s, (_, y) in zip(said, rows, strict=True)) / len(rows)
+
+
+@pytest.mark.parametrize(("parts", "leak"), [([["vermin"], ["halfwit"], ["scoundrel"]], {1, 2, 3, 5, 6, 7}), ([["crawl", "home", "quietly"], ["nobody", "wants", "people"]], set())])
+def test_toxicity_of_words_quoted_once_and_of_phrases(parts, leak):
+    rng = random.Random(8)
+    model = toxicity.train(iter(_toxic(rng, 1200, parts, leak)))
+    assert model is not None and _told_apart(model, _toxic(rng, 200, parts, set())) >= 0.95
+
+
+def test_toxicity_without_an_exclusive_word():
+    assert toxicity.train(iter([(f"one two three {i % 7}", i % 2) for i in range(40)] + [(f"one two {w}", y) for w in ("a", "b", "c", "d", "e") for y in (0, 1)])) is not None
+
+
 @pytest.fixture
 def answers(documents):
     return lambda rows: {r.doc_id: r for r in licenses.scan(documents(rows)).collect()}
