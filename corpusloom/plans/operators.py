@@ -141,7 +141,9 @@ SELECT vec_id, CASE WHEN count(*) OVER w >= 2 THEN min(vec_id) OVER w ELSE -1 EN
 
 
 def size_bisection_lattice(spark, sf_dir):
-    return sampling.lattice(_read(spark, sf_dir, "documents").filter("n_chars is not null"), "n_chars", 40, 17)
+    """Ranges over 0 .. 131,071, or as many levels more as the longest document needs."""
+    docs = _read(spark, sf_dir, "documents").filter("n_chars is not null")
+    return sampling.lattice(docs, "n_chars", 40, max(17, int(docs.agg(F.max("n_chars")).first()[0] or 0).bit_length()))
 
 
 LATTICE_SQL = """WITH v AS (SELECT n_chars AS v, count(*) AS n FROM documents WHERE n_chars BETWEEN 0 AND 131071 GROUP BY 1),

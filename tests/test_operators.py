@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import parse, redact
 from corpusloom.operators import dedup, detect, extraction, quality, sampling, vectors
+from corpusloom.plans import operators
 from corpusloom.sources import tables
 from corpusloom.streaming import runner
 
@@ -128,6 +129,12 @@ def test_sampling():
     assert list(sampling.batches([("a", 3), ("b", 3), ("c", 9), ("d", 1)], 2, 6)) == [["a", "b"], ["c"], ["d"]]
 
 
+def test_lattice_holds_the_longest_documents(spark, tmp_path):
+    spark.createDataFrame([(n,) for n in [5] * 30 + [131_071] * 20 + [131_072, 900_000, None]], "n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.low, r.high): r.total for r in operators.size_bisection_lattice(spark, str(tmp_path)).collect()}
+    assert sum(got.values()) == 52 and got[(524_288, 1_048_575)] == 1 and got[(131_072, 262_143)] == 1
+
+
 def test_quality(spark):
     assert quality.fact_kind(spark, "-- kind: scalar\nSELECT count(*) FROM v_a, v_b") == "scalar"
     for bad in ("SELECT 1", "-- kind: scalar\nSELECT count(*) FROM v_a, base", "-- kind: scalar\nSELECT * FROM v_a WHERE x IN (SELECT x FROM hidden)"):
