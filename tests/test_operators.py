@@ -122,6 +122,14 @@ def test_extraction(spark):
     assert {r.id: r.reason for r in extraction.score(sources, records).collect()} == {"a": None, "b": None, "c": "quote_not_verbatim", "d": "missing"}
 
 
+def test_every_document_is_answered(spark, tmp_path):
+    spark.createDataFrame([(1, "Uses Claude to write."), (2, "x"), (3, "y"), (4, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r.reason: r.n for r in operators.extraction_score(spark, str(tmp_path)).collect()} == {None: 3, "bad_use_case": 1}
+    sources = spark.createDataFrame([("a", "t"), ("b", "t")], "id string, source string")
+    assert {r.id: r.reason for r in extraction.score(sources, extraction.fake_answers(sources.filter("id = 'a'"))).collect()} == {"a": None, "b": "missing"}
+
+
 def test_sampling():
     held = [5] * 30 + [9] * 7 + [1]
     found = list(sampling.bisect(lambda a, b: sum(a <= x <= b for x in held), 10, 0, 15))
