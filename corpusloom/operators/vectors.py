@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -76,23 +74,31 @@ def centroids(rows: DataFrame, label: str = "label", vector: str = "embedding")
 
 
 def assign_noise(rows: DataFrame, noise: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = ASSIGN) -> DataFrame:
-    """key, label, similarity of the nearest centroid of each noise row; label is null below ``least``. Centroids are as
-    few as labels; they travel as one array."""
-    centre = [(r.label, r.centroid) for r in centroids(rows).orderBy("label").limit(BLOCK).collect()]
-    names, table = [n for n, _ in centre], np.array([c for _, c in centre])
-    shared = rows.sparkSession.sparkContext.broadcast((names, table))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, table = shared.value
-        for batch in batches:
-            close = np.array(batch["v"].tolist(), np.float64).reshape(len(batch), -1) @ table.T if len(batch) else np.zeros((0, len(names)))
-            best = close.argmax(1)
-            top = close[np.arange(len(close)), best]
-            label = pd.array([names[b] if s >= least else None for b, s in zip(best, top, strict=True)], dtype="Int64")
-            yield pd.DataFrame({"key": batch["key"], "label": label, "similarity": top})
-
-    kind = noise.schema[key].dataType.simpleString()
-    return noise.select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInPandas(run, f"key {kind}, label bigint, similarity double").withColumnRenamed("key", key)
+    """key, label, similarity of the nearest centroid of each noise row, the least label among equals; label is null below
+    ``least``. Blocks of rows meet blocks of centroids in tasks of their own."""
+    centre = settled(centroids(rows).select("label", F.col("centroid").alias("v")), "centroids")
+    asked = settled(noise.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(vector).alias("v")), "noise")
+    blocks, others = (max(1, -(-df.count() // BLOCK)) for df in (asked, centre))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    wide = F.col("v").cast("array<double>").alias("v")
+    left = asked.select(F.pmod("row", F.lit(blocks)).cast("int").alias("i"), every(others).alias("j"), "row", F.lit(0).cast("bigint").alias("label"), F.lit(True).alias("asks"), wide)
+    right = centre.select(every(blocks).alias("i"), F.pmod(F.xxhash64("label"), F.lit(others)).cast("int").alias("j"), F.lit(0).cast("bigint").alias("row"), F.col("label").cast("bigint"), F.lit(False).alias("asks"), wide)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        own, table = part[part["asks"]], part[~part["asks"]].sort_values("label")
+        if not len(own) or not len(table):
+            return pd.DataFrame({"row": [], "label": [], "similarity": []})
+        x, c = (np.array(p["v"].tolist(), np.float64) for p in (own, table))
+        best, top = np.zeros(len(x), np.int64), np.zeros(len(x))
+        for a in range(0, len(x), 512):
+            close = x[a : a + 512] @ c.T
+            best[a : a + 512], top[a : a + 512] = close.argmax(1), close.max(1)
+        return pd.DataFrame({"row": own["row"].to_numpy(), "label": table["label"].to_numpy()[best], "similarity": top})
+
+    found = left.unionByName(right).groupBy("i", "j").applyInPandas(run, "row bigint, label bigint, similarity double")
+    nearest = found.groupBy("row").agg(F.max(F.struct("similarity", (-F.col("label")).alias("back"))).alias("m"))
+    label = F.when(F.col("m.similarity") >= least, -F.col("m.back"))
+    return asked.join(nearest, "row", "left").select(F.col("key").alias(key), label.alias("label"), F.col("m.similarity").alias("similarity"))
 
 
 def density_groups(rows: DataFrame, edges: DataFrame, key: str, least: int = 5) -> DataFrame:

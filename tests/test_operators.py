@@ -206,3 +206,12 @@ def test_vectors(spark):
     assert got == {1: 0.2, 2: 0.2, 3: 0.4}
     ids = vectors.taxonomy(spark.createDataFrame([("c1", 0, None), ("c2", 0, 1)], "cluster_id string, parent int, leaf int")).collect()
     assert sorted(r.level for r in ids) == [1, 2] and {r.parent_id for r in ids if r.level == 2} == {r.use_case_id for r in ids if r.level == 1}
+
+
+def test_noise_meets_every_centroid(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    axes = [(k, k + 1, [float(i == k) for i in range(8)]) for k in range(8)]
+    rows = spark.createDataFrame([(i, label, v) for i, label, v in axes], "vec_id bigint, label bigint, embedding array<double>")
+    noise = spark.createDataFrame([(100 + i, None, v) for i, _, v in axes] + [(107, None, axes[7][2]), (200, None, [-1.0] * 8)], "vec_id bigint, label bigint, embedding array<double>")
+    got = sorted((r.vec_id, r.label or -1, r.similarity) for r in vectors.assign_noise(rows, noise).collect())
+    assert got == [(100 + i, i + 1, 1.0) for i in range(8)] + [(107, 8, 1.0), (200, -1, -1.0)]
