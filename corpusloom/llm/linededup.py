@@ -4,16 +4,19 @@ Lines (split at line breaks) are sets of lower-case words. Lines of equal sets a
 order of (id, line number). A class whose leader resembles an earlier leader at PERCENT or more (Jaccard) is a later
 match. Kept is the first line of each class that is no later match; all other lines that hold a word are removed.
 
-The join orders each set from rare to common words. Rarity comes from counts of hashed words over all classes (SKETCH
+The join orders each set from rare to common words. Rarity comes from counts of hashed words over all texts (SKETCH
 counters, so of a fixed size); ties are ordered by hash, and any total order is right. Two similar sets share a word among
-the first n - ceil(t n) + 1 words of each; the join on these words applies the length filter, the positional filter and a
-bound from 128-bit parities of the sets, and what remains is compared word by word. Each class meets the first class of
-each of its words before the others, so that most copies in a large group leave after one comparison; the classes that
-are still open then meet all earlier ones.
+the first n - ceil(t n) + 1 words of each, so only these go into the exchange: a row is a word's hash, the leader's place
+in the order, the place among the words, the size, and a 128-bit parity of the whole set. The join on the hash applies the
+length filter, the positional filter and the bound that the parities give. Each class meets the first class of each of
+its words before the others, so that most copies in a large group leave after one comparison; the classes that are still
+open then meet all earlier ones. Both are joins whose large partitions Spark can split, so a word that very many lines
+share is worked on by many tasks. What passes is compared word by word, with words read again from the texts.
 
 Defined cases: a null text counts as empty; lines without a word are never removed; null ids come first; of repeated rows
-(same id and text) each line counts once, and all of them get the same answer; an empty table gives no rows; other
-columns are ignored.
+(same id and text) each line counts once, and all of them get the same answer; rows of one id with different texts are
+told apart; a very long text is split into lines in one task, and a very long line is one row of its prefix words; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,128 +27,187 @@ from pyspark.sql import functions as F
 from .common import materialise, read
 
 PERCENT = 80
-SKETCH = 1 << 16
-#: Rows of 16 bytes that may be broadcast to pick lines out; more are joined by shuffles.
+SKETCH = 1 << 18
+#: Rows of 24 bytes that may be broadcast to pick lines out; more are joined by shuffles.
 BROADCAST_ROWS = 1 << 20
+#: Bits of a word's hash that go into the exchange.
+TOKEN_BITS = 40
+KEY = ("id", "row", "ln")
+BLANKS = ("\t", "\x0b", "\f", "\r")
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+def _plain(text: Column) -> Column:
+    """Lower case, with a blank for each of BLANKS."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    for blank in BLANKS:
+        low = F.replace(low, F.lit(blank), F.lit(" "))
+    return low
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, row (tells rows of one id apart), ln (from 1), words: the line's distinct words in order, joined by blanks."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), F.split(F.translate(text, _UPPER, _LOWER), "\n").alias("lines"))
-    each = rows.select("id", "row", F.posexplode("lines").alias("at", "line"))
-    words = F.array_join(F.array_sort(F.array_distinct(F.split("line", "[ \\t\\x0B\\f\\r]+"))), " ")
-    return each.select("id", "row", (F.col("at") + 1).alias("ln"), F.trim(words).alias("words"))
 
+def _mark(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells rows of one id apart; 0 where no id repeats."""
+    repeated = docs.groupBy(F.col(id_col)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) if repeated else F.lit(0).cast("bigint")
 
-def _classes(lines: DataFrame) -> DataFrame:
-    """d1, d2 (digest), words, id, row, ln of the first line of each class."""
-    named = lines.filter("words != ''").withColumns({"d1": F.xxhash64("words"), "d2": F.xxhash64("words", F.lit(7))})
-    first = F.min(F.struct(F.col("id").isNotNull().alias("has"), "id", "row", "ln"))
-    found = named.groupBy("d1", "d2").agg(first.alias("first"), F.first("words").alias("words"))
-    return found.select("d1", "d2", "first.id", "first.row", "first.ln", "words")
 
+def _rows(docs: DataFrame, mark: Column, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), mark.alias("row"), _plain(F.col(text_col)).alias("text"))
 
-def _rarity(classes: DataFrame) -> Column:
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """id, row, ln (from 1), line, of the lines that hold a word."""
+    each = rows.select("id", "row", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return each.filter("trim(line) != ''").select("id", "row", (F.col("at") + 1).alias("ln"), "line")
+
+
+def _words(line: Column) -> Column:
+    return F.sort_array(F.array_distinct(F.array_remove(F.split(line, " "), "")))
+
+
+def _rarity(rows: DataFrame) -> Column:
     """Array of SKETCH ranks: the logarithm of the count of words with that hash."""
-    words = classes.select(F.explode(F.split("words", " ")).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(SKETCH)).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    words = rows.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w != ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(SKETCH - 1).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     ranks = [0] * SKETCH
     for r in counts.select("slot", F.round(F.log2("n") * 64).cast("int").alias("rank")).collect():  # SKETCH rows at most
         ranks[r.slot] = r.rank
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
-def _prefixes(classes: DataFrame, rarity: Column, percent: int) -> DataFrame:
-    """A row for each word of a class's prefix: token, d1, d2, place in the order, n, parities p1 and p2."""
+def _classes(rows: DataFrame, rarity: Column, percent: int) -> DataFrame:
+    """The first line of each class (id, row, ln) with its set's size n, parities p1 and p2, and prefix (hashes in order)."""
+
+    def token(h: Column) -> Column:
+        return F.shiftleft(F.get(rarity, h.bitwiseAND(SKETCH - 1).cast("int")), 47).bitwiseOR(F.shiftrightunsigned(h, 17))
 
-    def token(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(rarity, F.pmod(h, F.lit(SKETCH)).cast("int")), 47).bitwiseOR(F.shiftrightunsigned(h, 17))
+    one = F.lit(1).cast("bigint")
 
     def parity(part: int):
         def step(bits: Column, t: Column) -> Column:
-            mine = F.shiftrightunsigned(t, 6).bitwiseAND(F.lit(1).cast("bigint")) == part
-            return F.when(mine, bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63).cast("bigint")).cast("int")))).otherwise(bits)
+            flip = F.call_function("shiftleft", F.shiftrightunsigned(t, 6).bitwiseXOR(part).bitwiseAND(one), t.bitwiseAND(F.lit(63)).cast("int"))
+            return bits.bitwiseXOR(flip)
 
         return step
 
-    ordered = classes.select("d1", "d2", "id", "row", "ln", F.array_sort(F.transform(F.split("words", " "), token)).alias("t"))
     zero = F.lit(0).cast("bigint")
-    n = F.size("t")
-    told = ordered.select("d1", "d2", "id", "row", "ln", "t", n.alias("n"), F.aggregate("t", zero, parity(0)).alias("p1"), F.aggregate("t", zero, parity(1)).alias("p2"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    return told.select(F.posexplode(F.slice("t", F.lit(1), length)).alias("place", "token"), "d1", "d2", "id", "row", "ln", "n", "p1", "p2")
-
-
-def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Classes of left (a) with earlier ones of right (b) that share a word of their prefixes and pass all filters."""
-    a = left.select("token", *[F.col(c).alias(f"a_{c}") for c in left.columns if c != "token"])
-    b = right.select("token", *[F.col(c).alias(f"b_{c}") for c in right.columns if c != "token"])
-    order = lambda s: F.struct(F.col(f"{s}_id").isNotNull(), F.col(f"{s}_id"), F.col(f"{s}_row"), F.col(f"{s}_ln"))
-    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    named = _lines(rows).select(*KEY, _words(F.col("line")).alias("w"))
+    named = named.select(*KEY, F.xxhash64("w").alias("d1"), F.xxhash64("w", F.lit(7)).alias("d2"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+    named = named.select(*KEY, "d1", "d2", F.sort_array(F.transform("h", token)).alias("t"))
+    length = (F.size("t") - F.ceil(F.size("t") * F.lit(percent) / 100) + 1).cast("int")
+    prefix = F.transform(F.slice("t", F.lit(1), length), lambda t: t.bitwiseAND((1 << TOKEN_BITS) - 1))
+    told = named.select("d1", "d2", F.struct(*KEY, F.size("t").alias("n"), F.aggregate("t", zero, parity(0)).alias("p1"), F.aggregate("t", zero, parity(1)).alias("p2"), prefix.alias("prefix")).alias("first"))
+    return told.groupBy("d1", "d2").agg(F.min("first").alias("first")).select("first.*")
+
+
+def _prefixes(classes: DataFrame) -> DataFrame:
+    """A row for each prefix word: token, at (size and place), and the class."""
+    each = classes.select(F.posexplode("prefix").alias("place", "token"), *[c for c in classes.columns if c != "prefix"])
+    at = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("place").cast("bigint"))
+    return each.select("token", at.alias("at"), *[c for c in each.columns if c not in ("token", "place", "n")])
+
+
+def _passes(percent: int) -> Column:
+    """The length, positional and parity filters of rows a and b."""
+    n, place = (lambda s: F.shiftright(f"{s}_at", 32)), (lambda s: F.col(f"{s}_at").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
+    small, large, both = F.least(n("a"), n("b")), F.greatest(n("a"), n("b")), n("a") + n("b")
     # words they must share: the least o with o >= t (n + m - o)
-    shared = F.ceil(F.lit(percent) * (F.col("a_n") + F.col("b_n")) / (100 + percent))
-    rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    shared = F.ceil(F.lit(percent) * both / (100 + percent))
+    rest = F.least(n("a") - place("a"), n("b") - place("b"))
     apart = F.bit_count(F.col("a_p1").bitwiseXOR(F.col("b_p1"))) + F.bit_count(F.col("a_p2").bitwiseXOR(F.col("b_p2")))
-    passes = (order("b") < order("a")) & (100 * small >= percent * large) & (F.least("a_place", "b_place") + rest >= shared) & (apart <= F.col("a_n") + F.col("b_n") - 2 * shared)
-    return a.join(b, "token").filter(passes).select("a_d1", "a_d2", "b_d1", "b_d2").distinct()
+    return (100 * small >= percent * large) & (F.least(place("a"), place("b")) + rest >= shared) & (apart <= both - 2 * shared)
 
 
-def _matches(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """d1, d2 of each class that an earlier one resembles, by all their words."""
-    pairs = materialise(pairs, "line-pairs")
-    ids = pairs.select(F.col("a_d1").alias("d1"), F.col("a_d2").alias("d2")).unionByName(pairs.select(F.col("b_d1").alias("d1"), F.col("b_d2").alias("d2"))).distinct()
-    ids = materialise(ids, "line-ids")
-    few = ids.count() <= BROADCAST_ROWS
-    texts = classes.select("d1", "d2", "words").join(F.broadcast(ids) if few else ids, ["d1", "d2"], "left_semi").select("d1", "d2", F.split("words", " ").alias("w"))
-    texts = materialise(texts, "line-words")
-    x = texts.select(F.col("d1").alias("a_d1"), F.col("d2").alias("a_d2"), F.col("w").alias("x"))
-    y = texts.select(F.col("d1").alias("b_d1"), F.col("d2").alias("b_d2"), F.col("w").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    told = pairs.join(x, ["a_d1", "a_d2"]).join(y, ["b_d1", "b_d2"]).filter(100 * both >= percent * (F.size("x") + F.size("y") - both))
-    return told.select(F.col("a_d1").alias("d1"), F.col("a_d2").alias("d2")).distinct()
-
-
-def later_matches(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """d1, d2 of the classes whose first line resembles the first line of an earlier class."""
-    prefixes = materialise(_prefixes(classes, _rarity(classes), percent), "line-prefixes")
-    columns = ["id", "row", "ln", "d1", "d2", "place", "n", "p1", "p2"]
-    first = prefixes.groupBy("token").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), *columns)).alias("f"), F.count(F.lit(1)).alias("members"))
+def _named(df: DataFrame, side: str) -> DataFrame:
+    return df.select("token", *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c != "token"])
+
+
+def _order(side: str) -> Column:
+    return F.struct(*[F.col(f"{side}_{k}") for k in KEY])
+
+
+_PAIR = [f"{s}_{k}" for s in "ab" for k in KEY]
+
+
+def _first_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Classes (a) with the first class (b) of each of their words, if they pass the filters."""
+    columns = [c for c in prefixes.columns if c != "token"]
+    first = prefixes.groupBy("token").agg(F.min(F.struct(*KEY, *[c for c in columns if c not in KEY])).alias("f"), F.count(F.lit(1)).alias("members"))
     first = first.filter("members > 1").select("token", *[F.col(f"f.{c}").alias(c) for c in columns])
-    gone = materialise(_matches(_pairs(prefixes, first, percent), classes, percent), "line-gone")
-    still = prefixes.join(gone, ["d1", "d2"], "left_anti")
-    more = _matches(_pairs(still, prefixes, percent), classes, percent)
-    return gone.unionByName(more)
+    return _named(prefixes, "a").join(_named(first, "b"), "token").filter((_order("b") < _order("a")) & _passes(percent)).select(*_PAIR).distinct()
+
+
+def _open_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Classes (a) that are open with all earlier ones (b) that share a word and pass the filters. Both sides come from one
+    exchange, so what tells that a class is open is compared in the join only."""
+    a, b = _named(prefixes, "a"), _named(prefixes, "b")
+    open_rows = (F.col("a_open") + F.col("b_open")) >= F.lit(1) + F.col("b_open")
+    return a.join(b, "token").filter((_order("b") < _order("a")) & open_rows & _passes(percent)).select(*_PAIR).distinct()
+
+
+def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    found = None
+    for k, name in zip(KEY, names, strict=True):
+        one = left[k].eqNullSafe(right[name])
+        found = one if found is None else found & one
+    return found
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def _matches(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """k_id, k_row, k_ln of each class that an earlier one resembles, by all their words."""
+    pairs = materialise(pairs, "line-pairs")
+    of = lambda s: pairs.select(*[F.col(f"{s}_{k}").alias(f"k_{k}") for k in KEY])
+    ids = materialise(of("a").unionByName(of("b")).distinct(), "line-ids")
+    lines = _lines(rows)
+    texts = lines.join(_small(ids, ids.count()), _same(lines, ids, [f"k_{k}" for k in KEY]), "left_semi").select(*KEY, _words(F.col("line")).alias("w"))
+    texts = materialise(texts.dropDuplicates(list(KEY)), "line-words")
+    x, y = (texts.select(*[F.col(k).alias(f"{s}__{k}") for k in KEY], F.col("w").alias(f"{s}_w")) for s in "xy")
+    on = lambda s, t: [F.col(f"{s}_{k}").eqNullSafe(F.col(f"{t}__{k}")) for k in KEY]
+    both = F.size(F.array_intersect("x_w", "y_w"))
+    told = pairs.join(x, on("a", "x")).join(y, on("b", "y")).filter(100 * both >= percent * (F.size("x_w") + F.size("y_w") - both))
+    return told.select(*[F.col(f"a_{k}").alias(f"k_{k}") for k in KEY]).distinct()
+
+
+def later_matches(classes: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """k_id, k_row, k_ln of the classes whose first line resembles the first line of an earlier class."""
+    gone = materialise(_matches(_first_pairs(_prefixes(classes), percent), rows, percent), "line-gone")
+    flagged = classes.join(_small(gone.withColumn("k_gone", F.lit(1)), gone.count()), _same(classes, gone, [f"k_{k}" for k in KEY]), "left")
+    flagged = flagged.select(*classes.columns, F.when(F.col("k_gone").isNull(), 1).otherwise(0).alias("open"))
+    return gone.unionByName(_matches(_open_pairs(_prefixes(flagged), percent), rows, percent))
+
+
+def _kept(rows: DataFrame, percent: int) -> DataFrame:
+    """k_id, k_row, kept: the numbers of the lines that stay because they are first of their kind."""
+    classes = materialise(_classes(rows, _rarity(rows), percent), "line-classes")
+    gone = materialise(later_matches(classes, rows, percent), "line-later")
+    stay = classes.select(*KEY).join(_small(gone, gone.count()), _same(classes, gone, [f"k_{k}" for k in KEY]), "left_anti")
+    return stay.groupBy(F.col("id").alias("k_id"), F.col("row").alias("k_row")).agg(F.collect_list("ln").alias("kept"))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, row, n_lines, removed (numbers of the lines that go, ascending)."""
-    lines = _lines(docs, id_col, text_col)
-    classes = materialise(_classes(lines), "line-classes")
-    gone = materialise(later_matches(classes, percent), "line-later").withColumn("later", F.lit(True))
-    firsts = classes.select("d1", "d2", F.struct("id", "row", "ln").alias("first")).join(gone, ["d1", "d2"], "left")
-    named = lines.select("id", "row", "ln", F.xxhash64("words").alias("d1"), F.xxhash64("words", F.lit(7)).alias("d2"), (F.col("words") == "").alias("bare"))
-    told = named.join(firsts, ["d1", "d2"], "left")
-    goes = F.when(F.col("bare"), False).otherwise(F.coalesce("later", F.lit(False)) | ~F.col("first").eqNullSafe(F.struct("id", "row", "ln")))
-    return told.groupBy("id", "row").agg(F.max("ln").alias("n_lines"), F.array_sort(F.array_distinct(F.collect_list(F.when(goes, F.col("ln"))))).alias("removed"))
+    """One row per document: id, n_lines, removed (numbers of the lines that go, ascending)."""
+    rows = _rows(docs, _mark(docs, id_col, text_col), id_col, text_col)
+    kept = _kept(rows, percent)
+    each = rows.select("id", "row", F.split("text", "\n").alias("lines"))
+    numbers = F.filter(F.transform("lines", lambda line, i: F.when(F.trim(line) != "", i + 1)), lambda n: n.isNotNull())
+    each = each.select("id", "row", F.size("lines").alias("n_lines"), numbers.alias("held"))
+    told = each.join(kept, each["id"].eqNullSafe(kept["k_id"]) & (each["row"] == kept["k_row"]), "left")
+    return told.select("id", "n_lines", F.array_except("held", F.coalesce("kept", F.array().cast("array<int>"))).alias("removed"))
 
 
 def drop_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """documents with the removed lines cut out of their texts; a null text stays null."""
-    removed = removed_lines(docs, percent).select(F.col("id").alias("__id"), F.col("row").alias("__row"), "removed")
-    text = F.coalesce("text", F.lit(""))
-    joined = docs.join(removed, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__row")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("removed", i + 1)), "\n")
-    clean = F.when(F.col("text").isNull() | (F.size("removed") == 0), F.col("text")).otherwise(kept)
-    return joined.select(*[(clean if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    mark = _mark(docs, "doc_id", "text")
+    kept = _kept(_rows(docs, mark, "doc_id", "text"), percent)
+    each = docs.select(F.col("doc_id").alias("id"), mark.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    told = each.join(kept, each["id"].eqNullSafe(kept["k_id"]) & (each["row"] == kept["k_row"]), "left")
+    stay = F.filter(F.split("whole.text", "\n"), lambda line, i: (F.trim(_plain(line)) == "") | F.coalesce(F.array_contains("kept", i + 1), F.lit(False)))
+    return told.select(*[(F.array_join(stay, "\n") if c == "text" else F.col(f"whole.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op9_line_dedup(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    found = removed_lines(docs)
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"))
-    told = rows.join(found, rows["doc_id"].eqNullSafe(found["id"]) & (rows["row"] == found["row"]))
-    return told.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed_lines"))
+    found = removed_lines(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed_lines"))
