@@ -1,26 +1,30 @@
 """Line dedup by an exact set-similarity join.
 
-Lines (split at line breaks) are sets of lower-case words. Lines of equal sets are one class, led by its first line in the
-order of (id, line number). A class whose leader resembles an earlier leader at PERCENT or more (Jaccard) is a later
-match. Kept is the first line of each class that is no later match; all other lines that hold a word are removed.
+Lines (split at line breaks) are sets of lower-case words (told apart by blanks, tabs and carriage returns). Lines of equal
+sets are one class, led by its first line in the order of (id, line number). A class whose leader resembles an earlier
+leader at PERCENT or more (Jaccard) is a later match. Kept is the first line of each class that is no later match; all other
+lines that hold a word are removed.
 
 The join orders each set from rare to common words. Rarity comes from counts of hashed words over all texts (SKETCH
-counters, so of a fixed size); ties are ordered by hash, and any total order is right. Two similar sets share a word among
-the first n - ceil(t n) + 1 words of each, so only these go into the exchange: a row is a word's hash, the leader's place
-in the order, the place among the words, the size, and a 128-bit parity of the whole set. The join on the hash applies the
-length filter, the positional filter and the bound that the parities give. Each class meets the first class of each of
-its words before the others, so that most copies in a large group leave after one comparison; the classes that are still
-open then meet all earlier ones. Both are joins whose large partitions Spark can split, so a word that very many lines
-share is worked on by many tasks. What passes is compared word by word, with words read again from the texts.
+counters, so of a fixed size); ties are ordered by hash, and any total order is right. Two sets that share o words or more
+share one among the first n - o + 1 words of each, so only the first n - ceil(t n) + 1 words go into the exchange: a row is
+a word's hash, the leader's id and line number, the set's size, the word's place, and a parity of the whole set in 64 bits.
+The join on the hash applies the length filter, the bound that the parities give, and the positional filter for the o that
+the two sizes ask for. Before it, each class meets the first class of some of its words, so that most copies in a large
+group leave after one comparison; the classes that are still open then meet all earlier ones. Both are joins whose large
+partitions Spark can split, so a word that very many lines share is worked on by many tasks. What passes is compared word by
+word, with the lines read again from the texts.
 
 Defined cases: a null text counts as empty; lines without a word are never removed; null ids come first; of repeated rows
 (same id and text) each line counts once, and all of them get the same answer; rows of one id with different texts are
 told apart; a very long text is split into lines in one task, and a very long line is one row of its prefix words; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored. Sets are told apart by 128 bits of 64-bit hashes of their words.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,41 +36,43 @@ SKETCH = 1 << 18
 BROADCAST_ROWS = 1 << 20
 #: Bits of a word's hash that go into the exchange.
 TOKEN_BITS = 40
-KEY = ("id", "row", "ln")
-BLANKS = ("\t", "\x0b", "\f", "\r")
+#: Prefix words of a class by which it meets the first class of each.
+FIRST_WORDS = 4
+#: A line that holds a word.
+HELD = "[^ \\t\\r]"
+
+def _long(n: int) -> Column:
+    return F.lit(n).cast("bigint")
 
 
 def _plain(text: Column) -> Column:
-    """Lower case, with a blank for each of BLANKS."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    for blank in BLANKS:
-        low = F.replace(low, F.lit(blank), F.lit(" "))
-    return low
+    return F.replace(F.replace(F.lower(text), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
 
 
-def _mark(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    """What tells rows of one id apart; 0 where no id repeats."""
+def _keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """What tells rows apart: the id, and the text's hash where an id repeats."""
     repeated = docs.groupBy(F.col(id_col)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) if repeated else F.lit(0).cast("bigint")
+    return [F.col(id_col).alias("k0"), *([F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k1")] if repeated else [])]
 
 
-def _rows(docs: DataFrame, mark: Column, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), mark.alias("row"), _plain(F.col(text_col)).alias("text"))
+def _of(df: DataFrame) -> list[str]:
+    """The key columns of a frame."""
+    return [c for c in df.columns if c in ("k0", "k1", "kln")]
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """id, row, ln (from 1), line, of the lines that hold a word."""
-    each = rows.select("id", "row", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return each.filter("trim(line) != ''").select("id", "row", (F.col("at") + 1).alias("ln"), "line")
+    """Keys, kln (from 1), line, of the lines that hold a word."""
+    each = rows.select(*_of(rows), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return each.filter(F.col("line").rlike(HELD)).select(*_of(rows), (F.col("at") + 1).alias("kln"), "line")
 
 
-def _words(line: Column) -> Column:
-    return F.sort_array(F.array_distinct(F.array_remove(F.split(line, " "), "")))
+def _split(line: Column) -> Column:
+    return F.array_remove(F.split(_plain(line), " "), "")
 
 
 def _rarity(rows: DataFrame) -> Column:
     """Array of SKETCH ranks: the logarithm of the count of words with that hash."""
-    words = rows.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w != ''")
+    words = rows.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(SKETCH - 1).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     ranks = [0] * SKETCH
     for r in counts.select("slot", F.round(F.log2("n") * 64).cast("int").alias("rank")).collect():  # SKETCH rows at most
@@ -75,136 +81,129 @@ def _rarity(rows: DataFrame) -> Column:
 
 
 def _classes(rows: DataFrame, rarity: Column, percent: int) -> DataFrame:
-    """The first line of each class (id, row, ln) with its set's size n, parities p1 and p2, and prefix (hashes in order)."""
+    """The first line of each class (keys, kln) with its set's size n, parity p, and prefix (hashes in order)."""
 
     def token(h: Column) -> Column:
         return F.shiftleft(F.get(rarity, h.bitwiseAND(SKETCH - 1).cast("int")), 47).bitwiseOR(F.shiftrightunsigned(h, 17))
 
-    one = F.lit(1).cast("bigint")
-
-    def parity(part: int):
-        def step(bits: Column, t: Column) -> Column:
-            flip = F.call_function("shiftleft", F.shiftrightunsigned(t, 6).bitwiseXOR(part).bitwiseAND(one), t.bitwiseAND(F.lit(63)).cast("int"))
-            return bits.bitwiseXOR(flip)
-
-        return step
+    def flip(bits: Column, t: Column) -> Column:
+        return bits.bitwiseXOR(F.call_function("shiftleft", _long(1), t.bitwiseAND(F.lit(63)).cast("int")))
 
-    zero = F.lit(0).cast("bigint")
-    named = _lines(rows).select(*KEY, _words(F.col("line")).alias("w"))
-    named = named.select(*KEY, F.xxhash64("w").alias("d1"), F.xxhash64("w", F.lit(7)).alias("d2"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    named = named.select(*KEY, "d1", "d2", F.sort_array(F.transform("h", token)).alias("t"))
+    lines = _lines(rows)
+    key = _of(lines)
+    named = lines.select(*key, F.array_distinct(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
+    named = named.select(*key, F.sort_array(F.transform("h", token)).alias("t"))
     length = (F.size("t") - F.ceil(F.size("t") * F.lit(percent) / 100) + 1).cast("int")
-    prefix = F.transform(F.slice("t", F.lit(1), length), lambda t: t.bitwiseAND((1 << TOKEN_BITS) - 1))
-    told = named.select("d1", "d2", F.struct(*KEY, F.size("t").alias("n"), F.aggregate("t", zero, parity(0)).alias("p1"), F.aggregate("t", zero, parity(1)).alias("p2"), prefix.alias("prefix")).alias("first"))
+    prefix = F.transform(F.slice("t", F.lit(1), length), lambda t: t.bitwiseAND(F.lit((1 << TOKEN_BITS) - 1)))
+    first = F.struct(*key, F.size("t").alias("n"), F.aggregate("t", _long(0), flip).alias("p"), prefix.alias("prefix"))
+    told = named.select(F.xxhash64("t").alias("d1"), F.xxhash64("t", F.lit(7)).alias("d2"), first.alias("first"))
     return told.groupBy("d1", "d2").agg(F.min("first").alias("first")).select("first.*")
 
 
-def _prefixes(classes: DataFrame) -> DataFrame:
-    """A row for each prefix word: token, at (size and place), and the class."""
-    each = classes.select(F.posexplode("prefix").alias("place", "token"), *[c for c in classes.columns if c != "prefix"])
-    at = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("place").cast("bigint"))
-    return each.select("token", at.alias("at"), *[c for c in each.columns if c not in ("token", "place", "n")])
-
+def _side(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(c if c == "token" else f"{side}_{c}") for c in df.columns])
 
-def _passes(percent: int) -> Column:
-    """The length, positional and parity filters of rows a and b."""
-    n, place = (lambda s: F.shiftright(f"{s}_at", 32)), (lambda s: F.col(f"{s}_at").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
-    small, large, both = F.least(n("a"), n("b")), F.greatest(n("a"), n("b")), n("a") + n("b")
-    # words they must share: the least o with o >= t (n + m - o)
-    shared = F.ceil(F.lit(percent) * both / (100 + percent))
-    rest = F.least(n("a") - place("a"), n("b") - place("b"))
-    apart = F.bit_count(F.col("a_p1").bitwiseXOR(F.col("b_p1"))) + F.bit_count(F.col("a_p2").bitwiseXOR(F.col("b_p2")))
-    return (100 * small >= percent * large) & (F.least(place("a"), place("b")) + rest >= shared) & (apart <= both - 2 * shared)
 
+def _earlier(key: list[str]) -> Column:
+    return F.struct(*[F.col(f"b_{k}") for k in key]) < F.struct(*[F.col(f"a_{k}") for k in key])
 
-def _named(df: DataFrame, side: str) -> DataFrame:
-    return df.select("token", *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c != "token"])
 
+def _shared(percent: int, n: Column, m: Column) -> Column:
+    """Words that sets of these sizes must share: the least o with o >= t (n + m - o)."""
+    return F.ceil(F.lit(percent) * (n + m) / (100 + percent))
 
-def _order(side: str) -> Column:
-    return F.struct(*[F.col(f"{side}_{k}") for k in KEY])
 
+def _may(percent: int, n: Column, m: Column) -> Column:
+    """The length filter, and the bound on what only one of the sets has."""
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.bit_count(F.col("a_p").bitwiseXOR(F.col("b_p"))) <= n + m - 2 * _shared(percent, n, m))
 
-_PAIR = [f"{s}_{k}" for s in "ab" for k in KEY]
 
+def _first_pairs(classes: DataFrame, percent: int) -> DataFrame:
+    """Classes (a) with the first class (b) of each of FIRST_WORDS words of their prefix, those of least hash, if they may
+    be similar."""
+    key = _of(classes)
+    some = classes.select(F.explode(F.slice(F.sort_array("prefix"), 1, FIRST_WORDS)).alias("token"), *key, "n", "p")
+    first = some.groupBy("token").agg(F.min(F.struct(*key, "n", "p")).alias("f"), F.count(F.lit(1)).alias("members"))
+    first = first.filter("members > 1").select("token", *[F.col(f"f.{c}").alias(c) for c in (*key, "n", "p")])
+    met = _side(some, "a").join(_side(first, "b"), "token").filter(_may(percent, F.col("a_n"), F.col("b_n")) & _earlier(key))
+    return met.select(*[f"{s}_{k}" for s in "ab" for k in key]).distinct()
 
-def _first_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Classes (a) with the first class (b) of each of their words, if they pass the filters."""
-    columns = [c for c in prefixes.columns if c != "token"]
-    first = prefixes.groupBy("token").agg(F.min(F.struct(*KEY, *[c for c in columns if c not in KEY])).alias("f"), F.count(F.lit(1)).alias("members"))
-    first = first.filter("members > 1").select("token", *[F.col(f"f.{c}").alias(c) for c in columns])
-    return _named(prefixes, "a").join(_named(first, "b"), "token").filter((_order("b") < _order("a")) & _passes(percent)).select(*_PAIR).distinct()
 
-
-def _open_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """Classes (a) that are open with all earlier ones (b) that share a word and pass the filters. Both sides come from one
-    exchange, so what tells that a class is open is compared in the join only."""
-    a, b = _named(prefixes, "a"), _named(prefixes, "b")
-    open_rows = (F.col("a_open") + F.col("b_open")) >= F.lit(1) + F.col("b_open")
-    return a.join(b, "token").filter((_order("b") < _order("a")) & open_rows & _passes(percent)).select(*_PAIR).distinct()
+    exchange, so what tells that a class is open is compared in the join only. at: open, size and place in one number."""
+    key = _of(classes)
+    each = classes.select(F.posexplode("prefix").alias("place", "token"), *key, "n", "p", "open")
+    at = F.shiftleft(F.col("open").cast("bigint"), 62).bitwiseOR(F.shiftleft(F.col("n").cast("bigint"), 31)).bitwiseOR(F.col("place").cast("bigint"))
+    rows = each.select("token", at.alias("at"), *key, "p")
+    a, b = _side(rows, "a"), _side(rows, "b")
+    part = lambda s, by, bits: F.shiftright(f"{s}_at", by).bitwiseAND(_long((1 << bits) - 1))
+    n, m = part("a", 31, 31), part("b", 31, 31)
+    placed = F.least(n - part("a", 0, 31), m - part("b", 0, 31)) >= _shared(percent, n, m)
+    opened = part("a", 62, 1) + part("b", 62, 1) >= part("b", 62, 1) + 1
+    return a.join(b, "token").filter(_may(percent, n, m) & placed & opened & _earlier(key)).select(*[f"{s}_{k}" for s in "ab" for k in key]).distinct()
 
 
-def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    found = None
-    for k, name in zip(KEY, names, strict=True):
-        one = left[k].eqNullSafe(right[name])
-        found = one if found is None else found & one
-    return found
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def _same(left: list[str], right: list[str]) -> Column:
+    return reduce(Column.__and__, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)])
 
 
 def _matches(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """k_id, k_row, k_ln of each class that an earlier one resembles, by all their words."""
+    """Keys (g...) of each class that an earlier one resembles, by all their words."""
     pairs = materialise(pairs, "line-pairs")
-    of = lambda s: pairs.select(*[F.col(f"{s}_{k}").alias(f"k_{k}") for k in KEY])
+    key = [c[2:] for c in pairs.columns if c.startswith("a_")]
+    of = lambda s: pairs.select(*[F.col(f"{s}_{k}").alias(f"i_{k}") for k in key])
     ids = materialise(of("a").unionByName(of("b")).distinct(), "line-ids")
-    lines = _lines(rows)
-    texts = lines.join(_small(ids, ids.count()), _same(lines, ids, [f"k_{k}" for k in KEY]), "left_semi").select(*KEY, _words(F.col("line")).alias("w"))
-    texts = materialise(texts.dropDuplicates(list(KEY)), "line-words")
-    x, y = (texts.select(*[F.col(k).alias(f"{s}__{k}") for k in KEY], F.col("w").alias(f"{s}_w")) for s in "xy")
-    on = lambda s, t: [F.col(f"{s}_{k}").eqNullSafe(F.col(f"{t}__{k}")) for k in KEY]
+    texts = _lines(rows).join(_small(ids), _same(key, [f"i_{k}" for k in key]), "left_semi").dropDuplicates(key)
+    texts = materialise(texts.select(*key, F.array_distinct(_split(F.col("line"))).alias("w")), "line-words")
+    x, y = (texts.select(*[F.col(k).alias(f"{s}_{k}") for k in key], F.col("w").alias(f"{s}_w")) for s in "xy")
     both = F.size(F.array_intersect("x_w", "y_w"))
+    on = lambda s, t: _same([f"{s}_{k}" for k in key], [f"{t}_{k}" for k in key])
     told = pairs.join(x, on("a", "x")).join(y, on("b", "y")).filter(100 * both >= percent * (F.size("x_w") + F.size("y_w") - both))
-    return told.select(*[F.col(f"a_{k}").alias(f"k_{k}") for k in KEY]).distinct()
+    return told.select(*[F.col(f"a_{k}").alias(f"g_{k}") for k in key]).distinct()
 
 
 def later_matches(classes: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """k_id, k_row, k_ln of the classes whose first line resembles the first line of an earlier class."""
-    gone = materialise(_matches(_first_pairs(_prefixes(classes), percent), rows, percent), "line-gone")
-    flagged = classes.join(_small(gone.withColumn("k_gone", F.lit(1)), gone.count()), _same(classes, gone, [f"k_{k}" for k in KEY]), "left")
-    flagged = flagged.select(*classes.columns, F.when(F.col("k_gone").isNull(), 1).otherwise(0).alias("open"))
-    return gone.unionByName(_matches(_open_pairs(_prefixes(flagged), percent), rows, percent))
+    """Keys (g_...) of the classes whose first line resembles the first line of an earlier class."""
+    key = _of(classes)
+    gone = materialise(_matches(_first_pairs(classes, percent), rows, percent), "line-gone")
+    flagged = classes.join(_small(gone.withColumn("gone", F.lit(1))), _same(key, [f"g_{k}" for k in key]), "left")
+    flagged = flagged.select(*classes.columns, F.when(F.col("gone").isNull(), 1).otherwise(0).alias("open"))
+    return gone.unionByName(_matches(_open_pairs(flagged, percent), rows, percent))
 
 
 def _kept(rows: DataFrame, percent: int) -> DataFrame:
-    """k_id, k_row, kept: the numbers of the lines that stay because they are first of their kind."""
+    """s_k..., kept: the numbers of the lines that stay because they are first of their kind."""
     classes = materialise(_classes(rows, _rarity(rows), percent), "line-classes")
+    key = _of(classes)
     gone = materialise(later_matches(classes, rows, percent), "line-later")
-    stay = classes.select(*KEY).join(_small(gone, gone.count()), _same(classes, gone, [f"k_{k}" for k in KEY]), "left_anti")
-    return stay.groupBy(F.col("id").alias("k_id"), F.col("row").alias("k_row")).agg(F.collect_list("ln").alias("kept"))
+    stay = classes.select(*key).join(_small(gone), _same(key, [f"g_{k}" for k in key]), "left_anti")
+    return stay.groupBy(*[F.col(k).alias(f"s_{k}") for k in key if k != "kln"]).agg(F.collect_list("kln").alias("kept"))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_lines, removed (numbers of the lines that go, ascending)."""
-    rows = _rows(docs, _mark(docs, id_col, text_col), id_col, text_col)
+    rows = docs.select(*_keys(docs, id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kept = _kept(rows, percent)
-    each = rows.select("id", "row", F.split("text", "\n").alias("lines"))
-    numbers = F.filter(F.transform("lines", lambda line, i: F.when(F.trim(line) != "", i + 1)), lambda n: n.isNotNull())
-    each = each.select("id", "row", F.size("lines").alias("n_lines"), numbers.alias("held"))
-    told = each.join(kept, each["id"].eqNullSafe(kept["k_id"]) & (each["row"] == kept["k_row"]), "left")
-    return told.select("id", "n_lines", F.array_except("held", F.coalesce("kept", F.array().cast("array<int>"))).alias("removed"))
+    key = _of(rows)
+    numbers = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.when(line.rlike(HELD), i + 1)), lambda n: n.isNotNull())
+    each = rows.select(*key, F.size(F.split("text", "\n")).alias("n_lines"), numbers.alias("held"))
+    told = each.join(kept, _same(key, [f"s_{k}" for k in key]), "left")
+    return told.select(F.col("k0").alias("id"), "n_lines", F.array_except("held", F.coalesce("kept", F.array().cast("array<int>"))).alias("removed"))
 
 
 def drop_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """documents with the removed lines cut out of their texts; a null text stays null."""
-    mark = _mark(docs, "doc_id", "text")
-    kept = _kept(_rows(docs, mark, "doc_id", "text"), percent)
-    each = docs.select(F.col("doc_id").alias("id"), mark.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
-    told = each.join(kept, each["id"].eqNullSafe(kept["k_id"]) & (each["row"] == kept["k_row"]), "left")
-    stay = F.filter(F.split("whole.text", "\n"), lambda line, i: (F.trim(_plain(line)) == "") | F.coalesce(F.array_contains("kept", i + 1), F.lit(False)))
+    keys = _keys(docs, "doc_id", "text")
+    kept = _kept(docs.select(*keys, F.coalesce(F.col("text"), F.lit("")).alias("text")), percent)
+    each = docs.select(*keys, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    key = _of(each)
+    told = each.join(kept, _same(key, [f"s_{k}" for k in key]), "left")
+    stay = F.filter(F.split("whole.text", "\n"), lambda line, i: ~line.rlike(HELD) | F.coalesce(F.array_contains("kept", i + 1), F.lit(False)))
     return told.select(*[(F.array_join(stay, "\n") if c == "text" else F.col(f"whole.`{c}`")).alias(c) for c in docs.columns])
 
 
