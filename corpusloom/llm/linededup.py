@@ -5,15 +5,17 @@ sets are one class, led by its first line in the order of (id, line number). A c
 leader at PERCENT or more (Jaccard) is a later match. Kept is the first line of each class that is no later match; all other
 lines that hold a word are removed.
 
-The join orders each set from rare to common words. Rarity comes from counts of hashed words over all texts (SKETCH
-counters, so of a fixed size); ties are ordered by hash, and any total order is right. Two sets that share o words or more
-share one among the first n - o + 1 words of each, so only the first n - ceil(t n) + 1 words go into the exchange: a row is
-a word's hash, the leader's id and line number, the set's size, the word's place, and a parity of the whole set in 64 bits.
-The join on the hash applies the length filter, the bound that the parities give, and the positional filter for the o that
-the two sizes ask for. Before it, each class meets the first class of some of its words, so that most copies in a large
-group leave after one comparison; the classes that are still open then meet all earlier ones. Both are joins whose large
-partitions Spark can split, so a word that very many lines share is worked on by many tasks. What passes is compared word by
-word, with the lines read again from the texts.
+The texts are split once: each line is written as its words' hashes of TOKEN_BITS bits, and later steps read these. The
+join orders each set from rare to common words. Rarity comes from counts of hashed words over all lines (SKETCH counters, so
+of a fixed size); ties are ordered by hash, and any total order is right. Two sets that share o words or more share one
+among the first n - o + 1 words of each, so only the first n - ceil(t n) + 1 words go into the exchange: a row is a word's
+hash, the leader's id and line number, the set's size, the word's place, and a parity of the whole set in 128 bits. The join
+on the hash applies the length filter, the bound that the parities give, and the positional filter for the o that the two
+sizes ask for. Before it, each class meets the first class of some of its words, so that most copies in a large group leave
+after one comparison; the classes that are still open then meet all earlier ones. Both are joins whose large partitions
+Spark can split, so a word that very many lines share is worked on by many tasks. Pairs whose hashes are similar are
+compared word by word, with the lines read again from the texts. Words that share a hash can only bring more pairs
+there; a class that left early for a pair that isn't one meets all earlier classes after all.
 
 Defined cases: a null text counts as empty; lines without a word are never removed; null ids come first; of repeated rows
 (same id and text) each line counts once, and all of them get the same answer; rows of one id with different texts are
@@ -34,8 +36,8 @@ PERCENT = 80
 SKETCH = 1 << 18
 #: Rows of 24 bytes that may be broadcast to pick lines out; more are joined by shuffles.
 BROADCAST_ROWS = 1 << 20
-#: Bits of a word's hash that go into the exchange.
-TOKEN_BITS = 40
+#: Bits of a word's hash that are kept, 31 at most.
+TOKEN_BITS = 31
 #: Prefix words of a class by which it meets the first class of each.
 FIRST_WORDS = 4
 #: A line that holds a word.
@@ -61,43 +63,51 @@ def _of(df: DataFrame) -> list[str]:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """Keys, kln (from 1), line, of the lines that hold a word."""
-    each = rows.select(*_of(rows), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return each.filter(F.col("line").rlike(HELD)).select(*_of(rows), (F.col("at") + 1).alias("kln"), "line")
+    """Keys, kln (from 1), line."""
+    return rows.select(*_of(rows), F.posexplode(F.split("text", "\n")).alias("at", "line")).select(*_of(rows), (F.col("at") + 1).alias("kln"), "line")
 
 
 def _split(line: Column) -> Column:
     return F.array_remove(F.split(_plain(line), " "), "")
 
 
-def _rarity(rows: DataFrame) -> Column:
+def _hashed(rows: DataFrame) -> DataFrame:
+    """A row for each line: keys, kln, d1 and d2 (digest of the set), h (hashes of the words; one for each word)."""
+    lines = _lines(rows)
+    key = _of(lines)
+    named = lines.select(*key, F.sort_array(F.array_distinct(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w)))).alias("w"))
+    short = F.transform("w", lambda h: h.bitwiseAND(_long((1 << TOKEN_BITS) - 1)).cast("int"))
+    return named.select(*key, F.xxhash64("w").alias("d1"), F.xxhash64("w", F.lit(7)).alias("d2"), short.alias("h"))
+
+
+def _rarity(lines: DataFrame) -> Column:
     """Array of SKETCH ranks: the logarithm of the count of words with that hash."""
-    words = rows.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(SKETCH - 1).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    counts = lines.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(SKETCH - 1).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     ranks = [0] * SKETCH
     for r in counts.select("slot", F.round(F.log2("n") * 64).cast("int").alias("rank")).collect():  # SKETCH rows at most
         ranks[r.slot] = r.rank
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
-def _classes(rows: DataFrame, rarity: Column, percent: int) -> DataFrame:
-    """The first line of each class (keys, kln) with its set's size n, parity p, and prefix (hashes in order)."""
+def _classes(lines: DataFrame, rarity: Column, percent: int) -> DataFrame:
+    """The first line of each class (keys, kln) with its set's size n, parities p1 and p2, and prefix (hashes in order)."""
 
     def token(h: Column) -> Column:
-        return F.shiftleft(F.get(rarity, h.bitwiseAND(SKETCH - 1).cast("int")), 47).bitwiseOR(F.shiftrightunsigned(h, 17))
+        return F.shiftleft(F.get(rarity, h.bitwiseAND(SKETCH - 1)), 32).bitwiseOR(h)
 
-    def flip(bits: Column, t: Column) -> Column:
-        return bits.bitwiseXOR(F.call_function("shiftleft", _long(1), t.bitwiseAND(F.lit(63)).cast("int")))
+    def flip(part: int):
+        def step(bits: Column, h: Column) -> Column:
+            mine = F.shiftright(h, 6).bitwiseXOR(1 - part).bitwiseAND(1).cast("bigint")
+            return bits.bitwiseXOR(F.call_function("shiftleft", mine, h.bitwiseAND(63)))
+
+        return step
 
-    lines = _lines(rows)
     key = _of(lines)
-    named = lines.select(*key, F.array_distinct(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
-    named = named.select(*key, F.sort_array(F.transform("h", token)).alias("t"))
+    named = lines.filter(F.size("h") > 0).select(*key, "d1", "d2", "h", F.sort_array(F.transform("h", token)).alias("t"))
     length = (F.size("t") - F.ceil(F.size("t") * F.lit(percent) / 100) + 1).cast("int")
-    prefix = F.transform(F.slice("t", F.lit(1), length), lambda t: t.bitwiseAND(F.lit((1 << TOKEN_BITS) - 1)))
-    first = F.struct(*key, F.size("t").alias("n"), F.aggregate("t", _long(0), flip).alias("p"), prefix.alias("prefix"))
-    told = named.select(F.xxhash64("t").alias("d1"), F.xxhash64("t", F.lit(7)).alias("d2"), first.alias("first"))
-    return told.groupBy("d1", "d2").agg(F.min("first").alias("first")).select("first.*")
+    prefix = F.transform(F.slice("t", F.lit(1), length), lambda t: t.bitwiseAND(_long((1 << TOKEN_BITS) - 1)).cast("int"))
+    first = F.struct(*key, F.size("h").alias("n"), F.aggregate("h", _long(0), flip(0)).alias("p1"), F.aggregate("h", _long(0), flip(1)).alias("p2"), prefix.alias("prefix"))
+    return named.groupBy("d1", "d2").agg(F.min(first).alias("first")).select("first.*")
 
 
 def _side(df: DataFrame, side: str) -> DataFrame:
@@ -115,16 +125,17 @@ def _shared(percent: int, n: Column, m: Column) -> Column:
 
 def _may(percent: int, n: Column, m: Column) -> Column:
     """The length filter, and the bound on what only one of the sets has."""
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.bit_count(F.col("a_p").bitwiseXOR(F.col("b_p"))) <= n + m - 2 * _shared(percent, n, m))
+    apart = F.bit_count(F.col("a_p1").bitwiseXOR(F.col("b_p1"))) + F.bit_count(F.col("a_p2").bitwiseXOR(F.col("b_p2")))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= n + m - 2 * _shared(percent, n, m))
 
 
 def _first_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """Classes (a) with the first class (b) of each of FIRST_WORDS words of their prefix, those of least hash, if they may
     be similar."""
     key = _of(classes)
-    some = classes.select(F.explode(F.slice(F.sort_array("prefix"), 1, FIRST_WORDS)).alias("token"), *key, "n", "p")
-    first = some.groupBy("token").agg(F.min(F.struct(*key, "n", "p")).alias("f"), F.count(F.lit(1)).alias("members"))
-    first = first.filter("members > 1").select("token", *[F.col(f"f.{c}").alias(c) for c in (*key, "n", "p")])
+    some = classes.select(F.explode(F.slice(F.sort_array("prefix"), 1, FIRST_WORDS)).alias("token"), *key, "n", "p1", "p2")
+    first = some.groupBy("token").agg(F.min(F.struct(*key, "n", "p1", "p2")).alias("f"), F.count(F.lit(1)).alias("members"))
+    first = first.filter("members > 1").select("token", *[F.col(f"f.{c}").alias(c) for c in (*key, "n", "p1", "p2")])
     met = _side(some, "a").join(_side(first, "b"), "token").filter(_may(percent, F.col("a_n"), F.col("b_n")) & _earlier(key))
     return met.select(*[f"{s}_{k}" for s in "ab" for k in key]).distinct()
 
@@ -133,9 +144,9 @@ def _open_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """Classes (a) that are open with all earlier ones (b) that share a word and pass the filters. Both sides come from one
     exchange, so what tells that a class is open is compared in the join only. at: open, size and place in one number."""
     key = _of(classes)
-    each = classes.select(F.posexplode("prefix").alias("place", "token"), *key, "n", "p", "open")
+    each = classes.select(F.posexplode("prefix").alias("place", "token"), *key, "n", "p1", "p2", "open")
     at = F.shiftleft(F.col("open").cast("bigint"), 62).bitwiseOR(F.shiftleft(F.col("n").cast("bigint"), 31)).bitwiseOR(F.col("place").cast("bigint"))
-    rows = each.select("token", at.alias("at"), *key, "p")
+    rows = each.select("token", at.alias("at"), *key, "p1", "p2")
     a, b = _side(rows, "a"), _side(rows, "b")
     part = lambda s, by, bits: F.shiftright(f"{s}_at", by).bitwiseAND(_long((1 << bits) - 1))
     n, m = part("a", 31, 31), part("b", 31, 31)
@@ -152,35 +163,66 @@ def _same(left: list[str], right: list[str]) -> Column:
     return reduce(Column.__and__, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)])
 
 
-def _matches(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Keys (g...) of each class that an earlier one resembles, by all their words."""
-    pairs = materialise(pairs, "line-pairs")
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets (keys, w) are similar; of repeated elements each counts."""
+    key = [c[2:] for c in pairs.columns if c.startswith("a_")]
+    x, y = (sets.select(*[F.col(k).alias(f"{s}_{k}") for k in key], F.col("w").alias(f"{s}_w")) for s in "xy")
+    on = lambda s, t: _same([f"{s}_{k}" for k in key], [f"{t}_{k}" for k in key])
+    both = F.size("x_w") - F.size(F.array_except("x_w", "y_w"))
+    told = pairs.join(x, on("a", "x")).join(y, on("b", "y")).withColumns({"n": F.size("x_w"), "m": F.size("y_w"), "o": both})
+    return told.filter(100 * F.col("o") >= percent * (F.col("n") + F.col("m") - F.col("o"))).select(*pairs.columns)
+
+
+def _picked(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The lines that stand in a pair."""
     key = [c[2:] for c in pairs.columns if c.startswith("a_")]
     of = lambda s: pairs.select(*[F.col(f"{s}_{k}").alias(f"i_{k}") for k in key])
     ids = materialise(of("a").unionByName(of("b")).distinct(), "line-ids")
-    texts = _lines(rows).join(_small(ids), _same(key, [f"i_{k}" for k in key]), "left_semi").dropDuplicates(key)
-    texts = materialise(texts.select(*key, F.array_distinct(_split(F.col("line"))).alias("w")), "line-words")
-    x, y = (texts.select(*[F.col(k).alias(f"{s}_{k}") for k in key], F.col("w").alias(f"{s}_w")) for s in "xy")
-    both = F.size(F.array_intersect("x_w", "y_w"))
-    on = lambda s, t: _same([f"{s}_{k}" for k in key], [f"{t}_{k}" for k in key])
-    told = pairs.join(x, on("a", "x")).join(y, on("b", "y")).filter(100 * both >= percent * (F.size("x_w") + F.size("y_w") - both))
-    return told.select(*[F.col(f"a_{k}").alias(f"g_{k}") for k in key]).distinct()
+    return lines.join(_small(ids), _same(key, [f"i_{k}" for k in key]), "left_semi").dropDuplicates(key)
 
 
-def later_matches(classes: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Keys (g_...) of the classes whose first line resembles the first line of an earlier class."""
+def _met(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are similar by the hashes of their words."""
+    pairs = materialise(pairs, "line-pairs")
+    return materialise(_similar(pairs, _picked(lines.select(*_of(lines), F.col("h").alias("w")), pairs), percent), "line-met")
+
+
+def _later(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """g_...: the classes of the pairs that are similar by their words."""
+    lines = _picked(_lines(rows), pairs)
+    told = _similar(pairs, lines.select(*_of(lines), F.array_distinct(_split(F.col("line"))).alias("w")), percent)
+    return materialise(_left(told).distinct(), "line-later")
+
+
+def _left(pairs: DataFrame) -> DataFrame:
+    return pairs.select(*[F.col(c).alias(f"g_{c[2:]}") for c in pairs.columns if c.startswith("a_")])
+
+
+def _opened(classes: DataFrame, marked: DataFrame, opens: int) -> DataFrame:
+    """classes with open: ``opens`` for those in marked, else its contrary."""
     key = _of(classes)
-    gone = materialise(_matches(_first_pairs(classes, percent), rows, percent), "line-gone")
-    flagged = classes.join(_small(gone.withColumn("gone", F.lit(1))), _same(key, [f"g_{k}" for k in key]), "left")
-    flagged = flagged.select(*classes.columns, F.when(F.col("gone").isNull(), 1).otherwise(0).alias("open"))
-    return gone.unionByName(_matches(_open_pairs(flagged, percent), rows, percent))
+    told = classes.join(_small(marked.withColumn("mark", F.lit(opens))), _same(key, [f"g_{k}" for k in key]), "left")
+    return told.select(*classes.columns, F.coalesce("mark", F.lit(1 - opens)).alias("open"))
 
 
-def _kept(rows: DataFrame, percent: int) -> DataFrame:
+def later_matches(classes: DataFrame, lines: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Keys (g_...) of the classes whose first line resembles the first line of an earlier class."""
+    early = _met(_first_pairs(classes, percent), lines, percent)
+    left = materialise(_left(early).distinct(), "line-left")
+    pairs = early.unionByName(_met(_open_pairs(_opened(classes, left, 0), percent), lines, percent))
+    later = _later(pairs, rows, percent)
+    lost = left.exceptAll(later)
+    if not lost.limit(1).count():
+        return later
+    again = _met(_open_pairs(_opened(classes, materialise(lost, "line-lost"), 1), percent), lines, percent)
+    return later.unionByName(_later(again, rows, percent)).distinct()
+
+
+def _kept(rows: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """s_k..., kept: the numbers of the lines that stay because they are first of their kind."""
-    classes = materialise(_classes(rows, _rarity(rows), percent), "line-classes")
+    classes = materialise(_classes(lines, _rarity(lines), percent), "line-classes")
     key = _of(classes)
-    gone = materialise(later_matches(classes, rows, percent), "line-later")
+    gone = later_matches(classes, lines, rows, percent)
     stay = classes.select(*key).join(_small(gone), _same(key, [f"g_{k}" for k in key]), "left_anti")
     return stay.groupBy(*[F.col(k).alias(f"s_{k}") for k in key if k != "kln"]).agg(F.collect_list("kln").alias("kept"))
 
@@ -188,7 +230,7 @@ def _kept(rows: DataFrame, percent: int) -> DataFrame:
 def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_lines, removed (numbers of the lines that go, ascending)."""
     rows = docs.select(*_keys(docs, id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kept = _kept(rows, percent)
+    kept = _kept(rows, materialise(_hashed(rows), "line-words"), percent)
     key = _of(rows)
     numbers = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.when(line.rlike(HELD), i + 1)), lambda n: n.isNotNull())
     each = rows.select(*key, F.size(F.split("text", "\n")).alias("n_lines"), numbers.alias("held"))
@@ -199,7 +241,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
 def drop_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """documents with the removed lines cut out of their texts; a null text stays null."""
     keys = _keys(docs, "doc_id", "text")
-    kept = _kept(docs.select(*keys, F.coalesce(F.col("text"), F.lit("")).alias("text")), percent)
+    rows = docs.select(*keys, F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    kept = _kept(rows, materialise(_hashed(rows), "line-words"), percent)
     each = docs.select(*keys, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
     key = _of(each)
     told = each.join(kept, _same(key, [f"s_{k}" for k in key]), "left")
