@@ -41,13 +41,15 @@ def _tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, random: bool = False) -> DataFrame:
     """Write df once into the shared folder and read it back, so that a lost executor costs no more than
-    the tasks it ran. Its shuffle files go at once, the written ones when the application ends."""
+    the tasks it ran. Its shuffle files go at once, the written ones when the application ends. random: most of it is
+    hashes, which don't get smaller."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with _tidy(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        kind = {"compression": "lz4_raw", "parquet.enable.dictionary": "false"} if random else {"compression": "zstd"}
+        df.write.options(**kind).parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)

@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from .common import materialise, read
 
 PERCENT = 80
-SKETCH = 1 << 18
+SKETCH = 1 << 16
 #: Rows of 24 bytes that may be broadcast to pick lines out; more are joined by shuffles.
 BROADCAST_ROWS = 1 << 20
 #: Bits of a word's hash that are kept, 31 at most.
 TOKEN_BITS = 31
 #: Prefix words of a class by which it meets the first class of each.
-FIRST_WORDS = 4
+FIRST_WORDS = 2
 #: A line that holds a word.
 HELD = "[^ \\t\\r]"
 
@@ -72,12 +72,14 @@ def _split(line: Column) -> Column:
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
-    """A row for each line: keys, kln, d1 and d2 (digest of the set), h (hashes of the words; one for each word)."""
+    """A row for each line: keys, kln, d1 and d2 (digest of the set), h (hashes of the words; one for each word), half: how
+    many words from the start have a 64-bit hash below 0."""
     lines = _lines(rows)
     key = _of(lines)
     named = lines.select(*key, F.sort_array(F.array_distinct(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w)))).alias("w"))
     short = F.transform("w", lambda h: h.bitwiseAND(_long((1 << TOKEN_BITS) - 1)).cast("int"))
-    return named.select(*key, F.xxhash64("w").alias("d1"), F.xxhash64("w", F.lit(7)).alias("d2"), short.alias("h"))
+    half = F.size(F.filter("w", lambda h: h < 0))
+    return named.select(*key, F.xxhash64("w").alias("d1"), F.xxhash64("w", F.lit(7)).alias("d2"), short.alias("h"), half.alias("half"))
 
 
 def _rarity(lines: DataFrame) -> Column:
@@ -95,18 +97,15 @@ def _classes(lines: DataFrame, rarity: Column, percent: int) -> DataFrame:
     def token(h: Column) -> Column:
         return F.shiftleft(F.get(rarity, h.bitwiseAND(SKETCH - 1)), 32).bitwiseOR(h)
 
-    def flip(part: int):
-        def step(bits: Column, h: Column) -> Column:
-            mine = F.shiftright(h, 6).bitwiseXOR(1 - part).bitwiseAND(1).cast("bigint")
-            return bits.bitwiseXOR(F.call_function("shiftleft", mine, h.bitwiseAND(63)))
-
-        return step
+    def parity(h: Column) -> Column:
+        return F.aggregate(h, _long(0), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", _long(1), x.bitwiseAND(63))))
 
     key = _of(lines)
-    named = lines.filter(F.size("h") > 0).select(*key, "d1", "d2", "h", F.sort_array(F.transform("h", token)).alias("t"))
+    named = lines.filter(F.size("h") > 0).select(*key, "d1", "d2", "h", "half", F.sort_array(F.transform("h", token)).alias("t"))
     length = (F.size("t") - F.ceil(F.size("t") * F.lit(percent) / 100) + 1).cast("int")
     prefix = F.transform(F.slice("t", F.lit(1), length), lambda t: t.bitwiseAND(_long((1 << TOKEN_BITS) - 1)).cast("int"))
-    first = F.struct(*key, F.size("h").alias("n"), F.aggregate("h", _long(0), flip(0)).alias("p1"), F.aggregate("h", _long(0), flip(1)).alias("p2"), prefix.alias("prefix"))
+    low, high = F.slice("h", F.lit(1), F.col("half")), F.slice("h", F.col("half") + 1, F.size("h"))
+    first = F.struct(*key, F.size("h").alias("n"), parity(low).alias("p1"), parity(high).alias("p2"), prefix.alias("prefix"))
     return named.groupBy("d1", "d2").agg(F.min(first).alias("first")).select("first.*")
 
 
@@ -230,19 +229,24 @@ def _kept(rows: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_lines, removed (numbers of the lines that go, ascending)."""
     rows = docs.select(*_keys(docs, id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kept = _kept(rows, materialise(_hashed(rows), "line-words"), percent)
+    lines = materialise(_hashed(rows), "line-words", random=True)
+    kept = _kept(rows, lines, percent)
     key = _of(rows)
-    numbers = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.when(line.rlike(HELD), i + 1)), lambda n: n.isNotNull())
-    each = rows.select(*key, F.size(F.split("text", "\n")).alias("n_lines"), numbers.alias("held"))
+    held = F.collect_set(F.when(F.size("h") > 0, F.col("kln")))  # a set: the lines of repeated rows come as often
+    each = lines.groupBy(*key).agg(F.max("kln").alias("n_lines"), held.alias("held"))
     told = each.join(kept, _same(key, [f"s_{k}" for k in key]), "left")
-    return told.select(F.col("k0").alias("id"), "n_lines", F.array_except("held", F.coalesce("kept", F.array().cast("array<int>"))).alias("removed"))
+    told = told.select(*key, "n_lines", F.sort_array(F.array_except("held", F.coalesce("kept", F.array().cast("array<int>")))).alias("removed"))
+    told = told.select(*[F.col(k).alias(f"t_{k}") for k in key], "n_lines", "removed")
+    if len(key) > 1:  # ids repeat, and so may whole rows
+        told = rows.select(*key).join(told, _same(key, [f"t_{k}" for k in key]))
+    return told.select(F.col("t_k0").alias("id"), "n_lines", "removed")
 
 
 def drop_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """documents with the removed lines cut out of their texts; a null text stays null."""
     keys = _keys(docs, "doc_id", "text")
     rows = docs.select(*keys, F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    kept = _kept(rows, materialise(_hashed(rows), "line-words"), percent)
+    kept = _kept(rows, materialise(_hashed(rows), "line-words", random=True), percent)
     each = docs.select(*keys, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
     key = _of(each)
     told = each.join(kept, _same(key, [f"s_{k}" for k in key]), "left")
