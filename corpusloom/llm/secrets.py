@@ -118,9 +118,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """docs with every finding replaced by [kind]; where findings overlap, the first one's kind stands for all."""
     _, spans = findings(docs, id_col, text_col)
     entry = F.struct("start", "rank", "end", "kind")
-    gathered = spans.groupBy("key").agg(F.sort_array(F.collect_list(entry)).alias("__spans"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.withColumn("key", _key(F.col(id_col), text)).join(gathered, "key", "left")
+    gathered = spans.groupBy(F.col("key").alias("k")).agg(F.sort_array(F.collect_list(entry)).alias("found"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    each = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(text_col).alias("text"), _key(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
+    joined = each.join(gathered, F.col("key") == F.col("k"), "left")
     nothing = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def add(done: Column, span: Column) -> Column:
@@ -129,9 +130,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             F.struct(done["out"].alias("out"), F.greatest(done["at"], span["end"]).alias("at"))
         )
 
-    done = F.aggregate("__spans", nothing, add, lambda d: F.concat(F.array_join(d["out"], ""), text.substr((d["at"] + 1).cast("int"), F.length(text))))
-    clean = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(done)
-    return joined.select(*[(clean if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    done = F.aggregate("found", nothing, add, lambda d: F.concat(F.array_join(d["out"], ""), text.substr((d["at"] + 1).cast("int"), F.length(text))))
+    clean = F.when(F.col("found").isNull(), F.col("text")).otherwise(done)
+    return joined.select(*[(clean if c == text_col else F.col(f"whole.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:

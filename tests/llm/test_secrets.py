@@ -60,3 +60,7 @@ def test_rows_and_redaction(documents):
     by = {r.doc_id: r.text for r in clean.collect()}
     assert by[3] is None and by[4] == "clean" and "abcdefghijkl" not in by[1] and "[assign]" in by[1] and "[access]" in by[None]
     assert all(not base(t or "") for t in by.values())
+    others = [c for c in docs.columns if c != "text"]
+    assert sorted(map(repr, clean.select(*[f"`{c}`" for c in others]).collect())) == sorted(map(repr, docs.select(*[f"`{c}`" for c in others]).collect()))
+    odd = docs.selectExpr("doc_id", "text", "1 as found", "2 as k", "'q' as key", "3 as whole", "4 as __spans")
+    assert {(r.found, r.k, r.key, r.whole, r["__spans"]) for r in secrets.redact(odd).collect()} == {(1, 2, "q", 3, 4)}
