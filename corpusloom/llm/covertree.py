@@ -12,7 +12,8 @@ on in blocks. A task returns one row per vector it was given, so nothing grows w
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; so do
 rows with a null label and vectors of another length; repeated rows are vectors of their own; null ids are kept and are a
-component's id only if all its ids are null; an empty table gives no rows; other columns are ignored.
+component's id only if all its ids are null; labels of any type are compared as they are; doubles are not rounded to
+floats; a vector of any length is one row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -187,19 +188,24 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
 
 
-def _centres(nodes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+def _centres(nodes: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     """Centres of the groups (label, length) that need more than one cell; MOST_CENTRES at most in all."""
     total = nodes.count()
     cell = max(BLOCK, total // MOST_CENTRES * 2)
     there = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell)
     few = F.abs(F.xxhash64("node", F.lit("centre"))) / F.lit(float(1 << 63)) < F.least(F.lit(1.0), F.lit(1.0) / cell)
     drawn = nodes.filter(few).join(there, ["label", "dim"], "left_semi").orderBy("node").limit(MOST_CENTRES)
-    found: dict[tuple[int, int], list] = {}
+    found: dict[tuple[str, int], list] = {}
     for r in drawn.select("label", "dim", "vector").collect():
         found.setdefault((r.label, r.dim), []).append(r.vector)
     return {k: _unit(np.array(v, np.float64)) for k, v in found.items()}
 
 
+def _schema(nodes: DataFrame, columns: str, more: str) -> str:
+    """DDL of some columns of nodes, whose vectors are of floats or doubles, and more."""
+    return ", ".join([*(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in columns.split()), more])
+
+
 def _homes(nodes: DataFrame, centres: dict) -> DataFrame:
     shared = nodes.sparkSession.sparkContext.broadcast(centres)
 
@@ -215,7 +221,7 @@ def _homes(nodes: DataFrame, centres: dict) -> DataFrame:
                 far[rows] = np.sqrt(np.maximum(0, 2 - 2 * close.max(1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(far)], [*batch.schema.names, "home", "far"])
 
-    return nodes.mapInArrow(run, "node string, label bigint, dim int, vector array<float>, weight bigint, home int, far double")
+    return nodes.mapInArrow(run, _schema(nodes, "node label dim vector weight", "home int, far double"))
 
 
 def _visits(homes: DataFrame, centres: dict, reach: dict, limit: float) -> DataFrame:
@@ -243,7 +249,7 @@ def _visits(homes: DataFrame, centres: dict, reach: dict, limit: float) -> DataF
                 columns = [batch.column(c).take(took) for c in ("node", "label", "dim", "vector", "weight")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(cell.astype(np.int32)), pa.array(cell != home[row])], ["node", "label", "dim", "vector", "weight", "cell", "visitor"])
 
-    return homes.mapInArrow(run, "node string, label bigint, dim int, vector array<float>, weight bigint, cell int, visitor boolean")
+    return homes.mapInArrow(run, _schema(homes, "node label dim vector weight", "cell int, visitor boolean"))
 
 
 def _counted(rows: DataFrame, threshold: float) -> DataFrame:
@@ -282,11 +288,14 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     spark = table.sparkSession
     spread = partitions(spark)
     limit = float(np.sqrt(2 - 2 * threshold))
-    vector = F.col(vector_col).cast("array<float>")
+    single = table.schema[vector_col].dataType.simpleString() == "array<float>"
+    vector = F.col(vector_col).cast("array<float>" if single else "array<double>")
+    zero = table.schema[label_col].dataType.simpleString() in ("float", "double")  # -0.0 and 0.0 are one label
+    label = (F.col(label_col) + F.lit(0.0) if zero else F.col(label_col)).cast("string")
     finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.coalesce(F.col(label_col).isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda v: v != 0), F.lit(False))
-    node = F.concat(F.hex(F.xxhash64(label_col, vector)), F.lit("-"), F.hex(F.xxhash64(vector, label_col)))
-    rows = table.select(F.col(id_col).alias("id"), F.col(label_col).cast("bigint").alias("label"), vector.alias("vector"), F.when(usable, node).alias("node"))
+    node = F.concat(F.hex(F.xxhash64(label, vector)), F.lit("-"), F.hex(F.xxhash64(vector, label)))
+    rows = table.select(F.col(id_col).alias("id"), label.alias("label"), vector.alias("vector"), F.when(usable, node).alias("node"))
     nodes = rows.filter("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("weight"), F.min("id").alias("least"))
     nodes = materialise(nodes.withColumn("dim", F.size("vector")), "vectors")
 
