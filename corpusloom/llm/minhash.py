@@ -11,7 +11,8 @@ the number of pairs; bands and candidate groups of more than BLOCK nodes are com
 
 Defined cases: a text without words, or null, has the empty set and links with nothing; fewer words than a shingle
 count as one; repeated rows share a node; null ids are kept and never are a component's id unless all its ids are
-null; an empty table gives no rows; other columns are ignored.
+null; very long texts are hashed whole, and very long words by weights that never repeat; an empty table gives no rows; other
+columns are ignored. Words and shingles are compared by 64-bit hashes, 128 bits for whole sets.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, partitions, read
@@ -47,7 +48,8 @@ _SEPARATES[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = _ODD(256)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
 _BYTE[_SEPARATES] = 0
-_PLACE = _ODD(4096)
+_PLACES = 4096
+_PLACE = _ODD(_PLACES)
 _WORD = _ODD(WORDS)
 
 
@@ -65,7 +67,11 @@ def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return start, np.zeros(0, np.uint64)
     size = np.diff(np.append(start, len(raw)))
     place = np.arange(start[0], len(raw)) - np.repeat(start, size)
-    value = _BYTE[raw[start[0] :]] * _PLACE[place & 4095]
+    weight = _PLACE[place & (_PLACES - 1)]
+    if size.max() > _PLACES:  # no two places of a word weigh the same
+        far = np.flatnonzero(place >= _PLACES)
+        weight[far] = _mix(place[far].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    value = _BYTE[raw[start[0] :]] * weight
     value ^= value >> np.uint64(29)
     return start, _mix(np.add.reduceat(value, start - start[0]))
 
@@ -268,6 +274,27 @@ def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
 
 def near_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
+    out = _assigned(docs, percent, id_col, text_col)
+    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("head.id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: the one of the least id, then of the least digest of the text; a null id stays
+    only if the component has no other. Rows without words all stay."""
+    told = _assigned(docs, percent, id_col, text_col)
+    head = F.col("node").isNull() | (F.col("id").eqNullSafe(F.col("head.id")) & F.col("digest").eqNullSafe(F.col("head.digest")))
+    heads = materialise(told.filter(head).groupBy("id", "digest").agg(F.count("node").alias("n")).select(F.col("id").alias("h_id"), F.col("digest").alias("h_digest"), "n"), "heads")
+    each = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))
+    stay = each.join(heads, each["id"].eqNullSafe(heads["h_id"]) & each["digest"].eqNullSafe(heads["h_digest"]))
+    if heads.filter("n > 1").limit(1).count():  # rows that repeat whole
+        place = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.lit(0)))
+        stay = stay.withColumn("place", place).filter("place = 1 or n = 0")
+    return stay.select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns])
+
+
+def _assigned(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """id, digest, n_shingles, node (null without words), head (id and digest of the component's first row) of each row."""
     spark = docs.sparkSession
     spread = partitions(spark)
     sketched = materialise(sketch(docs, id_col, text_col), "sketches")
@@ -288,11 +315,9 @@ def near_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     linked = components(_confirmed(full, percent))
 
     linked = materialise(linked, "links").join(nodes.select("node", "rep"), "node")
-    least = linked.groupBy("root").agg(F.min("rep.id").alias("component_id"))
-    of_node = linked.join(least, "root").select("node", "component_id").unionByName(nodes.select("node", F.col("rep.id").alias("component_id")).join(linked.select("node"), "node", "left_anti"))
-    out = sketched.select("id", "n_shingles", "node").join(of_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    least = linked.groupBy("root").agg(F.min("rep").alias("head"))
+    of_node = linked.join(least, "root").select("node", "head").unionByName(nodes.select("node", F.col("rep").alias("head")).join(linked.select("node"), "node", "left_anti"))
+    return sketched.select("id", "digest", "n_shingles", "node").join(of_node, "node", "left")
 
 
 def op7_minhash_dedup(spark, sf_dir):

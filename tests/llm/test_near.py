@@ -73,6 +73,25 @@ def test_near_rows_that_repeat_and_null_ids(documents):
     assert minhash.near_components(documents([]), 80).count() == 0
 
 
+def test_one_row_of_each_group_stays(documents):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(5, text), (5, text), (None, text), (None, text + " end"), (3, text + " end"), (3, "other words that stand here alone"), (9, ""), (9, ""), (None, None), (7, "a b"), (7, "a b")]
+    docs = documents(rows)
+    got = minhash.drop_near(docs)
+    assert got.columns == docs.columns
+    stay = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert stay == sorted([(3, text + " end"), (3, "other words that stand here alone"), (9, ""), (9, ""), (None, None), (7, "a b")], key=str)
+    nulls = minhash.drop_near(documents([(None, text), (None, text + " end"), (None, text + " ends")])).collect()
+    assert len(nulls) == 1 and minhash.drop_near(documents([])).count() == 0
+
+
+def test_words_that_differ_far_from_their_start():
+    for n in (4095, 4096, 8191, 9000):
+        a, b = ("x" + "a" * n).encode(), ("a" * 4096 + "x" + "a" * (n - 4096)).encode() if n >= 4096 else ("a" * n + "x").encode()
+        x, y, z = minhash.shingle_sets([a, b, a])
+        assert (x == z).all() and (x != y).all()
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(1)
     shared, a, b = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (4000, 500, 500))
@@ -119,6 +138,26 @@ def test_vectors_as_all_pairs(spark, monkeypatch):
     assert covertree.near_vectors(table.limit(0)).count() == 0
 
 
+def test_labels_and_doubles_as_they_are(spark):
+    near = [1.0, 0.3951473]  # cosine with [1, 0] just around 0.93
+    at = 1 / 0.93**2 - 1
+    rows = [(1, [1.0, 0.0], "a"), (2, [1.0, float(np.sqrt(at)) - 1e-12], "a"), (3, [1.0, -float(np.sqrt(at)) - 1e-9], "a"), (4, [1.0, 0.0], "b"), (5, near, "")]
+    got = {r.vec_id: r.n_links for r in covertree.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
+    rows = [(1, [1.0, 0.0], 1.2), (2, [1.0, 0.0], 1.9), (3, [1.0, 0.0], 0.0), (4, [1.0, 0.0], -0.0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label double")).collect()}
+    assert got == {1: (0, 1), 2: (0, 2), 3: (1, 3), 4: (1, 3)}
+
+
+def test_line_rows_that_share_an_id(documents):
+    rows = [(1, "a b c\nx"), (1, "a b c\ny"), (1, "a b c\ny"), (None, "a b c\n\tA  b C\r"), (2, None)]
+    docs = documents(rows)
+    got = sorted(((str(r.id), r.n_lines, tuple(r.removed)) for r in linededup.removed_lines(docs).collect()))
+    assert got == sorted([("1", 2, (1,)), ("1", 2, (1,)), ("1", 2, (1,)), ("None", 2, (2,)), ("2", 1, ())])
+    clean = linededup.drop_lines(docs)
+    assert clean.columns == docs.columns and sorted(str(r.text) for r in clean.collect()) == sorted(["x", "y", "y", "a b c", "None"])
+
+
 def test_lines_as_all_pairs(documents):
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(60)]
