@@ -3,7 +3,8 @@
 A batch's texts are split into words by array operations on code points, each distinct word of a batch goes through the
 tokenizers library once (and is remembered, within bounds, for later batches), and the ids are dealt back to the
 texts. Two words count as the same only after a comparison of all their characters. Texts of any length are
-worked on in pieces of some SEGMENT code points, cut where a word ends whatever stands around it.
+worked on in pieces of some SEGMENT code points, cut where a word ends whatever stands around it. Strings that a tokenizer
+file adds as special stand for their ids, as the library has it without further settings; files of ranks have none.
 
 Defined cases: a null text counts as empty and has no ids; repeated rows are encoded alike; an empty table gives no
 rows; other columns are ignored.
@@ -38,7 +39,8 @@ LONG = 64
 #: No letter, number or white space has a code point from here on; what is there is private, a tag or unassigned.
 ASSIGNED = 0x34000
 
-_SAFE_CUT = re.compile(r"[A-Za-z] [A-Za-z]")
+#: A word ends after the first character of these, whatever stands around them.
+_SAFE_CUT = re.compile(r"[!-~](?=[ \n][!-~])|[A-Za-z0-9](?=[,;:.])|[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
 
@@ -81,9 +83,7 @@ def tokenizer_of_ranks(path: str) -> Tokenizer:
 
 
 def tokenizer_of_json(path: str) -> Tokenizer:
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
 
 
 def word_starts(points: np.ndarray, first: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -132,11 +132,19 @@ class Encoder:
         self.tokenizer = tokenizer
         self.classes = char_classes()
         vocab = json.loads(tokenizer.to_str())["model"]["vocab"]
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that take blanks along aren't known here")
+        #: Strings that stand for an id of their own in any text, as the library has it.
+        self.special = {t.content: i for i, t in added.items()}
+        self.whole = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         byte_of = {c: b for b, c in enumerate(byte_chars())}
-        tokens = [b""] * (max(vocab.values()) + 1)
+        tokens = [b""] * (max([*vocab.values(), *added]) + 1)
         for shown, i in vocab.items():
             if all(c in byte_of for c in shown):
                 tokens[i] = bytes(byte_of[c] for c in shown)
+        for shown, i in self.special.items():
+            tokens[i] = shown.encode()
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
@@ -202,7 +210,9 @@ class Encoder:
         return ids, ends[np.searchsorted(start, bounds)]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes that ids stand for; a character that tokens split is whole again in them."""
+        """The bytes that ids stand for; a character that tokens split is whole again in them. Ids outside the vocabulary
+        stand for none."""
+        ids = ids[(ids >= 0) & (ids < len(self.sizes))]
         return self.bytes[_ragged(self.offsets[ids], self.sizes[ids])].tobytes()
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +227,13 @@ class Encoder:
         """(indexes of texts, ids, starts) for pieces of some SEGMENT code points; a long text comes in several."""
         held, at, size = [], [], 0
         for i, text in enumerate(texts):
-            for piece in segments(text or ""):
+            for piece in self.pieces(text or ""):
+                if piece in self.special:
+                    if held:
+                        yield at, *self.encode(held)
+                    yield [i], np.array([self.special[piece]], np.uint32), np.array([0, 1])
+                    held, at, size = [], [], 0
+                    continue
                 held.append(piece)
                 at.append(i)
                 size += len(piece)
@@ -228,6 +244,16 @@ class Encoder:
             yield at, *self.encode(held)
 
 
+    def pieces(self, text: str) -> Iterator[str]:
+        """A text's segments and, each by itself, its special strings."""
+        at = 0
+        for m in self.whole.finditer(text):
+            yield from segments(text[at : m.start()])
+            yield m[0]
+            at = m.end()
+        yield from segments(text[at:])
+
+
 def _ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... count[0] of them, then first[1] and so on."""
     ends = np.cumsum(count)
@@ -235,11 +261,12 @@ def _ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def segments(text: str) -> Iterator[str]:
-    """A text in pieces, cut between a letter and the blank before the next letter, where a word always ends."""
+    """A text in pieces of SEGMENT code points or little more, cut where a word always ends; only a run without such a
+    place (one word, or text without ASCII) is longer."""
     at = 0
     while len(text) - at > SEGMENT and (m := _SAFE_CUT.search(text, at + SEGMENT)):
-        yield text[at : m.start() + 1]
-        at = m.start() + 1
+        yield text[at : m.end()]
+        at = m.end()
     yield text[at:]
 
 
@@ -274,16 +301,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """id, bytes, text: what ids stand for; bytes that are no UTF-8 show as U+FFFD in text. Null ids count as none."""
+    """id, bytes, text, n_unknown: what ids stand for; bytes that are no UTF-8 show as U+FFFD in text. A null list counts as
+    empty; null ids and ids that the vocabulary doesn't have stand for no bytes and are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            raw = [own.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array([b.decode(errors="replace") for b in raw], pa.string())], ["id", "bytes", "text"])
+            lists = [np.array([-1 if i is None else i for i in x or []], np.int64) for x in batch.column(1).to_pylist()]
+            raw = [own.decode(x) for x in lists]
+            unknown = [int(((x < 0) | (x >= len(own.sizes))).sum()) for x in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array([b.decode(errors="replace") for b in raw], pa.string()), pa.array(unknown, pa.int64())], ["id", "bytes", "text", "n_unknown"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, ids_col).mapInArrow(run, f"id {kind}, bytes binary, text string").withColumnRenamed("id", id_col)
+    return rows.select(id_col, ids_col).mapInArrow(run, f"id {kind}, bytes binary, text string, n_unknown bigint").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

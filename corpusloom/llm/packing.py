@@ -24,8 +24,8 @@ from .bpe import encoder
 from .common import materialise, read
 
 CAPACITY = 1024
-#: Rows of one length are ranked in this many shares, so that no task gets all of a common length.
-SHARES = 64
+#: Rows of one length are ranked in shares of about this many, so that no task gets all of a common length.
+PER_SHARE = 50_000
 
 
 def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -106,17 +106,20 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, id
 def pack(cut: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
     """The pieces with sequence_id and offset."""
     spark = cut.sparkSession
-    share = F.pmod(F.xxhash64(id_col, "start"), F.lit(SHARES)).cast("int")
-    cut = materialise(cut.withColumn("__share", share), "pieces")
-    counts = cut.groupBy("length", "__share").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("__share").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("length", "__share", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    # CAPACITY lengths at most, so CAPACITY rows here and CAPACITY * SHARES counts
+    cut = materialise(cut, "pieces")
+    # CAPACITY lengths at most, so CAPACITY rows here
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = spark.createDataFrame(slots(patterns(histogram, capacity)), "length bigint, first bigint, end bigint, sequence bigint, offset bigint")
 
+    many = F.array(*[F.lit(-(-histogram.get(n, 1) // PER_SHARE)) for n in range(capacity + 1)])
+    share = F.pmod(F.xxhash64(id_col, "start"), F.get(many, F.col("length").cast("int"))).cast("int")
+    cut = cut.withColumn("__share", share)
+    counts = cut.groupBy("length", "__share").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("__share").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("length", "__share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     order = Window.partitionBy("length", "__share").orderBy(id_col, "start")
-    ranked = cut.withColumn("__row", F.row_number().over(order) - 1).join(F.broadcast(counts.drop("n")), ["length", "__share"]).withColumn("__rank", F.col("__row") + F.col("__before"))
+    # a row of counts for each PER_SHARE pieces and length: Spark broadcasts it if it is small
+    ranked = cut.withColumn("__row", F.row_number().over(order) - 1).join(counts, ["length", "__share"]).withColumn("__rank", F.col("__row") + F.col("__before"))
     placed = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (ranked["__rank"] >= table["first"]) & (ranked["__rank"] < table["end"])).drop(table["length"])
     sequence = (F.col("sequence") + F.col("__rank") - F.col("first")).alias("sequence_id")
     return placed.select(*[c for c in cut.columns if c != "__share"], sequence, "offset")

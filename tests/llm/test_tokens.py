@@ -49,9 +49,23 @@ def test_ids_offsets_and_round_trip(documents, plain):
     assert bpe.round_trip(documents([]), RANKS).count() == 0
 
 
-def test_split_characters(spark):
-    halves = spark.createDataFrame([(1, [RANKS and 0]), (2, None)], "doc_id bigint, ids array<bigint>")
-    assert bpe.decode(halves, RANKS).count() == 2
+def test_split_characters(spark, plain):
+    text = "x 🙂é"
+    ids = plain.encode_ordinary(text)
+    part = next(k for k in range(1, len(ids)) if "\ufffd" in plain.decode(ids[:k]))
+    rows = [(1, ids), (2, ids[:part]), (3, ids[part:]), (4, None), (5, []), (6, [ids[0], None, -1, 10**9, ids[1]])]
+    got = {r.doc_id: r for r in bpe.decode(spark.createDataFrame(rows, "doc_id bigint, ids array<bigint>"), RANKS).collect()}
+    assert got[1].text == text and bytes(got[2].bytes) + bytes(got[3].bytes) == text.encode() and "\ufffd" in got[2].text
+    assert got[4].text == got[5].text == "" and got[6].n_unknown == 3 and bytes(got[6].bytes) == plain.decode_bytes(ids[:2])
+    assert all(got[i].n_unknown == 0 for i in range(1, 6))
+
+
+def test_special_strings_as_the_library_has_them(documents):
+    rows = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x<|endoftext", "it's<|endoftext|>'s \n<|endoftext|>\n"]
+    library = Tokenizer.from_file(JSON)
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(documents(rows), JSON).collect()}
+    assert got == {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(rows)} and got[0] == [64, 220, 50256, 275]
+    assert {r.doc_id: r.text for r in bpe.decode(bpe.encode(documents(rows), JSON), JSON).collect()} == dict(enumerate(rows))
 
 
 def test_long_texts_come_in_pieces(plain, monkeypatch):
@@ -61,15 +75,19 @@ def test_long_texts_come_in_pieces(plain, monkeypatch):
     assert len(parts) > 3 and "".join(parts) == text
     own = bpe.encoder(RANKS)
     assert np.concatenate([ids for _, ids, _ in own.batches([text])]).tolist() == plain.encode_ordinary(text)
+    rng = random.Random(7)
+    for _ in range(60):
+        text = "".join(rng.choices("ab1,.:;'s \nst9é-", k=600))
+        assert max(map(len, bpe.segments(text))) < 300
+        assert np.concatenate([ids for _, ids, _ in own.batches([text])]).tolist() == plain.encode_ordinary(text)
 
 
 def test_packing(documents):
     rng = random.Random(3)
-    rows = [None, "", "a" * 9000] + [" ".join(rng.choices(["the", "of", "zyx", "9"], k=rng.choice([3, 50, 50, 900, 1500]))) for _ in range(150)]
+    rows = [None, "", "a" * 9000, "one<|endoftext|>two"] + [" ".join(rng.choices(["the", "of", "zyx", "9"], k=rng.choice([3, 50, 50, 900, 1500]))) for _ in range(150)]
     docs = documents(rows)
     packed = packing.pack(packing.pieces(docs, JSON, 0)).collect()
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for i, x in enumerate(rows)}
     seen, used = {}, {}
     for r in packed:
