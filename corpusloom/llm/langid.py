@@ -3,10 +3,13 @@
 Each language has a codeword. For each bit a binary n-gram classifier (log-odds of hashed n-grams of bytes, orders 1
 to 3) tells the languages whose bit is 1 from the others. The logistic loss of all bits against each codeword, weighted
 by how well the bit told training documents apart, is least for the predicted language; a small lead over the next one
-flags the prediction as ambiguous.
+flags the prediction as ambiguous. A text whose loss is further from that of every document learned from than from that of
+a text that tells nothing (log 2) is in no learned language: rejected. Texts of fewer than JUDGED n-grams of each order
+never are, nor is any text where only one language was learned.
 
 The classifiers are fitted on PER_LANGUAGE labelled documents of each language at most (whole texts), drawn by chance
-over the whole table; n-grams are counted on the executors, and the driver gets COUNTS numbers for each language.
+over the whole table; n-grams are counted on the executors, and the driver gets COUNTS numbers for each language. Every
+language that occurs is learned; the tables of driver and workers grow with their number, not with the rows.
 
 Defined cases: a text that is null or has no letter is "und" with score 0; so is every text if no row may be learned
 from; rows with a null language are never learned from; repeated rows get the same answer; an empty table gives no
@@ -28,8 +31,6 @@ from .common import read
 
 #: Labelled documents that are learned from, for each language, at most.
 PER_LANGUAGE = 2000
-#: Languages that are learned, the most frequent ones.
-LANGUAGES = 128
 COUNT_BITS = 13
 COUNTS = 1 << COUNT_BITS
 #: Bytes that are counted at once.
@@ -38,6 +39,8 @@ SLICE = 1 << 21
 TOGETHER = 32
 #: Steepness of the loss in a bit's mean log-odds; at this lead (of the first language's share) a prediction is sure.
 STEEPNESS, SURE = 8.0, 0.2
+#: n-grams of an order that a text must have to be rejected.
+JUDGED = 64
 
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII letters in lower case, other ASCII as blanks, the rest as it is.
@@ -109,21 +112,23 @@ class Codes:
         margins = share @ self.weights * self.code  # a bit's say: its least mean margin over the languages
         self.say = np.maximum(margins.min(0), 0.01) if len(languages) > 1 else np.ones(1)
         self.say = self.say / self.say.sum()
+        #: Loss from which a text is rejected.
+        self.limit = float("inf")
 
-    def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language's index, score, lead over the next one)."""
+    def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(language's index, score, lead over the next one, least loss; 0 for short texts)."""
         odds = counts @ self.weights / np.maximum(counts.sum(1, keepdims=True), 1)
         loss = np.stack([(np.logaddexp(0, -STEEPNESS * odds * word) * self.say).sum(1) for word in self.code], 1)
         likely = np.exp(-STEEPNESS * (loss - loss.min(1, keepdims=True)))
         likely /= likely.sum(1, keepdims=True)
         ranked = np.sort(likely, 1)
         lead = ranked[:, -1] - ranked[:, -2] if likely.shape[1] > 1 else np.ones(len(likely))
-        return loss.argmin(1), ranked[:, -1], lead
+        return loss.argmin(1), ranked[:, -1], lead, np.where(counts.sum(1) >= 3 * JUDGED, loss.min(1), 0.0)
 
 
 def fit(rows: DataFrame) -> Codes | None:
     """rows: text, lang (not null), only those that may be learned from."""
-    there = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    there = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
     if not there:
         return None
     shares = {r.lang: min(1.0, PER_LANGUAGE / r.n) for r in there}
@@ -143,32 +148,52 @@ def fit(rows: DataFrame) -> Codes | None:
     counts = np.zeros((len(languages), COUNTS))
     for r in sample.select("text", "lang").mapInArrow(count, "k int, counts binary").toLocalIterator():
         counts[r.k] += np.frombuffer(r.counts)
-    return Codes(languages, counts)
+    model = Codes(languages, counts)
+    if len(languages) > 1:
+        most = _greatest_loss(sample, model)
+        model.limit = (most + float(np.log(2))) / 2 if most < np.log(2) else float("inf")
+    return model
+
+
+def _greatest_loss(sample: DataFrame, model: Codes) -> float:
+    """The greatest loss of the documents learned from; a number for each task goes to the driver."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = 0.0
+        for batch in batches:
+            texts = [t.encode() for t in batch.column(0).to_pylist() if t and _LETTER.search(t)]
+            for a in range(0, len(texts), TOGETHER):
+                most = max(most, shared.value.predict(gram_counts(texts[a : a + TOGETHER]))[3].max())
+        yield pa.RecordBatch.from_arrays([pa.array([most], pa.float64())], ["most"])
+
+    return sample.select("text").mapInArrow(run, "most double").agg(F.max("most")).first()[0] or 0.0
 
 
 def identify(docs: DataFrame, model: Codes | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, lang_pred, score, ambiguous; and the columns in carry."""
+    """One row per document: id, lang_pred, score, ambiguous, rejected; and the columns in carry."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # COUNTS numbers for each of 63 bits at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            found: list[tuple[str, float, bool]] = [("und", 0.0, False)] * len(texts)
+            found: list[tuple[str, float, bool, bool]] = [("und", 0.0, False, bool(own))] * len(texts)
             told = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if own else []
             for a in range(0, len(told), TOGETHER):
                 some = told[a : a + TOGETHER]
-                which, score, lead = own.predict(gram_counts([texts[i].encode() for i in some]))
-                for i, k, s, gap in zip(some, which.tolist(), score.tolist(), lead.tolist(), strict=True):
-                    found[i] = (own.languages[k], min(1.0, s), gap < SURE)
-            lang, score, unsure = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_()), *batch.columns[2:]], ["id", "lang_pred", "score", "ambiguous", *[f"c{i}" for i in range(len(carry))]])
+                told_of = own.predict(gram_counts([texts[i].encode() for i in some]))
+                for i, k, s, gap, loss in zip(some, *(x.tolist() for x in told_of), strict=True):
+                    found[i] = (own.languages[k], min(1.0, s), gap < SURE, loss >= own.limit)
+            columns = zip(*found, strict=True) if found else ((),) * 4
+            kinds = (pa.string(), pa.float64(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, kinds), *batch.columns[2:]], ["id", "lang_pred", "score", "ambiguous", "rejected", *[f"c{i}" for i in range(len(carry))]])
 
     kind = lambda c: docs.schema[c].dataType.simpleString()
     extra = "".join(f", c{i} {kind(c)}" for i, c in enumerate(carry))
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
-    out = out.mapInArrow(run, f"id {kind(id_col)}, lang_pred string, score double, ambiguous boolean{extra}")
-    return out.select(F.col("id").alias(id_col), "lang_pred", "score", "ambiguous", *[F.col(f"c{i}").alias(f"carried_{c}") for i, c in enumerate(carry)])
+    out = out.mapInArrow(run, f"id {kind(id_col)}, lang_pred string, score double, ambiguous boolean, rejected boolean{extra}")
+    return out.select(F.col("id").alias(id_col), "lang_pred", "score", "ambiguous", "rejected", *[F.col(f"c{i}").alias(f"carried_{c}") for i, c in enumerate(carry)])
 
 
 def held_out_share(id_col: str, parts: int):
