@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +12,22 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: From so many edges on, what is joined is written first: then both sides of a join come straight from an exchange, and
+#: Spark splits the partition of a node that very many edges meet.
+SPLIT = 10_000
+
+
+def _large_star(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Each node's larger neighbours move to the least node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Each node and its smaller neighbours move to the least of these. Edges point from the larger node (a)."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    edges = cut(edges, "large")
+    least = cut(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -36,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
         if (told.n, told.x) == state or not told.n:
             break
         state = (told.n, told.x)
-        now = materialise(_small_star(_large_star(now)), "stars")
+        cut = materialise if told.n >= SPLIT else lambda df, _: df
+        now = materialise(_small_star(_large_star(now, cut), cut), "stars")
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 

@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 
+from corpusloom.llm import components as components_module
 from corpusloom.llm import covertree, linededup, minhash
 from corpusloom.llm.components import components
 
@@ -102,7 +104,9 @@ def test_registers_estimate_similarity():
     assert abs(minhash.estimate(np.array([equal]), np.array([used]))[0] - 0.8) < 0.15
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("split", [10_000, 0])
+def test_connected_components(spark, monkeypatch, split):
+    monkeypatch.setattr(components_module, "SPLIT", split)
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 480)]
     root = roots(481, lambda a, b, s=set(edges): (a, b) in s or (b, a) in s)
