@@ -139,13 +139,17 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def op2_secret_scan(spark, sf_dir):
-    found = scan(read(spark, sf_dir, "documents"))
+def told(found: DataFrame) -> DataFrame:
+    """The columns of op2_secret_scan, of what scan found."""
     base = F.filter("spans", lambda s: ~s["linked"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op2_secret_scan(spark, sf_dir):
+    return told(scan(read(spark, sf_dir, "documents")))
+
+
 def _oracle() -> str:
     """The same findings in SQL: matches with their gaps, running sums, and an existence test for the weak ones."""
     quote = lambda p: "'" + p.replace("'", "''") + "'"

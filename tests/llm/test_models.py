@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -96,11 +97,13 @@ def answers(documents):
 
 
 def test_licence_texts_and_notices(answers, spark):
-    mit = licenses.TEXTS["MIT"]
+    mit, bsd = licenses.TEXTS["MIT"][0], licenses.TEXTS["BSD-3-Clause"][0]
     changed = "  " + mit.replace("2020 Somebody", "(c) 1999-2003 Other Ltd").replace("License", "LICENCE").replace(", ", " ,\n ") + "\nAll rights reserved."
-    rows = [mit, changed, "prose\nLicensed under the Apache Licence, version 2.0\nmore", "about a license", None, "", mit + " extra", "SPDX-License-Identifier: MIT\nReleased under the MIT License.", licenses.TEXTS["BSD-3-Clause"].upper()]
+    source = "#!/bin/sh\n# Copyright (c) 1999 Other\n" + "\n".join("# " + line for line in mit.split("\n")[4:]) + "\n\nrun --now\n/* " + bsd.replace(". ", ".\n * ") + " */ end"
+    rows = [mit, changed, "prose\nLicensed under the Apache Licence, version 2.0\nmore", "about a license", None, "", mit + " extra", "SPDX-License-Identifier: MIT\nReleased under the MIT License.", bsd.upper(), source, licenses.TEXTS["MIT"][2].rstrip(".") + "s"]
     got = answers(rows)
-    assert [got[i].license_id for i in range(9)] == ["MIT", "MIT", None, None, None, None, None, None, "BSD-3-Clause"]
+    assert [got[i].license_id for i in range(11)] == ["MIT", "MIT", None, None, None, None, None, None, "BSD-3-Clause", None, None]
+    assert [got[i].embedded for i in range(11)] == ["MIT", "MIT", "", "", "", "", "MIT", "", "BSD-3-Clause", "BSD-3-Clause,MIT", ""]
     assert got[2].notices == "Apache-2.0" and got[7].notices == "MIT" and got[7].n_notices == 2 and got[3].n_notices == 0
     assert got[0].canonical_sha256 == got[1].canonical_sha256 and got[4].canonical_sha256 == got[5].canonical_sha256
     known = licenses.catalogue(spark)
@@ -110,5 +113,20 @@ def test_licence_texts_and_notices(answers, spark):
 def test_every_known_text_has_an_anchor():
     import re
 
-    for text in [t for x in licenses.NOTICES.values() for t in x] + list(licenses.TEXTS.values()):
+    for text in [t for known in (licenses.NOTICES, licenses.TEXTS) for x in known.values() for t in x]:
         assert re.search(licenses.ANCHORS, text)
+
+
+SHARED = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(SHARED), reason="no licence texts here")
+def test_long_licences(answers):
+    read = lambda name: open(f"{SHARED}/{name}", encoding="utf-8", errors="replace").read()  # noqa: E731, SIM115
+    names = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    texts = [read(name) for name in names]
+    end = "END OF TERMS AND CONDITIONS"
+    got = answers([*texts, *(t[: t.index(end) + len(end)] if end in t else t for t in texts), "x\n// " + "\n// ".join("\n\n".join(texts).split("\n"))])
+    n = len(texts)
+    assert [got[i].license_id for i in range(n)] == [got[i].license_id for i in range(n, 2 * n)] == list(names.values())
+    assert set(got[2 * n].embedded.split(",")) == set(names.values())
