@@ -49,7 +49,7 @@ def score(sources: DataFrame, records: DataFrame) -> DataFrame:
 def fake_answers(sources: DataFrame) -> DataFrame:
     """id, n, json: what a deterministic stand-in for a model says of each source."""
     said = F.regexp_extract("source", r"(?m)^Uses Claude to .+$", 0)
-    lines = F.filter(F.transform(F.split("source", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("source", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     use = F.when(said != "", said).otherwise(F.substring(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), 1, 120))
     quotes = F.when(use != "", F.array(F.struct(F.lit("stated purpose").alias("name"), F.substring(use, 1, MOST_QUOTE).alias("evidence_quote")))).otherwise(F.array().cast("array<struct<name:string,evidence_quote:string>>"))
     record = F.struct("id", use.alias("use_case"), F.lit("fixture").alias("domain_guess"), F.lower(use).contains("novel").alias("non_coding"), quotes.alias("techniques_described"))
