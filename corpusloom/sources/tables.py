@@ -40,24 +40,36 @@ def schema(table: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors must share. Where it is unset, a new folder if driver and executors are one
+    process (tests), else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back, so that its lineage ends there."""
+    """df written to the shared folder and read back, so that its lineage ends there. Its shuffle files go at once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(cleanup) if was is None else spark.conf.set(cleanup, was)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path for it."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
@@ -74,13 +86,13 @@ class Store:
 
     def read(self, table: str) -> DataFrame:
         """All parts; an empty frame with the schema where there are none."""
-        fs, path = _fs(self.spark, self._at(table))
+        fs, path = file_system(self.spark, self._at(table))
         if not fs.exists(path) or not self.parts(table):
             return self.spark.createDataFrame([], schema(table))
         return self.spark.read.schema(schema(table) + ", part string").parquet(self._at(table)).drop("part")
 
     def parts(self, table: str) -> set[str]:
-        fs, path = _fs(self.spark, self._at(table))
+        fs, path = file_system(self.spark, self._at(table))
         return {s.getPath().getName().removeprefix("part=") for s in fs.listStatus(path)} if fs.exists(path) else set()
 
     def write_part(self, table: str, part: str, rows: DataFrame) -> int:
@@ -93,11 +105,11 @@ class Store:
         return self.spark.read.schema(wanted).parquet(self._at(table, part)).count()
 
     def delete_part(self, table: str, part: str) -> None:
-        fs, path = _fs(self.spark, self._at(table, part))
+        fs, path = file_system(self.spark, self._at(table, part))
         fs.delete(path, True)
 
     def clear(self, table: str) -> None:
-        fs, path = _fs(self.spark, self._at(table))
+        fs, path = file_system(self.spark, self._at(table))
         fs.delete(path, True)
 
     def views(self) -> SparkSession:
