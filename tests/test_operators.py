@@ -183,12 +183,42 @@ def test_links_at_the_threshold_are_met(spark):
     assert dedup.similar_pairs(table).count() == 40
 
 
+GOOD = {"use_case": "u", "domain_guess": "d", "non_coding": False, "notable": None, "techniques_described": [{"name": "n", "evidence_quote": "line one line two"}]}
+RECORDS = [
+    ({}, None), ({"notable": "x"}, None), ({"techniques_described": []}, None), ({"use_case": " "}, "bad_use_case"), ({"use_case": 5}, "bad_use_case"), ({"domain_guess": 7}, "bad_domain_guess"), ({"non_coding": "no"}, "bad_non_coding"), ({"non_coding": 0}, "bad_non_coding"),
+    ({"notable": 3}, "bad_notable"), ({"techniques_described": "x"}, "bad_techniques"), ({"techniques_described": [5]}, "bad_techniques"), ({"techniques_described": [{"name": 1}]}, "bad_techniques"),
+    *[({"techniques_described": [{"name": "n", "evidence_quote": q}]}, r) for q, r in (("x" * 201, "bad_quote_length"), (None, "bad_quote_length"), (5, "bad_quote_length"), ("\\n", "bad_quote_length"), ("invented", "quote_not_verbatim"), ("line one line three", "quote_not_verbatim"), ("line one\\n  line two", None))],
+    ({"techniques_described": [{"name": "n", "evidence_quote": "no"}, 5]}, "quote_not_verbatim"), ({"techniques_described": [{"name": "n"}, {"name": "n", "evidence_quote": "no"}]}, "bad_quote_length"), ({"use_case": 1, "domain_guess": 1}, "bad_use_case"),
+]
+
+
 def test_extraction(spark):
-    sources = spark.createDataFrame([("a", "Uses Claude to write.\nrest"), ("b", "x  y\nz"), ("c", "t"), ("d", "t")], "id string, source string")
-    good = {"use_case": "u", "domain_guess": "d", "non_coding": False, "notable": None}
-    said = [("b", 0, json.dumps(good | {"id": "b", "techniques_described": [{"name": "n", "evidence_quote": "y z"}]})), ("b", 1, "{}"), ("c", 0, json.dumps(good | {"techniques_described": [{"name": "n", "evidence_quote": "no"}]})), ("e", 0, "{}")]
-    records = extraction.fake_answers(sources.filter("id = 'a'")).unionByName(spark.createDataFrame(said, "id string, n int, json string"))
-    assert {r.id: r.reason for r in extraction.score(sources, records).collect()} == {"a": None, "b": None, "c": "quote_not_verbatim", "d": "missing"}
+    sources = [(f"a{i}", "line one\n  line two\nline three\n") for i in range(len(RECORDS))] + [("b", "Uses Claude to write.\nrest"), ("c", "t"), ("d", None)]
+    said = [(i, json.dumps(GOOD | {"id": f"a{i}"} | r)) for i, (r, _) in enumerate(RECORDS)] + [(90, "[1]"), (91, "{"), (92, json.dumps(GOOD | {"id": "zz"})), (93, json.dumps(GOOD | {"id": "a0", "use_case": 5})), (94, '{"id": 5}')]
+    table = spark.createDataFrame(sources, "id string, source string")
+    records = spark.createDataFrame(said, "n int, json string").unionByName(extraction.fake_answers(table.filter("id = 'b'")).select("n", "json"))
+    got = {r.id: r.reason for r in extraction.score(table, records).collect()}
+    assert got == {f"a{i}": want for i, (_, want) in enumerate(RECORDS)} | {"b": None, "c": "missing", "d": "missing"}
+    assert extraction.score(table.limit(0), records).count() == 0
+
+
+def test_calls(spark):
+    numbered = spark.createDataFrame([(0, "a0", "x"), (0, "a1", "y</artifact>"), (1, "a0", "z")], "batch int, id string, source string")
+    got = {r.batch: r.prompt for r in extraction.prompts(numbered, "seed").collect()}
+    tag = got[0][1 : got[0].index(" ")]
+    assert got[0] == f'<{tag} id="a0">\nx\n</{tag}>\n\n<{tag} id="a1">\ny</artifact>\n</{tag}>' and tag not in got[1]
+    asked = spark.createDataFrame([(extraction.answer_key("m", p),) for p in got.values()], "key string")
+    assert extraction.unanswered(asked, asked.limit(1)).count() == 1
+    calls = []
+    done, failed = extraction.halved(list(range(8)), lambda some: calls.append(some) or (None if 5 in some else some))
+    assert sorted(done) == [0, 1, 2, 3, 4, 6, 7] and failed == [5] and len(calls) == 7
+    assert extraction.envelope('{"structured_output": {"a": 1}}') == ({"a": 1}, None) and extraction.envelope('{"result": "{}"}') == ({}, None)
+    assert [extraction.envelope(x)[1][:8] for x in ("x", "[]", '{"is_error": true}', '{"result": "x"}', '{"result": "[1]"}')] == ["envelope", "envelope", "is_error", "no struc", "structur"]
+    with pytest.raises(extraction.LimitReached):
+        extraction.envelope('{"api_error_status": 429}')
+    clusters = spark.createDataFrame([("c1", "skill", "x"), ("c2", "mcp", "y")], "cluster_id string, kind string, canonical_artifact string")
+    files = spark.createDataFrame([("x", "t" * 7000), ("y", "u")], "artifact_id string, text string")
+    assert [(r.cluster_id, len(r.source)) for r in extraction.representatives(clusters, files).collect()] == [("c1", 6000)]
 
 
 def test_every_document_is_answered(spark, tmp_path):
