@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import materialise, read
 
 PERCENT = 80
-SKETCH = 1 << 16
+SKETCH = 1 << 17
 #: Rows of 24 bytes that may be broadcast to pick lines out; more are joined by shuffles.
 BROADCAST_ROWS = 1 << 20
 #: Bits of a word's hash that are kept, 31 at most.
@@ -123,9 +123,10 @@ def _shared(percent: int, n: Column, m: Column) -> Column:
 
 
 def _may(percent: int, n: Column, m: Column) -> Column:
-    """The length filter, and the bound on what only one of the sets has."""
+    """The bound on what only one of the sets has, first without rounding, as most pairs fail it, and the length filter."""
     apart = F.bit_count(F.col("a_p1").bitwiseXOR(F.col("b_p1"))) + F.bit_count(F.col("a_p2").bitwiseXOR(F.col("b_p2")))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= n + m - 2 * _shared(percent, n, m))
+    most = (100 - percent) * (n + m)
+    return ((100 + percent) * apart <= most) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= n + m - 2 * _shared(percent, n, m))
 
 
 def _first_pairs(classes: DataFrame, percent: int) -> DataFrame:
