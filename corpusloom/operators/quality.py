@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,11 +62,32 @@ def dangling(child: DataFrame, column: str, parent: DataFrame, key: str) -> Data
     return child.filter(F.col(column).isNotNull()).join(parent.select(F.col(key).alias(column)).distinct(), column, "left_anti")
 
 
-def freeze(tables: dict[str, DataFrame], unique: dict[str, list[str]], refs: list[tuple[str, str, str, str]], version: int) -> dict:
-    """The manifest of an edition; a ValueError names what stands against it."""
-    against = [f"{t}: {n} repeated keys" for t, keys in unique.items() if (n := duplicates(tables[t], keys).count())]
-    against += [f"{a}.{x}: {n} without {b}" for a, x, b, y in refs if (n := dangling(tables[a], x, tables[b], y).count())]
+def violations(tables: dict[str, DataFrame], unique: dict[str, list[str]], refs: list[tuple[str, str, str, str]]) -> list[tuple[str, int]]:
+    """(rule, number) of keys that repeat and of references to nothing; empty tables have none."""
+    found = [(f"{t}: repeated keys", duplicates(tables[t], keys).count()) for t, keys in unique.items()]
+    return found + [(f"{a}.{x}: without {b}", dangling(tables[a], x, tables[b], y).count()) for a, x, b, y in refs]
+
+
+def freeze(tables: dict[str, DataFrame], unique: dict[str, list[str]], refs: list[tuple[str, str, str, str]], version: int, stored: DataFrame | None = None, pending: int = 0) -> dict:
+    """The manifest of an edition; a ValueError names what stands against it. stored: blobs with the version they were redacted
+    under; pending: inputs that are not parsed yet."""
+    against = [f"{rule} ({n})" for rule, n in violations(tables, unique, refs) if n]
+    if stored is not None and (stale := stored.filter(F.col("version") < version).count()):
+        against.append(f"{stale} blobs redacted under an older version")
+    if pending:
+        against.append(f"{pending} inputs not parsed")
     if against:
         raise ValueError("; ".join(against))
     hashes = {t: content_hash(df) for t, df in sorted(tables.items())}
-    return {"redact_version": version, "tables": hashes}
+    return {"redact_version": version, "tables": hashes, "edition_hash": hashlib.sha256(repr((version, sorted(hashes.items()))).encode()).hexdigest()}
+
+
+def approved(ids: DataFrame, labels: DataFrame) -> DataFrame:
+    """ids: id. labels: id (or * for all), label, status. id, label, status of the approved one, else of the wildcard's, else
+    draft; a digit in an approved label is an error."""
+    digit = F.raise_error(F.concat(F.lit("a digit in the label of "), F.col("id")))
+    good = labels.filter("status = 'approved'").withColumn("label", F.when(F.col("label").rlike("[0-9]"), digit.cast("string")).otherwise(F.col("label")))
+    own = good.filter("id != '*'").select("id", F.col("label").alias("own"))
+    other = good.filter("id = '*'").agg(F.max("label").alias("other"))  # one row
+    told = ids.join(own, "id", "left").join(F.broadcast(other))
+    return told.select("id", F.coalesce("own", "other").alias("label"), F.when(F.coalesce("own", "other").isNull(), "draft").otherwise("approved").alias("status"))

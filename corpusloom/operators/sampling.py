@@ -61,3 +61,37 @@ def numbered(rows: DataFrame, key: str, size: int) -> DataFrame:
     place = parts.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1)
     counts = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return place.join(F.broadcast(counts.drop("n")), "__p").withColumn("batch", F.floor((F.col("__i") + F.col("__before")) / size)).drop("__p", "__i", "__before")
+
+
+#: What a page holds, and pages that a capped node costs.
+PAGE, CAPPED_PAGES = 100, 10
+
+
+def totals(nodes: DataFrame, remaining: float = 0.0) -> DataFrame:
+    """One row of a lattice's nodes (total, kind): leaf_sum, overflows, fetch_requests, and projected_nodes if ``remaining`` more
+    files are found as the leaves' were."""
+    leaf = F.col("kind") == "leaf"
+    found = nodes.agg(
+        F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum(F.when(leaf, F.col("total"))), F.lit(0)).alias("leaf_sum"), F.count(F.when(~leaf, 1)).alias("overflows"),
+        F.coalesce(F.sum(F.when(leaf, F.ceil(F.col("total") / PAGE)).otherwise(CAPPED_PAGES)), F.lit(0)).cast("bigint").alias("fetch_requests"),
+    )
+    return found.withColumn("projected_nodes", F.col("nodes") * (1 + F.try_divide(F.lit(float(remaining)), F.col("leaf_sum"))))
+
+
+def stratified(rows: DataFrame, key: str, size: str, stratum: str, total: int, per_window: int = 10) -> DataFrame:
+    """A sample of about ``total`` rows: each stratum gets its share (largest remainder), drawn from windows of sizes that are
+    equally wide in the logarithm, ``per_window`` at a time, in an order by the key's hash."""
+    counts = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.agg(F.sum("n").alias("s")).first().s or 0
+    raw = [(r[stratum], total * r.n / max(whole, 1)) for r in counts.collect()]  # a row for each stratum
+    quota = {k: int(x) for k, x in raw}
+    for k, _ in sorted(raw, key=lambda kx: (int(kx[1]) - kx[1], str(kx[0])))[: min(total, whole) - sum(quota.values())]:
+        quota[k] += 1
+    window = F.floor(F.log10(F.greatest(F.col(size), F.lit(1)).cast("double")) * 4)
+    drawn = rows.withColumn("__window", window).withColumn("__hash", F.xxhash64(F.col(key).cast("string"), F.lit(7)))
+    inside = Window.partitionBy(stratum, "__window").orderBy("__hash", key)
+    drawn = drawn.withColumn("__turn", F.floor((F.row_number().over(inside) - 1) / per_window))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("__turn", "__window", "__hash", key))
+    table = rows.sparkSession.createDataFrame(list(quota.items()) or [(None, 0)], f"__s {rows.schema[stratum].dataType.simpleString()}, __quota int")
+    told = drawn.withColumn("__place", place).join(F.broadcast(table), F.col(stratum).eqNullSafe(F.col("__s"))).filter("__place <= __quota")
+    return told.select(*rows.columns)

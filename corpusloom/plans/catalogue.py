@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from . import harness, operators, records
 from .dialect import Sql
 from .facts import FACTS, JOURNAL, QUALITY
-from .operators import QUERIES
 from .texts import NUMBERS, TEXTS
 
 
-def _all() -> dict[str, Sql]:
+def _texts() -> dict[str, Sql]:
     return FACTS | QUALITY | JOURNAL | TEXTS | NUMBERS
 
 
+def _runs() -> dict:
+    return operators.QUERIES | harness.QUERIES | records.QUERIES
+
+
 def queries() -> dict:
-    return _all() | {name: run for name, (run, _) in QUERIES.items()}
+    return _texts() | {name: run for name, (run, _) in _runs().items()}
 
 
 def oracle_sql() -> dict:
-    return {name: q.duck() for name, q in _all().items()} | {name: sql for name, (_, sql) in QUERIES.items() if sql}
+    return {name: q.duck() for name, q in _texts().items()} | {name: sql for name, (_, sql) in _runs().items() if sql}

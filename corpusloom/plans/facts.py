@@ -69,8 +69,6 @@ journal AS (SELECT CAST(ts AS DATE) AS day, count(*) AS promised FROM {{events}}
 SELECT CAST(coalesce(p.day, j.day) AS STRING) AS part, coalesce(found, 0) AS found, coalesce(promised, 0) AS promised,
   CASE WHEN j.day IS NULL THEN 'orphan' WHEN p.day IS NULL THEN 'missing' WHEN found < promised THEN 'short' WHEN found > promised THEN 'long' ELSE 'ok' END AS state
 FROM parts p FULL OUTER JOIN journal j ON p.day = j.day"""),
-    "edition_hash": Sql(lambda d: f"""SELECT {d.sha(d.sorted_set(d.sha("concat_ws('|', CAST(n_nationkey AS STRING), n_name, CAST(n_regionkey AS STRING))")))} AS content_hash FROM {{nation}}"""),
-    "fact_shape": Sql(lambda d: "SELECT count(*) AS n_rows, count(*) = 1 AS is_scalar FROM (SELECT DISTINCT r_name FROM {region}) x"),
     "privacy_projection": Sql(lambda d: f"""WITH {views(d)}, {features(d)}
 SELECT artifact_id, technique_id, CASE WHEN technique_id IN ('secret_like', 'email', 'phone') THEN NULL ELSE repo END AS repo,
   CASE WHEN technique_id IN ('secret_like', 'email', 'phone') THEN {d.first("path", "[^/]+$")} ELSE path END AS path FROM features"""),
@@ -80,8 +78,9 @@ JOURNAL = {
     "journal_rollup": Sql(lambda d: """SELECT event_type AS stage, count(DISTINCT user_id) AS units, count(DISTINCT CAST(ts AS DATE)) AS parts, count(*) AS n_rows
 FROM {events} GROUP BY event_type"""),
     "attempts_last": Sql(lambda d: "SELECT user_id AS unit, count(*) AS attempts, CAST(max(ts) AS STRING) AS last_at FROM {events} WHERE event_type = 'click' GROUP BY user_id".replace("CAST(max(ts) AS STRING)", d.epoch("max(ts)"))),
-    "pending_units_anti": Sql(lambda d: """SELECT DISTINCT e.user_id AS unit FROM {events} e
-WHERE NOT EXISTS (SELECT 1 FROM {events} f WHERE f.user_id = e.user_id AND f.event_type = 'purchase')"""),
+    "pending_units_anti": Sql(lambda d: """WITH units AS (SELECT DISTINCT user_id, CAST(CAST(ts AS DATE) AS STRING) AS day FROM {events}),
+done AS (SELECT DISTINCT user_id, CAST(CAST(ts AS DATE) AS STRING) AS day FROM {events} WHERE event_type = 'purchase')
+SELECT u.user_id AS unit, u.day FROM units u WHERE NOT EXISTS (SELECT 1 FROM done f WHERE f.user_id = u.user_id AND f.day = u.day)"""),
     "retry_gap_filter": Sql(lambda d: f"""WITH last_try AS (SELECT user_id, max(ts) AS last_at FROM {{events}} WHERE event_type = 'click' GROUP BY user_id),
 clock AS (SELECT max(ts) AS now_at FROM {{events}})
 SELECT user_id AS unit FROM last_try CROSS JOIN clock WHERE {d.epoch('now_at')} - {d.epoch('last_at')} >= 3600"""),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import parse, redact
-from corpusloom.operators import dedup, extraction, graph, sampling, vectors
+from corpusloom.functions import parse
+from corpusloom.operators import dedup, graph, sampling, vectors
 from corpusloom.sources.tables import settled
 from corpusloom.streaming import runner
 
@@ -65,11 +65,6 @@ s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT doc_id AS node,
 SELECT node, min(root) AS root FROM r GROUP BY node"""
 
 
-def redact_gated(spark, sf_dir):
-    done = redact.redact(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", F.sha2("text", 256).alias("clean_sha"), F.coalesce(F.element_at("counts", "assigned_secret"), F.lit(0)).alias("assigned"), F.coalesce(F.aggregate(F.map_values("counts"), F.lit(0).cast("bigint"), lambda a, b: a + b), F.lit(0)).alias("n"))
-
-
 def parse_documents(spark, sf_dir):
     files = _read(spark, sf_dir, "documents").filter("text is not null").select(F.concat("lang", F.lit("/"), "source").alias("repo"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/CLAUDE.md")).alias("path"), F.lit("claude_md").alias("kind"), "text")
     done = parse.parse(files)
@@ -153,11 +148,6 @@ FROM r a LEFT JOIN r p ON p.level = a.level + 1 AND p.low = (a.low // CAST(pow(2
 WHERE (a.total <= 40 OR a.level = 0) AND coalesce(p.total, 41) > 40"""
 
 
-def extraction_score(spark, sf_dir):
-    sources = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("source"))
-    return extraction.score(sources, extraction.fake_answers(sources)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-
-
 def batch_numbers(spark, sf_dir):
     return sampling.numbered(_read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 500)
 
@@ -189,7 +179,6 @@ QUERIES = {
     "mutation_class": (dedup_part("mutations"), None),
     "shingle_jaccard_pairs": (shingle_jaccard_pairs, SHINGLE_SQL),
     "connected_components": (connected_components, COMPONENTS_SQL),
-    "redact_gated": (redact_gated, None),
     "parse_documents": (parse_documents, PARSE_SQL),
     "hash_embed": (hash_embed, HASH_SQL),
     "nn_distance": (nn_distance, NN_SQL),
@@ -197,7 +186,6 @@ QUERIES = {
     "centroid_assign": (centroid_assign, CENTROID_SQL),
     "density_groups": (density_groups, DENSITY_SQL),
     "size_bisection_lattice": (size_bisection_lattice, LATTICE_SQL),
-    "extraction_score": (extraction_score, None),
     "batch_numbers": (batch_numbers, "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS batch FROM orders"),
     "tumbling_window": (windows("1 hour"), _HOUR),
     "sliding_window": (windows("1 hour", "30 minutes"), _SLIDE),

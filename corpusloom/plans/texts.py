@@ -5,27 +5,6 @@ from __future__ import annotations
 from .adapters import artifacts, features, views
 from .dialect import Spark, Sql
 
-# Secret shapes without gates or look-behind, as pattern groups (kept before)(secret)(kept after).
-UNGATED = {
-    "jwt": "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}",
-    "github_token": "gh[pousr]_[A-Za-z0-9]{36,}",
-    "github_pat": "github_pat_[A-Za-z0-9_]{22,}",
-    "stripe_key": "[sr]k_(live|test)_[A-Za-z0-9]{16,}",
-    "huggingface_token": "hf_[A-Za-z0-9]{30,}",
-    "aws_access_key": "(AKIA|ASIA)[0-9A-Z]{16}",
-    "slack_token": "xox[abprs]-[A-Za-z0-9-]{10,}",
-    "google_api_key": "AIza[0-9A-Za-z_-]{35}",
-    "bearer": "[Bb]earer +[A-Za-z0-9._-]{20,}",
-}
-
-
-def _redacted(d: Spark) -> str:
-    x = "text"
-    for rule, pattern in UNGATED.items():
-        x = d.replace(x, pattern, f"[REDACTED:{rule}]")
-    return x
-
-
 def _norm(d: Spark, x: str) -> str:
     return f"trim({d.replace(f'lower({x})', '[ 	\\n\\r\\f]+', ' ')})"
 
@@ -53,40 +32,14 @@ SELECT doc_id, path, CASE
   WHEN path LIKE '.claude/agents/%' AND path LIKE '%.md' THEN 'agent'
   WHEN path LIKE '.claude/commands/%' AND path LIKE '%.md' THEN 'command'
   WHEN path LIKE '.claude/hooks/%' THEN 'hook' WHEN path LIKE '.claude/%' THEN 'other_claude' END AS kind FROM p"""),
-    "skip_reason": Sql(lambda d: """SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THEN 'not_fetched_kind' WHEN text LIKE '%|%' THEN 'binary'
-  WHEN length(text) > 20000 THEN 'too_large' WHEN l.doc_id2 IS NULL THEN 'missing' END AS skip_reason
-FROM {documents} t LEFT JOIN (SELECT DISTINCT doc_id AS doc_id2 FROM {labels}) l ON t.doc_id = l.doc_id2"""),
-    "text_kind_filter": Sql(lambda d: "SELECT lang AS kind, count(*) AS n, sum(n_chars) AS chars FROM {documents} WHERE lang IN ('en', 'de') GROUP BY lang".replace("sum(n_chars)", "CAST(sum(n_chars) AS BIGINT)")),
     "exact_clusters": Sql(lambda d: f"""WITH {artifacts(d)} SELECT concat('c-', substr({d.sha("concat(kind, ':', blob_sha)")}, 1, 16)) AS cluster_id, kind, count(*) AS size, min(doc_id) AS canonical
 FROM artifacts GROUP BY kind, blob_sha"""),
-    "normalized_clusters": Sql(lambda d: f"""WITH {artifacts(d)}, n AS (SELECT kind, doc_id, {d.sha(_norm(d, 'text'))} AS norm_sha FROM artifacts)
-SELECT kind, norm_sha, count(*) AS size, min(doc_id) AS canonical FROM n GROUP BY kind, norm_sha"""),
     "origin_lineage": Sql(lambda d: f"""WITH {views(d)}, m AS (SELECT a.artifact_id, a.kind, a.blob_sha, a.repo, r.created_at,
   row_number() OVER (PARTITION BY a.kind, a.blob_sha ORDER BY coalesce(r.created_at, '9999'), a.repo, a.path) AS place,
   count(*) OVER (PARTITION BY a.kind, a.blob_sha) AS size FROM artifacts a LEFT JOIN repos r ON a.repo = r.repo)
 SELECT concat('c-', substr({d.sha("concat(kind, ':', blob_sha)")}, 1, 16)) AS cluster_id, artifact_id AS canonical_artifact, repo AS origin_repo, size FROM m WHERE place = 1"""),
-    "family_key": Sql(lambda d: f"""WITH {artifacts(d)} SELECT artifact_id, CASE WHEN {d.matches('text', '^[A-Z][^\\n]{0,20}[.]')} THEN {d.replace("lower(trim(" + d.first('text', '^([A-Z][^\\n.]{0,20})[.]', 1) + "))", "[ 	]+", "-")}
-  ELSE lower({d.first('path', '([^/]+)[.]md$', 1)}) END AS family_key FROM artifacts"""),
-    "redact_ungated": Sql(lambda d: f"WITH {artifacts(d)}, r AS (SELECT doc_id, {_redacted(d)} AS clean FROM artifacts) SELECT doc_id, {d.sha('clean')} AS clean_sha, {d.size(d.found('clean', '\\[REDACTED:[a-z_]+\\]'))} AS n FROM r"),
-    "entropy": Sql(
-        lambda d: f"""WITH {artifacts(d)}, w AS (SELECT doc_id, explode({d.found('text', '(password|passwd|secret|token|api_?key) ?[:=] ?([A-Za-z0-9+/_.=-]+)', 2)}) AS v FROM artifacts),
-c AS (SELECT doc_id, v, explode(split(v, '')) AS ch FROM w), k AS (SELECT doc_id, v, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY doc_id, v, ch)
-SELECT doc_id, v, round(-sum((n / t) * log2(n / t)), 9) AS entropy FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id, v) AS DOUBLE) AS t FROM k) x GROUP BY doc_id, v""",
-        lambda d: f"""WITH {artifacts(d)}, w AS (SELECT doc_id, unnest({d.found('text', '(password|passwd|secret|token|api_?key) ?[:=] ?([A-Za-z0-9+/_.=-]+)', 2)}) AS v FROM artifacts),
-c AS (SELECT doc_id, v, unnest(string_split(v, '')) AS ch FROM w), k AS (SELECT doc_id, v, ch, count(*) AS n FROM c GROUP BY doc_id, v, ch)
-SELECT doc_id, v, round(-sum((n / t) * log2(n / t)), 9) AS entropy FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id, v) AS DOUBLE) AS t FROM k) x GROUP BY doc_id, v""",
-    ),
-    "heading_scan": Sql(lambda d: f"""WITH {artifacts(d)}, l AS ({d.lines_of('artifacts', 'doc_id', 'text')})
-SELECT doc_id, n AS line, length({d.first('line', '^(#{1,6})[ ]+', 1)}) AS level, {d.first('line', '^#{1,6}[ ]+(.+?) *#* *$', 1)} AS heading FROM l WHERE {d.matches('line', '^#{1,6}[ ]+[^ ]')}
-UNION ALL SELECT doc_id, n, 0, substr(line, 1, 40) FROM l WHERE n = 1"""),
-    "fence_blocks": Sql(lambda d: f"""WITH {artifacts(d)}, l AS ({d.lines_of('artifacts', 'doc_id', 'text')}),
-f AS (SELECT doc_id, n, line, sum(CASE WHEN line LIKE '%|%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS fences FROM l)
-SELECT doc_id, count(*) FILTER (WHERE fences % 2 = 1) AS inside, count(*) FILTER (WHERE fences % 2 = 0) AS outside, CAST(max(fences) AS BIGINT) AS fences FROM f GROUP BY doc_id"""),
-    "import_scan": Sql(lambda d: f"""WITH {artifacts(d)}, i AS (SELECT doc_id, {d.explode(d.found('text', '[A-Za-z0-9._-]+@([A-Za-z0-9-]+[.][A-Za-z.-]+)', 1))} AS target FROM artifacts)
-SELECT doc_id, {d.replace('target', '[.]+$', '')} AS target, count(*) AS n FROM i GROUP BY doc_id, {d.replace('target', '[.]+$', '')}"""),
     "line_of": Sql(lambda d: f"""WITH {artifacts(d)}, l AS ({d.lines_of('artifacts', 'doc_id', 'text')}) SELECT doc_id, min(n) AS line FROM l WHERE line LIKE '%icensed under%' GROUP BY doc_id"""),
     "url_host": Sql(lambda d: f"""SELECT page_id, lower({d.first('url', '^[a-z]+://([^/:?#]+)', 1)}) AS host, {d.first('url', '^[a-z]+://[^/]+([^?#]*)', 1)} AS path FROM {{pages}}"""),
-    "json_settings_keys": Sql(lambda d: f"SELECT event_id, CAST({d.json('props', '$.k')} AS BIGINT) AS k, {d.json('props', '$.missing')} AS missing FROM {{events}}"),
     "digits_scan": Sql(lambda d: f"""WITH b AS (SELECT page_id, {d.replace('html', '<[^>]*>', ' ')} AS copy FROM {{pages}}) SELECT page_id, {d.size(d.found('copy', '[0-9]+'))} AS digit_runs FROM b"""),
     "digit_names": Sql(lambda d: f"SELECT p_brand AS name, count(*) AS n FROM {{part}} WHERE NOT {d.matches('p_type', '[0-9]')} GROUP BY p_brand"),
     "quote_in_source": Sql(
@@ -98,9 +51,6 @@ UNION SELECT q.item_id, s.doc_id FROM q JOIN s ON contains(s.t, q.t) WHERE size(
         lambda d: f"""WITH {artifacts(d)}, s AS (SELECT doc_id, {_norm(d, 'text')} AS t FROM artifacts), q AS (SELECT item_id, {_norm(d, 'text')} AS t FROM {{benchmark}})
 SELECT item_id, doc_id FROM q JOIN s ON contains(s.t, q.t) WHERE q.t <> ''""",
     ),
-    "validate_first_reason": Sql(lambda d: """WITH r AS (SELECT c.*, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS seen FROM {conversations} c)
-SELECT conv_id, turn, CASE WHEN text IS NULL OR trim(text) = '' THEN 'bad_use_case' WHEN role NOT IN ('user', 'assistant') THEN 'bad_domain_guess'
-  WHEN length(text) > 1500 THEN 'bad_quote_length' WHEN text NOT LIKE '%.%' THEN 'quote_not_verbatim' END AS reason FROM r WHERE seen = 1"""),
     "score_missing": Sql(lambda d: """SELECT d.doc_id, CASE WHEN l.doc_id2 IS NULL THEN 'missing' ELSE 'seen' END AS state FROM {documents} d
 LEFT JOIN (SELECT DISTINCT doc_id AS doc_id2 FROM {labels}) l ON d.doc_id = l.doc_id2"""),
     "kappa": Sql(lambda d: _KAPPA),
@@ -111,11 +61,8 @@ SELECT round(tp / nullif(tp + fp, 0), 9) AS precision_, round(tp / nullif(tp + f
     "top3_evidence": Sql(lambda d: f"""WITH {views(d)}, {features(d)}, ranked AS (SELECT technique_id, artifact_id, f.repo, coalesce(r.stars, 0) AS stars,
   row_number() OVER (PARTITION BY technique_id ORDER BY coalesce(r.stars, 0) DESC, f.repo, f.path) AS place FROM features f JOIN v_repos r ON f.repo = r.repo)
 SELECT technique_id, place, artifact_id, repo, stars FROM ranked WHERE place <= 3"""),
-    "first_evidence": Sql(lambda d: f"""WITH {artifacts(d)}, {features(d)} SELECT artifact_id, min(technique_id) AS first_technique, count(*) AS n FROM features GROUP BY artifact_id"""),
     "richest_harness": Sql(lambda d: f"""WITH {views(d)}, {features(d)} SELECT f.repo, count(DISTINCT technique_id) AS kinds, max(r.stars) AS stars FROM features f JOIN v_repos r ON f.repo = r.repo
 GROUP BY f.repo ORDER BY kinds DESC, stars DESC, f.repo LIMIT 1"""),
-    "glyph_counts": Sql(lambda d: f"""WITH {artifacts(d)} SELECT repo, round(log10(1 + max(length(text))), 9) AS log_length, count(*) FILTER (WHERE text LIKE '%|%') AS tables,
-  CAST(sum({d.size(d.found('text', 'https?://'))}) AS BIGINT) AS links, CAST(sum(CASE WHEN text LIKE '%*%' THEN 2 ELSE 1 END) AS DOUBLE) AS breadth FROM artifacts GROUP BY repo"""),
     "example_names": Sql(lambda d: f"""WITH {artifacts(d)}, c AS (SELECT repo, substr(text, 1, 20) AS name, count(*) AS n, min(doc_id) AS first_doc FROM artifacts GROUP BY repo, substr(text, 1, 20)),
 r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, first_doc) AS place FROM c) SELECT repo, place, name, n FROM r WHERE place <= 5"""),
     "excerpt_clip": Sql(lambda d: f"""WITH {artifacts(d)}, l AS ({d.lines_of('artifacts', 'doc_id', 'text')}) SELECT doc_id, count(*) AS shown, CAST(sum(length(substr(line, 1, 200))) AS BIGINT) AS chars FROM l WHERE n <= 25 GROUP BY doc_id"""),
@@ -139,7 +86,4 @@ SELECT event_type, max(value) AS p90 FROM r WHERE place = CAST(floor(0.9 * (n -
 SELECT lang, n AS at, count(*) AS docs, round(CAST(count(DISTINCT text) AS DOUBLE) / count(*), 9) AS ratio FROM o JOIN (SELECT 100 AS n UNION ALL SELECT 250 UNION ALL SELECT 500) s ON place <= n GROUP BY lang, n"""),
     "upsert_by_key": Sql(lambda d: """WITH old AS (SELECT doc_id, quality FROM {labels}), new AS (SELECT doc_id, 9 AS quality FROM {labels} WHERE toxic = 1)
 SELECT o.doc_id, o.quality FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.doc_id = o.doc_id) UNION ALL SELECT doc_id, quality FROM new"""),
-    "approved_labels": Sql(lambda d: """WITH l AS (SELECT p_brand AS id, CASE WHEN p_size > 40 THEN 'approved' ELSE 'draft' END AS status FROM {part}), s AS (SELECT id, max(status) AS status, min(status) AS least FROM l GROUP BY id)
-SELECT n.n_name AS name, b.id, coalesce(CASE WHEN b.least = 'approved' THEN b.least END, '*') AS status FROM {nation} n JOIN s b ON n.n_nationkey = length(b.id)"""),
-    "lattice_totals": Sql(lambda d: """SELECT o_orderpriority AS seed, count(*) AS total, CAST(sum(ceil(o_totalprice / 1000)) AS BIGINT) AS requests FROM {orders} GROUP BY 1"""),
 }

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import parse, redact
 from corpusloom.operators import dedup, detect, extraction, quality, sampling, vectors
-from corpusloom.plans import operators
+from corpusloom.plans import operators, records
 from corpusloom.sources import tables
 from corpusloom.streaming import runner
 
@@ -224,7 +224,7 @@ def test_calls(spark):
 def test_every_document_is_answered(spark, tmp_path):
     spark.createDataFrame([(1, "Uses Claude to write."), (2, "x"), (3, "y"), (4, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    assert {r.reason: r.n for r in operators.extraction_score(spark, str(tmp_path)).collect()} == {None: 3, "bad_use_case": 1}
+    assert {r.reason: r.n for r in records.extraction_score(spark, str(tmp_path)).collect()} == {"accepted": 3, "bad_use_case": 1}
     sources = spark.createDataFrame([("a", "t"), ("b", "t")], "id string, source string")
     assert {r.id: r.reason for r in extraction.score(sources, extraction.fake_answers(sources.filter("id = 'a'"))).collect()} == {"a": None, "b": "missing"}
 
@@ -252,7 +252,15 @@ def test_quality(spark):
     assert quality.content_hash(a) == quality.content_hash(a.orderBy(F.desc("k"))) != quality.content_hash(b)
     with pytest.raises(ValueError, match="repeated"):
         quality.freeze({"t": a.union(a)}, {"t": ["k"]}, [], 1)
-    assert set(quality.freeze({"t": a}, {"t": ["k"]}, [], 1)) == {"redact_version", "tables"}
+    assert set(quality.freeze({"t": a}, {"t": ["k"]}, [], 1)) == {"redact_version", "tables", "edition_hash"}
+    old = spark.createDataFrame([("x", 0)], "oid string, version int")
+    with pytest.raises(ValueError, match="1 blobs.*2 inputs"):
+        quality.freeze({"t": a}, {"t": ["k"]}, [], 1, old, 2)
+    ids, labels = spark.createDataFrame([("a",), ("b",)], "id string"), [("a", "Own", "approved"), ("b", "Not yet", "draft")]
+    told = lambda rows: {r.id: (r.label, r.status) for r in quality.approved(ids, spark.createDataFrame(rows, "id string, label string, status string")).collect()}
+    assert told(labels) == {"a": ("Own", "approved"), "b": (None, "draft")} and told([*labels, ("*", "All", "approved")])["b"] == ("All", "approved")
+    with pytest.raises(Exception, match="a digit in the label"):
+        told([("a", "Top 5", "approved")])
 
 
 def test_sources(spark, tmp_path):
