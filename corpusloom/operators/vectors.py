@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.sources.tables import settled
@@ -12,6 +15,10 @@ from corpusloom.sources.tables import settled
 from .graph import components
 
 DIMENSIONS, ASSIGN, UNCHARTED, UNCHARTED_SIZE = 256, 0.7, 50, 3
+#: Fewer rows are clustered as they are; a group of names further than this from all techniques may be a new one.
+SMALL, CANDIDATE = 50, 0.6
+#: Cosines are trusted up to this.
+SLACK = 1e-12
 #: Vectors of a block; all blocks meet each other in tasks of their own.
 BLOCK = 4096
 
@@ -101,12 +108,157 @@ def assign_noise(rows: DataFrame, noise: DataFrame, key: str = "vec_id", vector:
     return asked.join(nearest, "row", "left").select(F.col("key").alias(key), label.alias("label"), F.col("m.similarity").alias("similarity"))
 
 
-def density_groups(rows: DataFrame, edges: DataFrame, key: str, least: int = 5) -> DataFrame:
-    """key, grp: components of close pairs with ``least`` members or more; others are noise (null). Stands in for density
-    clustering, whose libraries are absent."""
-    found = components(rows.select(F.col(key).alias("node")), edges)
-    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    return found.join(sizes, "root").select(F.col("node").alias(key), F.when(F.col("n") >= least, F.col("root")).alias("grp"))
+def reduce(rows: DataFrame, key: str, vector: str, dims: int = 5, few: int = SMALL) -> DataFrame:
+    """key, vector: the first principal directions of the vectors; the vectors themselves below ``few`` rows. Tasks sum up products
+    of components, so the driver gets a square of the vectors' length for each."""
+    n = rows.count()
+    size = rows.select(F.max(F.size(vector))).first()[0] or 0
+    if n < few or size <= dims:
+        return rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, square = np.zeros(size), np.zeros((size, size))
+        for batch in batches:
+            x = np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, size)
+            total, square = total + x.sum(0), square + x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([total, square.ravel()]).tobytes()], pa.binary())], ["sums"])
+
+    sums = sum((np.frombuffer(r.sums) for r in rows.select(vector).mapInArrow(run, "sums binary").toLocalIterator()), np.zeros(size + size * size))
+    mean = sums[:size] / n
+    values, axes = np.linalg.eigh(sums[size:].reshape(size, size) / n - np.outer(mean, mean))
+    axes = axes[:, np.argsort(-values)[:dims]]
+    axes *= np.sign(axes[np.abs(axes).argmax(0), np.arange(dims)])  # the largest entry of a direction is positive
+    shared = F.array(*[F.array(*[F.lit(float(v)) for v in axis]) for axis in axes.T])
+    offset = F.array(*[F.lit(float(v)) for v in mean @ axes])
+    wide = F.col(vector).cast("array<double>")
+    dot = F.transform(shared, lambda axis: F.aggregate(F.zip_with(wide, axis, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v))
+    return rows.select(F.col(key).alias("key"), F.zip_with(dot, offset, lambda p, q: p - q).alias("vector"))
+
+
+def _met(parts: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (grp, key, v, ...) dealt to the pairs of blocks of their group: g, i, j, mine and the columns."""
+    sizes = parts.groupBy(F.col("grp").alias("g")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    both = parts.join(sizes, F.col("grp").eqNullSafe(F.col("g"))).select("g", *columns, "blocks")
+    both = both.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return both.select("g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", *columns)
+
+
+def density(rows: DataFrame, key: str, vector: str, similarity: float, least: Column, within: Column | None = None) -> DataFrame:
+    """key, grp (the least core key of its cluster; null for noise), size. A core has ``least`` rows or more, itself among them,
+    at a cosine of ``similarity`` or more; linked cores make a cluster, other rows join their most similar core if it is as near,
+    and clusters of fewer than ``least`` rows are noise. Only rows with an equal ``within`` meet. Tasks compare two blocks and
+    return counts, spanning forests and best cores, so nothing grows with the number of pairs. Null and zero vectors are noise."""
+    group = F.lit(0) if within is None else within
+    wide = F.col(vector).cast("array<double>")
+    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda t, x: t + x * x))
+    parts = rows.select(group.cast("string").alias("grp"), F.col(key).alias("key"), least.cast("int").alias("least"), F.when(norm > 0, F.transform(wide, lambda x: x / norm)).alias("v"))
+    parts = settled(parts, "points")
+    good = parts.filter("v is not null")
+    kind = rows.schema[key].dataType.simpleString()
+
+    def close(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        mine = part["mine"].to_numpy()
+        left, right = np.flatnonzero(mine == part["i"].iloc[0]), np.flatnonzero(mine == part["j"].iloc[0])
+        x = np.array(part["v"].tolist(), np.float64)
+        told = x[left] @ x[right].T
+        if part["i"].iloc[0] == part["j"].iloc[0]:
+            told[np.arange(len(left)), np.arange(len(left))] = -2.0
+        return left, right, told
+
+    def counted(part: pd.DataFrame) -> pd.DataFrame:
+        left, right, told = close(part)
+        near = told >= similarity - SLACK
+        n = np.zeros(len(part), np.int64)
+        n[left] += near.sum(1)
+        if part["i"].iloc[0] != part["j"].iloc[0]:
+            n[right] += near.sum(0)
+        return pd.DataFrame({"key": part["key"], "n": n})
+
+    counts = _met(good, ["key", "v"]).groupBy("g", "i", "j").applyInPandas(counted, f"key {kind}, n bigint").groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("n"))
+    cores = settled(good.join(counts, good["key"] == counts["k"]).select("grp", "key", "v", (F.col("n") + 1 >= F.col("least")).alias("core")), "cores")
+
+    def joined(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("key", ignore_index=True)
+        left, right, told = close(part)
+        core, keys, out = part["core"].to_numpy(), part["key"].tolist(), []
+        near = told >= similarity - SLACK
+        root = list(range(len(part)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for x, y in zip(*np.nonzero(near & core[left][:, None] & core[right][None, :]), strict=True):
+            p, q = find(int(left[x])), find(int(right[y]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((keys[left[x]], keys[right[y]], 2.0))
+        for own, other, table in ((left, right, told), (right, left, told.T)):
+            best = np.where(core[other][None, :] & (table >= similarity - SLACK), table, -2.0)
+            if best.shape[1]:
+                which = best.argmax(1)  # the least key among equals
+                out += [(keys[own[x]], keys[other[which[x]]], float(best[x, which[x]])) for x in np.flatnonzero((best.max(1) > -2.0) & ~core[own])]
+        return pd.DataFrame(out, columns=["a", "b", "s"])
+
+    found = settled(_met(cores, ["key", "v", "core"]).groupBy("g", "i", "j").applyInPandas(joined, f"a {kind}, b {kind}, s double"), "met")
+    inner = components(cores.filter("core").select(F.col("key").alias("node")), found.filter("s = 2.0").select("a", "b"))
+    border = found.filter("s < 2.0").groupBy("a").agg(F.min_by("b", F.struct(-F.round("s", 9), "b")).alias("b"))
+    border = border.join(inner, border["b"] == inner["node"]).select(F.col("a").alias("node"), "root")
+    placed = inner.unionByName(border)
+    told = parts.select("key", "least").join(placed, F.col("key") == F.col("node"), "left").select("key", "least", "root")
+    sizes = placed.groupBy(F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("size"))
+    told = told.join(sizes, F.col("root") == F.col("r"), "left")
+    keep = F.col("size") >= F.col("least")
+    return told.select(F.col("key").alias(key), F.when(keep, F.col("root")).alias("grp"), F.when(keep, F.col("size")).alias("size"))
+
+
+def two_level(rows: DataFrame, key: str, vector: str, similarity: float = ASSIGN, closer: float = 0.8) -> DataFrame:
+    """key, l1, l2: density clusters, and density clusters inside each of them of a tenth of its size or more, kept where there
+    are two of these or more. Stands in for manifold projection and hierarchical density clustering, whose libraries are absent."""
+    n = rows.count()
+    points = settled(reduce(rows, key, vector), "reduced")
+    top = settled(density(points, "key", "vector", similarity, F.lit(2 if n < SMALL else max(5, n // 150))).select("key", "grp", "size"), "top")
+    inside = points.join(top.filter("grp is not null").withColumnRenamed("key", "k"), F.col("key") == F.col("k")).withColumn("need", F.greatest(F.lit(2), F.floor(F.col("size") / 10)))
+    inside = settled(inside.filter("size >= 2 * need").select("key", "vector", "grp", "need"), "inside")
+    low = density(inside, "key", "vector", closer, F.col("need"), F.col("grp")).select(F.col("key").alias("k"), F.col("grp").alias("l2"))
+    told = top.join(low, top["key"] == low["k"], "left").select("key", F.col("grp").alias("l1"), "l2")
+    several = told.filter("l2 is not null").groupBy(F.col("l1").alias("t")).agg(F.countDistinct("l2").alias("several"))
+    told = told.join(several, F.col("l1") == F.col("t"), "left")
+    return told.select(F.col("key").alias(key), "l1", F.when(F.col("several") >= 2, F.col("l2")).alias("l2"))
+
+
+def nearest(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """rows: key, place, value; catalog: id, place, value (both of unit vectors, the catalog's few). key, id, similarity of the
+    nearest entry (0 if none shares a place), the least id among equals."""
+    near = rows.join(F.broadcast(catalog.withColumnRenamed("value", "other")), "place").groupBy("key", "id").agg(F.round(F.sum(F.col("value") * F.col("other")), 12).alias("s"))
+    best = near.groupBy("key").agg(F.min_by(F.struct("id", "s"), F.struct(-F.col("s"), "id")).alias("m"))
+    least = catalog.agg(F.min("id")).first()[0]
+    told = rows.select("key").distinct().join(best, "key", "left")
+    return told.select("key", F.coalesce("m.id", F.lit(least)).alias("id"), F.coalesce("m.s", F.lit(0.0)).alias("similarity"))
+
+
+def technique_candidates(names: DataFrame, catalog: DataFrame, least: float = CANDIDATE) -> DataFrame:
+    """names: grp, name. grp, size, label (the most frequent name), examples (five, by number, then name), nearest technique of
+    the mean of the names' vectors, similarity, is_candidate (none is near)."""
+    numbered = names.withColumn("row", F.monotonically_increasing_id())
+    numbered = settled(numbered, "names")  # numbers are drawn anew if the rows are read again
+    rows = hash_embed(numbered, "row", "name").join(numbered.select("row", "grp"), "row")
+    sums = rows.groupBy("grp", "place").agg(F.sum("value").alias("value"))
+    norms = sums.groupBy("grp").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    centre = sums.join(norms, "grp").select(F.col("grp").alias("key"), "place", (F.col("value") / F.col("norm")).alias("value"))
+    often = names.groupBy("grp", "name").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("n"), "name"))
+    top = often.withColumn("place", place).filter("place <= 5").groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("examples"))
+    sizes = names.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    told = nearest(centre, catalog).withColumnRenamed("key", "grp")
+    return sizes.join(top, "grp").join(told, "grp", "left").select("grp", "size", F.get("examples", F.lit(0)).alias("label"), "examples", F.col("id").alias("nearest_technique"), "similarity", (F.coalesce("similarity", F.lit(0.0)) < least).alias("is_candidate"))
+
+
+def label_sample(members: DataFrame, group: str, key: str, most: int = 12) -> DataFrame:
+    """group, key of the first ``most`` members of each group in the order of key."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(key))
+    return members.withColumn("__place", place).filter(F.col("__place") <= most).select(group, key)
 
 
 def taxonomy(members: DataFrame) -> DataFrame:

@@ -30,21 +30,55 @@ def dedup_part(part: str):
     return lambda spark, sf_dir: dedup.lineage(dedup.cluster(artifacts(spark, sf_dir).drop("doc_id")))[part]
 
 
+def tier_counts(spark, sf_dir):
+    return dedup.tier_counts(artifacts(spark, sf_dir).drop("doc_id"), (0.8, 0.9))
+
+
+def _dedup_sql(wanted: str, threshold: str = "0.8") -> str:
+    """The same by all pairs that share a shingle, components by recursion, and set operations on shingles."""
+    edge = "[^\\p{L}\\p{N}_-]"
+    return f"""WITH RECURSIVE created AS (SELECT lang, source, lpad(CAST(min(doc_id) AS VARCHAR), 12, '0') AS created_at FROM documents WHERE text IS NOT NULL GROUP BY ALL),
+d AS (SELECT 'a-' || doc_id AS id, t.lang AS kind, t.lang || '/' || t.source AS repo, t.source || '/doc' || doc_id || '.md' AS path, created_at, sha256(text) AS sha,
+  trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS flat, trim(regexp_replace(regexp_replace(lower(text), '(^|{edge})' || lower(t.source) || '($|{edge})', '\\1{{repo}}\\2', 'g'), '\\s+', ' ', 'g')) AS norm
+  FROM documents t JOIN created c ON t.lang = c.lang AND t.source = c.source WHERE text IS NOT NULL),
+h AS (SELECT *, min(id) OVER (PARTITION BY kind, norm) AS head FROM d),
+w AS (SELECT DISTINCT kind, head, regexp_extract_all(norm, '[\\p{{L}}\\p{{N}}_]+') AS w FROM h),
+g AS (SELECT kind, head, unnest(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM w),
+n AS (SELECT head, count(*) AS n FROM g GROUP BY head),
+p AS (SELECT x.head AS a, y.head AS b, count(*) AS shared FROM g x JOIN g y ON x.kind = y.kind AND x.g = y.g AND x.head < y.head GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.head = a JOIN n y ON y.head = b WHERE shared >= {threshold} * (x.n + y.n - shared)),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT head AS node, head AS root FROM n UNION SELECT s.b, r.root FROM r JOIN s ON r.node = s.a),
+lo AS (SELECT node, min(root) AS root FROM r GROUP BY node), c AS (SELECT h.*, lo.root FROM h JOIN lo ON lo.node = h.head),
+o AS (SELECT kind, root, arg_min(id, (created_at, repo, path)) AS origin, 'c-' || substr(sha256('["' || kind || '", "' || min(sha) || '"]'), 1, 16) AS cluster_id, count(*) AS size FROM c GROUP BY kind, root),
+t AS (SELECT c.*, o.cluster_id, o.origin, x.sha AS o_sha, x.norm AS o_norm, x.flat AS o_flat, x.head AS o_head, x.repo AS o_repo FROM c JOIN o ON c.kind = o.kind AND c.root = o.root JOIN c x ON x.id = o.origin),
+m AS (SELECT t.*, a.n AS a, b.n AS b, coalesce(p.shared, 0) AS shared FROM t JOIN n a ON a.head = t.head JOIN n b ON b.head = t.o_head LEFT JOIN p ON p.a = least(t.head, t.o_head) AND p.b = greatest(t.head, t.o_head))
+{wanted}"""
+
+
+_CLUSTERS = "SELECT cluster_id, kind, origin AS canonical_artifact, size FROM o"
+_MEMBERSHIP = "SELECT id AS artifact_id, cluster_id, CASE WHEN id = origin THEN 'origin' WHEN sha = o_sha THEN 'exact' WHEN norm = o_norm THEN 'normalized' ELSE 'minhash' END AS tier, CAST(NULL AS VARCHAR) AS family_key FROM t"
+_LINEAGE = "SELECT cluster_id, o_repo AS origin_repo, 'repo_created_at' AS origin_basis, CAST(NULL AS VARCHAR) AS upstream_lib FROM t WHERE id = origin"
+_MUTATIONS = """SELECT id AS artifact_id, cluster_id, CASE WHEN sha = o_sha THEN 'verbatim' WHEN norm = o_norm THEN CASE WHEN flat = o_flat THEN 'verbatim' ELSE 'retargeted' END
+  WHEN shared >= 0.9 * a AND a < b THEN 'trimmed' WHEN shared >= 0.9 * b AND a > b THEN 'extended' ELSE 'rewritten' END AS mutation_class FROM m WHERE id <> origin"""
+_TIERS = "SELECT kind, 'exact' AS tier, count(DISTINCT sha) AS n FROM c GROUP BY kind UNION ALL SELECT kind, 'normalized', count(DISTINCT norm) FROM c GROUP BY kind UNION ALL SELECT kind, 'minhash_0.8', count(DISTINCT root) FROM c GROUP BY kind"
+_TIERS_9 = "SELECT kind, 'minhash_0.9' AS tier, count(DISTINCT root) AS n FROM c GROUP BY kind"
+TIERS_SQL = f"SELECT * FROM ({_dedup_sql(_TIERS)}) UNION ALL SELECT * FROM ({_dedup_sql(_TIERS_9, '0.9')})"
+
+
 def shingle_jaccard_pairs(spark, sf_dir):
-    """Pairs of one source and language whose first lines are equal, by the full similarity of their shingles."""
+    """Pairs of one source by the full similarity of their shingles, and the documents with equal sets."""
     docs = _read(spark, sf_dir, "documents").filter("text is not null")
-    rows = docs.select("doc_id", "lang", "source", F.md5(F.substring_index("text", "\n", 1)).alias("block"), dedup.shingles(F.lower("text")).alias("s"))
-    rows = settled(rows, "blocks")
-    other = rows.select("lang", "source", "block", F.col("doc_id").alias("other"), F.col("s").alias("t"))
-    shared = F.size(F.array_intersect("s", "t"))
-    pairs = rows.join(other, ["lang", "source", "block"]).filter("doc_id < other")
-    return pairs.select("doc_id", "other", F.round(shared / (F.size("s") + F.size("t") - shared), 9).alias("jaccard"))
+    hashes = F.transform(dedup.shingles(F.lower("text")), lambda x: F.xxhash64(x))
+    found = dedup.jaccard_pairs(docs.select(F.col("doc_id").alias("key"), F.col("source").alias("block"), hashes.alias("hashes")), 0.5)
+    return found.select(F.col("a").alias("doc_id"), F.col("b").alias("other"), F.round("jaccard", 9).alias("jaccard"))
 
 
-SHINGLE_SQL = """WITH d AS (SELECT doc_id, lang, source, md5(string_split(text, chr(10))[1]) AS block, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, lang, source, block, CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d)
-SELECT a.doc_id, b.doc_id AS other, round(len(list_intersect(a.s, b.s)) / CAST(len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS DOUBLE), 9) AS jaccard
-FROM s a JOIN s b ON a.lang = b.lang AND a.source = b.source AND a.block = b.block AND a.doc_id < b.doc_id"""
+SHINGLE_SQL = """WITH d AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, source, list_sort(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s FROM d),
+r AS (SELECT *, min(doc_id) OVER (PARTITION BY source, s) AS rep FROM s), g AS (SELECT source, doc_id, len(s) AS n, unnest(s) AS g FROM r WHERE doc_id = rep),
+p AS (SELECT a.doc_id, b.doc_id AS other, a.n + b.n AS both_n, count(*) AS shared FROM g a JOIN g b ON a.source = b.source AND a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT doc_id, other, round(shared / CAST(both_n - shared AS DOUBLE), 9) AS jaccard FROM p WHERE shared >= 0.5 * (both_n - shared)
+UNION ALL SELECT rep, doc_id, 1.0 FROM r WHERE doc_id <> rep"""
 
 
 def connected_components(spark, sf_dir):
@@ -122,17 +156,96 @@ SELECT vec_id, CASE WHEN s >= 0.2 THEN CAST(label AS BIGINT) ELSE -1 END AS labe
 
 
 def density_groups(spark, sf_dir):
-    """Components of vectors with an equal label and the same signs in their first eight places."""
-    rows = _read(spark, sf_dir, "embeddings").filter("embedding is not null")
-    signs = F.array_join(F.transform(F.slice("embedding", 1, 8), lambda x: F.when(x > 0, "1").otherwise("0")), "")
-    named = rows.select("vec_id", "label", signs.alias("s"))
-    least = named.groupBy("label", "s").agg(F.min("vec_id").alias("a"))
-    edges = named.join(least, ["label", "s"]).select("a", F.col("vec_id").alias("b"))
-    return vectors.density_groups(named, edges, "vec_id", 2).select("vec_id", F.coalesce("grp", F.lit(-1)).alias("grp"))
+    """Density clusters of all vectors: cores have three at a cosine of 0.5 or more."""
+    found = vectors.density(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.5, F.lit(3))
+    return found.select("vec_id", F.coalesce("grp", F.lit(-1)).alias("grp"), F.coalesce("size", F.lit(0)).cast("bigint").alias("size"))
+
+
+_NEAR = """v AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings WHERE embedding IS NOT NULL),
+x AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id{within})"""
+_DENSE = """n AS (SELECT vec_id, count(a) AS n FROM v LEFT JOIN (SELECT a FROM x WHERE s >= {s}) k ON k.a = vec_id GROUP BY vec_id), core AS (SELECT vec_id FROM n WHERE n + 1 >= {least}),
+e AS (SELECT a, b FROM x WHERE s >= {s} AND a IN (SELECT vec_id FROM core) AND b IN (SELECT vec_id FROM core)),
+r AS (SELECT vec_id AS node, vec_id AS root FROM core UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a), c AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+f AS (SELECT a AS node, arg_max(b, (round(s, 9), -b)) AS b FROM x WHERE s >= {s} AND a NOT IN (SELECT vec_id FROM core) AND b IN (SELECT vec_id FROM core) GROUP BY a),
+p AS (SELECT node, root FROM c UNION ALL SELECT f.node, c.root FROM f JOIN c ON f.b = c.node), z AS (SELECT *, count(*) OVER (PARTITION BY root) AS size FROM p)"""
+DENSITY_SQL = f"""WITH RECURSIVE {_NEAR.format(within='')}, {_DENSE.format(s=0.5, least=3)}
+SELECT e.vec_id, CASE WHEN size >= 3 THEN root ELSE -1 END AS grp, CASE WHEN size >= 3 THEN size ELSE 0 END AS size FROM embeddings e LEFT JOIN z ON z.node = e.vec_id""".replace("CASE WHEN size >= 3 THEN root ELSE -1 END", "coalesce(CASE WHEN size >= 3 THEN root END, -1)").replace("CASE WHEN size >= 3 THEN size ELSE 0 END", "coalesce(CASE WHEN size >= 3 THEN size END, 0)")
+
+
+def density_within(spark, sf_dir):
+    """Density clusters among the vectors of each label, as the second level has them."""
+    rows = _read(spark, sf_dir, "embeddings").filter("label is not null")
+    found = vectors.density(rows, "vec_id", "embedding", 0.6, F.lit(2), F.col("label"))
+    return found.select("vec_id", F.coalesce("grp", F.lit(-1)).alias("grp"))
+
+
+WITHIN_SQL = f"""WITH RECURSIVE {_NEAR.format(within=' AND a.label = b.label')}, {_DENSE.format(s=0.6, least=2)}
+SELECT e.vec_id, coalesce(CASE WHEN size >= 2 THEN root END, -1) AS grp FROM embeddings e LEFT JOIN z ON z.node = e.vec_id WHERE label IS NOT NULL"""
+
+
+#: What the techniques are about, in words that names are compared with.
+CATALOG = {
+    "agent_model_routing": "agent model routing: an agent names the model it runs on", "agent_restricted_tools": "agent restricted tools: an agent lists the tools it may use",
+    "claude_md_imports": "guide imports: a guide imports other files", "claude_md_nested": "nested guide: a guide below the root",
+    "command_arguments": "command arguments: a command takes arguments", "hook_notification": "notification hook: a hook on notifications",
+    "hook_posttooluse_formatter": "formatter hook: code is formatted after a tool is used", "hook_pretooluse_guard": "guard hook: a hook before a tool is used",
+    "hook_sessionstart_context": "session start hook: context at the start of a session", "hook_stop_gate": "stop gate: tests run before the end",
+    "hook_userpromptsubmit": "prompt hook: a hook on what the user asks", "mcp_composition": "server composition: two servers or more",
+    "permissions_bypass": "permissions bypass: no permission is asked for", "permissions_deny": "permissions deny: rules that deny", "permissions_sandbox": "sandbox: commands run in a sandbox",
+    "plugin_manifest": "plugin manifest: a plugin is published", "skill_references": "skill references: a skill with references", "skill_scripts": "skill scripts: a skill with scripts",
+}
+
+
+def _catalog(spark: SparkSession) -> DataFrame:
+    return vectors.hash_embed(spark.createDataFrame(list(CATALOG.items()), "id string, text string"), "id", "text")
+
+
+def technique_nearest(spark, sf_dir):
+    """The technique that the words of each benchmark passage are nearest to."""
+    found = vectors.hash_embed(_read(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "key")
+    return vectors.nearest(found, _catalog(spark)).select(F.col("key").alias("item_id"), "id", F.round("similarity", 9).alias("similarity"))
+
+
+def technique_candidates(spark, sf_dir):
+    """Sources as groups, with the first words of their documents as names."""
+    docs = _read(spark, sf_dir, "documents")
+    names = docs.select(F.col("source").alias("grp"), F.lower(F.regexp_extract(F.coalesce("text", F.lit("")), "^([A-Za-z]+)", 1)).alias("name")).filter("name != '' and grp is not null")
+    found = vectors.technique_candidates(names, _catalog(spark))
+    return found.select("grp", "size", "label", F.array_join("examples", ",").alias("examples"), "nearest_technique", F.round("similarity", 9).alias("similarity"), "is_candidate")
+
+
+def _embedded_sql(name: str, rows: str) -> str:
+    return f"""{name}_w AS (SELECT key, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM ({rows})), {name}_c AS (SELECT key, CAST(concat('0x', right(md5(w), 2)) AS INT) AS place, count(*) AS n FROM {name}_w GROUP BY ALL),
+{name}_t AS (SELECT key, sqrt(CAST(sum(n * n) AS DOUBLE)) AS norm FROM {name}_c GROUP BY key), {name} AS (SELECT key, place, n / norm AS value FROM {name}_c JOIN {name}_t USING (key))"""
+
+
+_CATALOG_SQL = _embedded_sql("cat", " UNION ALL ".join(f"SELECT '{k}' AS key, '{v}' AS text" for k, v in CATALOG.items()))
+_NEAREST = "near AS (SELECT k.key, c.key AS id, round(coalesce(sum(r.value * cat.value), 0), 12) AS s FROM (SELECT DISTINCT key FROM rows_) k CROSS JOIN (SELECT DISTINCT key FROM cat) c LEFT JOIN cat ON cat.key = c.key LEFT JOIN rows_ r ON r.key = k.key AND r.place = cat.place GROUP BY ALL), best AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s DESC, id) AS place FROM near)"
+NEAREST_SQL = f"WITH {_CATALOG_SQL}, {_embedded_sql('rows_', 'SELECT item_id AS key, text FROM benchmark')}, {_NEAREST} SELECT key AS item_id, id, round(s, 9) AS similarity FROM best WHERE place = 1"
+CANDIDATES_SQL = f"""WITH {_CATALOG_SQL}, names AS (SELECT source AS grp, lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS name FROM documents WHERE source IS NOT NULL AND regexp_matches(text, '^[A-Za-z]')),
+s AS (SELECT grp, CAST(concat('0x', right(md5(name), 2)) AS INT) AS place, count(*) AS n FROM names GROUP BY ALL), t AS (SELECT grp, sqrt(CAST(sum(n * n) AS DOUBLE)) AS norm FROM s GROUP BY grp),
+rows_ AS (SELECT grp AS key, place, n / norm AS value FROM s JOIN t USING (grp)), {_NEAREST},
+o AS (SELECT grp, name, count(*) AS n FROM names GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, name) AS place FROM o)
+SELECT g.grp, g.size, p.name AS label, g.examples, b.id AS nearest_technique, round(b.s, 9) AS similarity, b.s < 0.6 AS is_candidate
+FROM (SELECT grp, CAST(sum(n) AS BIGINT) AS size, string_agg(name, ',' ORDER BY place) FILTER (place <= 5) AS examples FROM p GROUP BY grp) g JOIN p ON p.grp = g.grp AND p.place = 1 JOIN best b ON b.key = g.grp AND b.place = 1"""
+
+
+def label_samples(spark, sf_dir):
+    return vectors.label_sample(_read(spark, sf_dir, "embeddings").filter("label is not null"), "label", "vec_id")
+
+
+LABEL_SAMPLES_SQL = "SELECT label, unnest(list(vec_id ORDER BY vec_id)[1:12]) AS vec_id FROM embeddings WHERE label IS NOT NULL GROUP BY label"
+
+
+def stratified_sample(spark, sf_dir):
+    """How many documents of each language a stratified sample of 97 draws."""
+    drawn = sampling.stratified(_read(spark, sf_dir, "documents").filter("lang is not null"), "doc_id", "n_chars", "lang", 97)
+    return drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-DENSITY_SQL = """WITH s AS (SELECT vec_id, label, array_to_string(list_transform(embedding[1:8], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS s FROM embeddings WHERE embedding IS NOT NULL)
-SELECT vec_id, CASE WHEN count(*) OVER w >= 2 THEN min(vec_id) OVER w ELSE -1 END AS grp FROM s WINDOW w AS (PARTITION BY label, s)"""
+STRATIFIED_SQL = """WITH c AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1), q AS (SELECT lang, 97 * n / CAST(sum(n) OVER () AS DOUBLE) AS raw FROM c),
+r AS (SELECT *, row_number() OVER (ORDER BY floor(raw) - raw, lang) AS place, sum(CAST(floor(raw) AS BIGINT)) OVER () AS given FROM q)
+SELECT lang, CAST(floor(raw) + CASE WHEN place <= 97 - given THEN 1 ELSE 0 END AS BIGINT) AS n FROM r"""
 
 
 def size_bisection_lattice(spark, sf_dir):
@@ -173,10 +286,11 @@ s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS
 SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k"""
 
 QUERIES = {
-    "dedup_clusters": (dedup_part("clusters"), None),
-    "dedup_membership": (dedup_part("membership"), None),
-    "dedup_lineage": (dedup_part("lineage"), None),
-    "mutation_class": (dedup_part("mutations"), None),
+    "dedup_clusters": (dedup_part("clusters"), _dedup_sql(_CLUSTERS)),
+    "dedup_membership": (dedup_part("membership"), _dedup_sql(_MEMBERSHIP)),
+    "dedup_lineage": (dedup_part("lineage"), _dedup_sql(_LINEAGE)),
+    "mutation_class": (dedup_part("mutations"), _dedup_sql(_MUTATIONS)),
+    "tier_counts": (tier_counts, TIERS_SQL),
     "shingle_jaccard_pairs": (shingle_jaccard_pairs, SHINGLE_SQL),
     "connected_components": (connected_components, COMPONENTS_SQL),
     "parse_documents": (parse_documents, PARSE_SQL),
@@ -185,6 +299,11 @@ QUERIES = {
     "rank_uncharted": (rank_uncharted, RANK_SQL),
     "centroid_assign": (centroid_assign, CENTROID_SQL),
     "density_groups": (density_groups, DENSITY_SQL),
+    "density_within": (density_within, WITHIN_SQL),
+    "technique_nearest": (technique_nearest, NEAREST_SQL),
+    "technique_candidates": (technique_candidates, CANDIDATES_SQL),
+    "label_samples": (label_samples, LABEL_SAMPLES_SQL),
+    "stratified_sample": (stratified_sample, STRATIFIED_SQL),
     "size_bisection_lattice": (size_bisection_lattice, LATTICE_SQL),
     "batch_numbers": (batch_numbers, "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS batch FROM orders"),
     "tumbling_window": (windows("1 hour"), _HOUR),

@@ -170,7 +170,7 @@ def test_dedup_tiers_and_mutations(spark):
 @pytest.mark.parametrize("block", [1024, 2])
 def test_links_within_a_mixed_band(spark, monkeypatch, block):
     sets = {"a": range(0, 50), "b": range(100, 200), "c": range(300, 350), "d": range(105, 200), "e": range(400, 500), "f": range(410, 510)}
-    rows = spark.createDataFrame([(n, "k", [f"s{i}" for i in s]) for n, s in sets.items()], "node string, kind string, shingles array<string>")
+    rows = spark.createDataFrame([(n, "k", [f"s{i}" for i in s]) for n, s in sets.items()], "node string, kind string, shingles array<string>").withColumn("hashes", F.transform("shingles", lambda x: F.xxhash64(x)))
     one = lambda r: r.select("node", "kind", F.lit(0).alias("band"), F.lit(b"x").alias("key"))
     monkeypatch.setattr(dedup, "_signatures", one)
     monkeypatch.setattr(dedup, "BLOCK", block, raising=False)
@@ -179,7 +179,7 @@ def test_links_within_a_mixed_band(spark, monkeypatch, block):
 
 def test_links_at_the_threshold_are_met(spark):
     rows = [(f"{side}{k:02}", "k", [f"{k}-{i}" for i in some]) for k in range(40) for side, some in (("a", range(0, 90)), ("b", range(10, 100)))]
-    table = spark.createDataFrame(rows, "node string, kind string, shingles array<string>")
+    table = spark.createDataFrame(rows, "node string, kind string, shingles array<string>").withColumn("hashes", F.transform("shingles", lambda x: F.xxhash64(x)))
     assert dedup.similar_pairs(table).count() == 40
 
 
