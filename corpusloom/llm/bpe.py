@@ -26,14 +26,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
-from .common import read
+from .common import batched, read
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
 
 #: Code points that are worked on at once.
 SEGMENT = 1 << 21
 #: Words that a worker remembers: at most twice as many, and only those of at most LONG code points.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 LONG = 64
 
 #: No letter, number or white space has a code point from here on; what is there is private, a tag or unassigned.
@@ -297,7 +297,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, whole), pa.array([s for s, _ in spans], whole), pa.array([e for _, e in spans], whole)], ["id", "ids", "starts", "ends"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<bigint>, starts array<bigint>, ends array<bigint>").withColumnRenamed("id", id_col)
+    return batched(docs).select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<bigint>, starts array<bigint>, ends array<bigint>").withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -313,7 +313,7 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array([b.decode(errors="replace") for b in raw], pa.string()), pa.array(unknown, pa.int64())], ["id", "bytes", "text", "n_unknown"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, ids_col).mapInArrow(run, f"id {kind}, bytes binary, text string, n_unknown bigint").withColumnRenamed("id", id_col)
+    return batched(rows).select(id_col, ids_col).mapInArrow(run, f"id {kind}, bytes binary, text string, n_unknown bigint").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,7 +335,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array([x.hexdigest() for x in of_ids]), pa.array([x.hexdigest() for x in of_bytes])], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return batched(docs).select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op3_byte_bpe(spark, sf_dir):

@@ -56,5 +56,15 @@ def materialise(df: DataFrame, name: str, random: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Texts that go to a Python worker at once.
+BATCH_ROWS = 2000
+
+
+def batched(docs: DataFrame) -> DataFrame:
+    """docs, whose batches for Python workers will be short from now on in this session: texts may be long."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

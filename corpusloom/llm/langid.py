@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import batched, read
 
 #: Labelled documents that are learned from, for each language, at most.
 PER_LANGUAGE = 2000
@@ -133,7 +133,7 @@ def fit(rows: DataFrame) -> Codes | None:
         return None
     shares = {r.lang: min(1.0, PER_LANGUAGE / r.n) for r in there}
     languages = sorted(shares)
-    sample = rows.sampleBy("lang", shares, 3).repartition(16)
+    sample = batched(rows).sampleBy("lang", shares, 3).repartition(16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), COUNTS), np.float64)
@@ -191,7 +191,7 @@ def identify(docs: DataFrame, model: Codes | None, id_col: str = "doc_id", text_
 
     kind = lambda c: docs.schema[c].dataType.simpleString()
     extra = "".join(f", c{i} {kind(c)}" for i, c in enumerate(carry))
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
+    out = batched(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
     out = out.mapInArrow(run, f"id {kind(id_col)}, lang_pred string, score double, ambiguous boolean, rejected boolean{extra}")
     return out.select(F.col("id").alias(id_col), "lang_pred", "score", "ambiguous", "rejected", *[F.col(f"c{i}").alias(f"carried_{c}") for i, c in enumerate(carry)])
 

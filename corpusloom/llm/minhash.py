@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, read
+from .common import batched, materialise, partitions, read
 from .components import Union, components, spanning, whole_groups
 
 WORDS = 5
@@ -158,7 +158,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 512), batch.column(2).slice(a, 512), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), lists], ["id", "digest", "n_shingles", "node", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, digest bigint, n_shingles bigint, node binary, sketch array<bigint>")
+    return _texts(batched(docs), id_col, text_col).mapInArrow(run, f"id {kind}, digest bigint, n_shingles bigint, node binary, sketch array<bigint>")
 
 
 def _blocks(rows: DataFrame, group: str, members: str = "members") -> DataFrame:

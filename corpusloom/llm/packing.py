@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialise, read
+from .common import batched, materialise, read
 
 CAPACITY = 1024
 #: Rows of one length are ranked in shares of about this many, so that no task gets all of a common length.
@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, id
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(table[:, 0])), *[pa.array(table[:, k]) for k in (1, 2, 3)], pa.array(np.array(done, np.int64)[table[:, 0]])], ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint").withColumnRenamed("id", id_col)
+    return batched(docs).select(id_col, text_col).mapInArrow(run, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint").withColumnRenamed("id", id_col)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:

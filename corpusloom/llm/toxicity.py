@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import batched, read
 from .langid import held_out_share
 
 TOXIC, ORDINARY = 2000, 16000
@@ -280,7 +280,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in told], pa.float64()), pa.array([w for _, w in told], pa.string())], ["id", "score", "best"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double, best string")
+    out = batched(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double, best string")
     return out.select(F.col("id").alias(id_col), "score", F.col("best").alias("window"))
 
 
