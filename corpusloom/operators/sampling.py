@@ -10,15 +10,21 @@ from pyspark.sql import functions as F
 from corpusloom.sources.tables import settled
 
 
-def bisect(count: Callable[[int, int], int], cap: int, low: int, high: int) -> Iterator[tuple[int, int, int, str]]:
-    """(low, high, total, kind) of ranges that hold something: leaf where a total is at most cap, overflow where one value
-    alone has more."""
-    pending = [(low, high)]
+def bisect(count: Callable[..., int], cap: int, low: int, high: int, qualifiers: Iterable[str] = ()) -> Iterator[tuple[int, int, int, str]]:
+    """(low, high, total, kind) of ranges that hold something: leaf where a total is at most cap. One value that alone has more is
+    asked for with each qualifier (count(low, high, qualifier)): a leaf, or capped where that is still too many; what no
+    qualifier accounts for, or all of it without qualifiers, is overflow."""
+    pending, qualifiers = [(low, high)], tuple(qualifiers)
     while pending:
         a, b = pending.pop()
         total = count(a, b)
-        if 0 < total <= cap or total and a == b:
-            yield a, b, total, "leaf" if total <= cap else "overflow"
+        if 0 < total <= cap:
+            yield a, b, total, "leaf"
+        elif total and a == b:
+            parts = [n for q in qualifiers if (n := count(a, b, q))]
+            yield from ((a, b, n, "leaf" if n <= cap else "capped") for n in parts)
+            if (rest := total - sum(parts)) > 0:
+                yield a, b, rest, "overflow"
         elif total:
             middle = (a + b) // 2
             pending += [(middle + 1, b), (a, middle)]
@@ -95,3 +101,16 @@ def stratified(rows: DataFrame, key: str, size: str, stratum: str, total: int, p
     table = rows.sparkSession.createDataFrame(list(quota.items()) or [(None, 0)], f"__s {rows.schema[stratum].dataType.simpleString()}, __quota int")
     told = drawn.withColumn("__place", place).join(F.broadcast(table), F.col(stratum).eqNullSafe(F.col("__s"))).filter("__place <= __quota")
     return told.select(*rows.columns)
+
+
+def below(edges: DataFrame, deepest: int = 64) -> DataFrame:
+    """edges: up, node. node, n: how many entries lie below each that has any. Goes down a level at a time, so a tree of any size
+    takes as many joins as it is deep; one deeper than ``deepest``, or a circle, is an error."""
+    edges = settled(edges.select("up", "node"), "tree")
+    level, found = edges, edges
+    for _ in range(deepest):
+        level = settled(level.select("up", F.col("node").alias("via")).join(edges.select(F.col("up").alias("via"), "node"), "via").select("up", "node"), "level")
+        if not level.limit(1).count():
+            return found.groupBy(F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        found = found.unionByName(level)
+    raise ValueError(f"deeper than {deepest}")

@@ -87,9 +87,9 @@ def assign_noise(rows: DataFrame, noise: DataFrame, key: str = "vec_id", vector:
     asked = settled(noise.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(vector).alias("v")), "noise")
     blocks, others = (max(1, -(-df.count() // BLOCK)) for df in (asked, centre))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    wide = F.col("v").cast("array<double>").alias("v")
-    left = asked.select(F.pmod("row", F.lit(blocks)).cast("int").alias("i"), every(others).alias("j"), "row", F.lit(0).cast("bigint").alias("label"), F.lit(True).alias("asks"), wide)
-    right = centre.select(every(blocks).alias("i"), F.pmod(F.xxhash64("label"), F.lit(others)).cast("int").alias("j"), F.lit(0).cast("bigint").alias("row"), F.col("label").cast("bigint"), F.lit(False).alias("asks"), wide)
+    wide, kind = F.col("v").cast("array<double>").alias("v"), rows.schema["label"].dataType.simpleString()
+    left = asked.select(F.pmod("row", F.lit(blocks)).cast("int").alias("i"), every(others).alias("j"), "row", F.lit(None).cast(kind).alias("label"), F.lit(True).alias("asks"), wide)
+    right = centre.select(every(blocks).alias("i"), F.pmod(F.xxhash64("label"), F.lit(others)).cast("int").alias("j"), F.lit(0).cast("bigint").alias("row"), "label", F.lit(False).alias("asks"), wide)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         own, table = part[part["asks"]], part[~part["asks"]].sort_values("label")
@@ -102,10 +102,9 @@ def assign_noise(rows: DataFrame, noise: DataFrame, key: str = "vec_id", vector:
             best[a : a + 512], top[a : a + 512] = close.argmax(1), close.max(1)
         return pd.DataFrame({"row": own["row"].to_numpy(), "label": table["label"].to_numpy()[best], "similarity": top})
 
-    found = left.unionByName(right).groupBy("i", "j").applyInPandas(run, "row bigint, label bigint, similarity double")
-    nearest = found.groupBy("row").agg(F.max(F.struct("similarity", (-F.col("label")).alias("back"))).alias("m"))
-    label = F.when(F.col("m.similarity") >= least, -F.col("m.back"))
-    return asked.join(nearest, "row", "left").select(F.col("key").alias(key), label.alias("label"), F.col("m.similarity").alias("similarity"))
+    found = left.unionByName(right).groupBy("i", "j").applyInPandas(run, f"row bigint, label {kind}, similarity double")
+    nearest = found.groupBy("row").agg(F.min_by("label", F.struct(-F.col("similarity"), F.col("label"))).alias("l"), F.max("similarity").alias("s"))
+    return asked.join(nearest, "row", "left").select(F.col("key").alias(key), F.when(F.col("s") >= least, F.col("l")).alias("label"), F.col("s").alias("similarity"))
 
 
 def reduce(rows: DataFrame, key: str, vector: str, dims: int = 5, few: int = SMALL) -> DataFrame:
@@ -261,8 +260,9 @@ def label_sample(members: DataFrame, group: str, key: str, most: int = 12) -> Da
     return members.withColumn("__place", place).filter(F.col("__place") <= most).select(group, key)
 
 
-def taxonomy(members: DataFrame) -> DataFrame:
-    """members: cluster_id, parent, leaf (null: none). use_case_id, parent_id, level, size; ids from the sorted members."""
+def taxonomy(members: DataFrame, keep: bool = False) -> DataFrame:
+    """members: cluster_id, parent, leaf (null: none). use_case_id, parent_id, level, size, and with keep parent and leaf; ids from
+    the sorted members."""
 
     def level(frame: DataFrame, keys: list[str]) -> DataFrame:
         listed = F.array_sort(F.collect_list("cluster_id"))
@@ -271,5 +271,9 @@ def taxonomy(members: DataFrame) -> DataFrame:
 
     top = level(members.filter("parent is not null"), ["parent"])
     low = level(members.filter("parent is not null and leaf is not null"), ["parent", "leaf"])
-    below = low.join(top.select("parent", F.col("use_case_id").alias("parent_id")), "parent").select("use_case_id", "parent_id", F.lit(2).alias("level"), "size")
-    return top.select("use_case_id", F.lit(None).cast("string").alias("parent_id"), F.lit(1).alias("level"), "size").unionByName(below)
+    leaf = members.schema["leaf"].dataType
+    above = top.select(F.col("parent").alias("p"), F.col("use_case_id").alias("parent_id"))
+    below = low.join(above, F.col("parent") == F.col("p")).select("use_case_id", "parent_id", F.lit(2).alias("level"), "size", "parent", "leaf")
+    first = top.select("use_case_id", F.lit(None).cast("string").alias("parent_id"), F.lit(1).alias("level"), "size", "parent", F.lit(None).cast(leaf).alias("leaf"))
+    both = first.unionByName(below)
+    return both if keep else both.drop("parent", "leaf")

@@ -209,7 +209,30 @@ UNION ALL SELECT 'labels.doc_id: without documents', count(*) FROM labels WHERE
 UNION ALL SELECT 'lineitem.l_orderkey: without orders', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) SELECT rule, n FROM r"""
 
 
+def digits_scan(spark, sf_dir):
+    """Lines of pages that show a digit."""
+    rows = _read(spark, sf_dir, "pages").select("page_id", F.explode(parse.digits(F.coalesce("html", F.lit("")))).alias("d"))
+    return rows.select("page_id", F.col("d.line").cast("bigint").alias("line"), "d.snippet")
+
+
+DIGITS_SQL = r"""WITH s AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '<[^>\n]*>', ' ', 'g'), '&#?[0-9A-Za-z]+;', ' ', 'g'), chr(10)) AS l FROM pages),
+e AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS x FROM s) SELECT page_id, line, substr(trim(x, ' '), 1, 60) AS snippet FROM e WHERE regexp_matches(x, '[0-9]')"""
+
+
+def tree_counts(spark, sf_dir):
+    """Entries below each region, nation and customer, by going down the tree."""
+    edges = _read(spark, sf_dir, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("up"), F.concat(F.lit("n"), "n_nationkey").alias("node"))
+    edges = edges.unionByName(_read(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("up"), F.concat(F.lit("c"), "c_custkey").alias("node")))
+    return sampling.below(edges)
+
+
+TREE_SQL = """SELECT 'n' || n_nationkey AS node, count(c_custkey) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1
+UNION ALL SELECT 'r' || n_regionkey, count(c_custkey) + count(DISTINCT n_nationkey) FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, n_regionkey"""
+
+
 QUERIES = {
+    "digits_scan": (digits_scan, DIGITS_SQL),
+    "tree_counts": (tree_counts, TREE_SQL),
     "entropy": (entropy, ENTROPY_SQL),
     "heading_scan": (headings, HEADINGS_SQL),
     "skip_reason": (skip_reasons, SKIP_SQL),

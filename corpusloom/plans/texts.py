@@ -40,7 +40,6 @@ FROM artifacts GROUP BY kind, blob_sha"""),
 SELECT concat('c-', substr({d.sha("concat(kind, ':', blob_sha)")}, 1, 16)) AS cluster_id, artifact_id AS canonical_artifact, repo AS origin_repo, size FROM m WHERE place = 1"""),
     "line_of": Sql(lambda d: f"""WITH {artifacts(d)}, l AS ({d.lines_of('artifacts', 'doc_id', 'text')}) SELECT doc_id, min(n) AS line FROM l WHERE line LIKE '%icensed under%' GROUP BY doc_id"""),
     "url_host": Sql(lambda d: f"""SELECT page_id, lower({d.first('url', '^[a-z]+://([^/:?#]+)', 1)}) AS host, {d.first('url', '^[a-z]+://[^/]+([^?#]*)', 1)} AS path FROM {{pages}}"""),
-    "digits_scan": Sql(lambda d: f"""WITH b AS (SELECT page_id, {d.replace('html', '<[^>]*>', ' ')} AS copy FROM {{pages}}) SELECT page_id, {d.size(d.found('copy', '[0-9]+'))} AS digit_runs FROM b"""),
     "digit_names": Sql(lambda d: f"SELECT p_brand AS name, count(*) AS n FROM {{part}} WHERE NOT {d.matches('p_type', '[0-9]')} GROUP BY p_brand"),
     "quote_in_source": Sql(
         lambda d: f"""WITH {artifacts(d)}, s AS (SELECT doc_id, {_norm(d, 'text')} AS t FROM artifacts), q AS (SELECT item_id, {_norm(d, 'text')} AS t FROM {{benchmark}}),

@@ -16,6 +16,7 @@ _COLUMNS = {
     "repos": "repo S, missing B, error S, stars I, is_fork B, is_template B, created_at S, pushed_at S, language S, license S, head_oid S, tree_truncated I, canary B",
     "harness_files": "repo S, path S, kind S, blob_sha S, size I, fetched B, skip_reason S",
     "redactions": "blob_sha S, rule S, n I",
+    "blobs": "oid S, version I, counts S, text S",
     "artifacts": "artifact_id S, repo S, kind S, path S, blob_sha S, parsed_json S, error_class S",
     "clusters": "cluster_id S, kind S, canonical_artifact S, size I",
     "membership": "artifact_id S, cluster_id S, tier S, family_key S",
@@ -104,6 +105,9 @@ class Store:
         shaped.write.mode("overwrite").option("compression", "zstd").parquet(self._at(table, part))
         return self.spark.read.schema(wanted).parquet(self._at(table, part)).count()
 
+    def read_part(self, table: str, part: str) -> DataFrame:
+        return self.spark.read.schema(schema(table)).parquet(self._at(table, part))
+
     def delete_part(self, table: str, part: str) -> None:
         fs, path = file_system(self.spark, self._at(table, part))
         fs.delete(path, True)
@@ -113,32 +117,67 @@ class Store:
         fs.delete(path, True)
 
     def views(self) -> SparkSession:
-        """A session of its own that holds only the edition's tables as views; files can't be queried by path in it."""
+        """A session of its own that holds only views named v_..., without repos that are missing or canaries and what hangs on
+        them. The tables themselves are no views in it, and files can't be queried by path."""
         own = self.spark.newSession()
+        mine = Store(own, self.root)
+        hidden = F.coalesce("missing", F.lit(False)) | F.coalesce("canary", F.lit(False))
+        repos = mine.read("repos").filter(~hidden)
+        only = lambda rows, by, column: rows.join(by.select(column), column, "left_semi")
+        artifacts = only(mine.read("artifacts"), repos, "repo")
+        membership = only(mine.read("membership"), artifacts, "artifact_id")
+        clusters = only(mine.read("clusters"), membership, "cluster_id")
+        cases = mine.read("use_cases")
+        leaf = mine.read("uc_membership").join(membership, "cluster_id").join(artifacts, "artifact_id").select("use_case_id", "repo").distinct()
+        above = leaf.join(cases.filter("parent_id is not null"), "use_case_id").select(F.col("parent_id").alias("use_case_id"), "repo")
+        found = {
+            "v_repos": repos, "v_artifacts": artifacts, "v_membership": membership, "v_clusters": clusters, "v_features": only(mine.read("features"), repos, "repo"),
+            "v_glyphs": only(mine.read("glyphs"), repos, "repo"), "v_semantics": only(mine.read("semantics").filter("pass_id = 'a'"), clusters, "cluster_id"),
+            "v_use_cases": cases, "v_uc_leaf_repos": leaf, "v_uc_repos": leaf.unionByName(above).distinct(),
+        }
+        for name, rows in found.items():
+            rows.createOrReplaceTempView(name)
         own.conf.set("spark.sql.runSQLOnFiles", "false")
-        for table in _COLUMNS:
-            mine = Store(own, self.root).read(table)
-            mine.createOrReplaceTempView(table)
         return own
 
 
 def read_jsonl(spark: SparkSession, path: str, columns: str) -> DataFrame:
-    """Objects of a JSON-lines file. The last line may be cut short and is then left out; damage before it is an error."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    last = lines.agg(F.max("n").alias("last"))  # a complete file ends with a line break, so its last piece is empty
-    rows = lines.join(F.broadcast(last)).filter("n < last and trim(line) != ''")
-    parsed = rows.select("n", F.max("n").over(_whole()).alias("final"), F.from_json("line", columns).alias("r"), "line")
-    good = parsed.withColumn("good", F.col("line").rlike(r"^\s*\{") & F.expr("try_parse_json(line) IS NOT NULL"))
-    checked = good.filter((F.col("n") < F.col("final")) | F.col("good"))
-    message = F.concat(F.lit(f"{path}:"), (F.col("n") + 1).cast("string"), F.lit(": corrupt line"))
-    safe = checked.withColumn("r", F.when(F.col("good"), F.col("r")).otherwise(F.raise_error(message)))
+    """Objects of a JSON-lines file, which may be split among tasks. The last line may be cut short (no line break after it, or
+    no object) and is then left out; damage before it is an error that names the line's number among those of its task."""
+    fs, target = file_system(spark, path)
+    size = fs.getFileStatus(target).getLen()
+    stream = fs.open(target)
+    stream.seek(max(0, size - 1))
+    ended = size > 0 and stream.read() == ord("\n")
+    stream.close()
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.monotonically_increasing_id().alias("n"), "value")  # ids follow the file
+    lines = settled(lines, "lines").filter("trim(value) != ''")
+    last = lines.agg(F.max("n")).first()[0]
+    good = F.col("value").rlike(r"^\s*\{") & F.expr("try_parse_json(value) IS NOT NULL")
+    rows = lines.select("n", "value", good.alias("good")).filter((F.col("n") != F.lit(last)) | (F.col("good") & F.lit(ended)))
+    task, place = F.shiftright("n", 33), F.col("n").bitwiseAND(F.lit((1 << 33) - 1))
+    message = F.concat(F.lit(f"{path}: corrupt line "), (place + 1).cast("string"), F.lit(" of part "), (task + 1).cast("string"))
+    safe = rows.select(F.when(F.col("good"), F.from_json("value", columns)).otherwise(F.raise_error(message)).alias("r"))
     return safe.select("r.*")
 
 
-def _whole():
-    from pyspark.sql import Window
+def legacy_blobs(spark: SparkSession, root: str) -> DataFrame:
+    """oid, version, counts, text of a folder with one compressed file for each blob: a line of JSON, then the text."""
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
 
-    return Window.partitionBy()
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                head, _, text = zstandard.ZstdDecompressor().decompressobj().decompress(content).decode().partition("\n")
+                told = json.loads(head)
+                rows.append({"oid": path.rsplit("/", 1)[1].split(".")[0], "version": told.get("redact_version", 0), "counts": json.dumps(told.get("counts", {}), sort_keys=True), "text": text})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("oid", pa.string()), ("version", pa.int64()), ("counts", pa.string()), ("text", pa.string())]))
+
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+    return raw.mapInArrow(run, schema("blobs"))
 
 
 def fixture_files(spark: SparkSession, root: str) -> DataFrame:
@@ -150,13 +189,3 @@ def fixture_files(spark: SparkSession, root: str) -> DataFrame:
     blob = F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.length("content").cast("string")), "UTF-8"), F.unhex(F.lit("00")), F.col("content")))
     repo = F.replace(F.regexp_extract("path", r"/([^/]+__[^/]+)/(.+)$", 1), F.lit("__"), F.lit("/"))
     return raw.select(repo.alias("repo"), named.alias("path"), blob.alias("blob_sha"), F.col("content").alias("data")).filter("path != '_repo.json'")
-
-
-def import_parts(source: DataFrame, journal: DataFrame, done: DataFrame) -> DataFrame:
-    """Rows of another edition whose part its journal has and ours hasn't; a second run finds none."""
-    return source.join(journal.select("part").distinct(), "part", "left_semi").join(done.select("part").distinct(), "part", "left_anti")
-
-
-def write_facts(facts: dict[str, object], edition: str, edition_hash: str, at: str) -> str:
-    """The document that publishes facts."""
-    return json.dumps({"edition": edition, "edition_hash": edition_hash, "frozen_at": at, "facts": {k: {"id": k, "value": v, "edition_hash": edition_hash} for k, v in sorted(facts.items())}}, sort_keys=True)
