@@ -66,5 +66,14 @@ def batched(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of input that a task of an explicit repartition should get.
+TASK_BYTES = 256 << 20
+
+
+def partitions(spark: SparkSession, df: DataFrame) -> int:
+    """Tasks for a repartition of a table: spark.sql.shuffle.partitions, or more where the size of the files it is read from asks
+    for it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    files = [x for x in map(leaves.apply, range(leaves.size())) if x.getClass().getSimpleName() == "LogicalRelation"]
+    size = sum(int(str(x.stats().sizeInBytes())) for x in files)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))

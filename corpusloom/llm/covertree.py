@@ -286,7 +286,7 @@ def _counted(rows: DataFrame, threshold: float) -> DataFrame:
 def near_vectors(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
     spark = table.sparkSession
-    spread = partitions(spark)
+    spread = partitions(spark, table)
     limit = float(np.sqrt(2 - 2 * threshold))
     single = table.schema[vector_col].dataType.simpleString() == "array<float>"
     vector = F.col(vector_col).cast("array<float>" if single else "array<double>")

@@ -1,13 +1,14 @@
 """Exact dedup by content sort.
 
-Sampled splitters over (text, id) range-partition the rows, an external sort inside each range puts equal texts
-next to each other, and the window below compares each text with its neighbour's in full. Because a splitter also
-holds an id, a text that a third of all rows share is cut into several ranges; only a text that equals a splitter's
-can lie in more than one range, so at most one partial group for each splitter is merged afterwards.
+Rows are ordered by the first CUT characters of the text, the text's hash and the id. Sampled splitters range-partition that
+order, an external sort inside each range puts equal texts next to each other, and the window below compares each text with
+its neighbour's in full. Because a splitter also holds an id, a text that a third of all rows share is cut into several
+ranges; only a text that a splitter was drawn from twice can lie in more than one, so at most one partial group for each
+splitter is merged afterwards. A splitter takes no more room for a long text than for a short one.
 
 Defined cases: a null text counts as empty; null ids sort before all others and are kept only if a group has no other;
-of repeated rows (same id and text) one is kept; an empty table gives no rows; other columns are ignored, or
-carried along unread when ``carry`` is set.
+of repeated rows (same id and text) one is kept; a very long text is one row of the sort; an empty table gives no rows; other
+columns are ignored, or carried along unread when ``carry`` is set.
 """
 
 from __future__ import annotations
@@ -17,40 +18,45 @@ from pyspark.sql import functions as F
 
 from .common import materialise, partitions, read
 
-#: Rows sampled for each range; the driver holds RANGES_PER_PARTITION * partitions * this many texts at most.
+#: Rows sampled for each range, and ranges for each task (several, as they are dealt by hash); the driver holds their
+#: product with the number of tasks, of rows of CUT characters and some hashes.
 SAMPLES_PER_RANGE = 8
 RANGES_PER_PARTITION = 3
-MOST_RANGES = 4096
+CUT = 64
 
+#: (first characters, hash, id, digest) of a row; (first characters, hash, id or None) of a splitter.
+Sampled = tuple[str, int, int | None, str]
+Splitter = tuple[str, int, int | None]
 
-def _shortest_above(low: str, high: str) -> str:
-    """The shortest prefix of high that sorts after low (low < high; code point order is UTF-8 order)."""
-    n = next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
-    return high[: n + 1]
 
+def _order(r: tuple) -> tuple:
+    return r[0], r[1], r[2] is not None, r[2] or 0
 
-def splitters(sample: list[tuple[str, int | None]], ranges: int) -> list[tuple[str, int | None, bool]]:
-    """Up to ranges - 1 ascending (text, id, whole) from a sample; whole: the text is a sampled one, uncut, and
-    the id cuts the rows that have it. Elsewhere a prefix just long enough stands for the text."""
-    rows = sorted(sample, key=lambda r: (r[0], r[1] is not None, r[1] or 0))
-    found: list[tuple[str, int | None, bool]] = []
+
+def splitters(sample: list[Sampled], ranges: int) -> tuple[list[Splitter], list[str]]:
+    """Up to ranges - 1 ascending splitters, and the digests of the texts whose rows they cut by id."""
+    rows = sorted(sample, key=_order)
+    found: list[Splitter] = []
+    hot: dict[str, None] = {}
     for k in range(1, ranges):
         i = k * len(rows) // ranges
         if not 0 < i < len(rows):
             continue
-        (before, _), (text, at) = rows[i - 1], rows[i]
-        cut = (text, at, True) if before == text else (_shortest_above(before, text), None, False)
-        if not found or (cut[0], cut[1] is not None, cut[1] or 0) > (found[-1][0], found[-1][1] is not None, found[-1][1] or 0):
+        same = rows[i - 1][:2] == rows[i][:2]
+        cut = (rows[i][0], rows[i][1], rows[i][2] if same else None)
+        if not found or _order(cut) > _order(found[-1]):
             found.append(cut)
-    return found
+        if same:
+            hot[rows[i][3]] = hot[rows[i - 1][3]] = None
+    return found, list(hot)
 
 
-def _range_of(text: Column, row_id: Column, cuts: list[tuple[str, int | None, bool]]) -> Column:
-    """Number of splitters that are not above (text, id), by binary search."""
+def _range_of(text: Column, row_id: Column, cuts: list[Splitter]) -> Column:
+    """Number of splitters that are not above a row, by binary search."""
     if not cuts:
         return F.lit(0)
-    table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).cast("long").alias("i")) for t, i, _ in cuts])
-    key = F.struct(text.alias("t"), row_id.cast("long").alias("i"))
+    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(h).cast("long").alias("h"), F.lit(i).cast("long").alias("i")) for p, h, i in cuts])
+    key = F.struct(F.substring(text, 1, CUT).alias("p"), F.xxhash64(text).alias("h"), row_id.cast("long").alias("i"))
     steps = [1 << b for b in reversed(range(len(cuts).bit_length()))]
 
     def step(low: Column, width: Column) -> Column:
@@ -64,15 +70,16 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     carry adds ``row``, a struct of all input columns."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(text_col).isNull().alias("__null_text")).alias("row")] if carry else []))
-    ranges = min(MOST_RANGES, RANGES_PER_PARTITION * partitions(spark))
+    spread = partitions(spark, docs)
+    ranges = RANGES_PER_PARTITION * spread
     total = rows.count()
     share = min(1.0, ranges * SAMPLES_PER_RANGE / max(total, 1))
-    sample = [(r.text, r.id) for r in rows.select("text", "id").sample(False, share, 7).collect()]
-    cuts = splitters(sample, ranges)
-    whole = list(dict.fromkeys(t for t, _, full in cuts if full))
+    drawn = rows.select("text", "id").sample(False, share, 7).select(F.substring("text", 1, CUT).alias("p"), F.xxhash64("text").alias("h"), "id", F.sha2("text", 256).alias("d"))
+    cuts, whole = splitters([(r.p, r.h, r.id, r.d) for r in drawn.collect()], ranges)
 
-    hot = F.array_position(F.array(*map(F.lit, whole)), F.col("text")) if whole else F.lit(0).cast("long")
-    parted = rows.withColumn("range", _range_of(F.col("text"), F.col("id"), cuts)).repartition(partitions(spark), "range")
+    digest = F.sha2("text", 256)
+    hot = F.array_position(F.array(*map(F.lit, whole)), F.col("text_sha256")) if whole else F.lit(0).cast("long")
+    parted = rows.withColumn("range", _range_of(F.col("text"), F.col("id"), cuts)).repartition(spread, "range")
     first = F.col("id").asc_nulls_last() if keep == "min" else F.col("id").desc_nulls_last()
     equal = Window.partitionBy("range", "text")
     runs = parted.withColumns({
@@ -81,7 +88,8 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "top": (F.min("id") if keep == "min" else F.max("id")).over(equal),
     })
     kept_text = [F.col("text"), F.col("row")] if carry else []
-    runs = materialise(runs.select("id", "range", "place", "n", "top", hot.alias("hot"), F.sha2("text", 256).alias("text_sha256"), *kept_text), "content-sort")
+    runs = runs.select("id", "range", "place", "n", "top", digest.alias("text_sha256"), *kept_text)
+    runs = materialise(runs.withColumn("hot", hot), "content-sort")
 
     # at most one row for each range whose first or last text is a splitter's
     best = F.min("top") if keep == "min" else F.max("top")

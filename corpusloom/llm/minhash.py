@@ -296,7 +296,7 @@ def drop_near(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", t
 def _assigned(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """id, digest, n_shingles, node (null without words), head (id and digest of the component's first row) of each row."""
     spark = docs.sparkSession
-    spread = partitions(spark)
+    spread = partitions(spark, docs)
     sketched = materialise(sketch(docs, id_col, text_col), "sketches")
     nodes = materialise(sketched.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")).alias("rep"), F.first("sketch").alias("sketch")), "nodes")
 

@@ -44,6 +44,12 @@ def test_empty_table_and_columns(documents, spark):
 
 
 def test_splitters_cut_a_hot_text_by_id():
-    sample = [("hot", i) for i in range(50)] + [(f"t{i}", i) for i in range(50)]
-    cuts = exact_dedup.splitters(sample, 10)
-    assert [c for c in cuts if c[2]] and cuts == sorted(cuts, key=lambda c: (c[0], c[1] is not None, c[1] or 0))
+    sample = [("hot", 5, i, "d") for i in range(50)] + [(f"t{i}", i, i, str(i)) for i in range(50)]
+    cuts, hot = exact_dedup.splitters(sample, 10)
+    assert hot[0] == "d" and len([c for c in cuts if c[2] is not None]) >= 3 and cuts == sorted(cuts, key=exact_dedup._order)
+
+
+def test_long_texts_that_start_alike(documents):
+    texts = ["x" * 500 + str(i % 40) for i in range(400)]
+    got = rows(exact_dedup.content_sort(documents(texts)))
+    assert {r[2] for r in got} == {10} and sum(r[3] for r in got) == 40
