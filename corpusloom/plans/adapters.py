@@ -43,8 +43,6 @@ v_membership AS (SELECT m.* FROM membership m LEFT SEMI JOIN v_artifacts a ON m.
 
 
 def features(d: Spark) -> str:
-    """One row per (technique, artifact): the first line that shows it."""
-    rules = " UNION ALL ".join(
-        f"SELECT artifact_id, repo, path, '{name}' AS technique_id, text FROM artifacts WHERE {d.matches('text', rule)}" for name, rule in TECHNIQUE_RULES.items()
-    )
-    return f"features AS ({rules})"
+    """One row per (technique, artifact); each text is looked at once."""
+    told = ", ".join(f"CASE WHEN {d.matches('text', rule)} THEN '{name}' END" for name, rule in TECHNIQUE_RULES.items())
+    return f"features AS (SELECT artifact_id, repo, path, {d.explode(d.some(told))} AS technique_id FROM artifacts)"

@@ -27,6 +27,10 @@ class Spark:
     def size(self, x: str) -> str:
         return f"size({x})"
 
+    def some(self, items: str) -> str:
+        """The items that aren't null, as an array."""
+        return f"filter(array({items}), x -> x IS NOT NULL)"
+
     def matches(self, x: str, pattern: str) -> str:
         return f"regexp_like({x}, {self.re(pattern)})"
 
@@ -72,6 +76,9 @@ class Duck(Spark):
     def size(self, x: str) -> str:
         return f"len({x})"
 
+    def some(self, items: str) -> str:
+        return f"list_filter([{items}], lambda x: x IS NOT NULL)"
+
     def matches(self, x: str, pattern: str) -> str:
         return f"regexp_matches({x}, {self.re(pattern)})"
 

@@ -43,9 +43,9 @@ SELECT concat('c-', substr({d.sha("concat(kind, ':', blob_sha)")}, 1, 16)) AS cl
     "digit_names": Sql(lambda d: f"SELECT p_brand AS name, count(*) AS n FROM {{part}} WHERE NOT {d.matches('p_type', '[0-9]')} GROUP BY p_brand"),
     "quote_in_source": Sql(
         lambda d: f"""WITH {artifacts(d)}, s AS (SELECT doc_id, {_norm(d, 'text')} AS t FROM artifacts), q AS (SELECT item_id, {_norm(d, 'text')} AS t FROM {{benchmark}}),
-sw AS (SELECT doc_id, split(t, ' ') AS w FROM s), blocks AS (SELECT DISTINCT doc_id, concat_ws(' ', slice(w, i, 4)) AS b FROM sw LATERAL VIEW explode(sequence(1, greatest(size(w) - 3, 1))) v AS i),
+sw AS (SELECT doc_id, split(t, ' ') AS w FROM s), blocks AS (SELECT doc_id, concat_ws(' ', slice(w, i, 4)) AS b FROM sw LATERAL VIEW explode(sequence(1, greatest(size(w) - 3, 1))) v AS i),
 qb AS (SELECT item_id, t, concat_ws(' ', slice(split(t, ' '), 2, 4)) AS b FROM q WHERE size(split(t, ' ')) >= 6)
-SELECT q.item_id, s.doc_id FROM qb q JOIN blocks k ON q.b = k.b JOIN s ON s.doc_id = k.doc_id WHERE contains(s.t, q.t)
+SELECT q.item_id, s.doc_id FROM (SELECT DISTINCT q.item_id, q.t, k.doc_id FROM blocks k JOIN qb q ON q.b = k.b) q JOIN s ON s.doc_id = q.doc_id WHERE contains(s.t, q.t)
 UNION SELECT q.item_id, s.doc_id FROM q JOIN s ON contains(s.t, q.t) WHERE size(split(q.t, ' ')) < 6 AND q.t <> ''""",
         lambda d: f"""WITH {artifacts(d)}, s AS (SELECT doc_id, {_norm(d, 'text')} AS t FROM artifacts), q AS (SELECT item_id, {_norm(d, 'text')} AS t FROM {{benchmark}})
 SELECT item_id, doc_id FROM q JOIN s ON contains(s.t, q.t) WHERE q.t <> ''""",
