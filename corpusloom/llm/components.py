@@ -14,7 +14,7 @@ from .common import materialise
 
 #: From so many edges on, what is joined is written first: then both sides of a join come straight from an exchange, and
 #: Spark splits the partition of a node that very many edges meet.
-SPLIT = 10_000
+SPLIT = 1_000
 
 
 def _large_star(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

@@ -24,8 +24,9 @@ from .bpe import encoder
 from .common import batched, materialise, read
 
 CAPACITY = 1024
-#: Rows of one length are ranked in shares of about this many, so that no task gets all of a common length.
-PER_SHARE = 50_000
+#: Rows of one length are ranked in shares of at most about PER_SHARE, LEAST_SHARES or more, so that no task gets all of a
+#: common length.
+PER_SHARE, LEAST_SHARES = 50_000, 16
 
 
 def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -111,7 +112,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> Da
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = spark.createDataFrame(slots(patterns(histogram, capacity)), "length bigint, first bigint, end bigint, sequence bigint, offset bigint")
 
-    many = F.array(*[F.lit(-(-histogram.get(n, 1) // PER_SHARE)) for n in range(capacity + 1)])
+    many = F.array(*[F.lit(max(LEAST_SHARES, -(-histogram.get(n, 1) // PER_SHARE))) for n in range(capacity + 1)])
     share = F.pmod(F.xxhash64(id_col, "start"), F.get(many, F.col("length").cast("int"))).cast("int")
     cut = cut.withColumn("__share", share)
     counts = cut.groupBy("length", "__share").agg(F.count(F.lit(1)).alias("n"))
