@@ -86,7 +86,7 @@ def totals(nodes: DataFrame, remaining: float = 0.0) -> DataFrame:
 
 def stratified(rows: DataFrame, key: str, size: str, stratum: str, total: int, per_window: int = 10) -> DataFrame:
     """A sample of about ``total`` rows: each stratum gets its share (largest remainder), drawn from windows of sizes that are
-    equally wide in the logarithm, ``per_window`` at a time, in an order by the key's hash."""
+    equally wide in the logarithm, ``per_window`` at a time; windows and rows are in an order by hash."""
     counts = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
     whole = counts.agg(F.sum("n").alias("s")).first().s or 0
     raw = [(r[stratum], total * r.n / max(whole, 1)) for r in counts.collect()]  # a row for each stratum
@@ -97,7 +97,7 @@ def stratified(rows: DataFrame, key: str, size: str, stratum: str, total: int, p
     drawn = rows.withColumn("__window", window).withColumn("__hash", F.xxhash64(F.col(key).cast("string"), F.lit(7)))
     inside = Window.partitionBy(stratum, "__window").orderBy("__hash", key)
     drawn = drawn.withColumn("__turn", F.floor((F.row_number().over(inside) - 1) / per_window))
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy("__turn", "__window", "__hash", key))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("__turn", F.xxhash64("__window", F.lit(3)), "__hash", key))
     table = rows.sparkSession.createDataFrame(list(quota.items()) or [(None, 0)], f"__s {rows.schema[stratum].dataType.simpleString()}, __quota int")
     told = drawn.withColumn("__place", place).join(F.broadcast(table), F.col(stratum).eqNullSafe(F.col("__s"))).filter("__place <= __quota")
     return told.select(*rows.columns)

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,3 +337,39 @@ def test_noise_meets_every_centroid(spark, monkeypatch):
     noise = spark.createDataFrame([(100 + i, None, v) for i, _, v in axes] + [(107, None, axes[7][2]), (200, None, [-1.0] * 8)], "vec_id bigint, label bigint, embedding array<double>")
     got = sorted((r.vec_id, r.label or -1, r.similarity) for r in vectors.assign_noise(rows, noise).collect())
     assert got == [(100 + i, i + 1, 1.0) for i in range(8)] + [(107, 8, 1.0), (200, -1, -1.0)]
+
+
+def test_principal_directions(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 6)) * [5, 3, 2, 1, 0.5, 0.1] @ np.linalg.qr(rng.normal(size=(6, 6)))[0] + 4
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
+    got = np.array([r.vector for r in vectors.reduce(rows, "id", "v", 3).orderBy("key").collect()])
+    centred = x - x.mean(0)
+    u, s, _ = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(u[:, :3] * s[:3]), atol=1e-8)
+    assert [list(r.vector) for r in vectors.reduce(rows.limit(3), "id", "v", 3).collect()][0] == x[0].tolist()
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_two_levels_of_clusters(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    axes = np.eye(8)
+    rows = []
+    for k in range(2):
+        for side in (-1, 1):  # each half is close, both halves are near
+            rows += [axes[k] + 0.55 * side * axes[2 + k] + 0.02 * rng.normal(size=8) for _ in range(6)]
+    rows += [axes[6], axes[7]]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)] + [(90, None), (91, [0.0] * 8)], "id bigint, v array<double>")
+    found = {r.id: (r.l1, r.l2) for r in vectors.two_level(table, "id", "v", 0.5, 0.95).collect()}
+    halves = [{found[i] for i in range(a, a + 6)} for a in range(0, 24, 6)]
+    assert all(len(h) == 1 and None not in next(iter(h)) for h in halves) and len({next(iter(h)) for h in halves}) == 4
+    assert {next(iter(h))[0] for h in halves[:2]} == {0} and {next(iter(h))[0] for h in halves[2:]} == {12}
+    assert all(found[i] == (None, None) for i in (24, 25, 90, 91))
+
+
+def test_sample_by_strata(spark):
+    rows = spark.createDataFrame([(i, 10 ** (i % 5) + i, "a" if i % 3 else "b") for i in range(300)] + [(999, None, None)], "id bigint, size bigint, kind string")
+    drawn = sampling.stratified(rows, "id", "size", "kind", 60).collect()
+    assert len(drawn) == 60 and {k: sum(r.kind == k for r in drawn) for k in ("a", "b")} == {"a": 40, "b": 20}
+    assert len({int(4 * np.log10(max(r.size, 1))) for r in drawn if r.kind == "a"}) >= 4 and sampling.stratified(rows.limit(0), "id", "size", "kind", 5).count() == 0
