@@ -14,8 +14,8 @@ SAMPLE_BYTES in all). Distinct windows are compressed once for a batch and remem
 
 Defined cases: null and empty texts have no window and score 0; so does every text if a label is missing among the
 rows that may be learned from; a document with several labels counts as toxic if one says so; repeated rows get the same
-score; null ids count as the empty text where the held-out share is chosen; an empty table gives no rows; other
-columns are ignored.
+score; null ids count as the empty text where the held-out share is chosen; a very long text is scored whole, window by window, in
+one task; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
