@@ -4,8 +4,9 @@ Each language has a codeword. For each bit a binary n-gram classifier (log-odds
 to 3) tells the languages whose bit is 1 from the others. The logistic loss of all bits against each codeword, weighted
 by how well the bit told training documents apart, is least for the predicted language; a small lead over the next one
 flags the prediction as ambiguous. A text whose loss is further from that of every document learned from than from that of
-a text that tells nothing (log 2) is in no learned language: rejected. Texts of fewer than JUDGED n-grams of each order
-never are, nor is any text where only one language was learned.
+a text that tells nothing (log 2), and so is each PIECE of it, is in no learned language: rejected. A text that changes its
+language has pieces that lie near. Texts of fewer than JUDGED n-grams of each order never are rejected, nor is any text
+where only one language was learned.
 
 The classifiers are fitted on PER_LANGUAGE labelled documents of each language at most (whole texts), drawn by chance
 over the whole table; n-grams are counted on the executors, and the driver gets COUNTS numbers for each language. Every
@@ -41,6 +42,8 @@ TOGETHER = 32
 STEEPNESS, SURE = 8.0, 0.2
 #: n-grams of an order that a text must have to be rejected.
 JUDGED = 64
+#: Bytes of a piece.
+PIECE = 128
 
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII letters in lower case, other ASCII as blanks, the rest as it is.
@@ -155,6 +158,13 @@ def fit(rows: DataFrame) -> Codes | None:
     return model
 
 
+def lost(model: Codes, text: bytes) -> bool:
+    """Whether all pieces of a text are beyond the limit."""
+    pieces = [text[a : a + PIECE] for a in range(0, len(text), PIECE)]
+    losses = (model.predict(gram_counts(pieces[a : a + 8 * TOGETHER]))[3] for a in range(0, len(pieces), 8 * TOGETHER))
+    return all((found[found > 0] >= model.limit).all() for found in losses)
+
+
 def _greatest_loss(sample: DataFrame, model: Codes) -> float:
     """The greatest loss of the documents learned from; a number for each task goes to the driver."""
     shared = sample.sparkSession.sparkContext.broadcast(model)
@@ -184,7 +194,7 @@ def identify(docs: DataFrame, model: Codes | None, id_col: str = "doc_id", text_
                 some = told[a : a + TOGETHER]
                 told_of = own.predict(gram_counts([texts[i].encode() for i in some]))
                 for i, k, s, gap, loss in zip(some, *(x.tolist() for x in told_of), strict=True):
-                    found[i] = (own.languages[k], min(1.0, s), gap < SURE, loss >= own.limit)
+                    found[i] = (own.languages[k], min(1.0, s), gap < SURE, loss >= own.limit and lost(own, texts[i].encode()))
             columns = zip(*found, strict=True) if found else ((),) * 4
             kinds = (pa.string(), pa.float64(), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, kinds), *batch.columns[2:]], ["id", "lang_pred", "score", "ambiguous", "rejected", *[f"c{i}" for i in range(len(carry))]])
