@@ -335,3 +335,17 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "
 
 def op8_cover_tree(spark, sf_dir):
     return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+#: All pairs of a label, and components by recursion.
+OP8_SQL = f"""
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM e),
+x AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= {THRESHOLD}),
+r AS (SELECT vec_id AS node, vec_id AS root FROM u UNION SELECT x.b, r.root FROM r JOIN x ON r.node = x.a),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM x GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id
+"""

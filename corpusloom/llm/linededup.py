@@ -258,3 +258,19 @@ def drop_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def op9_line_dedup(spark, sf_dir):
     found = removed_lines(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed_lines"))
+
+
+#: The same join with exact counts of words over classes, prefix and length filter only, and whole sets compared.
+OP9_SQL = f"""
+WITH l AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS ln, unnest(a) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
+w AS (SELECT doc_id, ln, list_sort(list_distinct(list_filter(string_split_regex(lower(line), '[ \\t\\r]+'), lambda x: x <> ''))) AS w FROM l),
+c AS (SELECT row_number() OVER (ORDER BY first_.doc_id, first_.ln) AS cid, first_, w, len(w) AS n FROM (SELECT w, min(struct_pack(doc_id := doc_id, ln := ln)) AS first_ FROM w WHERE len(w) > 0 GROUP BY w)),
+t AS (SELECT cid, n, unnest(w) AS t FROM c), f AS (SELECT t, count(*) AS f FROM t GROUP BY t),
+p AS (SELECT cid, n, t, row_number() OVER (PARTITION BY cid ORDER BY f, t) AS place FROM t JOIN f USING (t)),
+q AS (SELECT * FROM p WHERE place <= n - ceil(n * {PERCENT} / 100) + 1),
+x AS (SELECT DISTINCT a.cid AS a, b.cid AS b FROM q a JOIN q b ON a.t = b.t AND b.cid < a.cid AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)),
+o AS (SELECT a, a.n AS n, b.n AS m, len(list_intersect(a.w, b.w)) AS o FROM x JOIN c a ON a.cid = x.a JOIN c b ON b.cid = x.b),
+k AS (SELECT first_.doc_id AS doc_id, first_.ln AS ln FROM c WHERE cid NOT IN (SELECT a FROM o WHERE 100 * o >= {PERCENT} * (n + m - o))),
+r AS (SELECT w.doc_id, w.ln, len(w.w) > 0 AND k.ln IS NULL AS goes FROM w LEFT JOIN k ON k.doc_id = w.doc_id AND k.ln = w.ln)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_removed, coalesce(string_agg(CAST(ln AS VARCHAR), ',' ORDER BY ln) FILTER (goes), '') AS removed_lines FROM r GROUP BY doc_id
+"""

@@ -322,3 +322,16 @@ def _assigned(docs: DataFrame, percent: int, id_col: str, text_col: str) -> Data
 
 def op7_minhash_dedup(spark, sf_dir):
     return near_components(read(spark, sf_dir, "documents"), percent=85)
+
+
+#: All pairs of different sets that share a shingle, and components by recursion.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s FROM w),
+d AS (SELECT doc_id, s, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS rep FROM s),
+g AS (SELECT doc_id, n, unnest(s) AS g FROM d WHERE doc_id = rep),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS root FROM d WHERE doc_id = rep UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT doc_id, n AS n_shingles, root AS component_id, root = doc_id AS kept FROM d JOIN c ON node = rep
+"""

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from . import licenses, secrets
 from .bpe import op3_byte_bpe
 from .common import read
-from .covertree import op8_cover_tree
+from .covertree import OP8_SQL, op8_cover_tree
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .langid import op5_language_id
 from .licenses import OP1_SQL, op1_license_scan
-from .linededup import op9_line_dedup
-from .minhash import op7_minhash_dedup
+from .linededup import OP9_SQL, op9_line_dedup
+from .minhash import OP7_SQL, op7_minhash_dedup
 from .packing import op4_packing
 from .secrets import OP2_SQL, op2_secret_scan
 from .toxicity import op10_toxicity
@@ -82,6 +82,9 @@ ORACLES = {
     "op1_license_scan": OP1_SQL,
     "op2_secret_scan": OP2_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op7_minhash_dedup": OP7_SQL,
+    "op8_cover_tree": OP8_SQL,
+    "op9_line_dedup": OP9_SQL,
     "licenses_planted": OP1_SQL.replace("FROM documents", f"FROM {_LICENSES_SQL}"),
     "licenses_whole": OP1_SQL.replace("FROM documents", f"FROM (SELECT doc_id, upper(([{_WHOLE}])[1 + doc_id % {sum(map(len, licenses.TEXTS.values()))}]) AS text FROM documents)"),
     "secrets_planted": OP2_SQL.replace("FROM documents", f"FROM {_SECRETS_SQL}"),
