@@ -9,11 +9,13 @@ from .bpe import op3_byte_bpe
 from .common import read
 from .covertree import OP8_SQL, op8_cover_tree
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .hamerly import OP13_SQL, op13_hamerly_clusters
 from .langid import op5_language_id
 from .licenses import OP1_SQL, op1_license_scan
 from .linededup import OP9_SQL, op9_line_dedup
 from .minhash import OP7_SQL, op7_minhash_dedup
 from .packing import op4_packing
+from .periods import OP11_SQL, op11_periodic_runs
 from .secrets import OP2_SQL, op2_secret_scan
 from .toxicity import op10_toxicity
 
@@ -72,6 +74,8 @@ QUERIES = {
     "op8_cover_tree": op8_cover_tree,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_hamerly_clusters": op13_hamerly_clusters,
     "licenses_planted": licenses_planted,
     "licenses_whole": licenses_whole,
     "secrets_planted": secrets_planted,
@@ -85,6 +89,8 @@ ORACLES = {
     "op7_minhash_dedup": OP7_SQL,
     "op8_cover_tree": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op11_periodic_runs": OP11_SQL,
+    "op13_hamerly_clusters": OP13_SQL,
     "licenses_planted": OP1_SQL.replace("FROM documents", f"FROM {_LICENSES_SQL}"),
     "licenses_whole": OP1_SQL.replace("FROM documents", f"FROM (SELECT doc_id, upper(([{_WHOLE}])[1 + doc_id % {sum(map(len, licenses.TEXTS.values()))}]) AS text FROM documents)"),
     "secrets_planted": OP2_SQL.replace("FROM documents", f"FROM {_SECRETS_SQL}"),
