@@ -81,7 +81,7 @@ def test_cases(spark, documents):
 
 def test_query_as_plain_version(spark, tmp_path):
     rng = random.Random(4)
-    docs = {i: " ".join(rng.choices("a b cc d e".split(), k=rng.choice([0, 3, 30, 70]))) if i % 17 else None for i in range(200)}
+    docs = {i: " ".join(rng.choices("a b cc d e".split(), k=rng.choice([0, 3, 30, 70]))) if i % 17 else None for i in range(600)}
     spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in op11_periodic_runs(spark, str(tmp_path)).collect()}
     assert got.keys() == docs.keys()
