@@ -11,6 +11,7 @@ from .covertree import OP8_SQL, op8_cover_tree
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .hamerly import OP13_SQL, op13_hamerly_clusters
 from .langid import op5_language_id
+from .lbl import op12_log_bilinear
 from .licenses import OP1_SQL, op1_license_scan
 from .linededup import OP9_SQL, op9_line_dedup
 from .minhash import OP7_SQL, op7_minhash_dedup
@@ -75,6 +76,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_log_bilinear": op12_log_bilinear,
     "op13_hamerly_clusters": op13_hamerly_clusters,
     "licenses_planted": licenses_planted,
     "licenses_whole": licenses_whole,
