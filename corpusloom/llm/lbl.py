@@ -15,7 +15,7 @@ that each class's vectors are averaged by how often a task saw the class. What i
 Each text is read twice: to count, and to be written as class numbers. Counts of the FREQUENT most frequent tokens (a fixed bound) go to
 all workers; the other tokens' counts are joined by the token, and none of these can be common among the rows learned from.
 
-Defined cases: null and empty texts are an end alone; without any row to learn from all classes are alike and no token is known; null ids
+Defined cases: null and empty texts are an end alone; without any row to learn from all classes are almost alike and no token is known; null ids
 count as the empty text where the held-out share is chosen; repeated rows get the same score and each is counted; a very long text is coded
 and scored whole, CHUNK tokens at a time; a token of any length is one; an empty table gives no rows; other columns are ignored.
 """
