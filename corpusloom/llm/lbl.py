@@ -46,7 +46,7 @@ STEP, BATCH = 0.05, 1024
 START_ROWS = 4096
 ALPHA = 0.1
 #: Tokens whose counts every worker has.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 #: Different tokens that a task counts before it hands them on.
 HELD = 1 << 19
 #: Tokens scored at once.
@@ -72,7 +72,7 @@ def _ending_of(token: str):
 
 @dataclass
 class Vocabulary:
-    """What was counted: all tokens (token, n), their sum and number; of the frequent ones in order their class and count; of each class
+    """What was counted: all tokens (token, n), their sum and number; of the OWN most frequent ones in order, then the other frequent ones, their place, class and count; of each class
     its count (all tokens in it), and of an ending's class log10 of what its tokens' shares are of."""
 
     counts: DataFrame
@@ -91,6 +91,19 @@ class Vocabulary:
         return ending(END) if k is None else int(self.of[k])
 
 
+def _least(counts: DataFrame) -> int:
+    """The least count from which on there are FREQUENT tokens at most, by steps of a sixteenth of a power of two."""
+    step = F.floor(F.log2("n") * 16 + 1e-9).cast("int")
+    there = sorted(((r.step, r.k) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)  # a row for each step
+    size, least = 0, 62 * 16
+    for step, k in there:
+        size += k
+        if size > FREQUENT:
+            break
+        least = step
+    return int(np.ceil(2 ** (least / 16) * (1 - 1e-9)))
+
+
 def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     """Counts all tokens of docs."""
 
@@ -111,15 +124,17 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     each = batched(docs).select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "token binary, n bigint")
     counts = materialise(each.groupBy("token").agg(F.sum("n").alias("n")), "token-counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")).first()
-    first = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
-    place = {bytes(r.token): i for i, r in enumerate(first)}
-    n = np.array([r.n for r in first], np.int64)
+    own = [bytes(r.token) for r in counts.orderBy(F.desc("n"), "token").limit(OWN).collect()]
+    frequent = counts.filter(F.col("n") >= _least(counts)).toArrow()  # FREQUENT rows at most
+    n_of = dict(zip(frequent.column("token").to_pylist(), frequent.column("n").to_pylist(), strict=True))
+    n_of |= {bytes(r.token): r.n for r in counts.filter(F.col("token").isin(own)).collect()}
+    place = {t: i for i, t in enumerate(dict.fromkeys([*own, *sorted(n_of)]))}
+    n = np.array([n_of[t] for t in place], np.int64)
     of = np.array([i if i < OWN else ending(t) for i, t in enumerate(place)], np.int16)
     class_n, class_log = np.zeros(CLASSES), np.zeros(CLASSES)
     class_n[: min(OWN, len(n))] = n[:OWN]
     class_log[OWN:] = np.log10(ALPHA)
-    own = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in list(place)[:OWN]], "token binary"))  # OWN rows at most
-    for r in counts.join(own, "token", "left_anti").groupBy(_ending_of("token").alias("class")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():
+    for r in counts.filter(~F.col("token").isin(own)).groupBy(_ending_of("token").alias("class")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():
         class_n[r["class"]] = r.n
         class_log[r["class"]] = np.log10(r.n + ALPHA * (r.kinds + 1))
     return Vocabulary(counts, int(sums.total), int(sums.distinct), place, of, n, class_n, class_log)
