@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.sources.tables import settled
 
+from . import hierarchy, manifold, metric
 from .graph import components
 
 DIMENSIONS, ASSIGN, UNCHARTED, UNCHARTED_SIZE = 256, 0.7, 50, 3
@@ -33,36 +34,12 @@ def hash_embed(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def nn_distance(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """key, nn_distance: one less the largest dot product with another row; 1 for a row that is alone. Blocks of rows meet
-    block by block, so memory is bounded and a task's work is BLOCK * BLOCK products."""
-    spark = rows.sparkSession
-    blocks = max(1, -(-rows.count() // BLOCK))
-    parts = settled(rows.select(F.col(key).alias("key"), F.col(vector).alias("v")).withColumn("mine", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")), "vectors")
-    both = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = both.select(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "key", "v")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        if part.empty:
-            return pd.DataFrame({"key": [], "far": []})
-        x = np.array(part["v"].tolist(), np.float64)
-        mine = part["mine"].to_numpy()
-        out = np.full(len(x), np.inf)
-        left, right = np.flatnonzero(mine == part["i"].iloc[0]), np.flatnonzero(mine == part["j"].iloc[0])
-        same = part["i"].iloc[0] == part["j"].iloc[0]
-        for a in range(0, len(left), 512):
-            close = x[left[a : a + 512]] @ x[right].T
-            if same:
-                close[np.arange(len(close)), np.arange(a, a + len(close))] = -np.inf
-            if close.shape[1]:
-                out[left[a : a + 512]] = np.minimum(out[left[a : a + 512]], 1 - close.max(1))
-                if not same:
-                    out[right] = np.minimum(out[right], 1 - close.max(0))
-        return pd.DataFrame({"key": part["key"], "far": out})
-
-    kind = rows.schema[key].dataType.simpleString()
-    found = met.groupBy("i", "j").applyInPandas(run, f"key {kind}, far double")
-    least = F.min("far")
-    return found.groupBy(F.col("key").alias(key)).agg(F.when(least == float("inf"), 1.0).otherwise(least).alias("nn_distance"))
+    """key, nn_distance: one less the largest dot product with another row; 1 for a row that is alone. Rows are searched for by a
+    metric index, which visits only what can still be nearer."""
+    named = settled(rows.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")), "vectors")
+    best = metric.largest_products(metric.index(named.select("row", F.lit("").alias("grp"), "v")))
+    told = named.select("row", "key").join(best, "row", "left")
+    return told.select(F.col("key").alias(key), F.coalesce(1 - F.col("product"), F.lit(1.0)).alias("nn_distance"))
 
 
 def uncharted(distances: DataFrame, sizes: DataFrame, key: str, limit: int = UNCHARTED) -> DataFrame:
@@ -212,15 +189,17 @@ def density(rows: DataFrame, key: str, vector: str, similarity: float, least: Co
     return told.select(F.col("key").alias(key), F.when(keep, F.col("root")).alias("grp"), F.when(keep, F.col("size")).alias("size"))
 
 
-def two_level(rows: DataFrame, key: str, vector: str, similarity: float = ASSIGN, closer: float = 0.8) -> DataFrame:
-    """key, l1, l2: density clusters, and density clusters inside each of them of a tenth of its size or more, kept where there
-    are two of these or more. Stands in for manifold projection and hierarchical density clustering, whose libraries are absent."""
+def two_level(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, l1, l2: hierarchical density clusters of the projected vectors (of an n/150 of the rows or more, those without clusters below;
+    of two rows where there are few, by stability), and inside each of them clusters of a tenth of its size or more, kept where there
+    are two of these or more."""
     n = rows.count()
-    points = settled(reduce(rows, key, vector), "reduced")
-    top = settled(density(points, "key", "vector", similarity, F.lit(2 if n < SMALL else max(5, n // 150))).select("key", "grp", "size"), "top")
-    inside = points.join(top.filter("grp is not null").withColumnRenamed("key", "k"), F.col("key") == F.col("k")).withColumn("need", F.greatest(F.lit(2), F.floor(F.col("size") / 10)))
+    points = settled(manifold.project(rows, key, vector, reduce), "projected")
+    few = n < SMALL
+    top = settled(hierarchy.clusters(points, "key", "vector", F.lit(2 if few else max(5, n // 150)), "eom" if few else "leaf").select("key", "grp", "size"), "top")
+    inside = points.join(top.filter("grp is not null").withColumnRenamed("key", "k"), F.col("key") == F.col("k")).withColumn("need", F.greatest(F.lit(2), F.floor(F.col("size") / 10)).cast("int"))
     inside = settled(inside.filter("size >= 2 * need").select("key", "vector", "grp", "need"), "inside")
-    low = density(inside, "key", "vector", closer, F.col("need"), F.col("grp")).select(F.col("key").alias("k"), F.col("grp").alias("l2"))
+    low = hierarchy.clusters(inside, "key", "vector", F.col("need"), within=F.col("grp")).select(F.col("key").alias("k"), F.col("grp").alias("l2"))
     told = top.join(low, top["key"] == low["k"], "left").select("key", F.col("grp").alias("l1"), "l2")
     several = told.filter("l2 is not null").groupBy(F.col("l1").alias("t")).agg(F.countDistinct("l2").alias("several"))
     told = told.join(several, F.col("l1") == F.col("t"), "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import parse
-from corpusloom.operators import dedup, graph, sampling, vectors
+from corpusloom.operators import dedup, graph, hierarchy, manifold, sampling, vectors
 from corpusloom.sources.tables import settled
 from corpusloom.streaming import runner
 
@@ -183,6 +183,36 @@ WITHIN_SQL = f"""WITH RECURSIVE {_NEAR.format(within=' AND a.label = b.label')},
 SELECT e.vec_id, coalesce(CASE WHEN size >= 2 THEN root END, -1) AS grp FROM embeddings e LEFT JOIN z ON z.node = e.vec_id WHERE label IS NOT NULL"""
 
 
+def hierarchical(selection: str):
+    """Hierarchical density clusters of four vectors or more, by stability or those without clusters below."""
+
+    def run(spark, sf_dir):
+        found = hierarchy.clusters(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.lit(4), selection, F.lit(2))
+        return found.select("vec_id", F.coalesce("grp", F.lit(-1)).alias("grp"), F.coalesce("size", F.lit(0)).cast("bigint").alias("size"))
+
+    return run
+
+
+def manifold_projection(spark, sf_dir):
+    """Five numbers for each vector that keep who is near whom."""
+    found = manifold.project(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", vectors.reduce)
+    return found.select(F.col("key").alias("vec_id"), *[F.round(F.get("vector", F.lit(k)), 6).alias(f"x{k}") for k in range(5)])
+
+
+def two_levels(spark, sf_dir):
+    """Each vector's clusters in two levels, where noise has its nearest one, and the use case that it counts for."""
+    rows = settled(_read(spark, sf_dir, "embeddings").filter("embedding is not null"), "rows")
+    levels = settled(vectors.two_level(rows, "vec_id", "embedding"), "levels")
+    at = rows.select("vec_id", "embedding").join(levels, "vec_id")
+    near = vectors.assign_noise(at.filter("l1 is not null").withColumn("label", F.col("l1")), at.filter("l1 is null"), least=0.3)
+    noise = near.select("vec_id", F.col("label").alias("l1"), F.lit(None).cast("bigint").alias("l2"))
+    placed = settled(levels.filter("l1 is not null").unionByName(noise), "placed")
+    members = placed.select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("cluster_id"), F.col("l1").alias("parent"), F.col("l2").alias("leaf"))
+    cases = vectors.taxonomy(members, keep=True).select("use_case_id", "parent", "leaf", F.col("size").alias("case_size"))
+    own = placed.join(cases, placed["l1"].eqNullSafe(F.col("parent")) & placed["l2"].eqNullSafe(F.col("leaf")), "left")
+    return own.select("vec_id", "l1", "l2", "use_case_id", "case_size")
+
+
 #: What the techniques are about, in words that names are compared with.
 CATALOG = {
     "agent_model_routing": "agent model routing: an agent names the model it runs on", "agent_restricted_tools": "agent restricted tools: an agent lists the tools it may use",
@@ -300,6 +330,10 @@ QUERIES = {
     "centroid_assign": (centroid_assign, CENTROID_SQL),
     "density_groups": (density_groups, DENSITY_SQL),
     "density_within": (density_within, WITHIN_SQL),
+    "hierarchical_eom": (hierarchical("eom"), None),
+    "hierarchical_leaf": (hierarchical("leaf"), None),
+    "manifold_projection": (manifold_projection, None),
+    "two_levels": (two_levels, None),
     "technique_nearest": (technique_nearest, NEAREST_SQL),
     "technique_candidates": (technique_candidates, CANDIDATES_SQL),
     "label_samples": (label_samples, LABEL_SAMPLES_SQL),

@@ -350,24 +350,6 @@ def test_principal_directions(spark):
     assert [list(r.vector) for r in vectors.reduce(rows.limit(3), "id", "v", 3).collect()][0] == x[0].tolist()
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_two_levels_of_clusters(spark, monkeypatch, block):
-    monkeypatch.setattr(vectors, "BLOCK", block)
-    rng = np.random.default_rng(5)
-    axes = np.eye(8)
-    rows = []
-    for k in range(2):
-        for side in (-1, 1):  # each half is close, both halves are near
-            rows += [axes[k] + 0.55 * side * axes[2 + k] + 0.02 * rng.normal(size=8) for _ in range(6)]
-    rows += [axes[6], axes[7]]
-    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)] + [(90, None), (91, [0.0] * 8)], "id bigint, v array<double>")
-    found = {r.id: (r.l1, r.l2) for r in vectors.two_level(table, "id", "v", 0.5, 0.95).collect()}
-    halves = [{found[i] for i in range(a, a + 6)} for a in range(0, 24, 6)]
-    assert all(len(h) == 1 and None not in next(iter(h)) for h in halves) and len({next(iter(h)) for h in halves}) == 4
-    assert {next(iter(h))[0] for h in halves[:2]} == {0} and {next(iter(h))[0] for h in halves[2:]} == {12}
-    assert all(found[i] == (None, None) for i in (24, 25, 90, 91))
-
-
 def test_sample_by_strata(spark):
     rows = spark.createDataFrame([(i, 10 ** (i % 5) + i, "a" if i % 3 else "b") for i in range(300)] + [(999, None, None)], "id bigint, size bigint, kind string")
     drawn = sampling.stratified(rows, "id", "size", "kind", 60).collect()
