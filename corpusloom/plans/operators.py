@@ -31,7 +31,7 @@ def dedup_part(part: str):
 
 
 def tier_counts(spark, sf_dir):
-    return dedup.tier_counts(artifacts(spark, sf_dir).drop("doc_id"), (0.8, 0.9))
+    return dedup.tier_counts(artifacts(spark, sf_dir).drop("doc_id"), (0.5, 0.7, 0.8, 0.9))
 
 
 def _dedup_sql(wanted: str, threshold: str = "0.8") -> str:
@@ -60,9 +60,9 @@ _MEMBERSHIP = "SELECT id AS artifact_id, cluster_id, CASE WHEN id = origin THEN
 _LINEAGE = "SELECT cluster_id, o_repo AS origin_repo, 'repo_created_at' AS origin_basis, CAST(NULL AS VARCHAR) AS upstream_lib FROM t WHERE id = origin"
 _MUTATIONS = """SELECT id AS artifact_id, cluster_id, CASE WHEN sha = o_sha THEN 'verbatim' WHEN norm = o_norm THEN CASE WHEN flat = o_flat THEN 'verbatim' ELSE 'retargeted' END
   WHEN shared >= 0.9 * a AND a < b THEN 'trimmed' WHEN shared >= 0.9 * b AND a > b THEN 'extended' ELSE 'rewritten' END AS mutation_class FROM m WHERE id <> origin"""
-_TIERS = "SELECT kind, 'exact' AS tier, count(DISTINCT sha) AS n FROM c GROUP BY kind UNION ALL SELECT kind, 'normalized', count(DISTINCT norm) FROM c GROUP BY kind UNION ALL SELECT kind, 'minhash_0.8', count(DISTINCT root) FROM c GROUP BY kind"
-_TIERS_9 = "SELECT kind, 'minhash_0.9' AS tier, count(DISTINCT root) AS n FROM c GROUP BY kind"
-TIERS_SQL = f"SELECT * FROM ({_dedup_sql(_TIERS)}) UNION ALL SELECT * FROM ({_dedup_sql(_TIERS_9, '0.9')})"
+_TIERS = "SELECT kind, 'exact' AS tier, count(DISTINCT sha) AS n FROM c GROUP BY kind UNION ALL SELECT kind, 'normalized', count(DISTINCT norm) FROM c GROUP BY kind"
+_TIER = "SELECT kind, 'minhash_{t}' AS tier, count(DISTINCT root) AS n FROM c GROUP BY kind"
+TIERS_SQL = " UNION ALL ".join(f"SELECT * FROM ({q})" for q in [_dedup_sql(_TIERS), *(_dedup_sql(_TIER.format(t=t), t) for t in ("0.5", "0.7", "0.8", "0.9"))])
 
 
 def shingle_jaccard_pairs(spark, sf_dir):

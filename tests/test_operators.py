@@ -168,14 +168,42 @@ def test_dedup_tiers_and_mutations(spark):
         assert {r.upstream_lib for r in out["lineage"].filter("origin_repo = 'acmecorp/webapp'").collect()} == {"betacorp/shop"}
 
 
-@pytest.mark.parametrize("block", [1024, 2])
-def test_links_within_a_mixed_band(spark, monkeypatch, block):
-    sets = {"a": range(0, 50), "b": range(100, 200), "c": range(300, 350), "d": range(105, 200), "e": range(400, 500), "f": range(410, 510)}
-    rows = spark.createDataFrame([(n, "k", [f"s{i}" for i in s]) for n, s in sets.items()], "node string, kind string, shingles array<string>").withColumn("hashes", F.transform("shingles", lambda x: F.xxhash64(x)))
-    one = lambda r: r.select("node", "kind", F.lit(0).alias("band"), F.lit(b"x").alias("key"))
-    monkeypatch.setattr(dedup, "_signatures", one)
-    monkeypatch.setattr(dedup, "BLOCK", block, raising=False)
-    assert {(r.a, r.b, round(r.jaccard, 6)) for r in dedup.similar_pairs(rows).collect()} == {("b", "d", 0.95), ("e", "f", round(90 / 110, 6))}
+def shapes(spark, sets):
+    rows = spark.createDataFrame([(n, k, [f"s{i}" for i in s]) for n, (k, s) in sets.items()], "node string, kind string, shingles array<string>")
+    return rows.withColumn("hashes", F.transform("shingles", lambda x: F.xxhash64(x)))
+
+
+def test_links_within_a_kind(spark):
+    sets = {"a": range(0, 50), "b": range(100, 200), "c": range(300, 350), "d": range(105, 200), "e": range(400, 500), "f": range(410, 510), "g": ()}
+    rows = shapes(spark, {n: ("k", s) for n, s in sets.items()} | {"x": ("other", range(0, 50)), "y": (None, range(0, 50)), "z": (None, range(0, 49))})
+    assert {(r.a, r.b, round(r.jaccard, 6)) for r in dedup.similar_pairs(rows).collect()} == {("b", "d", 0.95), ("e", "f", round(90 / 110, 6)), ("y", "z", 0.98)}
+
+
+def test_links_connect_as_all_pairs_at_every_threshold(spark):
+    """Random sets and a large group of near copies, which gives about a link for each of its sets."""
+    rng = np.random.default_rng(3)
+    sets = {f"r{k:03}": ("k", sorted(set(rng.integers(0, 60, rng.integers(3, 25)).tolist()))) for k in range(80)}
+    sets |= {f"c{k:03}": ("k", sorted({*range(1000, 1100)} - {1000 + k} | {2000 + k})) for k in range(99)}
+    links = dedup.similar_pairs(shapes(spark, sets), 0.5, 0.9).collect()
+    own = {n: set(s) for n, (_, s) in sets.items()}
+    told = {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for a in own for b in own if a < b}
+    assert all(abs(told[r.a, r.b] - r.jaccard) < 1e-12 and r.jaccard >= 0.5 for r in links)
+    assert sum(r.a[0] == "c" for r in links) < 250  # of 4,851 pairs
+
+    def parts(pairs):
+        up = {n: n for n in own}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            up[find(a)] = find(b)
+        return {frozenset(n for n in own if find(n) == r) for r in own}
+
+    for t in (0.5, 0.7, 0.8, 0.9):
+        assert parts([(r.a, r.b) for r in links if r.jaccard >= t]) == parts([p for p, j in told.items() if j >= t])
 
 
 def test_links_at_the_threshold_are_met(spark):
