@@ -24,6 +24,7 @@ import os
 import shutil
 import sys
 import time
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,20 +54,28 @@ def merged_labels(drafts: dict[str, str], there: dict[str, dict]) -> dict[str, d
 
 
 def swap(folder: str, files: dict[str, object]) -> None:
-    """Puts JSON files in place of a folder, all or none; refuses one that this command hasn't written."""
+    """Puts JSON files in place of a folder, all or none; refuses one that this command hasn't written. The folder is a link that one rename
+    points to the new files, so it is there, old or new, at any time."""
+    folder = folder.rstrip("/")
     if os.path.isdir(folder) and os.listdir(folder) and not os.path.exists(f"{folder}/{_MARK}"):
         raise ValueError(f"{folder} holds other files")
-    part = f"{folder.rstrip('/')}.part"
-    shutil.rmtree(part, ignore_errors=True)
+    part = f"{folder}.{uuid.uuid4().hex}"
     try:
         for name, value in {_MARK: "", **files}.items():
             os.makedirs(os.path.dirname(f"{part}/{name}"), exist_ok=True)
             with open(f"{part}/{name}", "w") as f:
                 f.write(value if isinstance(value, str) else json.dumps(value, sort_keys=True, indent=1))
-        shutil.rmtree(folder, ignore_errors=True)
-        os.rename(part, folder)
-    finally:
+    except BaseException:
         shutil.rmtree(part, ignore_errors=True)
+        raise
+    was = os.path.realpath(folder) if os.path.islink(folder) else None
+    if was is None and os.path.isdir(folder):  # a folder of an older version, or an empty one
+        was = f"{part}.old"
+        os.rename(folder, was)
+    os.symlink(os.path.basename(part), f"{part}.link")
+    os.replace(f"{part}.link", folder)
+    if was:
+        shutil.rmtree(was, ignore_errors=True)
 
 
 def report(facts: dict[str, dict]) -> str:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.tables import digest, sums
+
 
 def relations(spark: SparkSession, text: str) -> set[str]:
     """Names of all relations that a query reads, by Spark's own parser (its with-names left out)."""
@@ -47,11 +50,8 @@ def drift(now: DataFrame, was: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def content_hash(table: DataFrame) -> str:
-    """A digest of a table's rows that doesn't depend on their order: sums of two 64-bit hashes and the count."""
-    row = F.to_json(F.struct(*sorted(table.columns)), {"ignoreNullFields": "false"})
-    hashes = table.select(F.sha2(row, 256).alias("h")).select(*[F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)").alias(f"h{k}") for k in range(4)])
-    sums = hashes.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"h{k}").alias(f"s{k}") for k in range(4)]).select(F.sha2(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in ("n", "s0", "s1", "s2", "s3")]), 256).alias("d"))
-    return sums.first().d
+    """A digest of a table's rows that doesn't depend on their order: the count and sums of pieces of their hashes."""
+    return digest(sums(table))
 
 
 def duplicates(table: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,13 +64,18 @@ def dangling(child: DataFrame, column: str, parent: DataFrame, key: str) -> Data
 
 def violations(tables: dict[str, DataFrame], unique: dict[str, list[str]], refs: list[tuple[str, str, str, str]]) -> list[tuple[str, int]]:
     """(rule, number) of keys that repeat and of references to nothing; empty tables have none."""
-    found = [(f"{t}: repeated keys", duplicates(tables[t], keys).count()) for t, keys in unique.items()]
-    return found + [(f"{a}.{x}: without {b}", dangling(tables[a], x, tables[b], y).count()) for a, x, b, y in refs]
+    parts = [(f"{t}: repeated keys", duplicates(tables[t], keys)) for t, keys in unique.items()]
+    parts += [(f"{a}.{x}: without {b}", dangling(tables[a], x, tables[b], y)) for a, x, b, y in refs]
+    if not parts:
+        return []
+    counted = reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")) for k, (_, df) in enumerate(parts)])
+    there = {r.k: r.n for r in counted.collect()}  # a row for each rule
+    return [(rule, there.get(k, 0)) for k, (rule, _) in enumerate(parts)]
 
 
-def freeze(tables: dict[str, DataFrame], unique: dict[str, list[str]], refs: list[tuple[str, str, str, str]], version: int, stored: DataFrame | None = None, pending: int = 0) -> dict:
+def freeze(tables: dict[str, DataFrame], unique: dict[str, list[str]], refs: list[tuple[str, str, str, str]], version: int, stored: DataFrame | None = None, pending: int = 0, hashes: dict[str, str] | None = None) -> dict:
     """The manifest of an edition; a ValueError names what stands against it. stored: blobs with the version they were redacted
-    under; pending: inputs that are not parsed yet."""
+    under; pending: inputs that are not parsed yet; hashes: of the tables, where they are known."""
     against = [f"{rule} ({n})" for rule, n in violations(tables, unique, refs) if n]
     if stored is not None and (stale := stored.filter(F.col("version") < version).count()):
         against.append(f"{stale} blobs redacted under an older version")
@@ -78,7 +83,7 @@ def freeze(tables: dict[str, DataFrame], unique: dict[str, list[str]], refs: lis
         against.append(f"{pending} inputs not parsed")
     if against:
         raise ValueError("; ".join(against))
-    hashes = {t: content_hash(df) for t, df in sorted(tables.items())}
+    hashes = hashes or {t: content_hash(df) for t, df in sorted(tables.items())}
     return {"redact_version": version, "tables": hashes, "edition_hash": hashlib.sha256(repr((version, sorted(hashes.items()))).encode()).hexdigest()}
 
 

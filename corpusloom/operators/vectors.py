@@ -71,13 +71,13 @@ def assign_noise(rows: DataFrame, noise: DataFrame, key: str = "vec_id", vector:
     def run(part: pd.DataFrame) -> pd.DataFrame:
         own, table = part[part["asks"]], part[~part["asks"]].sort_values("label")
         if not len(own) or not len(table):
-            return pd.DataFrame({"row": [], "label": [], "similarity": []})
+            return pd.DataFrame({"row": np.zeros(0, np.int64), "label": pd.Series([], dtype=object), "similarity": np.zeros(0)})
         x, c = (np.array(p["v"].tolist(), np.float64) for p in (own, table))
         best, top = np.zeros(len(x), np.int64), np.zeros(len(x))
         for a in range(0, len(x), 512):
             close = x[a : a + 512] @ c.T
             best[a : a + 512], top[a : a + 512] = close.argmax(1), close.max(1)
-        return pd.DataFrame({"row": own["row"].to_numpy(), "label": table["label"].to_numpy()[best], "similarity": top})
+        return pd.DataFrame({"row": own["row"].to_numpy(), "label": pd.Series(table["label"].to_numpy(object)[best], dtype=object), "similarity": top})
 
     found = left.unionByName(right).groupBy("i", "j").applyInPandas(run, f"row bigint, label {kind}, similarity double")
     nearest = found.groupBy("row").agg(F.min_by("label", F.struct(-F.col("similarity"), F.col("label"))).alias("l"), F.max("similarity").alias("s"))

@@ -2,42 +2,47 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The tables of an edition. S string, I bigint, F double, B boolean.
-_COLUMNS = {
-    "repo_hits": "repo S, path S, component S, query_id S, blob_sha S, is_fork B",
-    "s1_overflows": "seed S, query S, total I, reachable I",
-    "repos": "repo S, missing B, error S, stars I, is_fork B, is_template B, created_at S, pushed_at S, language S, license S, head_oid S, tree_truncated I, canary B",
-    "harness_files": "repo S, path S, kind S, blob_sha S, size I, fetched B, skip_reason S",
-    "redactions": "blob_sha S, rule S, n I",
-    "blobs": "oid S, version I, counts S, text S",
-    "artifacts": "artifact_id S, repo S, kind S, path S, blob_sha S, parsed_json S, error_class S",
-    "clusters": "cluster_id S, kind S, canonical_artifact S, size I",
-    "membership": "artifact_id S, cluster_id S, tier S, family_key S",
-    "lineage": "cluster_id S, origin_repo S, origin_basis S, upstream_lib S",
-    "mutations": "artifact_id S, cluster_id S, mutation_class S",
-    "features": "repo S, technique_id S, artifact_id S, path S, start_line I, end_line I",
-    "glyphs": "repo S, claude_md_log_bytes F, n_skills I, n_agents I, n_commands I, n_hooks I, permission_breadth F, n_mcp_servers I",
-    "semantics": "cluster_id S, pass_id S, artifact_id S, use_case S, domain_guess S, non_coding B, techniques_json S, notable S",
-    "semantics_rejects": "cluster_id S, pass_id S, reason S",
-    "llm_calls": "call_id S, pass_id S, model S, n_sent I, n_ok I, error S, wall_s F, cost_usd F",
-    "use_cases": "use_case_id S, parent_id S, level I, label S, non_coding B, size I",
-    "uc_membership": "cluster_id S, use_case_id S",
-    "technique_candidates": "candidate_id S, label S, size I, nearest_technique S, similarity F, is_candidate B, examples_json S",
-    "uncharted": "cluster_id S, use_case S, nn_distance F, rank I",
+# The tables of an edition.
+_TABLES = {
+    "repo_hits": "repo string, path string, component string, query_id string, blob_sha string, is_fork boolean",
+    "s1_overflows": "seed string, query string, total bigint, reachable bigint",
+    "repos": "repo string, missing boolean, error string, stars bigint, is_fork boolean, is_template boolean, created_at string, pushed_at string, language string, license string, head_oid string, tree_truncated bigint, canary boolean",
+    "harness_files": "repo string, path string, kind string, blob_sha string, size bigint, fetched boolean, skip_reason string",
+    "redactions": "blob_sha string, rule string, n bigint",
+    "blobs": "oid string, version bigint, counts string, text string",
+    "artifacts": "artifact_id string, repo string, kind string, path string, blob_sha string, parsed_json string, error_class string",
+    "clusters": "cluster_id string, kind string, canonical_artifact string, size bigint",
+    "membership": "artifact_id string, cluster_id string, tier string, family_key string",
+    "lineage": "cluster_id string, origin_repo string, origin_basis string, upstream_lib string",
+    "mutations": "artifact_id string, cluster_id string, mutation_class string",
+    "features": "repo string, technique_id string, artifact_id string, path string, start_line bigint, end_line bigint",
+    "glyphs": "repo string, claude_md_log_bytes double, n_skills bigint, n_agents bigint, n_commands bigint, n_hooks bigint, permission_breadth double, n_mcp_servers bigint",
+    "semantics": "cluster_id string, pass_id string, artifact_id string, use_case string, domain_guess string, non_coding boolean, techniques_json string, notable string",
+    "semantics_rejects": "cluster_id string, pass_id string, reason string",
+    "llm_calls": "call_id string, pass_id string, model string, n_sent bigint, n_ok bigint, error string, wall_s double, cost_usd double",
+    "use_cases": "use_case_id string, parent_id string, level bigint, label string, non_coding boolean, size bigint",
+    "uc_membership": "cluster_id string, use_case_id string",
+    "technique_candidates": "candidate_id string, label string, size bigint, nearest_technique string, similarity double, is_candidate boolean, examples_json string",
+    "uncharted": "cluster_id string, use_case string, nn_distance double, rank bigint",
 }
-_TYPES = {"S": "string", "I": "bigint", "F": "double", "B": "boolean"}
 
 
 def schema(table: str) -> str:
     """DDL of a table; a KeyError names a table that isn't declared."""
-    return ", ".join(f"{name} {_TYPES[kind]}" for name, kind in (c.split() for c in _COLUMNS[table].split(", ")))
+    return _TABLES[table]
+
+
+#: Bytes of a row group of blobs.
+BLOB_GROUP = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -75,46 +80,136 @@ def file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written beside its place and put there by one rename that replaces what was there: readers see the old text or
+    the new one, whenever this stops."""
+    fs, target = file_system(spark, path)
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    out = fs.create(part, True)
+    out.write(text.encode())
+    out.close()
+    _replace(spark, part, target)
+
+
+def _replace(spark: SparkSession, part, target) -> None:
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    fs = part.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(part), fs.makeQualified(target), how)
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    fs, target = file_system(spark, path)
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+#: Sums of 60-bit pieces of rows' hashes.
+PIECES = 4
+
+
+def sums(rows: DataFrame) -> list[int]:
+    """The number of rows and the sums of pieces of their hashes: they don't depend on the order, and those of parts add up."""
+    row = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
+    pieces = rows.select(F.sha2(row, 256).alias("h")).select(*[F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)").alias(f"h{k}") for k in range(PIECES)])
+    told = pieces.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"h{k}").alias(f"s{k}") for k in range(PIECES)]).first()
+    return [int(x or 0) for x in told]
+
+
+def digest(added: list[int]) -> str:
+    return hashlib.sha256(",".join(map(str, added)).encode()).hexdigest()
+
+
 class Store:
-    """Tables of an edition under one folder: a table is a folder of parts, each written whole or not at all."""
+    """Tables of an edition under one folder. A part's rows lie in a folder of their own, and a small file that is replaced by one rename
+    names it, with the sums of its rows. What no such file names isn't part of the table, so a part is there whole, old or new."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _at(self, table: str, part: str = "") -> str:
+    def _at(self, table: str, *below: str) -> str:
         schema(table)
-        return f"{self.root}/tables/{table}" + (f"/part={part}" if part else "")
+        return "/".join([f"{self.root}/tables/{table}", *below])
+
+    def _named(self, table: str) -> dict[str, dict]:
+        """What the small files of a table's parts say; a part that another one replaces is gone."""
+        fs, path = file_system(self.spark, self._at(table, "parts"))
+        names = {s.getPath().getName() for s in fs.listStatus(path)} if fs.exists(path) else set()
+        found = {n: json.loads(get_text(self.spark, self._at(table, "parts", n))) for n in sorted(names) if not n.startswith(".")}
+        gone = {p for named in found.values() for p in named.get("replaces", ())}
+        return {n: named for n, named in found.items() if n not in gone}
 
     def read(self, table: str) -> DataFrame:
         """All parts; an empty frame with the schema where there are none."""
-        fs, path = file_system(self.spark, self._at(table))
-        if not fs.exists(path) or not self.parts(table):
-            return self.spark.createDataFrame([], schema(table))
-        return self.spark.read.schema(schema(table) + ", part string").parquet(self._at(table)).drop("part")
+        folders = [self._at(table, "rows", named["rows"]) for named in self._named(table).values()]
+        return self.spark.read.schema(schema(table)).parquet(*folders) if folders else self.spark.createDataFrame([], schema(table))
 
     def parts(self, table: str) -> set[str]:
-        fs, path = file_system(self.spark, self._at(table))
-        return {s.getPath().getName().removeprefix("part=") for s in fs.listStatus(path)} if fs.exists(path) else set()
+        return set(self._named(table))
+
+    def digest(self, table: str) -> str:
+        """A hash of all rows, from the sums that were kept when the parts were written; no row is read."""
+        each = [named["sums"] for named in self._named(table).values()]
+        return digest([sum(x) for x in zip(*each, strict=True)] or [0] * (1 + PIECES))
 
-    def write_part(self, table: str, part: str, rows: DataFrame) -> int:
-        """Columns that are missing become null, wrong types and unknown columns are errors; returns the row count."""
+    def write_part(self, table: str, part: str, rows: DataFrame, replaces: set[str] = frozenset()) -> int:
+        """Columns that are missing become null, wrong types and unknown columns are errors; returns the row count. The part takes the place of
+        those it replaces at once. Blobs lie in the order of their ids, with filters for them in the files."""
         wanted = self.spark.createDataFrame([], schema(table)).schema
         if unknown := set(rows.columns) - set(wanted.names):
             raise ValueError(f"{table} has no columns {sorted(unknown)}")
         shaped = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
-        shaped.write.mode("overwrite").option("compression", "zstd").parquet(self._at(table, part))
-        return self.spark.read.schema(wanted).parquet(self._at(table, part)).count()
+        options = {"compression": "zstd"}
+        if table == "blobs":
+            shaped = shaped.repartitionByRange("oid").sortWithinPartitions("oid")
+            options |= {"parquet.bloom.filter.enabled#oid": "true", "parquet.block.size": str(BLOB_GROUP)}
+        name = f"{part}-{uuid.uuid4().hex}"
+        shaped.write.options(**options).parquet(self._at(table, "rows", name))
+        added = sums(self.spark.read.schema(wanted).parquet(self._at(table, "rows", name)))
+        was = self._named(table)
+        self._commit(table, part, {"rows": name, "sums": added, "replaces": sorted(replaces - {part})})
+        for old in ({part} | replaces) & was.keys():
+            self._drop(table, was[old]["rows"])
+        for old in replaces - {part}:
+            self._unlink(table, old)
+        return added[0]
+
+    def _unlink(self, table: str, part: str) -> None:
+        fs, path = file_system(self.spark, self._at(table, "parts", part))
+        fs.delete(path, False)
+
+    def _commit(self, table: str, part: str, named: dict) -> None:
+        put_text(self.spark, self._at(table, "parts", part), json.dumps(named))
+
+    def _drop(self, table: str, name: str) -> None:
+        fs, path = file_system(self.spark, self._at(table, "rows", name))
+        fs.delete(path, True)
 
     def read_part(self, table: str, part: str) -> DataFrame:
-        return self.spark.read.schema(schema(table)).parquet(self._at(table, part))
+        return self.spark.read.schema(schema(table)).parquet(self._at(table, "rows", self._named(table)[part]["rows"]))
 
     def delete_part(self, table: str, part: str) -> None:
-        fs, path = file_system(self.spark, self._at(table, part))
-        fs.delete(path, True)
+        if named := self._named(table).get(part):
+            self._unlink(table, part)
+            self._drop(table, named["rows"])
 
     def clear(self, table: str) -> None:
-        fs, path = file_system(self.spark, self._at(table))
-        fs.delete(path, True)
+        for below in ("parts", "rows"):
+            fs, path = file_system(self.spark, self._at(table, below))
+            fs.delete(path, True)
+
+    def blobs(self, ids: list[str]) -> DataFrame:
+        """The blobs of some ids. Only row groups whose range and filter may hold one are read."""
+        asked = [F.col("oid").isin(ids[k : k + 10]) for k in range(0, len(ids), 10)]  # lists this long are tested by the files' filters
+        return self.read("blobs").filter(reduce(Column.__or__, asked, F.lit(False)))
 
     def views(self) -> SparkSession:
         """A session of its own that holds only views named v_..., without repos that are missing or canaries and what hangs on

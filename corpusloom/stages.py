@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import parse, redact
 from corpusloom.operators import dedup, detect, extraction, quality, vectors
-from corpusloom.sources.tables import Store, file_system, settled
+from corpusloom.sources.tables import Store, get_text, put_text, settled
 from corpusloom.streaming import runner
 
 FACTS = Path(__file__).parent / "facts"
@@ -112,7 +112,7 @@ def run(store: Store, stage: str, reset: bool = False) -> runner.Stats:
     try:
         if reset:
             own.reset()
-        marks = [quality.content_hash(store.read(t)) for t in reads]
+        marks = [store.digest(t) for t in reads]
         return own.whole(runner.unit_key(stage, marks), lambda: {t: settled(rows, t) for t, rows in work(store).items()})
     finally:
         own.close()
@@ -131,39 +131,35 @@ def reredact(store: Store) -> int:
     blobs = store.read("blobs").withColumn("counts", F.from_json("counts", "map<string,bigint>"))
     old = blobs.filter(F.col("version") < redact.VERSION).count()
     if old:
-        now = settled(redact.current(blobs).withColumn("counts", F.to_json("counts")), "blobs")
-        store.clear("blobs")
-        store.write_part("blobs", f"v{redact.VERSION}", now)
+        now = redact.current(blobs).withColumn("counts", F.to_json("counts"))
+        store.write_part("blobs", f"v{redact.VERSION}", now, replaces=store.parts("blobs"))
     return old
 
 
 def freeze(store: Store) -> dict:
     """The manifest, written beside the tables; a ValueError names what stands against it."""
-    tables = {t: store.read(t) for t in {*UNIQUE, *(a for a, *_ in REFERENCES), *(b for _, _, b, _ in REFERENCES)}}
+    names = {*UNIQUE, *(a for a, *_ in REFERENCES), *(b for _, _, b, _ in REFERENCES)}
+    hashes = {t: store.digest(t) for t in sorted(names)}
+    was = json.loads(read_text(store, "manifest.json") or "{}")
+    if (was.get("tables"), was.get("blobs"), was.get("redact_version")) == (hashes, store.digest("blobs"), redact.VERSION):
+        return was  # frozen as it is; no row is read
+    tables = {t: store.read(t) for t in names}
     wanted = _files(store).filter(F.coalesce("fetched", F.lit(False)) & F.col("kind").isin(*parse.PARSED_KINDS)).select(identifier("a-", "repo", "path").alias("artifact_id"))
     pending = wanted.join(tables["artifacts"].select("artifact_id"), "artifact_id", "left_anti").count()
-    manifest = quality.freeze(tables, UNIQUE, REFERENCES, redact.VERSION, store.read("blobs"), pending)
+    manifest = quality.freeze(tables, UNIQUE, REFERENCES, redact.VERSION, store.read("blobs"), pending, hashes)
+    manifest["blobs"] = store.digest("blobs")
     manifest["frozen_at"] = time.strftime("%Y-%m-%d", time.gmtime())
     write_text(store, "manifest.json", json.dumps(manifest, sort_keys=True, indent=1))
     return manifest
 
 
 def write_text(store: Store, name: str, text: str) -> None:
-    """A small file below the edition's folder, whole or not at all."""
-    fs, target = file_system(store.spark, f"{store.root}/{name}")
-    _, part = file_system(store.spark, f"{store.root}/.{name}.part")
-    out = fs.create(part, True)
-    out.write(text.encode())
-    out.close()
-    fs.delete(target, False)
-    fs.rename(part, target)
+    """A small file below the edition's folder, old or new at any time."""
+    put_text(store.spark, f"{store.root}/{name}", text)
 
 
 def read_text(store: Store, name: str) -> str | None:
-    fs, path = file_system(store.spark, f"{store.root}/{name}")
-    if not fs.exists(path):
-        return None
-    return "\n".join(r.value for r in store.spark.read.text(str(path.toString()), wholetext=True).collect())
+    return get_text(store.spark, f"{store.root}/{name}")
 
 
 def facts(store: Store, folder: Path = FACTS) -> dict[str, dict]:
@@ -176,7 +172,7 @@ def facts(store: Store, folder: Path = FACTS) -> dict[str, dict]:
 def publish(store: Store, check: bool = False) -> list[str]:
     """Writes facts.json, or with ``check`` tells which facts differ from it. Refuses tables that changed after the freeze."""
     manifest = json.loads(read_text(store, "manifest.json") or "{}")
-    if any(quality.content_hash(store.read(t)) != h for t, h in manifest.get("tables", {}).items()) or not manifest:
+    if any(store.digest(t) != h for t, h in manifest.get("tables", {}).items()) or not manifest:
         raise ValueError("the edition isn't frozen as it is")
     now = {k: v | {"edition_hash": manifest["edition_hash"]} for k, v in facts(store).items()}
     if check:
