@@ -27,6 +27,8 @@ PLANTED = (
     "\ntoken=abcdef12 alone",
     "\nlogin: bob.smith, AKIAABCDEFGHIJKLMN, https://h.example/x?user=1 and password: abcdefghijklmnop",
     "\nsecret = abcdef" + " w" * 300 + " https://far.example/path",
+    "\nsee https://h.example/x/y/commit/0123456789abcdef0123456789abcdef01234567",
+    "\nhttps://h.example/commit/0123456789abcdef0123456789abcdef01234567 AKIAABCDEFGHIJKLMN",
 )
 
 

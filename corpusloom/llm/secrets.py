@@ -1,9 +1,10 @@
 """Secret scans with multipart credential linking.
 
 Base findings stand on their own: assignments, access identifiers and hex runs. Weaker parts (account names, short
-secrets, endpoints) mean little alone; they are reported only when a complementary part lies within SCOPE code
-points. That is an interval join: parts are summed up as (document, cell of SCOPE code points, role) -> first start and
-last end, and each weak part meets the cells beside its own, so a document full of findings makes no pairs.
+secrets, endpoints) mean little alone; they are reported only when a complementary part stands beside them within SCOPE
+code points. Parts over each other don't count: a hex run inside an endpoint says nothing about it. That is an interval join: starts
+and ends of parts are summed up as (document, cell of SCOPE code points, role) -> first and last, and each weak part meets
+two cells to either side, so a document full of findings makes no pairs.
 
 Positions come from the texts between the matches: the n-th match starts after n + 1 gaps and n matches. Running sums
 over exploded gaps give them, so a document with very many matches costs no more than its length.
@@ -87,16 +88,17 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ).filter("strong or weak")
     parts = materialise(parts, "secret-parts")
 
-    # a part lies in each cell that it touches; in cells no wider than SCOPE, first and last decide as all parts would
-    touched = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / SCOPE), F.floor((F.col("end") - 1) / SCOPE))))
-    cells = touched.groupBy("key", "cell", "role").agg(F.min("start").alias("first"), F.max("end").alias("last"))
+    # a part beside a weak one, not over it, ends in the SCOPE before its start or starts in the SCOPE after its end: two cells each, of
+    # which first and last decide as all parts would
+    at = F.explode(F.array(*[F.struct(F.lit(edge).alias("edge"), F.col(edge).alias("point")) for edge in ("start", "end")]))
+    cells = parts.select("key", "role", at.alias("at")).select("key", "role", "at.*").withColumn("cell", F.floor(F.col("point") / SCOPE))
+    cells = cells.groupBy("key", "edge", "cell", "role").agg(F.min("point").alias("first"), F.max("point").alias("last"))
     weak = parts.filter("not strong").select("key", "kind", "role", "start", "end")
     wants = F.create_map(*[x for k, v in COMPLEMENTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    near = weak.withColumns({"other": F.explode(wants[F.col("role")])})
-    near = near.withColumn("beside", F.explode(F.sequence(F.floor(F.col("start") / SCOPE) - 1, F.floor((F.col("end") + SCOPE) / SCOPE))))
-    beside = cells.select(F.col("key"), F.col("cell").alias("beside"), F.col("role").alias("other"), "first", "last")
-    within = (F.col("last") >= F.col("start") - SCOPE) & (F.col("first") <= F.col("end") + SCOPE)
-    linked = near.join(beside, ["key", "beside", "other"]).filter(within).select("key", "kind", "start", "end").distinct()
+    asks = lambda edge, low: F.transform(F.array(F.lit(0), F.lit(1)), lambda k: F.struct(F.lit(edge).alias("edge"), (F.floor(low / SCOPE) + k).alias("cell"), low.alias("low"), (low + SCOPE).alias("high")))
+    near = weak.withColumn("other", F.explode(wants[F.col("role")])).withColumn("ask", F.explode(F.concat(asks("end", F.col("start") - SCOPE), asks("start", F.col("end")))))
+    near = near.select("key", "kind", "start", "end", "other", "ask.*")
+    linked = near.join(cells.withColumnRenamed("role", "other"), ["key", "edge", "cell", "other"]).filter("last >= low and first <= high").select("key", "kind", "start", "end").distinct()
 
     names = F.create_map(*[F.lit(x) for kv in WEAK_NAMES.items() for x in kv])
     ranks = F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (k, v[1])])
@@ -168,7 +170,7 @@ parts AS (SELECT rid, kind, role, rank, e - size AS s, e, counted >= strong_from
   FROM (SELECT *, sum(gap + size) OVER (PARTITION BY rid, kind ORDER BY pos) AS e FROM each)
   WHERE counted >= least(strong_from, weak_from)),
 linked AS (SELECT * FROM parts a WHERE NOT strong AND EXISTS (
-  SELECT 1 FROM parts b WHERE b.rid = a.rid AND ({wants}) AND b.e >= a.s - {SCOPE} AND b.s <= a.e + {SCOPE})),
+  SELECT 1 FROM parts b WHERE b.rid = a.rid AND ({wants}) AND b.e >= a.s - {SCOPE} AND b.s <= a.e + {SCOPE} AND (b.e <= a.s OR b.s >= a.e))),
 spans AS (SELECT rid, kind, rank, s, e, false AS linked FROM parts WHERE strong
   UNION ALL SELECT rid, CASE kind {names} END, rank + 5, s, e, true FROM linked),
 told AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
