@@ -9,8 +9,8 @@ times in different codes, so that the length in bytes tells small differences. A
 dictionary saves over the ordinary one, as a share of the most that could be saved; a document has that of its best window,
 and held-back samples calibrate the threshold that becomes score 0.5.
 
-Learned from at most TOXIC and ORDINARY labelled documents, drawn by chance over the whole table (whole texts, up to
-SAMPLE_BYTES in all). Distinct windows are compressed once for a batch and remembered within bounds.
+Learned from at most TOXIC and ORDINARY labelled documents, drawn by a hash of the id over the whole table (whole texts, those
+that still fit into SAMPLE_BYTES in all, in an order by hash). Distinct windows are compressed once for a batch and remembered within bounds.
 
 Defined cases: null and empty texts have no window and score 0; so does every text if a label is missing among the
 rows that may be learned from; a document with several labels counts as toxic if one says so; repeated rows get the same
@@ -250,16 +250,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     shares = {k: min(1.0, n / there[k]) for k, n in ((1, TOXIC), (0, ORDINARY)) if there.get(k)}
     if len(shares) < 2:
         return None
-    drawn = labels.sampleBy("toxic", shares, 5)  # some TOXIC + ORDINARY rows
+    place = F.abs(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5))) / F.lit(float(1 << 63))  # the same rows however they are dealt out
+    drawn = labels.filter(F.when(F.col("toxic") == 1, place <= shares[1]).otherwise(place <= shares[0]))  # some TOXIC + ORDINARY rows
     rows = docs.join(F.broadcast(drawn), "doc_id").select("text", "toxic").orderBy(F.xxhash64("text"))
 
     def bounded() -> Iterator[tuple[str | None, int]]:
         size = 0
         for r in rows.toLocalIterator():
-            size += len(r.text or "")
-            if size > SAMPLE_BYTES:
-                break
-            yield r.text, r.toxic
+            if size + len(r.text or "") <= SAMPLE_BYTES:  # a text that is too long is passed over, not what comes after it
+                size += len(r.text or "")
+                yield r.text, r.toxic
 
     return train(bounded())
 

@@ -130,3 +130,17 @@ def test_long_licences(answers):
     n = len(texts)
     assert [got[i].license_id for i in range(n)] == [got[i].license_id for i in range(n, 2 * n)] == list(names.values())
     assert set(got[2 * n].embedded.split(",")) == set(names.values())
+
+
+def test_a_text_beyond_the_sample_is_passed_over(spark, monkeypatch):
+    """Whatever its place by hash, a text larger than the bound doesn't end the sample."""
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 60_000)
+    rng = random.Random(7)
+    rows = [(i, prose("aa", rng, 30) + (" scumlike idiotic" if i % 2 else "")) for i in range(120)]
+    rows += [(1000 + i, f"{i} " + "long " * 20_000) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 1000 and i % 2)) for i, _ in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model is not None
+    told = {r.doc_id: r.score for r in toxicity.score(docs.filter("doc_id < 1000"), model).collect()}
+    assert all((told[i] >= 0.5) == bool(i % 2) for i in range(120))
