@@ -268,14 +268,17 @@ LABEL_SAMPLES_SQL = "SELECT label, unnest(list(vec_id ORDER BY vec_id)[1:12]) AS
 
 
 def stratified_sample(spark, sf_dir):
-    """How many documents of each language a stratified sample of 97 draws."""
+    """The documents of a sample of 97, by language and length."""
     drawn = sampling.stratified(_read(spark, sf_dir, "documents").filter("lang is not null"), "doc_id", "n_chars", "lang", 97)
-    return drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return drawn.select("doc_id", "lang")
 
 
 STRATIFIED_SQL = """WITH c AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1), q AS (SELECT lang, 97 * n / CAST(sum(n) OVER () AS DOUBLE) AS raw FROM c),
-r AS (SELECT *, row_number() OVER (ORDER BY floor(raw) - raw, lang) AS place, sum(CAST(floor(raw) AS BIGINT)) OVER () AS given FROM q)
-SELECT lang, CAST(floor(raw) + CASE WHEN place <= 97 - given THEN 1 ELSE 0 END AS BIGINT) AS n FROM r"""
+r AS (SELECT *, row_number() OVER (ORDER BY floor(raw) - raw, lang) AS place, sum(CAST(floor(raw) AS BIGINT)) OVER () AS given FROM q),
+k AS (SELECT lang, CAST(floor(raw) + CASE WHEN place <= 97 - given THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r),
+w AS (SELECT doc_id, lang, CAST(floor(log10(greatest(coalesce(n_chars, 1), 1)) * 4) AS INT) AS w, md5(doc_id || ':7') AS h FROM documents WHERE lang IS NOT NULL),
+t AS (SELECT *, (row_number() OVER (PARTITION BY lang, w ORDER BY h, doc_id) - 1) // 10 AS turn FROM w),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY turn, md5(w || ':3'), h, doc_id) AS place FROM t) SELECT doc_id, p.lang FROM p JOIN k ON k.lang = p.lang WHERE place <= quota"""
 
 
 def size_bisection_lattice(spark, sf_dir):
@@ -291,6 +294,32 @@ FROM r a LEFT JOIN r p ON p.level = a.level + 1 AND p.low = (a.low // CAST(pow(2
 WHERE (a.total <= 40 OR a.level = 0) AND coalesce(p.total, 41) > 40"""
 
 
+def qualified_lattice(spark, sf_dir):
+    """Lengths in steps of 500; what one step holds beyond 40 is told apart by two of the languages."""
+    docs = _read(spark, sf_dir, "documents").filter("n_chars is not null").withColumn("step", F.floor(F.col("n_chars") / 500)).withColumn("known", F.when(F.col("lang").isin("de", "fr"), F.col("lang")))
+    levels = max(8, int(docs.agg(F.max("step")).first()[0] or 0).bit_length())
+    return sampling.qualified(docs, "step", "known", 40, levels)
+
+
+QUALIFIED_SQL = """WITH d AS (SELECT n_chars // 500 AS v, CASE WHEN lang IN ('de', 'fr') THEN lang END AS qualifier FROM documents WHERE n_chars IS NOT NULL),
+e AS (SELECT greatest(8, CAST(floor(log2(greatest(max(v), 1))) AS BIGINT) + 1) AS levels FROM d),
+r AS (SELECT level, (v // CAST(pow(2, level) AS BIGINT)) * CAST(pow(2, level) AS BIGINT) AS low, count(*) AS total FROM d, (SELECT unnest(range(0, levels + 1)) AS level FROM e) GROUP BY ALL)
+SELECT a.low, a.low + CAST(pow(2, a.level) AS BIGINT) - 1 AS high, CAST(NULL AS VARCHAR) AS qualifier, a.total, 'leaf' AS kind
+FROM r a LEFT JOIN r p ON p.level = a.level + 1 AND p.low = (a.low // CAST(pow(2, a.level + 1) AS BIGINT)) * CAST(pow(2, a.level + 1) AS BIGINT) WHERE a.total <= 40 AND coalesce(p.total, 41) > 40
+UNION ALL SELECT v, v, qualifier, count(*), CASE WHEN qualifier IS NULL THEN 'overflow' WHEN count(*) <= 40 THEN 'leaf' ELSE 'capped' END FROM d WHERE v IN (SELECT low FROM r WHERE level = 0 AND total > 40) GROUP BY v, qualifier"""
+
+
+def greedy_batches(spark, sf_dir):
+    """Documents in the order of their ids, 40 and 400,000 bytes to a batch at most."""
+    return sampling.greedy(_read(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size")), "doc_id", "size")
+
+
+GREEDY_SQL = """WITH RECURSIVE d AS (SELECT doc_id, coalesce(strlen(text), 0) AS size, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+g AS (SELECT i, doc_id, 0 AS batch, 1 AS n, size AS held FROM d WHERE i = 1
+UNION ALL SELECT d.i, d.doc_id, g.batch + CASE WHEN g.n = 40 OR g.held + d.size > 400000 THEN 1 ELSE 0 END, CASE WHEN g.n = 40 OR g.held + d.size > 400000 THEN 1 ELSE g.n + 1 END,
+  CASE WHEN g.n = 40 OR g.held + d.size > 400000 THEN d.size ELSE g.held + d.size END FROM g JOIN d ON d.i = g.i + 1) SELECT doc_id, batch FROM g"""
+
+
 def batch_numbers(spark, sf_dir):
     return sampling.numbered(_read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 500)
 
@@ -339,6 +368,8 @@ QUERIES = {
     "label_samples": (label_samples, LABEL_SAMPLES_SQL),
     "stratified_sample": (stratified_sample, STRATIFIED_SQL),
     "size_bisection_lattice": (size_bisection_lattice, LATTICE_SQL),
+    "qualified_lattice": (qualified_lattice, QUALIFIED_SQL),
+    "greedy_batches": (greedy_batches, GREEDY_SQL),
     "batch_numbers": (batch_numbers, "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS batch FROM orders"),
     "tumbling_window": (windows("1 hour"), _HOUR),
     "sliding_window": (windows("1 hour", "30 minutes"), _SLIDE),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import parse, redact
+from corpusloom.functions import copydigits, parse, redact
 from corpusloom.operators import dedup, extraction, quality, sampling
 from corpusloom.sources.tables import Store, shared_folder
 from corpusloom.streaming import runner
@@ -209,6 +209,19 @@ UNION ALL SELECT 'labels.doc_id: without documents', count(*) FROM labels WHERE
 UNION ALL SELECT 'lineitem.l_orderkey: without orders', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) SELECT rule, n FROM r"""
 
 
+#: What is put behind the pages in turn, so that every kind of place has digits that count and some that don't.
+PLACES = ("", "\n<p title='in 3'>{n > 4 ? <b>at 5</b> : `to ${n + 6} of 7`}</p>", "\n<script>\nimport x from 'lib8';\nconst y = 'of 9', z = 10; // 11\n</script>", "\n<!-- 12 --><style>a { width: 13px }</style><a href='/14'>fifteen</a>", "\n<div set:html={x16} />")
+
+
+def copy_digits(spark, sf_dir):
+    """Digits in the copy of all pages, with templates and scripts behind them."""
+    pages = _read(spark, sf_dir, "pages")
+    more = F.element_at(F.array(*map(F.lit, PLACES)), (F.pmod("page_id", F.lit(len(PLACES))) + 1).cast("int"))
+    found = copydigits.scan(pages, "page_id", F.concat(F.coalesce("html", F.lit("")), more))
+    line = lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["text"])
+    return found.select("page_id", F.size("found").alias("n"), F.get("found", F.lit(-1) + F.size("found"))["text"].alias("last"), F.sha2(F.array_join(F.transform("found", line), "\n"), 256).alias("digest"))
+
+
 def digits_scan(spark, sf_dir):
     """Lines of pages that show a digit."""
     rows = _read(spark, sf_dir, "pages").select("page_id", F.explode(parse.digits(F.coalesce("html", F.lit("")))).alias("d"))
@@ -231,6 +244,7 @@ UNION ALL SELECT 'r' || n_regionkey, count(c_custkey) + count(DISTINCT n_nationk
 
 
 QUERIES = {
+    "copy_digits": (copy_digits, None),
     "digits_scan": (digits_scan, DIGITS_SQL),
     "tree_counts": (tree_counts, TREE_SQL),
     "entropy": (entropy, ENTROPY_SQL),

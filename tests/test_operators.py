@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -262,7 +263,6 @@ def test_sampling():
     held = [5] * 30 + [9] * 7 + [1]
     found = list(sampling.bisect(lambda a, b: sum(a <= x <= b for x in held), 10, 0, 15))
     assert sorted(found) == [(0, 3, 1, "leaf"), (5, 5, 30, "overflow"), (8, 15, 7, "leaf")]
-    assert list(sampling.batches([("a", 3), ("b", 3), ("c", 9), ("d", 1)], 2, 6)) == [["a", "b"], ["c"], ["d"]]
 
 
 def test_lattice_holds_the_longest_documents(spark, tmp_path):
@@ -383,3 +383,40 @@ def test_sample_by_strata(spark):
     drawn = sampling.stratified(rows, "id", "size", "kind", 60).collect()
     assert len(drawn) == 60 and {k: sum(r.kind == k for r in drawn) for k in ("a", "b")} == {"a": 40, "b": 20}
     assert len({int(4 * np.log10(max(r.size, 1))) for r in drawn if r.kind == "a"}) >= 4 and sampling.stratified(rows.limit(0), "id", "size", "kind", 5).count() == 0
+
+
+def test_greedy_batches_as_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "CHUNK", 16)
+    rng = np.random.default_rng(6)
+    sizes = [int(x) for x in rng.integers(0, 12, 150)] + [0] * 20 + [50, None, 3]
+    table = spark.createDataFrame(list(enumerate(sizes)), "id bigint, n bigint")
+    for most, most_bytes in ((5, 20), (40, 30), (1, 9), (3, 1000)):
+        want, batch, n, held = {}, -1, 0, 0
+        for k, size in enumerate(sizes):
+            size = size or 0
+            if batch < 0 or n == most or held + size > most_bytes:
+                batch, n, held = batch + 1, 0, 0
+            want[k], n, held = batch, n + 1, held + size
+        assert {r.id: r.batch for r in sampling.greedy(table, "id", "n", most, most_bytes).collect()} == want
+    assert sampling.greedy(table.limit(0), "id", "n").count() == 0 and [r.batch for r in sampling.greedy(table.limit(1), "id", "n").collect()] == [0]
+
+
+def test_lattice_with_qualifiers(spark):
+    rows = [(k,) + q for k, q in enumerate([(3, "a")] * 4 + [(3, "b")] * 9 + [(3, None)] * 2 + [(v, "a") for v in range(8, 12)] + [(20, None)])]
+    got = sampling.qualified(spark.createDataFrame(rows, "id int, v int, q string"), "v", "q", 5, 5).collect()
+    assert sorted((r.low, r.high, r.qualifier or "", r.total, r.kind) for r in got) == [(3, 3, "", 2, "overflow"), (3, 3, "a", 4, "leaf"), (3, 3, "b", 9, "capped"), (8, 15, "", 4, "leaf"), (16, 31, "", 1, "leaf")]
+
+
+def test_sample_where_few_lie_below_the_bound(spark, monkeypatch):
+    """A first bound that is far too low is doubled until enough rows are ranked; the sample is the same."""
+    rows = spark.createDataFrame([(i, i % 4000, "a" if i % 3 else None) for i in range(3000)], "id bigint, size bigint, kind string")
+    first = sorted(r.id for r in sampling.stratified(rows, "id", "size", "kind", 40).collect())
+    ranked = rows.withColumns({"w": F.floor(F.log10(F.greatest("size", F.lit(1)).cast("double")) * 4), "h": F.md5(F.concat(F.col("id").cast("string"), F.lit(":7")))}).collect()
+    want = []
+    for kind, quota in (("a", 27), (None, 13)):
+        own = {}
+        for r in sorted((r for r in ranked if r.kind == kind), key=lambda r: (r.h, r.id)):
+            own.setdefault(int(r.w), []).append(r)
+        order = [(k // 10, hashlib.md5(f"{w}:3".encode()).hexdigest(), r.h, r.id) for w, rs in own.items() for k, r in enumerate(rs)]
+        want += [i for *_, i in sorted(order)[:quota]]
+    assert first == sorted(want)
