@@ -210,7 +210,7 @@ def _homes(nodes: DataFrame, centres: dict) -> DataFrame:
     shared = nodes.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
             home, far = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
             keys = list(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True))
             for key in set(keys) & set(shared.value):
