@@ -87,7 +87,7 @@ def greedy(rows: DataFrame, key: str, size: str, most: int = 40, most_bytes: int
     at = settled(_placed(rows.select(F.col(key).alias("key"), F.col(size).alias("size")), "key", "size"), "placed")
     number = at.select(F.col("__place").alias("i"), (F.col("__sum") + F.coalesce("size", F.lit(0))).alias("after"), F.col("__sum").alias("before"))
     chunk = lambda i: F.floor(i / CHUNK)
-    spread = number.withColumn("chunk", F.explode(F.array_distinct(F.array(chunk(F.col("i")), chunk(F.greatest(F.lit(0), F.col("i") - most + 1))))))
+    spread = number.withColumn("chunk", F.explode(F.sequence(chunk(F.greatest(F.lit(0), F.col("i") - most + 1)), chunk(F.col("i")))))
     ahead = F.collect_list("after").over(Window.partitionBy("chunk").orderBy("i").rowsBetween(0, most - 1))
     fits = spread.withColumn("ahead", ahead).filter(chunk(F.col("i")) == F.col("chunk"))
     jump = settled(fits.select("i", (F.col("i") + F.greatest(F.lit(1), F.size(F.filter("ahead", lambda s: s - F.col("before") <= most_bytes)))).alias("next")), "next")
