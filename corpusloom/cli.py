@@ -55,11 +55,11 @@ def merged_labels(drafts: dict[str, str], there: dict[str, dict]) -> dict[str, d
 
 def swap(folder: str, files: dict[str, object]) -> None:
     """Puts JSON files in place of a folder, all or none; refuses one that this command hasn't written. The folder is a link that one rename
-    points to the new files, so it is there, old or new, at any time."""
+    points to the new files, which lie hidden beside it, so it is there, old or new, at any time."""
     folder = folder.rstrip("/")
     if os.path.isdir(folder) and os.listdir(folder) and not os.path.exists(f"{folder}/{_MARK}"):
         raise ValueError(f"{folder} holds other files")
-    part = f"{folder}.{uuid.uuid4().hex}"
+    part = os.path.join(os.path.dirname(folder), f".{os.path.basename(folder)}.{uuid.uuid4().hex}")
     try:
         for name, value in {_MARK: "", **files}.items():
             os.makedirs(os.path.dirname(f"{part}/{name}"), exist_ok=True)

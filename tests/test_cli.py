@@ -23,7 +23,10 @@ def test_audit_and_list(spark, capsys):
     assert cli.main(["list"]) == 0 and "facts_copy_rate" in capsys.readouterr().out
 
 
-def test_labels_site_and_report(tmp_path):
+def test_labels_site_and_report(tmp_path, monkeypatch):
+    def stop(*_, **__):
+        raise KeyboardInterrupt
+
     assert cli.merged_labels({"a": "New", "b": "Other"}, {"a": {"label": "Mine", "status": "approved"}}) == {"a": {"label": "Mine", "status": "approved"}, "b": {"label": "Other", "status": "draft"}}
     folder = str(tmp_path / "site")
     cli.swap(folder, {"x.json": {"a": 1}, "d/y.json": []})
@@ -31,7 +34,17 @@ def test_labels_site_and_report(tmp_path):
     assert sorted(os.listdir(folder)) == [cli._MARK, "z.json"]
     with pytest.raises(TypeError):
         cli.swap(folder, {"bad.json": {1, 2}})
-    assert sorted(os.listdir(folder)) == [cli._MARK, "z.json"] and os.listdir(tmp_path) == ["site"]
+    here = os.listdir(tmp_path)
+    assert sorted(os.listdir(folder)) == [cli._MARK, "z.json"] and len(here) == 2 and [n for n in here if not n.startswith(".")] == ["site"]
+    for step in ("symlink", "replace"):  # stopped before the new files are in place, the old ones are there
+        with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+            m.setattr(cli.os, step, stop)
+            cli.swap(folder, {"y.json": 2})
+        assert sorted(os.listdir(folder)) == [cli._MARK, "z.json"]
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(cli.shutil, "rmtree", stop)
+        cli.swap(folder, {"y.json": 2})
+    assert sorted(os.listdir(folder)) == [cli._MARK, "y.json"]
     (tmp_path / "mine").mkdir()
     (tmp_path / "mine" / "a").write_text("x")
     with pytest.raises(ValueError):
