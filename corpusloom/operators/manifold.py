@@ -115,7 +115,8 @@ def _round(edges: DataFrame, places: DataFrame, dims: int, n: int, rounds: int)
         return pa.table([pa.array(ids[own]), pa.array(moved[own].tolist(), pa.list_(pa.float64()))], names=["row", "at"])
 
     moved = both.groupBy("block").applyInArrow(run, "row bigint, at array<double>")
-    mean = F.array(*[F.avg(F.get("at", F.lit(k))) for k in range(dims)])
+    whole = [F.sum(F.get("at", F.lit(k)).cast("decimal(28,12)")).cast("double") for k in range(dims)]  # exact, so in any order the same
+    mean = F.array(*[x / F.count(F.lit(1)) for x in whole])
     moved = moved.groupBy("row").agg(mean.alias("moved"))
     return places.join(moved, "row", "left").select("row", F.coalesce("moved", "at").alias("at"))
 
@@ -135,7 +136,7 @@ def project(rows: DataFrame, key: str, vector: str, principal, dims: int = 5, fe
     edges = settled(edges.join(degree, "a").select("a", "b", "w", F.pmod(F.xxhash64("a", part), F.lit(blocks)).cast("int").alias("block")), "edges")
     start = settled(principal(good, "row", "v", dims).select(F.col("key").alias("row"), F.col("vector").alias("at")), "start")
     most = start.select(F.max(F.array_max(F.transform("at", F.abs)))).first()[0] or 1.0
-    noise = F.transform("at", lambda x, k: x * (10 / most) + (F.pmod(F.xxhash64("row", k), F.lit(2001)) - 1000) / 1e7)
+    noise = F.transform("at", lambda x, k: F.round(x * (10 / most), 5) + (F.pmod(F.xxhash64("row", k), F.lit(2001)) - 1000) / 1e7)
     places = settled(start.select("row", noise.alias("at")), "places")
     for n in range(rounds):
         places = settled(_round(edges, places, dims, n, rounds), "places")
