@@ -89,6 +89,8 @@ LONG_TEXTS = [
     ("MPL-2.0", "mozilla public license version 2 0 1 definitions", 14341, "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
 ]
 FIRST_CHARS = 48
+#: Characters of a canonical text in which parts are looked for at once; what a part that starts there may need is read with them.
+BLOCK = 1 << 14
 #: Every catalogue text holds one of these in its canonical form, so a unit without them can't match.
 ANCHORS = "[lL][iI][cC][eE][nN][cCsS][eE]|[pP][eE][rR][mM][iI][sS][sS][iI][oO][nN]|[rR][eE][dD][iI][sS][tT][rR][iI][bB]"
 
@@ -121,13 +123,25 @@ def _parts(whole: Column, known: list) -> Column:
     """Digests of the parts of a canonical text that start like a known text and are as long."""
     padded = F.concat(F.lit(" "), whole, F.lit(" "))
     table = F.array(*[F.struct(F.lit(r.first).alias("first"), F.lit(r.length).alias("length")) for r in known])
+    beyond = max(r.length for r in known) + 2
+    # block by block, as a place in a long text is only found by counting its characters from the start
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(padded) - 1) / BLOCK).cast("int")), lambda n: padded.substr(n * BLOCK + 1, F.lit(BLOCK + beyond)))
 
-    def of(k: Column) -> Column:
+    def inside(block: Column, k: Column) -> Column:
         mark = F.concat(F.lit(" "), k["first"])
-        gaps = F.split(padded, F.concat(F.lit("\\Q"), mark, F.lit("\\E")))
-        before = F.transform(F.sequence(F.lit(1), F.size(gaps) - 1), lambda n: F.aggregate(F.slice(gaps, F.lit(1), n), F.lit(0), lambda s, g: s + F.length(g)) + (n - 1) * F.length(mark))
-        ends = F.filter(before, lambda at: padded.substr(at + 2 + k["length"], F.lit(1)) == " ")
-        return F.transform(ends, lambda at: F.sha2(padded.substr(at + 2, k["length"]), 256))
+        gaps = F.split(block, F.concat(F.lit("\\Q"), mark, F.lit("\\E")))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+        def passed(seen: Column, gap: Column) -> Column:
+            start = seen["at"] + F.length(gap)
+            return F.struct((start + F.length(mark)).alias("at"), F.array_append(seen["starts"], start).alias("starts"))
+
+        starts = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), none, passed)["starts"]
+        ended = F.filter(starts, lambda at: (at < BLOCK) & (block.substr(at + 2 + k["length"], F.lit(1)) == " "))
+        return F.transform(ended, lambda at: F.sha2(block.substr(at + 2, k["length"]), 256))
+
+    def of(k: Column) -> Column:
+        return F.flatten(F.transform(blocks, lambda block: inside(block, k)))
 
     return F.flatten(F.transform(F.filter(table, lambda k: padded.contains(F.concat(F.lit(" "), k["first"]))), of))
 

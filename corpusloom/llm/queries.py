@@ -60,10 +60,12 @@ def licenses_planted(spark, sf_dir):
 
 
 def licenses_whole(spark, sf_dir):
-    """op1's scan of texts that are the catalogue's own, one for each document."""
+    """op1's scan of the catalogue's own texts, one behind each document, whose own text stands in one copyright line."""
     texts = [t for x in licenses.TEXTS.values() for t in x]
-    docs = read(spark, sf_dir, "documents").select("doc_id")
-    return licenses.scan(docs.withColumn("text", F.upper(F.element_at(F.array(*map(F.lit, texts)), (F.pmod("doc_id", F.lit(len(texts))) + 1).cast("int")))))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    line = F.concat(F.lit("Copyright (c) "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("\n"))
+    own = F.upper(F.element_at(F.array(*map(F.lit, texts)), (F.pmod("doc_id", F.lit(len(texts))) + 1).cast("int")))
+    return licenses.scan(docs.withColumn("text", F.concat(line, own)))
 
 
 QUERIES = {
@@ -96,6 +98,6 @@ ORACLES = {
     "op11_periodic_runs": OP11_SQL,
     "op13_hamerly_clusters": OP13_SQL,
     "licenses_planted": OP1_SQL.replace("FROM documents", f"FROM {_LICENSES_SQL}"),
-    "licenses_whole": OP1_SQL.replace("FROM documents", f"FROM (SELECT doc_id, upper(([{_WHOLE}])[1 + doc_id % {sum(map(len, licenses.TEXTS.values()))}]) AS text FROM documents)"),
+    "licenses_whole": OP1_SQL.replace("FROM documents", f"FROM (SELECT doc_id, 'Copyright (c) ' || replace(coalesce(text, ''), chr(10), ' ') || chr(10) || upper(([{_WHOLE}])[1 + doc_id % {sum(map(len, licenses.TEXTS.values()))}]) AS text FROM documents)"),
     "secrets_planted": OP2_SQL.replace("FROM documents", f"FROM {_SECRETS_SQL}"),
 }

@@ -117,6 +117,16 @@ def test_every_known_text_has_an_anchor():
         assert re.search(licenses.ANCHORS, text)
 
 
+@pytest.mark.parametrize("block", [60, 700, 1 << 14])
+def test_parts_at_block_borders(documents, monkeypatch, block):
+    monkeypatch.setattr(licenses, "BLOCK", block)
+    opening = next(first for name, first, *_ in licenses.LONG_TEXTS if name == "GPL-3.0")
+    rows = [(k, "é " * shift + (opening + " ") * repeats + text + " " + "end " * shift) for k, (shift, repeats, text) in enumerate((s, n, t[-1]) for s in (0, 29, 61) for n in (0, 40) for t in licenses.TEXTS.values())]
+    told = {r.doc_id: set(r.embedded.split(",")) for r in licenses.scan(documents(rows)).collect()}
+    names = [name for _ in range(6) for name in licenses.TEXTS]
+    assert all(name in told[k] for k, name in enumerate(names)) and len(told) == len(rows)
+
+
 SHARED = "/usr/share/common-licenses"
 
 
