@@ -7,11 +7,11 @@ cluster there on the way down. A cluster's stability sums, over its points, how
 takes to split off. ``eom`` takes the clusters of greatest total stability, ``leaf`` those without clusters below; the topmost one
 is never taken. All that meets at equal distances counts as one event, so equal points and ties have one answer.
 
-Groups of up to WHOLE points are worked on in one task each. In larger ones the tree grows in rounds: each component takes its
-least edge to another one, first from lists of nearest neighbours, then, where a neighbour beyond the list may be nearer, from the balls
-of a metric index that can still hold one. Then the tree is contracted: small components join what they reach first until only clusters
-are left (number of points / least at most), whose own tree the driver works on. A long row of points with growing gaps takes as
-many rounds as it has points.
+Groups of up to WHOLE points are worked on in one task each. In larger ones the tree grows in rounds: components take their
+least edges to others from lists of nearest neighbours as long as many of them can be sure of these. Where a neighbour beyond the list may be
+nearer, all components but the largest of each group search the balls of a metric index that can still hold one. Then the tree is
+contracted: small components join what they reach first until clusters are left (number of points / least, or FEW nodes of any size, at
+most), whose own tree the driver works on. A long row of points with growing gaps takes as many rounds as it has points.
 
 Defined cases: null and empty vectors are noise; a group of fewer than max(2, least) points is noise; so is a group that never splits;
 repeated keys are points of their own; equal points lie at distance 0, where 1 / distance counts as 1e12; a null key is its own cluster's
@@ -39,6 +39,8 @@ WHOLE = 2048
 SMALL = 50
 #: Nearest neighbours that are asked for an edge before the index.
 LISTED = 16
+#: Components and nodes that the driver joins itself.
+FEW = 4096
 _CLOSEST = 1e-12
 
 
@@ -180,26 +182,27 @@ def _edges(ids: np.ndarray, comp: np.ndarray, other: np.ndarray, w: np.ndarray,
     return pa.table([pa.array(comp, pa.int64()), pa.array(other, pa.int64()), pa.array(w, pa.float64()), pa.array(np.minimum(ids, to), pa.int64()), pa.array(np.maximum(ids, to), pa.int64())], names=["comp", "other", "w", "lo", "hi"])
 
 
-def _searched(found: metric.Index, points: DataFrame, now: DataFrame, listed: DataFrame) -> DataFrame:
-    """Edges of components to others that may be less than those from the lists. points: row, grp, cell, v, core, least_far; now: row, comp."""
-    spark = points.sparkSession
-    told = settled(points.join(now, "row"), "told")
-    bound = lambda best: told.join(best.select("comp", F.col("w").alias("bound")), "comp", "left").filter(F.greatest("core", "least_far") < F.coalesce("bound", F.lit(float("inf"))))
-    open_ = bound(listed).drop("bound")
-    of = {r.row: (r.comp, r.core) for r in told.join(spark.createDataFrame([(int(k),) for rows in found.rows.values() for k in rows], "row bigint"), "row").select("row", "comp", "core").collect()}  # the centres
+def _searched(found: metric.Index, told: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Edges of the components in ``wanted`` (comp, w: an edge's distance that is known, or null) to others that may be less. told: row, grp, cell,
+    region, parts, v, core, reach (what a neighbour beyond the list is away at least), comp."""
+    spark = told.sparkSession
+    limit = lambda w: F.coalesce(w, F.lit(float("inf")))
+    own = [c for c in told.columns if c != "reach"]
+    open_ = settled(told.join(wanted.select("comp", limit(F.col("w")).alias("most")), "comp").filter("reach < most").select(*own, "reach", "most"), "open")
+    of = {r.row: (r.comp, r.core) for r in told.join(F.broadcast(spark.createDataFrame([(int(k),) for rows in found.rows.values() for k in rows], "row bigint")), "row").select("row", "comp", "core").collect()}  # the centres
     at = {g: (np.array([of[k][0] for k in rows], np.int64), np.array([of[k][1] for k in rows])) for g, rows in found.rows.items()}
     pure = {g: (np.full(len(c), -1), np.full(len(c), -2), np.full(len(c), np.inf)) for g, c in found.centres.items()}
     for r in told.groupBy("grp", "cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("core").alias("c")).collect():  # a row for each cell
         if r.grp in pure:
             for part, value in zip(pure[r.grp], (r.a, r.b, r.c), strict=True):
                 part[r.cell] = value
-    shared = spark.sparkContext.broadcast((found.centres, found.rows, found.radius, at, pure))
+    shared = spark.sparkContext.broadcast((found.centres, found.rows, found.radius, at, pure, found.region, found.dealt, found.cells))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for whole in batches:
-            for batch in (whole.slice(a, metric.BLOCK) for a in range(0, whole.num_rows, metric.BLOCK)):
-                for g, own in metric._by_group(batch.column("grp").to_pylist(), shared.value[0]):
-                    part = batch.take(pa.array(own))
+            for batch in (whole.slice(a, metric.ROWS) for a in range(0, whole.num_rows, metric.ROWS)):
+                for g, some in metric._by_group(batch.column("grp").to_pylist(), shared.value[0]):
+                    part = batch.take(pa.array(some))
                     x = metric.matrix(part.column("v"))
                     yield g, part, x, metric.far(x, shared.value[0][g]), part.column("comp").to_numpy(), part.column("core").to_numpy()
 
@@ -213,41 +216,70 @@ def _searched(found: metric.Index, points: DataFrame, now: DataFrame, listed: Da
             exact = np.maximum(metric.apart(x[hit], shared.value[0][g][best]), np.maximum(core[hit], cores[best]))
             yield from _edges(part.column("row").to_numpy()[hit], comp[hit], other[best], exact, shared.value[1][g][best]).to_batches()
 
-    centred = settled(_first_edges(listed.select("comp", "other", "w", "lo", "hi").unionByName(open_.mapInArrow(to_centres, _EDGE))), "centred")
+    centred = settled(_first_edges(open_.select(*own).mapInArrow(to_centres, _EDGE)), "centred")
+    nearer = open_.join(centred.select("comp", "w"), "comp", "left").withColumn("most", F.least("most", limit(F.col("w")))).filter("reach < most")
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, part, _, to, comp, core in split(batches):
             low, high, least = shared.value[4][g]
-            most = part.column("bound").to_numpy(zero_copy_only=False)
+            most = part.column("most").to_numpy(zero_copy_only=False)
             w = np.maximum(to - shared.value[2][g][None, :], np.maximum(core[:, None], least[None, :]))
-            own = (low == high)[None, :] & (low[None, :] == comp[:, None])
-            i, j = np.nonzero(~own & (w <= most[:, None] * (1 + metric.SLACK) + metric.SLACK))
-            took = pa.array(i)
-            yield pa.RecordBatch.from_arrays([part.column("row").take(took), part.column("grp").take(took), pa.array(j.astype(np.int32)), *(part.column(c).take(took) for c in ("v", "core", "comp"))], ["row", "grp", "cell", "v", "core", "comp"])
-
-    rows = told.select("row", "grp", "cell", "v", "core", "comp")
-    asking = bound(centred).select(*rows.columns, F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-    asked = settled(asking.mapInArrow(visits, "row bigint, grp string, cell int, v array<double>, core double, comp bigint"), "asked")
-    lone = asking.filter(~F.col("grp").isin(*found.centres)).select(*rows.columns) if found.centres else asking.select(*rows.columns)  # groups of one cell
+            mine = (low == high)[None, :] & (low[None, :] == comp[:, None])
+            i, j = np.nonzero(~mine & np.isfinite(w) & (w <= most[:, None] * (1 + metric.SLACK) + metric.SLACK))
+            who, region, lists = metric.asked(i, j, *(shared.value[k][g] if k < 7 else shared.value[k] for k in (5, 6, 7)))
+            took = pa.array(who)
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(took) for c in ("row", "grp", "cell")), pa.array(region.astype(np.int32)), *(part.column(c).take(took) for c in ("parts", "v", "core", "comp")), lists], ["row", "grp", "cell", "region", "parts", "v", "core", "comp", "cells"])
+
+    columns = ["row", "grp", "cell", "region", "parts", "v", "core", "comp"]
+    kinds = "row bigint, grp string, cell int, region int, parts int, v array<double>, core double, comp bigint, cells array<int>"
+    none = F.lit(None).cast("array<int>").alias("cells")
+    asking = nearer.select(*columns, "most").mapInArrow(visits, kinds)
+    lone = nearer.filter(~F.col("grp").isin(*found.centres)) if found.centres else nearer  # groups of one cell
 
     def run(own: pa.Table, asks: pa.Table) -> pa.Table:
-        ids, of = (t.column("row").to_numpy() for t in (asks, own))
-        comp, other = (t.column("comp").to_numpy() for t in (asks, own))
-        core, cores = (t.column("core").to_numpy() for t in (asks, own))
-        x, y = (metric.matrix(t.column("v")) for t in (asks, own))
-        out = [_edges(ids[:0], comp[:0], other[:0], core[:0], of[:0])]
-        for a in range(0, len(ids) if len(of) else 0, 256):
-            cut = slice(a, a + 256)
-            w = np.maximum(metric.far(x[cut], y), np.maximum(core[cut, None], cores[None, :]))
-            w[comp[cut, None] == other[None, :]] = np.inf
-            best = w.argmin(1)
-            hit = np.flatnonzero(np.isfinite(w[np.arange(len(w)), best]))
-            to = best[hit]
-            exact = np.maximum(metric.apart(x[cut][hit], y[to]), np.maximum(core[cut][hit], cores[to]))
-            out.append(_edges(ids[cut][hit], comp[cut][hit], other[to], exact, of[to]))
-        return pa.concat_tables(out)
+        met = metric.Meeting(own, asks)
+        comp, other = (t.column("comp").to_numpy() for t in (met.asks, met.own))
+        core, cores = (t.column("core").to_numpy() for t in (met.asks, met.own))
+        best, to = np.full(len(comp), np.inf), np.zeros(len(comp), np.int64)
+        for who, a, b in met.blocks():
+            w = metric.far(*met.values(who, a, b))
+            np.maximum(w, core[who, None], out=w)
+            np.maximum(w, cores[None, a:b], out=w)
+            w[comp[who, None] == other[None, a:b]] = np.inf
+            j = w.argmin(1)
+            found = w[np.arange(len(who)), j]
+            less = np.flatnonzero(found < best[who])
+            best[who[less]], to[who[less]] = found[less], a + j[less]
+        hit = np.flatnonzero(np.isfinite(best))
+        to = to[hit]
+        exact = np.zeros(len(hit))
+        for a in range(0, len(hit), metric.COLUMNS):
+            cut = slice(a, a + metric.COLUMNS)
+            x, y = (metric.matrix(t.column("v").take(pa.array(k))) for t, k in ((met.asks, hit[cut]), (met.own, to[cut])))
+            exact[cut] = np.maximum(metric.apart(x, y), np.maximum(core[hit[cut]], cores[to[cut]]))
+        ids, of = met.ids[hit], met.of[to]
+        order = np.lexsort((np.maximum(ids, of), np.minimum(ids, of), exact, comp[hit]))
+        first = order[np.flatnonzero(np.diff(comp[hit][order], prepend=-1))]  # one of each component
+        return _edges(ids[first], comp[hit][first], other[to[first]], exact[first], of[first])
+
+    return centred.select("comp", "other", "w", "lo", "hi").unionByName(metric.meet(told.select(*columns, none), asking.unionByName(lone.select(*columns, none)), run, _EDGE).select("comp", "other", "w", "lo", "hi"))
+
+
+def _joined(comps: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """node, root of the components (comp) that edges (comp, other) connect; few of them in the driver."""
+    if n > FEW:
+        return components(comps.select(F.col("comp").alias("node")), edges.select(F.col("comp").alias("a"), F.col("other").alias("b")))
+    up = {r.comp: r.comp for r in comps.select("comp").collect()}  # FEW rows at most
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
 
-    return centred.select("comp", "other", "w", "lo", "hi").unionByName(metric.meet(rows, asked.unionByName(lone), run, _EDGE).select("comp", "other", "w", "lo", "hi"))
+    for r in edges.select("comp", "other").collect():
+        a, b = top(r.comp), top(r.other)
+        up[max(a, b)] = min(a, b)
+    return F.broadcast(comps.sparkSession.createDataFrame([(k, top(k)) for k in up], "node bigint, root bigint"))
 
 
 def spanning_edges(points: DataFrame, most: int) -> DataFrame:
@@ -259,26 +291,44 @@ def spanning_edges(points: DataFrame, most: int) -> DataFrame:
     first = F.slice("best", 1, LISTED)
     least_far = F.when(F.size("best") < LISTED, float("inf")).otherwise(F.element_at(first, -1)["d"])
     listed = settled(listed.select("row", core.alias("core"), first.alias("best"), least_far.alias("least_far")), "listed")
-    rows = settled(found.points.select("row", "grp", "cell", "v").join(listed.select("row", "core", "least_far"), "row"), "rows")
+    rows = found.points.select("row", "grp", "cell", "region", "parts", "v").join(listed.select("row", "core", F.greatest("core", "least_far").alias("reach")), "row")
+    rows = settled(rows, "rows")
     pairs = listed.select("row", "core", F.explode("best").alias("e")).select("row", "core", "e.d", F.col("e.other").alias("to"))
-    pairs = settled(pairs.join(listed.select(F.col("row").alias("to"), F.col("core").alias("core_to")), "to").select("row", "to", F.greatest("d", "core", "core_to").alias("w")), "pairs")
+    pairs = pairs.join(listed.select(F.col("row").alias("to"), F.col("core").alias("core_to")), "to").select("row", "to", F.greatest("d", "core", "core_to").alias("w"))
+    lo, hi = F.least("row", "to").alias("lo"), F.greatest("row", "to").alias("hi")
+    pairs = pairs.select(F.col("row").alias("comp"), F.col("to").alias("other"), "w", lo, hi).unionByName(pairs.select(F.col("to").alias("comp"), F.col("row").alias("other"), "w", lo, hi))
+    fewest = lambda df: df.groupBy("comp", "other").agg(F.min(F.struct("w", "lo", "hi")).alias("e")).select("comp", "other", "e.*")
+    pairs = settled(fewest(pairs), "pairs")
+    comps = settled(rows.select(F.col("row").alias("comp"), "grp", "reach", F.lit(1).cast("bigint").alias("size")), "comps")
     now, edges = rows.select("row", F.col("row").alias("comp")), []
     while True:
-        of = pairs.join(now, "row").join(now.select(F.col("row").alias("to"), F.col("comp").alias("other")), "to").filter("comp != other")
-        near = settled(_first_edges(of.select("comp", "other", "w", F.least("row", "to").alias("lo"), F.greatest("row", "to").alias("hi"))), "near")
-        best = settled(_first_edges(_searched(found, rows, now, near)), "best")
-        if not best.limit(1).count():
+        # an edge from the lists is a component's least one if no point of it may have a nearer neighbour beyond them
+        near = settled(comps.join(_first_edges(pairs), "comp", "left").select("comp", "grp", "size", "other", "w", "lo", "hi", F.coalesce(F.col("w") <= F.col("reach"), F.lit(False)).alias("sure")), "near")
+        told = near.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("sure").cast("int")).alias("sure"), F.countDistinct("grp").alias("groups")).first()
+        if told["n"] <= told["groups"]:
             break
+        best = near.filter("sure").select("comp", "other", "w", "lo", "hi")
+        if 4 * told["sure"] < told["n"]:
+            largest = near.groupBy("grp").agg(F.max_by("comp", F.struct("size", "comp")).alias("comp"))
+            unsure = near.filter("not sure").join(largest.select("comp"), "comp", "left_anti")
+            listed_edges = unsure.filter("w is not null").select("comp", "other", "w", "lo", "hi")
+            rows_now = settled(rows.join(now, "row"), "told")
+            best = _first_edges(best.unionByName(listed_edges).unionByName(_searched(found, rows_now, unsure.select("comp", "w"))))
+        best = settled(best, "best")
         edges.append(best.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "w").distinct())
-        roots = components(now.select(F.col("comp").alias("node")).distinct(), best.select(F.col("comp").alias("a"), F.col("other").alias("b")))
+        roots = _joined(comps, best, told["n"])
         now = settled(now.join(roots, now["comp"] == roots["node"]).select("row", F.col("root").alias("comp")), "now")
+        merged = comps.join(roots, comps["comp"] == roots["node"]).groupBy(F.col("root").alias("comp")).agg(F.first("grp").alias("grp"), F.min("reach").alias("reach"), F.sum("size").alias("size"))
+        comps = settled(merged, "comps")
+        ends = pairs.join(roots.select(F.col("node").alias("comp"), F.col("root").alias("x")), "comp").join(roots.select(F.col("node").alias("other"), F.col("root").alias("y")), "other")
+        pairs = settled(fewest(ends.filter("x != y").select(F.col("x").alias("comp"), F.col("y").alias("other"), "w", "lo", "hi")), "pairs")
     none = rows.sparkSession.createDataFrame([], "a bigint, b bigint, w double")
     return reduce(DataFrame.unionByName, edges, none)
 
 
 def _contracted(points: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: row, node, w (where it joined the cluster ``node``; null: none); nodes: node, size, least, born; edges between them) when
-    no small component is left that reaches another one. points: row, least."""
+    no small component is left that reaches another one, or few nodes are left. points: row, least."""
     nodes = points.select(F.col("row").alias("node"), F.lit(1).cast("bigint").alias("size"), "least", F.lit(None).cast("double").alias("born"))
     rows = points.select("row", F.col("row").alias("node"), F.lit(None).cast("double").alias("w"))
     while True:
@@ -292,7 +342,7 @@ def _contracted(points: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
         pairs = pick.filter("small").join(back, ["old", "to"]).select("old", F.col("lo").alias("new"), F.when(size >= F.col("least"), F.col("w")).alias("w"), size.alias("size"), "least")
         pairs = settled(pairs, "pairs")
         moved = settled(joins.unionByName(pairs.select("old", "new", "w")), "moved")
-        if not moved.limit(1).count():
+        if not moved.limit(1).count() or nodes.count() <= FEW:
             return rows, nodes, edges
         joined = rows.join(moved.withColumnRenamed("w", "at"), (rows["node"] == moved["old"]) & rows["w"].isNull(), "left")
         rows = settled(joined.select("row", F.coalesce("new", "node").alias("node"), F.coalesce("w", "at").alias("w")), "rows")
@@ -307,19 +357,23 @@ def _large(points: DataFrame, selection: str) -> DataFrame:
     spark = points.sparkSession
     most = points.agg(F.max("samples")).first()[0] or 1
     rows, nodes, edges = _contracted(points.select("row", "least"), settled(spanning_edges(points, most), "tree"))
-    big = nodes.filter("born is not null").orderBy("node").collect()  # points / least at most
+    big = nodes.orderBy("node").collect()  # points / least or FEW at most, and groups that are no cluster
     place = {r.node: k for k, r in enumerate(big)}
     between = [(place[e.a], place[e.b], e.w) for e in edges.collect() if e.a in place and e.b in place]
     a, b, w = (np.array([e[k] for e in between], kind) for k, kind in ((0, np.int64), (1, np.int64), (2, np.float64)))
-    found = Clusters(np.array([r.size for r in big], np.int64), np.array([r.born for r in big]), a, b, w, np.array([r.least for r in big], np.int64))
+    found = Clusters(np.array([r.size for r in big], np.int64), np.array([np.inf if r.born is None else r.born for r in big], np.float64), a, b, w, np.array([r.least for r in big], np.int64))
     chain = []
     for r in big:
         c, low = int(found.fell[place[r.node]]), 0.0
+        if r.born is None:  # small: its points leave together
+            chain += [(r.node, c, low, float("inf"), float(found.at[place[r.node]]))] * (c >= 0)
+            continue
         while c >= 0:
-            chain.append((r.node, c, low, float(found.split[c])))
+            chain.append((r.node, c, low, float(found.split[c]), None))
             c, low = found.parent[c], float(found.split[c])
-    chain = spark.createDataFrame(chain, "n bigint, cluster int, low double, high double")
-    at = settled(rows.join(chain, (rows["node"] == chain["n"]) & (F.col("w") >= F.col("low")) & (F.col("w") < F.col("high"))).select("row", "cluster", "w"), "fallen")
+    chain = spark.createDataFrame(chain, "n bigint, cluster int, low double, high double, left double")
+    fallen = F.coalesce("w", "left")
+    at = settled(rows.join(chain, (rows["node"] == chain["n"]) & (fallen >= F.col("low")) & (fallen < F.col("high"))).select("row", "cluster", fallen.alias("w")), "fallen")
     count, lives = np.zeros(len(found.parent), np.int64), np.zeros(len(found.parent))
     for r in at.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(1 / F.greatest("w", F.lit(_CLOSEST))).alias("lives")).collect():  # a row for each cluster
         count[r.cluster], lives[r.cluster] = r.n, r.lives

@@ -3,9 +3,10 @@
 Points: row (a number of their own), grp (only points of one group meet), v. Some points of each larger group are drawn as centres by
 hash; every point's home is the cell of its nearest centre, and a cell's radius is how far its points lie from it. A search asks in the
 own cell first. What it finds there, and the distances to the centres, which are points themselves, bound the answer; a second
-round goes only to cells whose ball reaches below the bound. Cells and those who ask are dealt to tasks in blocks, so memory is bounded
-whatever a cell holds, and nothing is left out. Where points cluster a point visits few cells; in data without any structure every
-ball may have to be asked, and the work is quadratic.
+round goes only to cells whose ball reaches below the bound. Cells lie together in regions, about PARTS of them whatever the number of
+points, and a point that asks in some cells of a region goes there once: what is dealt out grows with the points even where each of
+them has to ask everywhere, as in data without any structure. The comparisons are quadratic then. A cell that is larger than a
+region is dealt to several, and regions hold MOST_BLOCK points at most, so memory is bounded and nothing is left out.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,12 @@ from corpusloom.sources.tables import settled
 
 #: Points of a cell, as far as MOST_CENTRES allows; centres are held by the driver and every worker.
 CELL, MOST_CENTRES = 256, 4096
-#: Points of a cell, and of those who ask there, in a task.
-BLOCK = 1024
+#: Points of a region, and of those who ask there, in a task: a share of all, between these.
+PARTS, BLOCK, MOST_BLOCK = 16, 1024, 32768
+#: Rows and columns that are compared at once.
+ROWS, COLUMNS = 256, 2048
+#: Candidates that are held before they are cut to the nearest.
+HELD = 1 << 19
 #: Bounds are trusted up to this share of the numbers they come from.
 SLACK = 1e-7
 
@@ -46,13 +52,18 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """points: row, grp, v, cell, home (distance to the cell's centre). By group: centres, their rows, radii, largest norms."""
+    """points: row, grp, v, cell, home (distance to the cell's centre), region, parts (how many blocks of points ask). By group: centres,
+    their rows, and of each cell the radius, the largest norm, the points, the first region and how many it is dealt to; by region its cells."""
 
     points: DataFrame
     centres: dict[str, np.ndarray]
     rows: dict[str, np.ndarray]
     radius: dict[str, np.ndarray]
     norm: dict[str, np.ndarray]
+    count: dict[str, np.ndarray]
+    region: dict[str, np.ndarray]
+    dealt: dict[str, np.ndarray]
+    cells: np.ndarray
 
 
 def _by_group(keys: list[str], wanted: dict) -> Iterator[tuple[str, np.ndarray]]:
@@ -88,88 +99,212 @@ def index(points: DataFrame) -> Index:
 
     at = settled(points.mapInArrow(home, "row bigint, grp string, v array<double>, cell int, home double, norm double"), "cells")
     radius, norm = ({g: np.zeros(len(c)) for g, c in centres.items()} for _ in range(2))
-    for r in at.filter("home < double('infinity')").groupBy("grp", "cell").agg(F.max("home").alias("r"), F.max("norm").alias("n")).collect():  # a row for each cell
-        radius[r.grp][r.cell], norm[r.grp][r.cell] = r.r, r.n
-    return Index(at.drop("norm"), centres, {g: np.array([k for k, _ in x]) for g, x in found.items()}, radius, norm)
+    count = {g: np.zeros(len(c), np.int64) for g, c in centres.items()}
+    for r in at.filter("home < double('infinity')").groupBy("grp", "cell").agg(F.max("home").alias("r"), F.max("norm").alias("n"), F.count(F.lit(1)).alias("c")).collect():  # a row for each cell
+        radius[r.grp][r.cell], norm[r.grp][r.cell], count[r.grp][r.cell] = r.r, r.n, r.c
+    block = max(BLOCK, min(MOST_BLOCK, -(-total // PARTS)))
+    parts = max(1, -(-total // block))
+    region, dealt, cells = _regions(centres, count, block)
+    places = [(g, k, int(region[g][k]), int(dealt[g][k])) for g in centres for k in range(len(centres[g]))]
+    places = F.broadcast(points.sparkSession.createDataFrame(places, "grp string, cell int, first int, dealt int"))
+    own = F.coalesce(F.col("first") + F.pmod(F.xxhash64("row", F.lit(3)), F.col("dealt")), F.pmod(F.xxhash64("grp"), F.lit(parts))).cast("int")
+    at = settled(at.join(places, ["grp", "cell"], "left").select("row", "grp", "v", "cell", "home", own.alias("region")), "regions")
+    return Index(at.withColumn("parts", F.lit(parts)), centres, {g: np.array([k for k, _ in x]) for g, x in found.items()}, radius, norm, count, region, dealt, cells)
+
+
+def _regions(centres: dict[str, np.ndarray], count: dict[str, np.ndarray], block: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray]:
+    """The first region of each cell, how many regions it is dealt to, and the number of cells in each region. Cells that follow each other
+    along the direction in which the centres differ most share a region, up to ``block`` points."""
+    region, dealt, cells, held = {}, {}, [0], 0
+    for g, c in centres.items():
+        region[g], dealt[g] = np.zeros(len(c), np.int64), np.ones(len(c), np.int64)
+        middle = c - c.mean(0)
+        along = middle @ np.linalg.eigh(middle.T @ middle)[1][:, -1] if len(c) > 1 else np.zeros(1)
+        for k in np.argsort(along, kind="stable").tolist():
+            n = int(count[g][k])
+            if held and held + n > block:
+                cells, held = [*cells, 0], 0
+            region[g][k], dealt[g][k] = len(cells) - 1, max(1, -(-n // block))
+            cells[-1], held = cells[-1] + 1, held + n
+            if dealt[g][k] > 1:
+                cells, held = [*cells, *[1] * int(dealt[g][k] - 1), 0], 0
+    return region, dealt, np.array(cells)
+
+
+def asked(row: np.ndarray, cell: np.ndarray, region: np.ndarray, dealt: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, region, cells there (null: all)) of rows that ask in cells. cells: the number of cells of each region."""
+    times = dealt[cell]
+    row, cell = np.repeat(row, times), np.repeat(cell, times)
+    to = region[cell] + np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
+    order = np.lexsort((to, row))
+    row, cell, to = row[order], cell[order], to[order]
+    start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (to[1:] != to[:-1])])) if len(row) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(row)))
+    most = size * 2 > cells[to[start]]
+    kept = cell[~np.repeat(most, size)]
+    offsets = np.concatenate([[0], np.cumsum(np.where(most, 0, size))]).astype(np.int32)
+    told = pa.ListArray.from_arrays(pa.array(offsets), pa.array(kept.astype(np.int32)), mask=pa.array(most))
+    return row[start], to[start], told
 
 
 def meet(own: DataFrame, asking: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """run(points of a cell, those who ask there) for blocks of both; both have row, grp, cell, v and the same further columns."""
-    size = lambda df, name: df.groupBy("grp", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    sizes = size(own, "across").join(size(asking, "down"), ["grp", "cell"])
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
-    columns = own.columns
-    left = own.join(sizes, ["grp", "cell"]).select(*columns, F.lit(False).alias("asks"), mine("across").alias("i"), every("down").alias("j"))
-    right = asking.select(*columns).join(sizes, ["grp", "cell"]).select(*columns, F.lit(True).alias("asks"), every("across").alias("i"), mine("down").alias("j"))
+    """run(points of a region, those who ask there) for blocks of those who ask; both have row, grp, region, parts and the same further columns."""
+    columns = [c for c in own.columns if c != "parts"]
+    left = own.select(*columns, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
+    right = asking.select(*columns, F.lit(True).alias("asks"), F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("j"))
 
     def task(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
         return run(table.filter(pa.array(~asks)), table.filter(pa.array(asks)))
 
-    return left.unionByName(right).groupBy("grp", "cell", "i", "j").applyInArrow(task, schema)
-
-
-def _least(x: np.ndarray, ids: np.ndarray, y: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distances, rows): the k nearest of y for each of x, but for itself; infinite where there are fewer."""
-    close = far(x, y)
-    close[ids[:, None] == other[None, :]] = np.inf
-    k = min(k, close.shape[1])
-    best = np.argpartition(close, k - 1, 1)[:, :k] if k < close.shape[1] else np.tile(np.arange(k), (len(x), 1))
-    d = np.where(np.isinf(np.take_along_axis(close, best, 1)), np.inf, apart(x[:, None, :], y[best]))
-    order = np.lexsort((other[best], d), axis=1)
-    return np.take_along_axis(d, order, 1), np.take_along_axis(other[best], order, 1)
+    return left.unionByName(right).groupBy("region", "j").applyInArrow(task, schema)
+
+
+class Meeting:
+    """Points of a region and those who ask there. own: the table ordered by group and cell; blocks(): (who ask, from, to in own); self_at: where
+    in own one who asks stands, or -1."""
+
+    def __init__(self, own: pa.Table, asks: pa.Table):
+        self.own, self.asks = own.sort_by([("grp", "ascending"), ("cell", "ascending"), ("row", "ascending")]), asks
+        self.x, self.y = (matrix(t.column("v")) if len(pc.unique(pc.list_value_length(t.column("v")))) == 1 else None for t in (self.asks, self.own))
+        self.ids, self.of = self.asks.column("row").to_numpy(), self.own.column("row").to_numpy()
+        order = np.argsort(self.of, kind="stable")
+        at = np.minimum(np.searchsorted(self.of[order], self.ids), max(0, len(order) - 1))
+        self.self_at = np.where(self.of[order][at] == self.ids, order[at], -1) if len(order) else np.full(len(self.ids), -1)
+
+    def values(self, who: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.x is not None and self.y is not None:
+            return self.x[who], self.y[a:b]
+        return matrix(self.asks.column("v").take(pa.array(who))), matrix(self.own.column("v").slice(a, b - a))  # groups of different lengths
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, int, int]]:
+        grp, cell = self.own.column("grp").to_pylist(), self.own.column("cell").to_numpy()
+        asking: dict[str, list[int]] = {}
+        for k, g in enumerate(self.asks.column("grp").to_pylist()):
+            asking.setdefault(g, []).append(k)
+        edge = [0, *[k for k in range(1, len(grp)) if grp[k] != grp[k - 1]], len(grp)] if grp else []
+        for s, e in zip(edge, edge[1:], strict=False):
+            if grp[s] not in asking:
+                continue
+            who = np.array(asking[grp[s]])
+            names, first = np.unique(cell[s:e], return_index=True)
+            last = np.append(first[1:], e - s)
+            lists = self.asks.column("cells").take(pa.array(who)).combine_chunks()
+            wanted = np.zeros((len(who), len(names)), bool)
+            wanted[lists.is_null().to_numpy(zero_copy_only=False)] = True
+            which = np.repeat(np.arange(len(who)), lists.value_lengths().fill_null(0).to_numpy())
+            asked_of = lists.flatten().to_numpy()
+            place = np.minimum(np.searchsorted(names, asked_of), len(names) - 1)
+            there = names[place] == asked_of
+            wanted[which[there], place[there]] = True
+            if (wanted @ (last - first)).sum() > 0.3 * len(who) * (e - s):
+                pairs = [(who, s, e)]
+            else:
+                pairs = ((who[np.flatnonzero(wanted[:, c])], s + int(first[c]), s + int(last[c])) for c in range(len(names)))
+            for some, low, high in pairs:
+                for k in range(0, len(some), ROWS):
+                    for a in range(low, high, COLUMNS):
+                        yield some[k : k + ROWS], a, min(high, a + COLUMNS)
+
+    def myself(self, who: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of a block where a point meets itself."""
+        at = self.self_at[who]
+        same = np.flatnonzero((at >= a) & (at < b))
+        return same, at[same] - a
 
 
 _BEST = "array<struct<d: double, other: bigint>>"
-_STRUCT = pa.struct([("d", pa.float64()), ("other", pa.int64())])
 
 
-def _lists(ids: np.ndarray, d: np.ndarray, other: np.ndarray) -> pa.Table:
-    told = [[{"d": a, "other": b} for a, b in zip(p, q, strict=True) if a < np.inf] for p, q in zip(d.tolist(), other.tolist(), strict=True)]
-    return pa.table([pa.array(ids, pa.int64()), pa.array(told, pa.list_(_STRUCT))], names=["row", "best"])
+def _nearest(who: np.ndarray, d: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k nearest of each of ``who``, in its order, by distance, then row."""
+    order = np.lexsort((other, d, who))
+    sorted_ = who[order]
+    start = np.searchsorted(sorted_, sorted_)
+    return order[np.arange(len(order)) - start < k]
 
 
 def neighbours(found: Index, k: int) -> DataFrame:
     """row, best: the k nearest other points of the group (d, other), by distance, then row; fewer where the group is smaller."""
 
     def run(own: pa.Table, asking: pa.Table) -> pa.Table:
-        ids = asking.column("row").to_numpy()
-        d, other = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-        x, y, of = matrix(asking.column("v")), matrix(own.column("v")), own.column("row").to_numpy()
-        if len(ids) and len(of):
-            parts = [_least(x[a : a + 128], ids[a : a + 128], y, of, k) for a in range(0, len(ids), 128)]
-            d, other = (np.concatenate([p[n] for p in parts]) for n in (0, 1))
-        return _lists(ids, d, other)
+        met = Meeting(own, asking)
+        most = asking.column("bound").to_numpy() ** 2
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def cut() -> None:
+            who, d, other = (np.concatenate([h[n] for h in held]) for n in range(3))
+            best = _nearest(who, d, other, k)
+            who, d, other = who[best], d[best], other[best]
+            held[:] = [(who, d, other)]
+            full = np.flatnonzero(np.bincount(who, minlength=len(most)) >= k)
+            most[full] = np.minimum(most[full], d[np.searchsorted(who, full, "right") - 1] ** 2)
+
+        held.append((np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)))
+        pending = 0
+        for who, a, b in met.blocks():
+            x, y = met.values(who, a, b)
+            long, high = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+            close = x @ y.T
+            close *= -2
+            close += long[:, None]
+            close += high[None, :]
+            close[met.myself(who, a, b)] = np.inf
+            slack = 1e-11 * (long + high.max())
+            if close.shape[1] > k:
+                blind = np.flatnonzero(np.isinf(most[who]))
+                if len(blind):
+                    most[who[blind]] = np.partition(close[blind], k - 1, 1)[:, k - 1] + slack[blind]
+            i, j = np.nonzero(close <= (most[who] + slack)[:, None])
+            real = np.isfinite(close[i, j])
+            i, j = i[real], j[real]
+            held.append((who[i], apart(x[i], y[j]), met.of[a:b][j]))
+            pending += len(i)
+            if pending > HELD:
+                cut()
+                pending = 0
+        cut()
+        who, d, other = held[0]
+        n = np.bincount(who, minlength=len(met.ids))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(d, pa.float64()), pa.array(other, pa.int64())], ["d", "other"]))
+        return pa.table([pa.array(met.ids, pa.int64()), lists], names=["row", "best"])
 
     merged = lambda df: df.groupBy("row").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
-    points = found.points.select("row", "grp", "cell", "v")
-    first = settled(merged(meet(points, points, run, f"row bigint, best {_BEST}")), "first")
+    wide = lambda df, bound, cells, parts: df.select("row", "grp", "cell", "region", parts.alias("parts"), "v", bound.alias("bound"), cells.alias("cells"))
+    none = F.lit(None).cast("array<int>")
+    alone = wide(found.points, F.lit(float("inf")), F.array("cell"), F.lit(1))
+    first = settled(meet(alone, alone, run, f"row bigint, best {_BEST}"), "first")
     if not found.centres:
         return first
-    shared = points.sparkSession.sparkContext.broadcast((found.centres, found.rows, found.radius))
+    shared = found.points.sparkSession.sparkContext.broadcast((found.centres, found.rows, found.radius, found.count, found.region, found.dealt, found.cells))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, rows, radius = shared.value
+        centres, rows, radius, count, region, dealt, cells = shared.value
         for whole in batches:
-            for batch in (whole.slice(a, BLOCK) for a in range(0, whole.num_rows, BLOCK)):
-                row, cell = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-                bound, home, ids = batch.column("bound").to_numpy(), batch.column("cell").to_numpy(), batch.column("row").to_numpy()
+            for batch in (whole.slice(a, ROWS) for a in range(0, whole.num_rows, ROWS)):
+                seen, home, ids = (batch.column(c).to_numpy() for c in ("bound", "cell", "row"))
                 for g, own in _by_group(batch.column("grp").to_pylist(), centres):
                     to = far(matrix(batch.column("v").take(pa.array(own))), centres[g])
                     known = np.where(ids[own][:, None] == rows[g][None, :], np.inf, to)
-                    most = np.minimum(bound[own], np.partition(known, k - 1, 1)[:, k - 1] if k <= known.shape[1] else np.inf)
+                    most = np.minimum(seen[own], np.partition(known, k - 1, 1)[:, k - 1] if k <= known.shape[1] else np.inf)
+                    if k > CELL // 16:  # balls that hold k others together
+                        order = np.argsort(to + radius[g][None, :], 1)
+                        enough = np.cumsum(count[g][order], 1) > k
+                        at = np.take_along_axis(order, enough.argmax(1)[:, None], 1)[:, 0]
+                        most = np.minimum(most, np.where(enough[:, -1], (to[np.arange(len(own)), at] + radius[g][at]) * (1 + SLACK), np.inf))
                     least = to - radius[g][None, :]
-                    i, j = np.nonzero((least <= most[:, None] + SLACK * (1 + to)) & (np.arange(to.shape[1])[None, :] != home[own][:, None]))
-                    row.append(own[i])
-                    cell.append(j.astype(np.int32))
-                took = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([batch.column("row").take(took), batch.column("grp").take(took), pa.array(np.concatenate(cell)), batch.column("v").take(took)], ["row", "grp", "cell", "v"])
+                    here = (np.arange(to.shape[1])[None, :] == home[own][:, None]) & (dealt[g] == 1)[None, :]
+                    i, j = np.nonzero((least <= most[:, None] + SLACK * (1 + to)) & ~here & (count[g] > 0)[None, :])
+                    who, at, lists = asked(i, j, region[g], dealt[g], cells)
+                    took = pa.array(own[who])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(took) for c in ("row", "grp", "cell")), pa.array(at.astype(np.int32)), *(batch.column(c).take(took) for c in ("parts", "v")), pa.array((most * (1 + SLACK) + SLACK)[who]), lists], ["row", "grp", "cell", "region", "parts", "v", "bound", "cells"])
 
     last = F.element_at("best", -1)["d"]
-    asking = points.join(first.select("row", F.when(F.size("best") >= k, last).otherwise(float("inf")).alias("bound")), "row")
-    asking = settled(asking.select("row", "grp", "cell", "v", "bound").mapInArrow(visits, "row bigint, grp string, cell int, v array<double>"), "visits")
-    return merged(first.unionByName(meet(points, asking, run, f"row bigint, best {_BEST}")))
+    bounds = first.select("row", F.when(F.size("best") >= k, last).otherwise(float("inf")).alias("bound"))
+    asking = found.points.join(bounds, "row").select("row", "grp", "cell", "region", "parts", "v", "bound")
+    asking = asking.mapInArrow(visits, "row bigint, grp string, cell int, region int, parts int, v array<double>, bound double, cells array<int>")
+    own = wide(found.points, F.lit(0.0), none, F.col("parts"))
+    return merged(first.unionByName(meet(own, asking, run, f"row bigint, best {_BEST}")))
 
 
 def largest_products(found: Index) -> DataFrame:
@@ -177,26 +312,26 @@ def largest_products(found: Index) -> DataFrame:
     bounded by those with its centre and by the distance, which is the sharper bound for vectors of one length."""
 
     def run(own: pa.Table, asking: pa.Table) -> pa.Table:
-        ids, top = asking.column("row").to_numpy(), np.full(asking.num_rows, -np.inf)
-        x, y, of = matrix(asking.column("v")), matrix(own.column("v")), own.column("row").to_numpy()
-        for a in range(0, len(ids) if len(of) else 0, 256):
-            close = x[a : a + 256] @ y.T
-            close[ids[a : a + 256, None] == of[None, :]] = -np.inf
-            top[a : a + 256] = close.max(1)
-        return pa.table([pa.array(ids, pa.int64()), pa.array(top)], names=["row", "product"])
+        met, top = Meeting(own, asking), np.full(asking.num_rows, -np.inf)
+        for who, a, b in met.blocks():
+            x, y = met.values(who, a, b)
+            close = x @ y.T
+            close[met.myself(who, a, b)] = -np.inf
+            top[who] = np.maximum(top[who], close.max(1))
+        return pa.table([pa.array(met.ids, pa.int64()), pa.array(top)], names=["row", "product"])
 
     most = lambda df: df.groupBy("row").agg(F.max("product").alias("product"))
-    points = found.points.select("row", "grp", "cell", "v")
-    first = settled(most(meet(points, points, run, "row bigint, product double")), "first")
+    wide = lambda df, cells, parts: df.select("row", "grp", "cell", "region", parts.alias("parts"), "v", cells.alias("cells"))
+    alone = wide(found.points, F.array("cell"), F.lit(1))
+    first = settled(most(meet(alone, alone, run, "row bigint, product double")), "first")
     told = first
     if found.centres:
-        shared = points.sparkSession.sparkContext.broadcast((found.centres, found.rows, found.radius, found.norm))
+        shared = found.points.sparkSession.sparkContext.broadcast((found.centres, found.rows, found.radius, found.norm, found.count, found.region, found.dealt, found.cells))
 
         def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            centres, rows, radius, norm = shared.value
+            centres, rows, radius, norm, count, region, dealt, cells = shared.value
             for whole in batches:
-                for batch in (whole.slice(a, BLOCK) for a in range(0, whole.num_rows, BLOCK)):
-                    row, cell = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+                for batch in (whole.slice(a, ROWS) for a in range(0, whole.num_rows, ROWS)):
                     home, ids, seen = batch.column("cell").to_numpy(), batch.column("row").to_numpy(), batch.column("product").to_numpy()
                     for g, own in _by_group(batch.column("grp").to_pylist(), centres):
                         x = matrix(batch.column("v").take(pa.array(own)))
@@ -205,12 +340,13 @@ def largest_products(found: Index) -> DataFrame:
                         gap = np.maximum(far(x, centres[g]) - radius[g][None, :], 0)
                         bound = np.minimum(with_centre + long * radius[g][None, :], (long**2 + norm[g][None, :] ** 2 - gap**2) / 2)
                         scale = SLACK * (1 + long * (1 + norm[g][None, :]))
-                        i, j = np.nonzero((bound + scale >= np.maximum(seen[own], known.max(1))[:, None]) & (np.arange(bound.shape[1])[None, :] != home[own][:, None]))
-                        row.append(own[i])
-                        cell.append(j.astype(np.int32))
-                    took = pa.array(np.concatenate(row))
-                    yield pa.RecordBatch.from_arrays([batch.column("row").take(took), batch.column("grp").take(took), pa.array(np.concatenate(cell)), batch.column("v").take(took)], ["row", "grp", "cell", "v"])
-
-        asking = settled(points.join(first, "row").select("row", "grp", "cell", "v", "product").mapInArrow(visits, "row bigint, grp string, cell int, v array<double>"), "visits")
-        told = most(first.unionByName(meet(points, asking, run, "row bigint, product double")))
+                        here = (np.arange(bound.shape[1])[None, :] == home[own][:, None]) & (dealt[g] == 1)[None, :]
+                        i, j = np.nonzero((bound + scale >= np.maximum(seen[own], known.max(1))[:, None]) & ~here & (count[g] > 0)[None, :])
+                        who, at, lists = asked(i, j, region[g], dealt[g], cells)
+                        took = pa.array(own[who])
+                        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(took) for c in ("row", "grp", "cell")), pa.array(at.astype(np.int32)), *(batch.column(c).take(took) for c in ("parts", "v")), lists], ["row", "grp", "cell", "region", "parts", "v", "cells"])
+
+        asking = found.points.join(first, "row").select("row", "grp", "cell", "region", "parts", "v", "product")
+        asking = asking.mapInArrow(visits, "row bigint, grp string, cell int, region int, parts int, v array<double>, cells array<int>")
+        told = most(first.unionByName(meet(wide(found.points, F.lit(None).cast("array<int>"), F.col("parts")), asking, run, "row bigint, product double")))
     return told.filter("product > double('-infinity')")
