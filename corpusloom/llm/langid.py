@@ -8,9 +8,9 @@ a text that tells nothing (log 2), and so is each PIECE of it, is in no learned
 language has pieces that lie near. Texts of fewer than JUDGED n-grams of each order never are rejected, nor is any text
 where only one language was learned.
 
-The classifiers are fitted on PER_LANGUAGE labelled documents of each language at most (whole texts), drawn by chance
-over the whole table; n-grams are counted on the executors, and the driver gets COUNTS numbers for each language. Every
-language that occurs is learned; the tables of driver and workers grow with their number, not with the rows.
+The classifiers are fitted on all labelled documents (whole texts), and so is the loss that rejects; n-grams are counted on the
+executors, and the driver gets COUNTS numbers for each language and task. Every language that occurs is learned; the tables of
+driver and workers grow with their number, not with the rows.
 
 Defined cases: a text that is null or has no letter is "und" with score 0; so is every text if no row may be learned
 from; rows with a null language are never learned from; repeated rows get the same answer; an empty table gives no
@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 
 from .common import batched, read
 
-#: Labelled documents that are learned from, for each language, at most.
-PER_LANGUAGE = 2000
 COUNT_BITS = 13
 COUNTS = 1 << COUNT_BITS
 #: Bytes that are counted at once.
@@ -131,12 +129,10 @@ class Codes:
 
 def fit(rows: DataFrame) -> Codes | None:
     """rows: text, lang (not null), only those that may be learned from."""
-    there = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
-    if not there:
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())  # a row for each language
+    if not languages:
         return None
-    shares = {r.lang: min(1.0, PER_LANGUAGE / r.n) for r in there}
-    languages = sorted(shares)
-    sample = batched(rows).sampleBy("lang", shares, 3).repartition(16)
+    rows = batched(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), COUNTS), np.float64)
@@ -149,11 +145,11 @@ def fit(rows: DataFrame) -> Codes | None:
         yield pa.RecordBatch.from_arrays([pa.array(range(len(languages)), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["k", "counts"])
 
     counts = np.zeros((len(languages), COUNTS))
-    for r in sample.select("text", "lang").mapInArrow(count, "k int, counts binary").toLocalIterator():
+    for r in rows.select("text", "lang").mapInArrow(count, "k int, counts binary").toLocalIterator():
         counts[r.k] += np.frombuffer(r.counts)
     model = Codes(languages, counts)
     if len(languages) > 1:
-        most = _greatest_loss(sample, model)
+        most = _greatest_loss(rows, model)
         model.limit = (most + float(np.log(2))) / 2 if most < np.log(2) else float("inf")
     return model
 
@@ -165,9 +161,9 @@ def lost(model: Codes, text: bytes) -> bool:
     return all((found[found > 0] >= model.limit).all() for found in losses)
 
 
-def _greatest_loss(sample: DataFrame, model: Codes) -> float:
+def _greatest_loss(rows: DataFrame, model: Codes) -> float:
     """The greatest loss of the documents learned from; a number for each task goes to the driver."""
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = 0.0
@@ -177,7 +173,7 @@ def _greatest_loss(sample: DataFrame, model: Codes) -> float:
                 most = max(most, shared.value.predict(gram_counts(texts[a : a + TOGETHER]))[3].max())
         yield pa.RecordBatch.from_arrays([pa.array([most], pa.float64())], ["most"])
 
-    return sample.select("text").mapInArrow(run, "most double").agg(F.max("most")).first()[0] or 0.0
+    return rows.select("text").mapInArrow(run, "most double").agg(F.max("most")).first()[0] or 0.0
 
 
 def identify(docs: DataFrame, model: Codes | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

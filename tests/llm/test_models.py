@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from corpusloom.llm import langid, licenses, toxicity
@@ -154,3 +155,12 @@ def test_a_text_beyond_the_sample_is_passed_over(spark, monkeypatch):
     assert model is not None
     told = {r.doc_id: r.score for r in toxicity.score(docs.filter("doc_id < 1000"), model).collect()}
     assert all((told[i] >= 0.5) == bool(i % 2) for i in range(120))
+
+
+def test_languages_are_learned_from_every_row(spark):
+    """Counts and the limit come from all rows, also where a language has thousands."""
+    texts = [f"wort{k} und noch{k}" for k in range(2400)] + [f"word{k} and more{k}" for k in range(30)]
+    rows = spark.createDataFrame([(t, "de" if k < 2400 else "en") for k, t in enumerate(texts)], "text string, lang string")
+    model = langid.fit(rows)
+    counts = np.stack([langid.gram_counts([t.encode() for t in part]).sum(0, dtype=np.float64) for part in (texts[:2400], texts[2400:])])
+    assert np.array_equal(model.weights, langid.Codes(["de", "en"], counts).weights)
