@@ -46,6 +46,16 @@ class Spark:
     def split(self, x: str, by: str) -> str:
         return f"split({x}, {self.re(by)}, -1)"
 
+    def count_unique(self, x: str) -> str:
+        """The number of different x in groups that hold each x once and no null: no task keeps the values."""
+        return f"count({x})"
+
+    def first_of(self, table: str, n: int) -> str:
+        """Rows of a table that hold the first n of each language by the digest of doc_id, with digests for texts: found share by share, so no task
+        sorts a whole language."""
+        share = f"SELECT sha2(text, 256) AS text, lang, doc_id, row_number() OVER (PARTITION BY lang, pmod(xxhash64(doc_id), 64) ORDER BY md5(CAST(doc_id AS STRING))) AS share FROM {{{table}}}"
+        return f"({share}) WHERE share <= {n}"
+
     def lines_of(self, table: str, keys: str, x: str) -> str:
         """A query: keys, n (from 1), line."""
         return f"SELECT {keys}, pos + 1 AS n, line FROM {table} LATERAL VIEW posexplode(split({x}, r'\\n', -1)) v AS pos, line"
@@ -94,6 +104,12 @@ class Duck(Spark):
     def sorted_set(self, x: str, where: str = "true") -> str:
         return f"coalesce(string_agg(DISTINCT {x}, ',' ORDER BY {x}) FILTER (WHERE {where}), '')"
 
+    def count_unique(self, x: str) -> str:
+        return f"count(DISTINCT {x})"
+
+    def first_of(self, table: str, n: int) -> str:
+        return f"{{{table}}}"
+
     def lines_of(self, table: str, keys: str, x: str) -> str:
         return f"SELECT {keys}, unnest(range(1, len(a) + 1)) AS n, unnest(a) AS line FROM (SELECT *, string_split({x}, chr(10)) AS a FROM {table}) v"
 
