@@ -28,7 +28,7 @@ FROM features f JOIN v_repos r ON f.repo = r.repo GROUP BY technique_id ORDER BY
     "facts_uc_technique_matrix": Sql(lambda d: f"""WITH {_STAR},
 tech AS (SELECT DISTINCT o.o_custkey AS harness, p.p_brand AS technique_id
   FROM {{lineitem}} l JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey JOIN {{part}} p ON l.l_partkey = p.p_partkey)
-SELECT use_case_id, technique_id, count(DISTINCT u.harness) AS harnesses FROM uc u JOIN tech t ON u.harness = t.harness
+SELECT use_case_id, technique_id, {d.count_unique("u.harness")} AS harnesses FROM uc u JOIN tech t ON u.harness = t.harness
 GROUP BY use_case_id, technique_id ORDER BY use_case_id, technique_id"""),
     "view_semi_join": Sql(lambda d: f"""WITH {views(d)},
 clusters AS (SELECT cluster_id, count(*) AS size FROM membership GROUP BY cluster_id)
