@@ -20,8 +20,9 @@ DIMENSIONS, ASSIGN, UNCHARTED, UNCHARTED_SIZE = 256, 0.7, 50, 3
 SMALL, CANDIDATE = 50, 0.6
 #: Cosines are trusted up to this.
 SLACK = 1e-12
-#: Vectors of a block; all blocks meet each other in tasks of their own.
-BLOCK = 4096
+#: Vectors of a block; all blocks meet each other in tasks of their own. In density clusters there are PARTS blocks as long as these hold
+#: MOST_BLOCK vectors at most, so what is dealt out grows with the rows, and rows are compared ROWS at a time.
+BLOCK, PARTS, MOST_BLOCK, ROWS = 4096, 16, 32768, 256
 
 
 def hash_embed(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -113,7 +114,8 @@ def reduce(rows: DataFrame, key: str, vector: str, dims: int = 5, few: int = SMA
 
 def _met(parts: DataFrame, columns: list[str]) -> DataFrame:
     """Rows (grp, key, v, ...) dealt to the pairs of blocks of their group: g, i, j, mine and the columns."""
-    sizes = parts.groupBy(F.col("grp").alias("g")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    n = F.count(F.lit(1))
+    sizes = parts.groupBy(F.col("grp").alias("g")).agg(F.greatest(F.least(F.ceil(n / BLOCK), F.lit(PARTS)), F.ceil(n / MOST_BLOCK)).cast("int").alias("blocks"))
     both = parts.join(sizes, F.col("grp").eqNullSafe(F.col("g"))).select("g", *columns, "blocks")
     both = both.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return both.select("g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", *columns)
@@ -132,22 +134,26 @@ def density(rows: DataFrame, key: str, vector: str, similarity: float, least: Co
     good = parts.filter("v is not null")
     kind = rows.schema[key].dataType.simpleString()
 
-    def close(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        mine = part["mine"].to_numpy()
-        left, right = np.flatnonzero(mine == part["i"].iloc[0]), np.flatnonzero(mine == part["j"].iloc[0])
+    def close(part: pd.DataFrame, back: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows of a block, rows of the other one, their cosines), ROWS at a time; back: from the second block to the first."""
+        mine, i, j = part["mine"].to_numpy(), part["i"].iloc[0], part["j"].iloc[0]
+        left, right = np.flatnonzero(mine == (j if back else i)), np.flatnonzero(mine == (i if back else j))
         x = np.array(part["v"].tolist(), np.float64)
-        told = x[left] @ x[right].T
-        if part["i"].iloc[0] == part["j"].iloc[0]:
-            told[np.arange(len(left)), np.arange(len(left))] = -2.0
-        return left, right, told
+        y = x[right].T
+        for a in range(0, len(left), ROWS):
+            some = left[a : a + ROWS]
+            told = x[some] @ y
+            if i == j:
+                told[np.arange(len(some)), np.arange(a, a + len(some))] = -2.0
+            yield some, right, told
 
     def counted(part: pd.DataFrame) -> pd.DataFrame:
-        left, right, told = close(part)
-        near = told >= similarity - SLACK
         n = np.zeros(len(part), np.int64)
-        n[left] += near.sum(1)
-        if part["i"].iloc[0] != part["j"].iloc[0]:
-            n[right] += near.sum(0)
+        for left, right, told in close(part, False):
+            near = told >= similarity - SLACK
+            n[left] += near.sum(1)
+            if part["i"].iloc[0] != part["j"].iloc[0]:
+                n[right] += near.sum(0)
         return pd.DataFrame({"key": part["key"], "n": n})
 
     counts = _met(good, ["key", "v"]).groupBy("g", "i", "j").applyInPandas(counted, f"key {kind}, n bigint").groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("n"))
@@ -155,9 +161,7 @@ def density(rows: DataFrame, key: str, vector: str, similarity: float, least: Co
 
     def joined(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("key", ignore_index=True)
-        left, right, told = close(part)
         core, keys, out = part["core"].to_numpy(), part["key"].tolist(), []
-        near = told >= similarity - SLACK
         root = list(range(len(part)))
 
         def find(x: int) -> int:
@@ -165,16 +169,18 @@ def density(rows: DataFrame, key: str, vector: str, similarity: float, least: Co
                 root[x] = x = root[root[x]]
             return x
 
-        for x, y in zip(*np.nonzero(near & core[left][:, None] & core[right][None, :]), strict=True):
-            p, q = find(int(left[x])), find(int(right[y]))
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                out.append((keys[left[x]], keys[right[y]], 2.0))
-        for own, other, table in ((left, right, told), (right, left, told.T)):
-            best = np.where(core[other][None, :] & (table >= similarity - SLACK), table, -2.0)
-            if best.shape[1]:
-                which = best.argmax(1)  # the least key among equals
-                out += [(keys[own[x]], keys[other[which[x]]], float(best[x, which[x]])) for x in np.flatnonzero((best.max(1) > -2.0) & ~core[own])]
+        for back in (False, True) if part["i"].iloc[0] != part["j"].iloc[0] else (False,):
+            for own, other, table in close(part, back):
+                near = table >= similarity - SLACK
+                for x, y in zip(*np.nonzero(near & core[own][:, None] & core[other][None, :]), strict=True) if not back else ():
+                    p, q = find(int(own[x])), find(int(other[y]))
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        out.append((keys[own[x]], keys[other[y]], 2.0))
+                best = np.where(core[other][None, :] & near, table, -2.0)
+                if best.shape[1]:
+                    which = best.argmax(1)  # the least key among equals
+                    out += [(keys[own[x]], keys[other[which[x]]], float(best[x, which[x]])) for x in np.flatnonzero((best.max(1) > -2.0) & ~core[own])]
         return pd.DataFrame(out, columns=["a", "b", "s"])
 
     found = settled(_met(cores, ["key", "v", "core"]).groupBy("g", "i", "j").applyInPandas(joined, f"a {kind}, b {kind}, s double"), "met")

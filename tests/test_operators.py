@@ -420,3 +420,27 @@ def test_sample_where_few_lie_below_the_bound(spark, monkeypatch):
         order = [(k // 10, hashlib.md5(f"{w}:3".encode()).hexdigest(), r.h, r.id) for w, rs in own.items() for k, r in enumerate(rs)]
         want += [i for *_, i in sorted(order)[:quota]]
     assert first == sorted(want)
+
+
+def test_density_compares_slices_of_a_bounded_number_of_blocks(spark, monkeypatch):
+    """Many small slices give the same clusters as one, and rows go to PARTS blocks however many there are."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + rng.normal(0, 0.2, (30, 5)) for c in rng.normal(size=(4, 5)) * 2])
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id bigint, v array<double>")
+    told = lambda: sorted(vectors.density(rows, "id", "v", 0.95, F.lit(4)).collect())
+    want = told()
+    monkeypatch.setattr(vectors, "BLOCK", 10)
+    monkeypatch.setattr(vectors, "PARTS", 3)
+    monkeypatch.setattr(vectors, "ROWS", 7)
+    assert told() == want and len({r.grp for r in want} - {None}) >= 2
+    parts = rows.select(F.lit("").alias("grp"), F.col("id").alias("key"), "v")
+    assert vectors._met(parts, ["key", "v"]).count() == 3 * len(x)
+
+
+def test_spark_side_of_shared_texts_is_bounded():
+    """Firsts of a language are found share by share and unique rows are counted as they come; DuckDB's text stays."""
+    from corpusloom.plans import dialect, facts, texts
+
+    firsts, matrix = texts.TEXTS | texts.NUMBERS, facts.FACTS["facts_uc_technique_matrix"]
+    assert "share <= 500" in firsts["distinct_ratio_at"].text(dialect.Spark()) and "share" not in firsts["distinct_ratio_at"].duck()
+    assert "count(DISTINCT" not in matrix.text(dialect.Spark()) and "count(DISTINCT u.harness)" in matrix.duck()
