@@ -41,6 +41,8 @@ SMALL = 50
 LISTED = 16
 #: Components and nodes that the driver joins itself.
 FEW = 4096
+#: Times that the way to a group's first node is doubled.
+JUMPS = 3
 _CLOSEST = 1e-12
 
 
@@ -326,30 +328,117 @@ def spanning_edges(points: DataFrame, most: int) -> DataFrame:
     return reduce(DataFrame.unionByName, edges, none)
 
 
+_MOVED = "old bigint, new bigint, w double, size bigint, least int, born double"
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """What becomes of small nodes (a) that reach each other first, from all their edges (a, b, w, size, least, inside: b is one of them, is_born):
+    old, new (the node they become part of), w (where they joined a cluster), and size, least, born of new nodes. Edges are gone through in
+    their order; a component whose least edge leads to another group's node waits, and so does what reaches it first."""
+    a, b, w = (table.column(c).to_numpy() for c in ("a", "b", "w"))
+    inside, is_born = (table.column(c).to_numpy(zero_copy_only=False) for c in ("inside", "is_born"))
+    ids, first = np.unique(a, return_index=True)
+    size, least = (table.column(c).to_numpy()[first].tolist() for c in ("size", "least"))
+    n = len(ids)
+    up, waits, cluster, at, members = list(range(n)), [False] * n, [-1] * n, [np.inf] * n, [[k] for k in range(n)]
+    made: dict[int, tuple[int, int, float]] = {}
+    new = list(range(n))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def settle(x: int, into: int, d: float) -> None:
+        for m in members[x]:
+            at[m], new[m] = d, into
+        cluster[x], members[x] = into, []
+
+    order = np.lexsort((np.maximum(a, b), np.minimum(a, b), ~is_born, w))
+    place = np.where(inside, np.minimum(np.searchsorted(ids, b), n - 1), -1)[order].tolist()
+    start, ends, far, lead = np.searchsorted(ids, a)[order].tolist(), b[order].tolist(), w[order].tolist(), is_born[order].tolist()
+    for k, j, to, d, known in zip(start, place, ends, far, lead, strict=True):
+        x = top(k)
+        if j < 0:
+            if cluster[x] < 0 and not waits[x]:
+                if known:
+                    settle(x, to, d)
+                else:
+                    waits[x] = True
+            continue
+        y = top(j)
+        if x == y or (cluster[x] >= 0 and cluster[y] >= 0):
+            continue
+        if cluster[x] >= 0 or cluster[y] >= 0:
+            x, y = (x, y) if cluster[x] >= 0 else (y, x)
+            if not waits[y]:
+                settle(y, cluster[x], d)
+        elif waits[x] or waits[y]:
+            waits[x] = waits[y] = True
+        else:
+            if len(members[x]) < len(members[y]):
+                x, y = y, x
+            up[y] = x
+            members[x] += members[y]
+            members[y], size[x] = [], size[x] + size[y]
+            if size[x] >= least[x]:
+                name = int(ids[min(members[x])])
+                made[name] = (size[x], least[x], d)
+                settle(x, name, d)
+    out = []
+    for k in range(n):
+        if len(members[k]) > 1 and cluster[k] < 0:  # small still
+            name = int(ids[min(members[k])])
+            made[name] = (size[k], least[k], None)
+            out += [(int(ids[m]), name, None) for m in members[k]]
+        elif at[k] < np.inf:
+            out.append((int(ids[k]), new[k], at[k]))
+    told = [(*o, *(made[o[0]] if o[0] == o[1] else (None,) * 3)) for o in out]
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.float64())
+    columns = zip(*told, strict=True) if told else ((),) * 6
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["old", "new", "w", "size", "least", "born"])
+
+
+def _picked_groups(small: DataFrame, pick: DataFrame) -> DataFrame:
+    """node, root: small nodes that lie below one another along what they pick (comp, other). Two that pick each other are together; who is further
+    away than the jumps reach belongs to another group, which only makes it wait."""
+    each_other = pick.select(F.col("other").alias("comp"), F.col("comp").alias("other"), F.lit(True).alias("both"))
+    up = F.when(F.col("both") & (F.col("comp") < F.col("other")), F.col("comp")).otherwise(F.col("other"))
+    above = pick.join(each_other, ["comp", "other"], "left").select(F.col("comp").alias("node"), up.alias("up"))
+    now = settled(small.select("node").join(above, "node", "left").select("node", F.coalesce("up", "node").alias("root")), "groups")
+    for _ in range(JUMPS):
+        now = settled(now.join(now.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", F.col("next").alias("root")), "groups")
+    return now
+
+
 def _contracted(points: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: row, node, w (where it joined the cluster ``node``; null: none); nodes: node, size, least, born; edges between them) when
-    no small component is left that reaches another one, or few nodes are left. points: row, least."""
+    no small component is left that reaches another one, or few nodes are left. points: row, least. In a round small nodes that
+    reach each other first are joined group by group."""
     nodes = points.select(F.col("row").alias("node"), F.lit(1).cast("bigint").alias("size"), "least", F.lit(None).cast("double").alias("born"))
     rows = points.select("row", F.col("row").alias("node"), F.lit(None).cast("double").alias("w"))
     while True:
+        left = nodes.count()
+        if left <= FEW:
+            return rows, nodes, edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-        ends = both.join(nodes.filter("born is null").select(F.col("node").alias("a"), F.col("size").alias("size_a"), "least"), "a").join(nodes.select(F.col("node").alias("b"), "size", "born"), "b")
-        order = F.struct("w", F.col("born").isNull().alias("small"), F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.col("b").alias("to"), "size_a", "size", "least")
-        pick = settled(ends.groupBy("a").agg(F.min(order).alias("e")).select(F.col("a").alias("old"), "e.*"), "picked")
-        joins = pick.filter("not small").select("old", F.col("to").alias("new"), "w")
-        back = pick.filter("small").select(F.col("old").alias("to"), F.col("to").alias("old"))
-        size = F.col("size_a") + F.col("size")
-        pairs = pick.filter("small").join(back, ["old", "to"]).select("old", F.col("lo").alias("new"), F.when(size >= F.col("least"), F.col("w")).alias("w"), size.alias("size"), "least")
-        pairs = settled(pairs, "pairs")
-        moved = settled(joins.unionByName(pairs.select("old", "new", "w")), "moved")
-        if not moved.limit(1).count() or nodes.count() <= FEW:
+        small = nodes.filter("born is null")
+        ends = both.join(small.select(F.col("node").alias("a"), "size", "least"), "a").join(nodes.select(F.col("node").alias("b"), F.col("born").isNotNull().alias("is_born")), "b")
+        ends = settled(ends, "ends")
+        order = F.struct("w", (~F.col("is_born")).alias("small"), F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.col("b").alias("to"))
+        pick = settled(ends.groupBy("a").agg(F.min(order).alias("e")).filter("e.small").select(F.col("a").alias("comp"), F.col("e.to").alias("other")), "picked")
+        groups = _picked_groups(small, pick)
+        own, other = (groups.select(F.col("node").alias(k), F.col("root").alias(g)) for k, g in (("a", "g"), ("b", "h")))
+        asked = ends.join(own, "a").join(other, "b", "left").select("g", "a", "b", "w", "size", "least", F.coalesce(F.col("g") == F.col("h"), F.lit(False)).alias("inside"), "is_born")
+        moved = settled(asked.groupBy("g").applyInArrow(_merged, _MOVED), "moved")
+        if not moved.limit(1).count():
             return rows, nodes, edges
-        joined = rows.join(moved.withColumnRenamed("w", "at"), (rows["node"] == moved["old"]) & rows["w"].isNull(), "left")
+        joined = rows.join(moved.select("old", "new", F.col("w").alias("at")), (F.col("node") == F.col("old")) & F.col("w").isNull(), "left")
         rows = settled(joined.select("row", F.coalesce("new", "node").alias("node"), F.coalesce("w", "at").alias("w")), "rows")
         to = lambda end: (moved.select(F.col("old").alias(f"o{end}"), F.col("new").alias(f"n{end}")), F.col(end) == F.col(f"o{end}"), "left")
         edges = settled(edges.join(*to("a")).join(*to("b")).select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "w").filter("a != b"), "edges")
-        born = pairs.filter("old = new").select(F.col("new").alias("node"), "size", "least", F.col("w").alias("born"))
-        nodes = settled(nodes.join(moved.select(F.col("old").alias("node")), "node", "left_anti").unionByName(born), "nodes")
+        fresh = moved.filter("old = new").select(F.col("new").alias("node"), "size", "least", "born")
+        nodes = settled(nodes.join(moved.select(F.col("old").alias("node")), "node", "left_anti").unionByName(fresh), "nodes")
 
 
 def _large(points: DataFrame, selection: str) -> DataFrame:

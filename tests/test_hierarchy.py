@@ -133,6 +133,21 @@ def test_rounds_as_whole(spark, small, selection):
     assert got == want and len({g for g in got[:87]} - {-1}) >= 2 and got[-2:] == [-1, -1]
 
 
+@pytest.mark.parametrize("selection", ["eom", "leaf"])
+def test_contraction_takes_few_rounds(spark, small, monkeypatch, selection):
+    """Also where nearly no node is left to the driver; as many rounds as points of a cluster are too many."""
+    monkeypatch.setattr(hierarchy, "FEW", 4)
+    rng = np.random.default_rng(13)
+    x = blobs(rng, [50, 40, 30])
+    x[10:14] = x[9]
+    frame = table(spark, x)
+    rounds, settled = [], hierarchy.settled
+    monkeypatch.setattr(hierarchy, "settled", lambda df, name: (rounds.append(name), settled(df, name))[1])
+    got = found(hierarchy.clusters(frame, "id", "v", F.lit(12), selection), len(x))
+    assert got == plain(x, 12, 12, selection) and len(set(got)) > 2
+    assert 1 <= rounds.count("moved") <= 8
+
+
 def test_neighbours_and_products_as_all_pairs(spark, small):
     rng = np.random.default_rng(10)
     x = np.concatenate([blobs(rng, [60, 60]), np.full((40, 4), 0.3), rng.normal(size=(3, 4)) * 50])
