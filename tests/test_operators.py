@@ -444,3 +444,32 @@ def test_spark_side_of_shared_texts_is_bounded():
     firsts, matrix = texts.TEXTS | texts.NUMBERS, facts.FACTS["facts_uc_technique_matrix"]
     assert "share <= 500" in firsts["distinct_ratio_at"].text(dialect.Spark()) and "share" not in firsts["distinct_ratio_at"].duck()
     assert "count(DISTINCT" not in matrix.text(dialect.Spark()) and "count(DISTINCT u.harness)" in matrix.duck()
+
+
+def test_shingle_hashes_tell_the_same_sets_apart(spark):
+    """Hashes of runs of words stand for the runs, short texts and texts without words too, in order and once each."""
+    texts = ["", "  ", "a", "a b", "b a", "a b c d e", "a b c d e f", "a a a a a a a", "a b c d e a b c d e", "Ünïcode wörds_1 x 2 ß", "a b c d"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    told = {r.k: r for r in dedup.shingle_hashes(rows.withColumn("s", dedup.shingles(F.col("t"))), "t").collect()}
+    assert all(len(r.hashes) == len(r.s) and r.hashes == sorted(set(r.hashes)) for r in told.values())
+    assert all((told[a].hashes == told[b].hashes) == (set(told[a].s) == set(told[b].s)) for a in told for b in told)
+    assert set(told[5].hashes) < set(told[6].hashes)
+
+
+def test_white_space_collapses_as_runs(spark):
+    texts = ["a b", " a  b ", "a\tb", "a \n\t b", "\n\na", "a  ", "a b", "a 　 b", "a  b", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    wide = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+    told = rows.select("t", dedup.normalized(F.col("t"), F.lit("o/r")).alias("n"), dedup._flat(F.col("t")).alias("f"), F.trim(F.regexp_replace("t", wide, " ")).alias("x"), F.trim(F.regexp_replace("t", r"\s+", " ")).alias("y"))
+    assert all(r.n == r.x and r.f == r.y for r in told.collect())
+
+
+def test_elements_of_one_set_do_not_meet(spark):
+    """Of the prefixes only elements that several sets of a kind have go on, and far sets are told apart before their elements are looked at."""
+    sets = {"a": ("k", range(100)), "b": ("k", range(5, 105)), "c": ("other", range(100)), "d": ("k", range(1000, 1100)), "e": ("k", [*range(1000, 1010), *range(2000, 2090)])}
+    rows = shapes(spark, sets).select("node", "kind", "hashes")
+    kept = dedup._prefixes(rows, 0.5).collect()
+    assert {r.node for r in kept} == {"a", "b"} | {r.node for r in kept if r.node in "de"} and all(r.lead <= r.node for r in kept)
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("d", "e")], "a string, b string")
+    told = dedup._verified(pairs, rows, 0.5, dedup._parities(rows)).collect()
+    assert [(r.a, r.b, round(r.jaccard, 6)) for r in told] == [("a", "b", round(95 / 105, 6))]
