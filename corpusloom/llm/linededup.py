@@ -74,20 +74,21 @@ def _split(line: Column) -> Column:
 def _hashed(rows: DataFrame) -> DataFrame:
     """A row for each line: keys, kln, d1 and d2 (digest of the set), h (hashes of the words; one for each word), half: how
     many words from the start have a 64-bit hash below 0."""
-    lines = _lines(rows)
+    lines = _lines(rows.withColumn("text", _plain(F.col("text"))))  # line breaks end words, so a text's lower case is that of its lines
     key = _of(lines)
-    named = lines.select(*key, F.sort_array(F.array_distinct(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w)))).alias("w"))
+    words = F.array_remove(F.split("line", " "), "")
+    named = lines.select(*key, F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("w"))
     short = F.transform("w", lambda h: h.bitwiseAND(_long((1 << TOKEN_BITS) - 1)).cast("int"))
-    half = F.size(F.filter("w", lambda h: h < 0))
+    half = (F.array_position(F.sort_array(F.array_append("w", _long(0))), _long(0)) - 1).cast("int")  # where a 0 would stand
     return named.select(*key, F.xxhash64("w").alias("d1"), F.xxhash64("w", F.lit(7)).alias("d2"), short.alias("h"), half.alias("half"))
 
 
 def _rarity(lines: DataFrame) -> Column:
-    """Array of SKETCH ranks: the logarithm of the count of words with that hash."""
+    """Array of SKETCH ranks: the logarithm of the count of words with that hash, times 2^32."""
     counts = lines.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(SKETCH - 1).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     ranks = [0] * SKETCH
     for r in counts.select("slot", F.round(F.log2("n") * 64).cast("int").alias("rank")).collect():  # SKETCH rows at most
-        ranks[r.slot] = r.rank
+        ranks[r.slot] = r.rank << 32
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
@@ -95,7 +96,7 @@ def _classes(lines: DataFrame, rarity: Column, percent: int) -> DataFrame:
     """The first line of each class (keys, kln) with its set's size n, parities p1 and p2, and prefix (hashes in order)."""
 
     def token(h: Column) -> Column:
-        return F.shiftleft(F.get(rarity, h.bitwiseAND(SKETCH - 1)), 32).bitwiseOR(h)
+        return F.get(rarity, h.bitwiseAND(SKETCH - 1)).bitwiseOR(h)
 
     def parity(h: Column) -> Column:
         return F.aggregate(h, _long(0), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", _long(1), x.bitwiseAND(63))))

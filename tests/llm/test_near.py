@@ -4,6 +4,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpusloom.llm import components as components_module
 from corpusloom.llm import covertree, linededup, minhash
 from corpusloom.llm.components import components
@@ -191,3 +193,13 @@ def test_lines_as_all_pairs(documents):
     by = dict(rows)
     assert {r.doc_id: r.text for r in clean.collect()} == {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n"), 1) if k not in want[i]) for i, t in by.items()}
     assert linededup.removed_lines(documents([])).count() == 0
+
+
+def test_lines_are_hashed_from_lower_case_texts(spark):
+    """A text is put in lower case once; its lines' words, and how many hashes are below 0, are as line by line."""
+    text = "ΑΣ\nΑΣ Β\tİx\r\n\n  A  b A\nΣ\nnone"
+    rows = spark.createDataFrame([(1, text)], "k0 int, text string")
+    told = {r.kln: r for r in linededup._hashed(rows).collect()}
+    plain = spark.createDataFrame([(k + 1, line) for k, line in enumerate(text.split("\n"))], "kln int, line string").select("kln", F.array_distinct(F.transform(linededup._split(F.col("line")), lambda w: F.xxhash64(w))).alias("w"))
+    for r in plain.collect():
+        assert [h & (1 << 31) - 1 for h in sorted(r.w)] == told[r.kln].h and told[r.kln].half == sum(h < 0 for h in r.w)
