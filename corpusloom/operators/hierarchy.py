@@ -43,6 +43,8 @@ LISTED = 16
 FEW = 4096
 #: Times that the way to a group's first node is doubled.
 JUMPS = 3
+#: Times that the way along picked edges is doubled before labels spread.
+DOUBLED = 6
 _CLOSEST = 1e-12
 
 
@@ -160,6 +162,15 @@ def chosen(parent: list[int], split: list[float], count: np.ndarray, lives: np.n
     return out
 
 
+def ancestors(parent: list[int]) -> list[np.ndarray]:
+    """The cluster 1, 2, 4, ... steps above each, or -1."""
+    above = [np.array(parent, np.int64)]
+    while (above[-1] >= 0).any():
+        up = above[-1]
+        above.append(np.where(up >= 0, up[up], -1))
+    return above
+
+
 def labels(x: np.ndarray, least: int, samples: int, selection: str) -> np.ndarray:
     """The cluster of each row of x, or -1."""
     n = len(x)
@@ -268,9 +279,9 @@ def _searched(found: metric.Index, told: DataFrame, wanted: DataFrame) -> DataFr
 
 
 def _joined(comps: DataFrame, edges: DataFrame, n: int) -> DataFrame:
-    """node, root of the components (comp) that edges (comp, other) connect; few of them in the driver."""
+    """node, root of the components (comp) that edges (comp, other: one of a component) connect; few of them in the driver."""
     if n > FEW:
-        return components(comps.select(F.col("comp").alias("node")), edges.select(F.col("comp").alias("a"), F.col("other").alias("b")))
+        return _picked_roots(comps, edges)
     up = {r.comp: r.comp for r in comps.select("comp").collect()}  # FEW rows at most
 
     def top(x: int) -> int:
@@ -284,6 +295,22 @@ def _joined(comps: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     return F.broadcast(comps.sparkSession.createDataFrame([(k, top(k)) for k in up], "node bigint, root bigint"))
 
 
+def _picked_roots(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, root. Each component goes where its edge leads, those that pick each other to the smaller one, and the way is doubled DOUBLED times at
+    most; where edges of equal distance close a ring, or the way is longer, labels spread instead."""
+    each_other = edges.select(F.col("other").alias("comp"), F.col("comp").alias("other"), F.lit(True).alias("both"))
+    up = F.when(F.col("both") & (F.col("comp") < F.col("other")), F.col("comp")).otherwise(F.col("other"))
+    above = edges.join(each_other, ["comp", "other"], "left").select(F.col("comp").alias("node"), up.alias("up"))
+    start = comps.select(F.col("comp").alias("node")).join(above, "node", "left").select("node", F.coalesce("up", "node").alias("root"))
+    now = settled(start.withColumn("ends", F.col("node") == F.col("root")), "roots")
+    for _ in range(DOUBLED):
+        further = now.select(F.col("node").alias("root"), F.col("root").alias("next"), "ends")
+        now = settled(now.select("node", "root").join(further, "root").select("node", F.col("next").alias("root"), "ends"), "roots")
+        if not now.filter("not ends").limit(1).count():
+            return now.select("node", "root")
+    return components(comps.select(F.col("comp").alias("node")), edges.select(F.col("comp").alias("a"), F.col("other").alias("b")))
+
+
 def spanning_edges(points: DataFrame, most: int) -> DataFrame:
     """a, b, w: edges of least spanning trees of mutual reachability of each group, and maybe some more of equal distance. points: row, grp, v,
     samples (``most`` at most)."""
@@ -451,18 +478,26 @@ def _large(points: DataFrame, selection: str) -> DataFrame:
     between = [(place[e.a], place[e.b], e.w) for e in edges.collect() if e.a in place and e.b in place]
     a, b, w = (np.array([e[k] for e in between], kind) for k, kind in ((0, np.int64), (1, np.int64), (2, np.float64)))
     found = Clusters(np.array([r.size for r in big], np.int64), np.array([np.inf if r.born is None else r.born for r in big], np.float64), a, b, w, np.array([r.least for r in big], np.int64))
-    chain = []
-    for r in big:
-        c, low = int(found.fell[place[r.node]]), 0.0
-        if r.born is None:  # small: its points leave together
-            chain += [(r.node, c, low, float("inf"), float(found.at[place[r.node]]))] * (c >= 0)
-            continue
-        while c >= 0:
-            chain.append((r.node, c, low, float(found.split[c]), None))
-            c, low = found.parent[c], float(found.split[c])
-    chain = spark.createDataFrame(chain, "n bigint, cluster int, low double, high double, left double")
-    fallen = F.coalesce("w", "left")
-    at = settled(rows.join(chain, (rows["node"] == chain["n"]) & (fallen >= F.col("low")) & (fallen < F.col("high"))).select("row", "cluster", fallen.alias("w")), "fallen")
+    names = np.array([r.node for r in big], np.int64)
+    is_born = np.array([r.born is not None for r in big], bool)
+    shared = spark.sparkContext.broadcast((names, is_born, found.fell, found.at, ancestors(found.parent), np.array(found.split)))
+
+    def fallen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, is_born, fell, left, above, split = shared.value
+        for batch in batches:
+            node, w = batch.column("node").to_numpy(), batch.column("w").to_numpy(zero_copy_only=False)
+            k = np.searchsorted(names, node)  # every node is there
+            w = np.where(np.isnan(w) & ~is_born[k], left[k], w)  # of small nodes points leave together
+            there = np.flatnonzero((fell[k] >= 0) & np.isfinite(w))
+            w, cluster = w[there], fell[k[there]]
+            beyond = np.flatnonzero(is_born[k[there]] & (split[cluster] <= w))
+            at = cluster[beyond]
+            for up in reversed(above):  # to the last one that has split by then, and one further
+                at = np.where((up[at] >= 0) & (split[up[at]] <= w[beyond]), up[at], at)
+            cluster[beyond] = above[0][at]
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(there)), pa.array(cluster, pa.int32()), pa.array(w)], ["row", "cluster", "w"])
+
+    at = settled(rows.mapInArrow(fallen, "row bigint, cluster int, w double"), "fallen")
     count, lives = np.zeros(len(found.parent), np.int64), np.zeros(len(found.parent))
     for r in at.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(1 / F.greatest("w", F.lit(_CLOSEST))).alias("lives")).collect():  # a row for each cluster
         count[r.cluster], lives[r.cluster] = r.n, r.lives

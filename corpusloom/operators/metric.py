@@ -25,7 +25,7 @@ from corpusloom.sources.tables import settled
 #: Points of a cell, as far as MOST_CENTRES allows; centres are held by the driver and every worker.
 CELL, MOST_CENTRES = 256, 4096
 #: Points of a region, and of those who ask there, in a task: a share of all, between these.
-PARTS, BLOCK, MOST_BLOCK = 16, 1024, 32768
+PARTS, BLOCK, MOST_BLOCK = 8, 1024, 32768
 #: Rows and columns that are compared at once.
 ROWS, COLUMNS = 256, 2048
 #: Candidates that are held before they are cut to the nearest.
@@ -214,6 +214,22 @@ class Meeting:
 
 
 _BEST = "array<struct<d: double, other: bigint>>"
+_PAIR = np.dtype([("d", "<f8"), ("other", "<i8")])
+#: Bytes of packed lists that stand in one chunk.
+CHUNK = 1 << 28
+
+
+def _packed(told: np.ndarray, n: np.ndarray) -> pa.ChunkedArray:
+    """Lists of n of these after another, each as bytes."""
+    ends = np.concatenate([[0], np.cumsum(n)]) * told.itemsize
+    chunks, a = [], 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + CHUNK, "right")) - 1)
+        offsets = (ends[a : b + 1] - ends[a]).astype(np.int32)
+        some = told[ends[a] // told.itemsize : ends[b] // told.itemsize].tobytes()
+        chunks.append(pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(some)]))
+        a = b
+    return pa.chunked_array(chunks, pa.binary())
 
 
 def _nearest(who: np.ndarray, d: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
@@ -230,52 +246,93 @@ def neighbours(found: Index, k: int) -> DataFrame:
     def run(own: pa.Table, asking: pa.Table) -> pa.Table:
         met = Meeting(own, asking)
         most = asking.column("bound").to_numpy() ** 2
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def cut() -> None:
-            who, d, other = (np.concatenate([h[n] for h in held]) for n in range(3))
-            best = _nearest(who, d, other, k)
-            who, d, other = who[best], d[best], other[best]
-            held[:] = [(who, d, other)]
-            full = np.flatnonzero(np.bincount(who, minlength=len(most)) >= k)
-            most[full] = np.minimum(most[full], d[np.searchsorted(who, full, "right") - 1] ** 2)
-
-        held.append((np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)))
-        pending = 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]  # who, about their squared distance, place in own
+        pending, slack = 0, np.zeros(len(most))
+
+        def exact(who: np.ndarray, place: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(who))
+            for a in range(0, len(who), 8 * COLUMNS):
+                i, j = who[a : a + 8 * COLUMNS], place[a : a + 8 * COLUMNS]
+                if met.x is not None and met.y is not None:
+                    out[a : a + len(i)] = apart(met.x[i], met.y[j])
+                else:  # groups of different lengths
+                    x, y = (t.column("v").take(pa.array(k)).combine_chunks() for t, k in ((met.asks, i), (met.own, j)))
+                    long = pc.list_value_length(x).to_numpy()
+                    for n in np.unique(long):
+                        some = np.flatnonzero(long == n)
+                        out[a + some] = apart(matrix(x.take(pa.array(some))), matrix(y.take(pa.array(some))))
+            return out
+
+        def cut(last: bool) -> np.ndarray:
+            who, about, place = (np.concatenate([h[n] for h in held]) for n in range(3))
+            order = np.lexsort((about, who))
+            who, about, place = who[order], about[order], place[order]
+            n = np.bincount(who, minlength=len(most))
+            first = np.cumsum(n) - n
+            full = np.flatnonzero(n >= k)
+            most[full] = np.minimum(most[full], about[first[full] + k - 1] + slack[full])
+            near = about <= (most + slack)[who]
+            n = np.bincount(who[near], minlength=len(most))
+            who, about, place = who[near], about[near], place[near]
+            tied = last | (n > 2 * k)[who]  # many at about one distance
+            some = np.flatnonzero(tied)
+            d = exact(who[some], place[some])
+            best = _nearest(who[some], d, met.of[place[some]], k)
+            chosen = np.concatenate([np.flatnonzero(~tied), some[best]])
+            held[:] = [(who[chosen], about[chosen], place[chosen])]
+            return d[best]
+
         for who, a, b in met.blocks():
             x, y = met.values(who, a, b)
             long, high = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
-            close = x @ y.T
-            close *= -2
-            close += long[:, None]
-            close += high[None, :]
+            close = np.column_stack([x, np.ones(len(x))]) @ np.column_stack([-2 * y, high]).T  # squared distances, without the norms of x
             close[met.myself(who, a, b)] = np.inf
-            slack = 1e-11 * (long + high.max())
-            if close.shape[1] > k:
-                blind = np.flatnonzero(np.isinf(most[who]))
-                if len(blind):
-                    most[who[blind]] = np.partition(close[blind], k - 1, 1)[:, k - 1] + slack[blind]
-            i, j = np.nonzero(close <= (most[who] + slack)[:, None])
-            real = np.isfinite(close[i, j])
-            i, j = i[real], j[real]
-            held.append((who[i], apart(x[i], y[j]), met.of[a:b][j]))
+            slack[who] = np.maximum(slack[who], 1e-11 * (long + high.max()))
+            under = close <= (most[who] + slack[who] - long)[:, None]
+            if close.shape[1] > k and np.count_nonzero(under) > 4 * k * len(who):
+                kth = np.partition(close, k - 1, 1)[:, k - 1] + long + slack[who]
+                most[who] = np.minimum(most[who], kth)
+                under = close <= (most[who] + slack[who] - long)[:, None]
+            i, j = np.nonzero(under)
+            about = close[i, j] + long[i]
+            real = np.isfinite(about)
+            held.append((who[i[real]], about[real], a + j[real]))
             pending += len(i)
             if pending > HELD:
-                cut()
+                cut(False)
                 pending = 0
-        cut()
-        who, d, other = held[0]
+        d = cut(True)
+        who, _, place = held[0]
+        told = np.empty(len(who), _PAIR)
+        told["d"], told["other"] = d, met.of[place]
         n = np.bincount(who, minlength=len(met.ids))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(d, pa.float64()), pa.array(other, pa.int64())], ["d", "other"]))
-        return pa.table([pa.array(met.ids, pa.int64()), lists], names=["row", "best"])
-
-    merged = lambda df: df.groupBy("row").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
+        return pa.table([pa.array(met.ids, pa.int64()), _packed(told, n)], names=["row", "best"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("lists")
+            each = lists.flatten()
+            told = np.frombuffer(b"".join(each.to_pylist()), np.uint8).view(_PAIR)
+            which = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            who = np.repeat(which, pc.binary_length(each).to_numpy() // _PAIR.itemsize)
+            order = np.lexsort((told["other"], told["d"], who))
+            who, d, other = who[order], told["d"][order], told["other"][order]
+            new = np.concatenate([[True], (who[1:] != who[:-1]) | (other[1:] != other[:-1])])[: len(who)]  # one of the own cell may come from its region too
+            who, d, other = who[new], d[new], other[new]
+            start = np.searchsorted(who, who)
+            near = np.arange(len(who)) - start < k
+            who, d, other = who[near], d[near], other[near]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=batch.num_rows))]).astype(np.int32)
+            best = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(d), pa.array(other)], ["d", "other"]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), best], ["row", "best"])
+
+    merged = lambda df: df.groupBy("row").agg(F.collect_list("best").alias("lists")).mapInArrow(merge, f"row bigint, best {_BEST}")
     wide = lambda df, bound, cells, parts: df.select("row", "grp", "cell", "region", parts.alias("parts"), "v", bound.alias("bound"), cells.alias("cells"))
     none = F.lit(None).cast("array<int>")
     alone = wide(found.points, F.lit(float("inf")), F.array("cell"), F.lit(1))
-    first = settled(meet(alone, alone, run, f"row bigint, best {_BEST}"), "first")
+    first = settled(meet(alone, alone, run, "row bigint, best binary"), "first")
     if not found.centres:
-        return first
+        return merged(first)
     shared = found.points.sparkSession.sparkContext.broadcast((found.centres, found.rows, found.radius, found.count, found.region, found.dealt, found.cells))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,12 +356,17 @@ def neighbours(found: Index, k: int) -> DataFrame:
                     took = pa.array(own[who])
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).take(took) for c in ("row", "grp", "cell")), pa.array(at.astype(np.int32)), *(batch.column(c).take(took) for c in ("parts", "v")), pa.array((most * (1 + SLACK) + SLACK)[who]), lists], ["row", "grp", "cell", "region", "parts", "v", "bound", "cells"])
 
-    last = F.element_at("best", -1)["d"]
-    bounds = first.select("row", F.when(F.size("best") >= k, last).otherwise(float("inf")).alias("bound"))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = [np.frombuffer(b[-_PAIR.itemsize :], _PAIR)["d"][0] if len(b) >= k * _PAIR.itemsize else np.inf for b in batch.column("best").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(last, pa.float64())], ["row", "bound"])
+
+    bounds = first.mapInArrow(bound, "row bigint, bound double")
     asking = found.points.join(bounds, "row").select("row", "grp", "cell", "region", "parts", "v", "bound")
     asking = asking.mapInArrow(visits, "row bigint, grp string, cell int, region int, parts int, v array<double>, bound double, cells array<int>")
     own = wide(found.points, F.lit(0.0), none, F.col("parts"))
-    return merged(first.unionByName(meet(own, asking, run, f"row bigint, best {_BEST}")))
+    return merged(first.unionByName(meet(own, asking, run, "row bigint, best binary")))
 
 
 def largest_products(found: Index) -> DataFrame:

@@ -165,6 +165,45 @@ def test_neighbours_and_products_as_all_pairs(spark, small):
     assert sorted(metric.neighbours(metric.index(frame.limit(0)), 3).collect()) == [] and n == 183
 
 
+def test_neighbours_of_equal_points_by_row_also_when_few_are_held(spark, small, monkeypatch):
+    monkeypatch.setattr(metric, "HELD", 50)
+    rng = np.random.default_rng(15)
+    x = np.round(np.concatenate([blobs(rng, [40, 40], dims=3), np.zeros((70, 3))]) * 2) / 2
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    index = metric.index(table(spark, x).select(F.col("id").alias("row"), F.lit("g").alias("grp"), "v"))
+    got = {r.row: [(round(e.d, 9), e.other) for e in r.best] for r in metric.neighbours(index, 6).collect()}
+    assert index.centres and got == {k: sorted((round(d[k, j], 9), j) for j in range(len(x)) if j != k)[:6] for k in range(len(x))}
+
+
+def test_deep_trees_take_no_row_for_each_cluster_above_a_node(spark, small, monkeypatch):
+    """Pairs of points with growing gaps: each pair but the first joins one cluster that grows, so clusters lie as deep as there are pairs."""
+    at = np.cumsum(np.repeat(1 + np.arange(60) / 10, 2) * np.tile([1, 0.05], 60))
+    x = np.column_stack([at, np.zeros(120)])
+    frame = table(spark, x)
+    rows, made = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: (rows.append(len(data)), made(self, data, *a, **k))[1])
+    monkeypatch.setattr(hierarchy, "FEW", 40)
+    assert found(hierarchy.clusters(frame, "id", "v", F.lit(2), "leaf", F.lit(1)), 120) == plain(x, 2, 1, "leaf")
+    assert rows and max(rows) <= 240
+
+
+def test_picked_edges_are_followed_in_few_steps(spark, small, monkeypatch):
+    """Also long ways; rings, that edges of equal distance may close, are no places to end at."""
+    monkeypatch.setattr(hierarchy, "FEW", 1)
+    steps, settled = [], hierarchy.settled
+    monkeypatch.setattr(hierarchy, "settled", lambda df, name: (steps.append(name), settled(df, name))[1])
+
+    def roots(pick, n):
+        edges = spark.createDataFrame(list(pick.items()), "comp bigint, other bigint")
+        return {r.node: r.root for r in hierarchy._joined(spark.range(n).withColumnRenamed("id", "comp"), edges, n).collect()}
+
+    way = roots({k: k + 1 for k in range(40)} | {40: 39, 42: 41}, 43)
+    assert len({way[k] for k in range(41)}) == 1 and way[41] == way[42] != way[0] and len(steps) <= 8
+    ring = roots({0: 1, 1: 2, 2: 3, 3: 0, 4: 0, 6: 5}, 7)
+    assert len({ring[k] for k in range(5)}) == 1 and ring[5] == ring[6] != ring[0]
+
+
 def test_a_point_visits_few_cells_where_points_cluster(spark, small):
     """Twice the clusters take about twice the rows that are dealt out, not four times."""
     rng = np.random.default_rng(11)
