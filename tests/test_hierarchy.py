@@ -204,6 +204,21 @@ def test_picked_edges_are_followed_in_few_steps(spark, small, monkeypatch):
     assert len({ring[k] for k in range(5)}) == 1 and ring[5] == ring[6] != ring[0]
 
 
+def test_few_neighbours_are_measured_exactly(spark, small, monkeypatch):
+    """Where nothing is clustered, bounds from the own cell are weak; what they let through isn't all measured exactly."""
+    x = np.random.default_rng(16).normal(size=(1500, 16))
+    index = metric.index(table(spark, x).select(F.col("id").alias("row"), F.lit("g").alias("grp"), "v"))
+    met, meet = [], metric.meet
+    monkeypatch.setattr(metric, "meet", lambda own, asking, run, schema: (met.append((own, asking, run)), meet(own, asking, run, schema))[1])
+    metric.neighbours(index, 5)
+    own, asking, run = met[1]
+    asks = asking.filter("region = 0").toArrow()
+    measured, apart = [], metric.apart
+    monkeypatch.setattr(metric, "apart", lambda x, y: (measured.append(len(x)), apart(x, y))[1])
+    run(own.filter("region = 0").toArrow(), asks)
+    assert asks.num_rows and sum(measured) <= 2 * 5 * asks.num_rows
+
+
 def test_a_point_visits_few_cells_where_points_cluster(spark, small):
     """Twice the clusters take about twice the rows that are dealt out, not four times."""
     rng = np.random.default_rng(11)
