@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.sources.tables import settled
@@ -26,6 +26,8 @@ from corpusloom.sources.tables import settled
 CELL, MOST_CENTRES = 256, 4096
 #: Points of a region, and of those who ask there, in a task: a share of all, between these.
 PARTS, BLOCK, MOST_BLOCK = 8, 1024, 32768
+#: Shares of a region whose cells are asked alone. Tasks that blocks of those who ask are dealt to, at least.
+SHARES, TASKS = 16, 128
 #: Rows and columns that are compared at once.
 ROWS, COLUMNS = 256, 2048
 #: Candidates that are held before they are cut to the nearest.
@@ -39,6 +41,11 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def divided(v: Column, by: Column) -> Column:
+    """A vector's components by a number. Inside a lambda the number would be worked out anew for each component."""
+    return F.zip_with(v, F.array_repeat(by, F.size(v)), lambda x, n: x / n)
+
+
 def far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Distances of rows of x to rows of y, good to find the nearest ones by."""
     square = np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", y, y)[None, :] - 2 * (x @ y.T)
@@ -89,13 +96,12 @@ def index(points: DataFrame) -> Index:
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(k, BLOCK) for k in range(0, whole.num_rows, BLOCK)):
-                cell, near = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, np.inf)
+                cell, near, norm = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, np.inf), np.zeros(batch.num_rows)
                 for g, own in _by_group(batch.column("grp").to_pylist(), shared.value):
                     x = matrix(batch.column("v").take(pa.array(own)))
                     best = far(x, shared.value[g]).argmin(1)
-                    cell[own], near[own] = best, apart(x, shared.value[g][best])
-                norm = [float(np.linalg.norm(v)) for v in batch.column("v").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(near), pa.array(norm, pa.float64())], [*batch.schema.names, "cell", "home", "norm"])
+                    cell[own], near[own], norm[own] = best, apart(x, shared.value[g][best]), np.linalg.norm(x, axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(near), pa.array(norm)], [*batch.schema.names, "cell", "home", "norm"])
 
     at = settled(points.mapInArrow(home, "row bigint, grp string, v array<double>, cell int, home double, norm double"), "cells")
     radius, norm = ({g: np.zeros(len(c)) for g, c in centres.items()} for _ in range(2))
@@ -148,7 +154,8 @@ def asked(row: np.ndarray, cell: np.ndarray, region: np.ndarray, dealt: np.ndarr
 
 
 def meet(own: DataFrame, asking: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """run(points of a region, those who ask there) for blocks of those who ask; both have row, grp, region, parts and the same further columns."""
+    """run(points of a region, those who ask there) for blocks of those who ask; both have row, grp, region, parts and the same further columns.
+    A block is much work, so there are more tasks than blocks of a table that few regions hold: two in a task would be waited for."""
     columns = [c for c in own.columns if c != "parts"]
     left = own.select(*columns, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
     right = asking.select(*columns, F.lit(True).alias("asks"), F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("j"))
@@ -157,7 +164,8 @@ def meet(own: DataFrame, asking: DataFrame, run: Callable[[pa.Table, pa.Table],
         asks = table.column("asks").to_numpy()
         return run(table.filter(pa.array(~asks)), table.filter(pa.array(asks)))
 
-    return left.unionByName(right).groupBy("region", "j").applyInArrow(task, schema)
+    tasks = max(TASKS, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return left.unionByName(right).repartition(tasks, "region", "j").groupBy("region", "j").applyInArrow(task, schema)
 
 
 class Meeting:
@@ -293,8 +301,9 @@ def neighbours(found: Index, k: int) -> DataFrame:
                 kth = np.partition(close, k - 1, 1)[:, k - 1] + long + slack[who]
                 most[who] = np.minimum(most[who], kth)
                 under = close <= (most[who] + slack[who] - long)[:, None]
-            i, j = np.nonzero(under)
-            about = close[i, j] + long[i]
+            at = np.flatnonzero(under)  # much faster than to look for rows and columns at once
+            i, j = np.divmod(at, under.shape[1])
+            about = close.ravel()[at] + long[i]
             real = np.isfinite(about)
             held.append((who[i[real]], about[real], a + j[real]))
             pending += len(i)
@@ -330,6 +339,7 @@ def neighbours(found: Index, k: int) -> DataFrame:
     wide = lambda df, bound, cells, parts: df.select("row", "grp", "cell", "region", parts.alias("parts"), "v", bound.alias("bound"), cells.alias("cells"))
     none = F.lit(None).cast("array<int>")
     alone = wide(found.points, F.lit(float("inf")), F.array("cell"), F.lit(1))
+    alone = alone.withColumn("region", F.col("region") * SHARES + F.pmod("cell", F.lit(SHARES)))  # cells don't meet here
     first = settled(meet(alone, alone, run, "row bigint, best binary"), "first")
     if not found.centres:
         return merged(first)

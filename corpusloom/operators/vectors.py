@@ -96,11 +96,12 @@ def reduce(rows: DataFrame, key: str, vector: str, dims: int = 5, few: int = SMA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, square = np.zeros(size), np.zeros((size, size))
         for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, size)
+            x = metric.matrix(batch.column(0)).reshape(-1, size)
             total, square = total + x.sum(0), square + x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([total, square.ravel()]).tobytes()], pa.binary())], ["sums"])
 
-    sums = sum((np.frombuffer(r.sums) for r in rows.select(vector).mapInArrow(run, "sums binary").toLocalIterator()), np.zeros(size + size * size))
+    told = settled(rows.select(vector).mapInArrow(run, "sums binary").withColumn("part", F.spark_partition_id()), "sums")  # else the tasks would run one after another
+    sums = sum((np.frombuffer(r.sums) for r in told.orderBy("part").toLocalIterator()), np.zeros(size + size * size))
     mean = sums[:size] / n
     values, axes = np.linalg.eigh(sums[size:].reshape(size, size) / n - np.outer(mean, mean))
     axes = axes[:, np.argsort(-values)[:dims]]
@@ -129,7 +130,7 @@ def density(rows: DataFrame, key: str, vector: str, similarity: float, least: Co
     group = F.lit(0) if within is None else within
     wide = F.col(vector).cast("array<double>")
     norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda t, x: t + x * x))
-    parts = rows.select(group.cast("string").alias("grp"), F.col(key).alias("key"), least.cast("int").alias("least"), F.when(norm > 0, F.transform(wide, lambda x: x / norm)).alias("v"))
+    parts = rows.select(group.cast("string").alias("grp"), F.col(key).alias("key"), least.cast("int").alias("least"), F.when(norm > 0, metric.divided(wide, norm)).alias("v"))
     parts = settled(parts, "points")
     good = parts.filter("v is not null")
     kind = rows.schema[key].dataType.simpleString()

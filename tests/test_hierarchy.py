@@ -1,6 +1,9 @@
 """The metric index and hierarchical density clustering against plain versions."""
 
+import time
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,3 +330,16 @@ def test_projection_of_few_and_of_odd_rows(spark):
 def test_weights():
     w = manifold.weights(np.array([[0.0, 0.0, 0.3, 0.5], [0.2, 0.4, np.inf, np.inf], [0.1, 0.2, 0.3, 0.9]]))
     assert w[1, 0] == 1 and (w[1, 2:] == 0).all() and np.allclose(w[2].sum(), 2) and w[2, 0] == 1 and (np.diff(w[2]) < 0).all()
+
+
+def test_projection_divides_a_vector_by_its_length_once(spark):
+    """Each component's length of its own took a minute for these; here the rows are few, so all that is done is that."""
+    rows = spark.range(60).select("id", F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda x: F.rand(3) + x).alias("v")).coalesce(1)
+    began = time.monotonic()
+    assert manifold.project(rows, "id", "v", vectors.reduce, few=100).count() == 60
+    assert time.monotonic() - began < 20
+
+
+def test_projection_sends_a_place_once_to_a_block():
+    places = pa.RecordBatch.from_pydict({"row": [7, 8, 9], "blocks": pa.array([[0, 2], [2], []], pa.list_(pa.int32())), "at": [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]})
+    assert [b.to_pylist() for b in manifold._sent([places])] == [[{"block": 0, "rows": [7], "at": [1.0, 2.0]}, {"block": 2, "rows": [7, 8], "at": [1.0, 2.0, 3.0, 4.0]}]]
