@@ -248,6 +248,20 @@ def _nearest(who: np.ndarray, d: np.ndarray, other: np.ndarray, k: int) -> np.nd
     return order[np.arange(len(order)) - start < k]
 
 
+def sides(x: np.ndarray, y: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose products are the squared distances of x to y, without the norms of x."""
+    return np.column_stack([x, np.ones(len(x))]).astype(kind), np.column_stack([-2 * y, np.einsum("ij,ij->i", y, y)]).astype(kind)
+
+
+def _precision(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> tuple[type, float]:
+    """The numbers to find candidates by, who are measured exactly then, and how far their squared distances can be off, as a share of both squared
+    norms: single precision where that is little beside the squares of the bounds, ``most``."""
+    norm = max(np.einsum("ij,ij->i", x, x).max(), np.einsum("ij,ij->i", y, y).max())
+    off = 2 * (x.shape[1] + 8) * 2.0**-24  # twice what the roundings of the components, their products and the sum can make
+    small = 1e-20 < norm < 1e30 and np.isfinite(most).all() and 2 * off * norm < 1e-3 * np.quantile(most, 0.1)
+    return (np.float32, off) if small else (np.float64, 1e-11)
+
+
 def neighbours(found: Index, k: int) -> DataFrame:
     """row, best: the k nearest other points of the group (d, other), by distance, then row; fewer where the group is smaller."""
 
@@ -256,6 +270,9 @@ def neighbours(found: Index, k: int) -> DataFrame:
         most = asking.column("bound").to_numpy() ** 2
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]  # who, about their squared distance, place in own
         pending, slack = 0, np.zeros(len(most))
+        whole = met.x is not None and met.y is not None and len(met.x) > 0 and len(met.y) > 0
+        kind, unit = _precision(met.x, met.y, most) if whole else (np.float64, 1e-11)
+        left, right = sides(met.x, met.y, kind) if whole else (None, None)
 
         def exact(who: np.ndarray, place: np.ndarray) -> np.ndarray:
             out = np.zeros(len(who))
@@ -293,17 +310,18 @@ def neighbours(found: Index, k: int) -> DataFrame:
         for who, a, b in met.blocks():
             x, y = met.values(who, a, b)
             long, high = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
-            close = np.column_stack([x, np.ones(len(x))]) @ np.column_stack([-2 * y, high]).T  # squared distances, without the norms of x
+            x, y = (left[who], right[a:b]) if whole else sides(x, y, kind)
+            close = x @ y.T  # squared distances, without the norms of x
             close[met.myself(who, a, b)] = np.inf
-            slack[who] = np.maximum(slack[who], 1e-11 * (long + high.max()))
-            under = close <= (most[who] + slack[who] - long)[:, None]
+            slack[who] = np.maximum(slack[who], unit * (long + high.max()))
+            under = close <= (most[who] + slack[who] - long).astype(kind)[:, None]
             if close.shape[1] > k and np.count_nonzero(under) > 4 * k * len(who):
                 kth = np.partition(close, k - 1, 1)[:, k - 1] + long + slack[who]
                 most[who] = np.minimum(most[who], kth)
-                under = close <= (most[who] + slack[who] - long)[:, None]
+                under = close <= (most[who] + slack[who] - long).astype(kind)[:, None]
             at = np.flatnonzero(under)  # much faster than to look for rows and columns at once
             i, j = np.divmod(at, under.shape[1])
-            about = close.ravel()[at] + long[i]
+            about = close.ravel()[at].astype(np.float64) + long[i]
             real = np.isfinite(about)
             held.append((who[i[real]], about[real], a + j[real]))
             pending += len(i)

@@ -343,3 +343,14 @@ def test_projection_divides_a_vector_by_its_length_once(spark):
 def test_projection_sends_a_place_once_to_a_block():
     places = pa.RecordBatch.from_pydict({"row": [7, 8, 9], "blocks": pa.array([[0, 2], [2], []], pa.list_(pa.int32())), "at": [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]})
     assert [b.to_pylist() for b in manifold._sent([places])] == [[{"block": 0, "rows": [7], "at": [1.0, 2.0]}, {"block": 2, "rows": [7, 8], "at": [1.0, 2.0, 3.0, 4.0]}]]
+
+
+def test_precision_of_the_search():
+    """Single where bounds are wide; double where points lie close to each other far from 0, are equal, or have no bound yet."""
+    x = np.random.default_rng(17).normal(size=(300, 8))
+    kind, off = metric._precision(x, x, np.full(300, 4.0))
+    left, right = metric.sides(x, x, kind)
+    square = (x**2).sum(1)
+    assert kind is np.float32 and (np.abs(left @ right.T + square[:, None] - metric.far(x, x) ** 2) < off * (square[:, None] + square[None, :])).all()
+    for y, most in ((x * 1e-3 + 100, 1e-6), (x, 0.0), (x, np.inf), (x * 1e20, 1e40), (x * 1e-12, 1e-24)):
+        assert metric._precision(y, y, np.full(300, most))[0] is np.float64
