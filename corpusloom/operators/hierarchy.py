@@ -275,7 +275,7 @@ def _searched(found: metric.Index, told: DataFrame, wanted: DataFrame) -> DataFr
         first = order[np.flatnonzero(np.diff(comp[hit][order], prepend=-1))]  # one of each component
         return _edges(ids[first], comp[hit][first], other[to[first]], exact[first], of[first])
 
-    return centred.select("comp", "other", "w", "lo", "hi").unionByName(metric.meet(told.select(*columns, none), asking.unionByName(lone.select(*columns, none)), run, _EDGE).select("comp", "other", "w", "lo", "hi"))
+    return centred.select("comp", "other", "w", "lo", "hi").unionByName(metric.meet(told.select(*columns, none), asking.unionByName(lone.select(*columns, none)), run, _EDGE, even=False).select("comp", "other", "w", "lo", "hi"))
 
 
 def _joined(comps: DataFrame, edges: DataFrame, n: int) -> DataFrame:

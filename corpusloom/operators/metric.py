@@ -153,9 +153,9 @@ def asked(row: np.ndarray, cell: np.ndarray, region: np.ndarray, dealt: np.ndarr
     return row[start], to[start], told
 
 
-def meet(own: DataFrame, asking: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def meet(own: DataFrame, asking: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, even: bool = True) -> DataFrame:
     """run(points of a region, those who ask there) for blocks of those who ask; both have row, grp, region, parts and the same further columns.
-    A block is much work, so there are more tasks than blocks of a table that few regions hold: two in a task would be waited for."""
+    even: a block is much work, so there are more tasks than blocks of a table that few regions hold: two in a task would be waited for."""
     columns = [c for c in own.columns if c != "parts"]
     left = own.select(*columns, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
     right = asking.select(*columns, F.lit(True).alias("asks"), F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("j"))
@@ -164,8 +164,10 @@ def meet(own: DataFrame, asking: DataFrame, run: Callable[[pa.Table, pa.Table],
         asks = table.column("asks").to_numpy()
         return run(table.filter(pa.array(~asks)), table.filter(pa.array(asks)))
 
-    tasks = max(TASKS, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return left.unionByName(right).repartition(tasks, "region", "j").groupBy("region", "j").applyInArrow(task, schema)
+    both = left.unionByName(right)
+    if even:
+        both = both.repartition(max(TASKS, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "region", "j")
+    return both.groupBy("region", "j").applyInArrow(task, schema)
 
 
 class Meeting:
