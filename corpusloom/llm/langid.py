@@ -3,10 +3,10 @@
 Each language has a codeword. For each bit a binary n-gram classifier (log-odds of hashed n-grams of bytes, orders 1
 to 3) tells the languages whose bit is 1 from the others. The logistic loss of all bits against each codeword, weighted
 by how well the bit told training documents apart, is least for the predicted language; a small lead over the next one
-flags the prediction as ambiguous. A text whose loss is further from that of every document learned from than from that of
-a text that tells nothing (log 2), and so is each PIECE of it, is in no learned language: rejected. A text that changes its
-language has pieces that lie near. Texts of fewer than JUDGED n-grams of each order never are rejected, nor is any text
-where only one language was learned.
+flags the prediction as ambiguous. A text counts by the least of its loss and that of each PIECE of it, so one that changes
+its language lies near. One whose loss is further from that of every document learned from than from that of a text that
+tells nothing (log 2), or beyond both, is in no learned language: rejected. Texts of fewer than JUDGED n-grams of each order
+never are rejected, nor is any text where only one language was learned.
 
 The classifiers are fitted on all labelled documents (whole texts), and so is the loss that rejects; n-grams are counted on the
 executors, and the driver gets COUNTS numbers for each language and task. Every language that occurs is learned; the tables of
@@ -42,6 +42,8 @@ STEEPNESS, SURE = 8.0, 0.2
 JUDGED = 64
 #: Bytes of a piece.
 PIECE = 128
+#: Losses are trusted up to this share.
+SLACK = 1e-6
 
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII letters in lower case, other ASCII as blanks, the rest as it is.
@@ -150,19 +152,21 @@ def fit(rows: DataFrame) -> Codes | None:
     model = Codes(languages, counts)
     if len(languages) > 1:
         most = _greatest_loss(rows, model)
-        model.limit = (most + float(np.log(2))) / 2 if most < np.log(2) else float("inf")
+        model.limit = max((most + float(np.log(2))) / 2, most * (1 + SLACK))
     return model
 
 
-def lost(model: Codes, text: bytes) -> bool:
-    """Whether all pieces of a text are beyond the limit."""
+def least_loss(model: Codes, text: bytes, whole: float) -> float:
+    """The least loss of a text, whose own is ``whole``, and of its pieces."""
     pieces = [text[a : a + PIECE] for a in range(0, len(text), PIECE)]
-    losses = (model.predict(gram_counts(pieces[a : a + 8 * TOGETHER]))[3] for a in range(0, len(pieces), 8 * TOGETHER))
-    return all((found[found > 0] >= model.limit).all() for found in losses)
+    for a in range(0, len(pieces), 8 * TOGETHER):
+        found = model.predict(gram_counts(pieces[a : a + 8 * TOGETHER]))[3]
+        whole = min(whole, found[found > 0].min(initial=whole))  # short ones tell nothing
+    return whole
 
 
 def _greatest_loss(rows: DataFrame, model: Codes) -> float:
-    """The greatest loss of the documents learned from; a number for each task goes to the driver."""
+    """The greatest of the least losses of the documents learned from; a number for each task goes to the driver."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +174,10 @@ def _greatest_loss(rows: DataFrame, model: Codes) -> float:
         for batch in batches:
             texts = [t.encode() for t in batch.column(0).to_pylist() if t and _LETTER.search(t)]
             for a in range(0, len(texts), TOGETHER):
-                most = max(most, shared.value.predict(gram_counts(texts[a : a + TOGETHER]))[3].max())
+                some = texts[a : a + TOGETHER]
+                for text, loss in zip(some, shared.value.predict(gram_counts(some))[3].tolist(), strict=True):
+                    if loss > most:
+                        most = max(most, least_loss(shared.value, text, loss))
         yield pa.RecordBatch.from_arrays([pa.array([most], pa.float64())], ["most"])
 
     return rows.select("text").mapInArrow(run, "most double").agg(F.max("most")).first()[0] or 0.0
@@ -190,7 +197,7 @@ def identify(docs: DataFrame, model: Codes | None, id_col: str = "doc_id", text_
                 some = told[a : a + TOGETHER]
                 told_of = own.predict(gram_counts([texts[i].encode() for i in some]))
                 for i, k, s, gap, loss in zip(some, *(x.tolist() for x in told_of), strict=True):
-                    found[i] = (own.languages[k], min(1.0, s), gap < SURE, loss >= own.limit and lost(own, texts[i].encode()))
+                    found[i] = (own.languages[k], min(1.0, s), gap < SURE, loss >= own.limit and least_loss(own, texts[i].encode(), loss) >= own.limit)
             columns = zip(*found, strict=True) if found else ((),) * 4
             kinds = (pa.string(), pa.float64(), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, kinds), *batch.columns[2:]], ["id", "lang_pred", "score", "ambiguous", "rejected", *[f"c{i}" for i in range(len(carry))]])
