@@ -39,6 +39,8 @@ WHOLE = 2048
 SMALL = 50
 #: Nearest neighbours that are asked for an edge before the index.
 LISTED = 16
+#: Greatest rank of core distances that lists of neighbours are kept for; others are counted.
+LONG = 128
 #: Components and nodes that the driver joins itself.
 FEW = 4096
 #: Times that the way to a group's first node is doubled.
@@ -315,8 +317,10 @@ def spanning_edges(points: DataFrame, most: int) -> DataFrame:
     """a, b, w: edges of least spanning trees of mutual reachability of each group, and maybe some more of equal distance. points: row, grp, v,
     samples (``most`` at most)."""
     found = metric.index(points)
-    listed = metric.neighbours(found, max(most, LISTED)).join(points.select("row", "samples"), "row")
+    listed = metric.neighbours(found, LISTED if most > LONG else max(most, LISTED)).join(points.select("row", "samples"), "row")
     core = F.element_at("best", F.least(F.col("samples"), F.size("best")).cast("int"))["d"]
+    if most > LONG:  # lists as long as that would grow with the square of the points where samples are a share of them
+        listed, core = listed.join(metric.ranked(found, points.select("row", F.col("samples").alias("k"))), "row"), F.col("d")
     first = F.slice("best", 1, LISTED)
     least_far = F.when(F.size("best") < LISTED, float("inf")).otherwise(F.element_at(first, -1)["d"])
     listed = settled(listed.select("row", core.alias("core"), first.alias("best"), least_far.alias("least_far")), "listed")

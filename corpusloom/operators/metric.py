@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -399,6 +400,156 @@ def neighbours(found: Index, k: int) -> DataFrame:
     return merged(first.unionByName(meet(own, asking, run, "row bigint, best binary")))
 
 
+#: Parts of a range that distances are counted in; so many in one of them are measured.
+BINS, FEW_LEFT = 64, 256
+_RANGE = "row bigint, k bigint, lo double, hi double, top double, slack double, few boolean"
+
+
+def ranked(found: Index, ranks: DataFrame) -> DataFrame:
+    """row, d: the distance to the k-th nearest other point of the group, exactly. ranks: row, k. Distances are counted in BINS parts of a range of
+    squares, which distances to the centres tell first, until few are left in the part that has the k-th; these are measured. So what is dealt out doesn't grow
+    with k. A point of a larger rank than there are others has the farthest one's distance."""
+    spark = found.points.sparkSession
+    sizes = found.points.groupBy(F.col("grp").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    wanted = found.points.join(ranks, "row").join(sizes, F.col("grp") == F.col("g")).filter("n > 1").withColumn("k", F.least(F.col("k").cast("bigint"), F.col("n") - 1))
+    shared = spark.sparkContext.broadcast((found.centres, found.radius, found.norm, found.count, found.region, found.dealt, found.cells))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for whole in batches:
+            for batch in (whole.slice(a, ROWS) for a in range(0, whole.num_rows, ROWS)):
+                for g, own in _by_group(batch.column("grp").to_pylist(), shared.value[0]):
+                    part = batch.take(pa.array(own))
+                    x = matrix(part.column("v"))
+                    yield g, part, x, far(x, shared.value[0][g])
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, part, x, to in told(batches):
+            _, radius, norm, count = (c[g] for c in shared.value[:4])
+            k, n = part.column("k").to_numpy(), to.shape[1]
+            share = k / count.sum()
+            most = 4 * np.sqrt(share * (1 - share) / n) + 2 / n
+            slack = np.maximum(1e-11 * (np.einsum("ij,ij->i", x, x) + norm.max() ** 2), 1e-18)
+            top = (to + radius[None, :]).max(1) ** 2 * (1 + SLACK) + 8 * slack
+            square = np.column_stack([-4 * slack, np.sort(to, 1) ** 2, top])
+            line = np.arange(len(k))
+            lo = square[line, np.clip(np.floor((share - most) * n), 0, n).astype(int)]
+            hi = square[line, np.clip(np.ceil((share + most) * n) + 1, 1, n + 1).astype(int)]
+            yield _ranges(part.column("row").to_numpy(), k, lo, np.maximum(hi, lo + 8 * slack), top, slack, np.zeros(len(k), bool))
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, part, _, to in told(batches):
+            _, radius, _, count, region, dealt, cells = (c[g] if n < 6 else c for n, c in enumerate(shared.value))
+            most = np.sqrt(np.maximum(part.column("hi").to_numpy(), 0))[:, None]
+            i, j = np.nonzero((to - radius[None, :] <= most + SLACK * (1 + to + most)) & (count > 0)[None, :])
+            who, at, lists = asked(i, j, region, dealt, cells)
+            took = pa.array(who)
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(took) for c in ("row", "grp", "cell")), pa.array(at.astype(np.int32)), *(part.column(c).take(took) for c in ("parts", "v", "lo", "hi")), lists], ["row", "grp", "cell", "region", "parts", "v", "lo", "hi", "cells"])
+
+    columns = ["row", "grp", "cell", "region", "parts", "v", "lo", "hi"]
+    none = F.lit(None).cast("array<int>").alias("cells")
+
+    def met(ranges: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+        asking = found.points.join(ranges.select("row", "lo", "hi"), "row").select(*columns)
+        lone = asking.filter(~F.col("grp").isin(*found.centres)) if found.centres else asking  # groups of one cell
+        asking = asking.mapInArrow(visits, "row bigint, grp string, cell int, region int, parts int, v array<double>, lo double, hi double, cells array<int>")
+        return meet(found.points.select(*columns[:6], F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"), none), asking.unionByName(lone.select(*columns, none)), run, schema)
+
+    def within(own: pa.Table, asking: pa.Table) -> tuple[Meeting, Iterator[tuple]]:
+        each = Meeting(own, asking)
+        lo, hi = (asking.column(c).to_numpy() for c in ("lo", "hi"))
+
+        def blocks() -> Iterator[tuple]:
+            for who, a, b in each.blocks():
+                x, y = each.values(who, a, b)
+                close = np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", y, y)[None, :] - 2 * (x @ y.T)
+                close[each.myself(who, a, b)] = np.inf
+                at = np.flatnonzero((close >= lo[who, None]) & (close <= hi[who, None]) & (close < np.inf))
+                i, j = np.divmod(at, close.shape[1])
+                yield who, np.count_nonzero(close < lo[who, None], axis=1), i, j, close.ravel()[at], x, y
+
+        return each, blocks()
+
+    def counted(own: pa.Table, asking: pa.Table) -> pa.Table:
+        each, blocks = within(own, asking)
+        lo, hi = (asking.column(c).to_numpy() for c in ("lo", "hi"))
+        n = np.zeros((asking.num_rows, BINS + 1), np.int32)
+        for who, below, i, _, close, _, _ in blocks:
+            n[who, 0] += below.astype(np.int32)
+            part = np.minimum(((close - lo[who[i]]) * (BINS / (hi - lo))[who[i]]).astype(np.int64), BINS - 1)
+            n[who, 1:] += np.bincount(i * BINS + part, minlength=len(who) * BINS).reshape(len(who), BINS).astype(np.int32)
+        return pa.table([pa.array(each.ids, pa.int64()), pa.array([x.tobytes() for x in n], pa.binary())], names=["row", "n"])
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, lo, hi, top, slack = (batch.column(c).to_numpy() for c in ("k", "lo", "hi", "top", "slack"))
+            n = np.array([np.frombuffer(b"".join(x), np.int32).reshape(-1, BINS + 1).sum(0, dtype=np.int64) for x in batch.column("lists").to_pylist()], np.int64).reshape(-1, BINS + 1)
+            up = np.cumsum(n, 1)
+            part = (up[:, 1:] < k[:, None]).sum(1)
+            wide = (hi - lo) / BINS
+            more = 2 * slack + 1e-12 * (hi - lo)  # what a distance found anew may differ by
+            under, over = k <= up[:, 0], part == BINS
+            low = np.where(under, -4 * slack, np.where(over, hi, lo + part * wide) - more)
+            high = np.where(under, lo, np.where(over, top, lo + (part + 1) * wide)) + more
+            left = n[np.arange(len(k)), np.minimum(part, BINS - 1) + 1]
+            few = ~under & ~over & ((left <= FEW_LEFT) | (high - low <= 16 * slack + 1e-11 * (hi - lo)))
+            yield _ranges(batch.column("row").to_numpy(), k, low, high, top, slack, few)
+
+    def measured(own: pa.Table, asking: pa.Table) -> pa.Table:
+        each, blocks = within(own, asking)
+        below, held, pending = np.zeros(asking.num_rows, np.int64), [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))], 0
+
+        def alike() -> None:
+            who, d, n = (np.concatenate([h[c] for h in held]) for c in range(3))
+            order = np.lexsort((d, who))
+            who, d, n = who[order], d[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (d[1:] != d[:-1])])) if len(who) else np.zeros(0, np.int64)
+            held[:] = [(who[first], d[first], np.add.reduceat(n, first) if len(first) else n)]
+
+        for who, under, i, j, _, x, y in blocks:
+            below[who] += under
+            for a in range(0, len(i), 8 * COLUMNS):
+                some = slice(a, a + 8 * COLUMNS)
+                held.append((who[i[some]], apart(x[i[some]], y[j[some]]), np.ones(len(i[some]), np.int64)))
+            pending += len(i)
+            if pending > HELD:
+                alike()
+                pending = 0
+        alike()
+        who, d, n = held[0]
+        pairs = np.empty(len(who), _PAIR)
+        pairs["d"], pairs["other"] = d, n
+        return pa.table([pa.array(each.ids, pa.int64()), pa.array(below), _packed(pairs, np.bincount(who, minlength=len(each.ids)))], names=["row", "below", "d"])
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros(batch.num_rows)
+            for r, (k, below, lists) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("k", "below", "lists")), strict=True)):
+                pairs = np.frombuffer(b"".join(lists), _PAIR)
+                order = np.argsort(pairs["d"])
+                out[r] = pairs["d"][order][np.searchsorted(np.cumsum(pairs["other"][order]), k - below)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out)], ["row", "d"])
+
+    first = wanted.select("row", "grp", "v", "k").mapInArrow(start, _RANGE)
+    inf = F.lit(float("inf"))
+    alone = wanted.filter(~F.col("grp").isin(*found.centres)) if found.centres else wanted
+    alone = alone.select("row", "k", F.lit(-1.0).alias("lo"), inf.alias("hi"), inf.alias("top"), F.lit(0.0).alias("slack"), F.lit(True).alias("few"))
+    now, done = settled(first.unionByName(alone), "ranges"), []
+    while True:
+        done.append(now.filter("few"))
+        now = now.filter("not few")
+        if not now.limit(1).count():
+            break
+        lists = met(now, counted, "row bigint, n binary").groupBy("row").agg(F.collect_list("n").alias("lists"))
+        now = settled(now.join(lists, "row").mapInArrow(narrowed, _RANGE), "ranges")
+    ready = reduce(DataFrame.unionByName, done).select("row", "k", "lo", "hi")
+    lists = met(ready, measured, "row bigint, below bigint, d binary").groupBy("row").agg(F.sum("below").alias("below"), F.collect_list("d").alias("lists"))
+    return ready.select("row", "k").join(lists, "row").mapInArrow(chosen, "row bigint, d double")
+
+
+def _ranges(row, k, lo, hi, top, slack, few) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*map(pa.array, (row, k, lo, hi, top, slack, few))], ["row", "k", "lo", "hi", "top", "slack", "few"])
+
+
 def largest_products(found: Index) -> DataFrame:
     """row, product: the largest inner product with another point of the group; none for a point that is alone. A ball's products are
     bounded by those with its centre and by the distance, which is the sharper bound for vectors of one length."""

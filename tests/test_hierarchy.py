@@ -354,3 +354,38 @@ def test_precision_of_the_search():
     assert kind is np.float32 and (np.abs(left @ right.T + square[:, None] - metric.far(x, x) ** 2) < off * (square[:, None] + square[None, :])).all()
     for y, most in ((x * 1e-3 + 100, 1e-6), (x, 0.0), (x, np.inf), (x * 1e20, 1e40), (x * 1e-12, 1e-24)):
         assert metric._precision(y, y, np.full(300, most))[0] is np.float64
+
+
+def test_distances_of_large_ranks(spark, monkeypatch):
+    """Exactly those of all pairs, by counts: of ranks that are a share of the points, of equal points and of groups of different lengths."""
+    monkeypatch.setattr(metric, "CELL", 64)
+    monkeypatch.setattr(metric, "BLOCK", 128)
+    monkeypatch.setattr(metric, "FEW_LEFT", 8)
+    rng = np.random.default_rng(18)
+    groups = {"a": np.concatenate([rng.normal(size=(500, 5)), rng.normal(size=(200, 5)) * 1e-3 + 50, np.ones((90, 5))]), "b": rng.normal(size=(40, 3)), "c": np.zeros((150, 2))}
+    rows, want, row = [], {}, 0
+    for g, x in groups.items():
+        d = np.sort(metric.apart(x[:, None, :], x[None, :, :]) + np.diag(np.full(len(x), -1.0)), 1)[:, 1:]  # itself goes first
+        for own, v in zip(d, x, strict=True):
+            k = int(rng.integers(1, len(x) + 5))
+            rows.append((row, g, v.tolist(), k))
+            want[row] = own[min(k, len(x) - 1) - 1]
+            row += 1
+    frame = spark.createDataFrame(rows, "row bigint, grp string, v array<double>, k int")
+    got = {r.row: r.d for r in metric.ranked(metric.index(frame), frame.select("row", "k")).collect()}
+    assert got == want
+
+
+def test_core_distances_keep_no_long_lists(spark, monkeypatch):
+    """Core distances to a rank beyond LONG come without lists of that length."""
+    x = np.random.default_rng(19).normal(size=(300, 3))
+    asked, before = [], metric.neighbours
+    monkeypatch.setattr(metric, "CELL", 64)
+    monkeypatch.setattr(metric, "neighbours", lambda found, k: (asked.append(k), before(found, k))[1])
+    monkeypatch.setattr(hierarchy, "LONG", 32, raising=False)
+    points = spark.createDataFrame([(k, "", v.tolist(), 90) for k, v in enumerate(x)], "row bigint, grp string, v array<double>, samples int")
+    edges = hierarchy.spanning_edges(points, 90).collect()
+    assert max(asked) == hierarchy.LISTED
+    d = metric.apart(x[:, None, :], x[None, :, :])
+    core = np.sort(d, 1)[:, 90]
+    assert edges and all(e.w == max(d[e.a, e.b], core[e.a], core[e.b]) for e in edges)
